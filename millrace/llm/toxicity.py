@@ -25,8 +25,8 @@ from millrace.llm.common import documents, keep, mix, remainder, utf8, words
 
 U = np.uint64
 EXAMPLES, TERMS, NEAREST, BLOCK = 4096, 1024, 16, 32
-#: The least chi-squared statistic of a term (one degree of freedom, p = 0.0001), and the weight of the prior in votes.
-LEAST_CHI, PRIOR = 15.1, 0.25
+#: The least chi-squared statistic of a term (one degree of freedom, p = 1e-6), and the weight of the prior in votes.
+LEAST_CHI, PRIOR = 24.0, 0.25
 BEGINNINGS = (4, 6)
 
 
