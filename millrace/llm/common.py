@@ -88,6 +88,17 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)), at
 
 
+def sliced(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `most` bytes of that string column, so that what is made of one stays small."""
+    for batch in batches:
+        _, at = utf8(batch.column(column))
+        i, n = 0, batch.num_rows
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
+            yield batch.slice(i, j - i)
+            i = j
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.ones(256, bool)

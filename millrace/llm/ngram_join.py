@@ -32,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, documents, keep, mix, partitions, words
+from millrace.llm.common import components, documents, keep, mix, partitions, sliced, words
 
 #: Links: 100 * intersection >= LEAST * union.
 LEAST = 80
 SHINGLE = 5
+#: Longs in the bitmap of the ids of documents that are needed again.
+BITMAP = 1 << 16
 U = np.uint64
 _EMPTY = U(0x5A17_0F3C_9E2B_4D61)
 
@@ -157,7 +159,7 @@ def shared_keys(docs: DataFrame, parts: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # nodes of this task: copies give their keys once
-        for batch in batches:
+        for batch in sliced(batches, 0):
             grams, off = sets(batch.column(0))
             node = digests(grams, off)
             fresh = []
@@ -227,37 +229,63 @@ def shared_keys(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, node, n_shingles."""
+    """doc_id, node, n_shingles, sketch."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             grams, off = sets(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests(grams, off).astype(np.int64)), pa.array(np.diff(off))], names=["doc_id", "node", "n_shingles"])
+            full = pa.array([sketch(grams[a:b]) if b > a else b"" for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests(grams, off).astype(np.int64)), pa.array(np.diff(off)), full], names=["doc_id", "node", "n_shingles", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(digest, "doc_id long, node long, n_shingles long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(digest, "doc_id long, node long, n_shingles long, sketch binary")
 
 
 def _whole(docs: DataFrame) -> DataFrame:
-    """node, n, shingles (sorted), sketch of each document of docs (text)."""
+    """node, n, shingles (sorted) of each document of docs (text)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        seen: set[int] = set()  # rows that repeat give their set once a task
+        for batch in sliced(batches, 0):
             grams, off = sets(batch.column(0))
-            rows = [grams[off[i] : off[i + 1]] for i in range(len(off) - 1)]
+            node = digests(grams, off).astype(np.int64)
+            new = np.array([i for i, x in enumerate(node.tolist()) if not (x in seen or seen.add(x))], np.int64)
             lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(grams.astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(digests(grams, off).astype(np.int64)), pa.array(np.diff(off)), lists, pa.array([sketch(r) if len(r) else b"" for r in rows], pa.binary())], names=["node", "n", "shingles", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[new]), pa.array(np.diff(off)[new]), lists.take(pa.array(new))], names=["node", "n", "shingles"])
+
+    return docs.select("text").mapInArrow(make, "node long, n long, shingles array<long>")
+
+
+def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) of nodes whose sizes and sketches allow a link."""
 
-    return docs.select("text").mapInArrow(make, "node long, n long, shingles array<long>, sketch binary")
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy() for c in (2, 3))
+            fits = 100 * np.minimum(na, nb) >= LEAST * np.maximum(na, nb)
+            xs, ys = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            for i in np.flatnonzero(fits):
+                to = min(len(xs[i]), len(ys[i]))
+                apart = int(np.bitwise_count(np.bitwise_xor(*_fold([xs[i], ys[i]], to))).sum())
+                fits[i] = (100 + LEAST) * apart <= (100 - LEAST) * (na[i] + nb[i])
+            took = pa.array(np.flatnonzero(fits))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(took), batch.column(1).take(took)], names=["a", "b"])
+
+    left = reps.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("xa"))
+    right = reps.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("xb"))
+    met = pairs.join(right, "b").join(left, "a")
+    return met.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(allowed, "a long, b long")
 
 
-def _links(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) of nodes that link."""
+def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) of nodes that link, by their whole sets, from one document each."""
+    some = pairs.select("a").union(pairs.select("b")).distinct()
+    needed = reps.join(some, F.col("node") == F.col("a")).select("first_id")
+    whole = keep(_whole(among(docs, needed)), "sets")
     left = whole.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = whole.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     met = pairs.join(right, "b").join(left, "a")
-    fits = (100 * F.least("na", "nb") >= LEAST * F.greatest("na", "nb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return met.where(fits).where(100 * both >= LEAST * (F.col("na") + F.col("nb") - both)).select("a", "b")
+    return met.where(100 * both >= LEAST * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
 def _fold(raw: list[bytes], to: int) -> np.ndarray:
@@ -272,31 +300,57 @@ def _across(members: DataFrame) -> DataFrame:
     """Pairs (a, b) to verify of members (key, node, label, n, sketch): of different labels under one key, whose sizes
     and sketches allow a link. A key's members are taken in blocks, so memory is bounded by its members' sketches."""
 
-    def pairs(key: tuple, table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("n").to_numpy(), kind="stable")
-        node, label, n = (table.column(c).to_numpy()[order] for c in ("node", "label", "n"))
-        raw = table.column("sketch").to_pylist()
-        raw = [raw[i] for i in order]
-        a_out, b_out = [], []
+    def pairs(node: np.ndarray, label: np.ndarray, n: np.ndarray, raw: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        order = np.argsort(n, kind="stable")
+        node, label, n, raw = node[order], label[order], n[order], [raw[i] for i in order]
         for lo in range(0, len(node), 256):
             hi = min(lo + 256, len(node))
             end = int(np.searchsorted(n * LEAST, n[hi - 1] * 100, "right"))
-            to = len(raw[lo])
-            own, other = _fold(raw[lo:hi], to), _fold(raw[lo:end], to)
+            block = _fold(raw[lo:end], len(raw[lo]))
             for i in range(lo, hi):
                 stop = int(np.searchsorted(n * LEAST, n[i] * 100, "right"))
                 if stop <= i + 1:
                     continue
-                apart = np.bitwise_count(own[i - lo] ^ other[i + 1 - lo : stop - lo]).sum(axis=1, dtype=np.int64)
+                apart = np.bitwise_count(block[i - lo] ^ block[i + 1 - lo : stop - lo]).sum(axis=1, dtype=np.int64)
                 ok = (label[i + 1 : stop] != label[i]) & ((100 + LEAST) * apart <= (100 - LEAST) * (n[i] + n[i + 1 : stop]))
                 hit = node[i + 1 : stop][ok]
-                a_out.append(np.full(len(hit), node[i]))
-                b_out.append(hit)
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate(a_out) if a_out else none, "b": np.concatenate(b_out) if b_out else none})
+                if len(hit):
+                    yield np.minimum(node[i], hit), np.maximum(node[i], hit)
+
+    def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
 
-    found = members.select("key", "node", "label", "n", "sketch").groupBy("key").applyInArrow(pairs, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                for a, b in pairs(*(np.concatenate([x[k] for x in held]) for k in (1, 2, 3)), [r for x in held for r in x[4]]):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                held.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, node, label, n = (batch.column(i).to_numpy() for i in range(4))
+            raw = batch.column(4).to_pylist()
+            cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(key)], strict=True):
+                if held and held[0][0] != key[lo]:
+                    yield from flush()
+                held.append((key[lo], node[lo:hi], label[lo:hi], n[lo:hi], raw[lo:hi]))
+        yield from flush()
+
+    dealt = members.select("key", "node", "label", "n", "sketch").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(by_key, "a long, b long").distinct()
+
+
+def among(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is a first_id of needed. A bitmap of the ids' hashes, of fixed size (BITMAP longs),
+    is broadcast first, so that texts which aren't needed don't move; the join that follows is exact at any size."""
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64({c}), 20), 64) as int))")
+    word = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP)).cast("int")
+    needed = keep(needed, "needed")
+    bitmap = needed.groupBy(word("first_id").alias("word")).agg(F.bit_or(bit("first_id")).alias("bits"))
+    some = docs.withColumn("at", word("doc_id")).join(F.broadcast(bitmap), F.col("at") == F.col("word")).where(F.col("bits").bitwiseAND(bit("doc_id")) != 0)
+    return some.join(needed, F.col("doc_id") == F.col("first_id"), "left_semi").select(*docs.columns)
 
 
 def similar(docs: DataFrame) -> DataFrame:
@@ -305,21 +359,22 @@ def similar(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     info = keep(nodes(docs.where("doc_id is not null")), "nodes")
     shared = keep(shared_keys(docs, partitions(spark)), "shared")
-    whose = info.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    # whole sets of the nodes that share a key, from one document each
-    needed = shared.select("node").distinct().join(whose, "node").select("first_id")
-    whole = keep(_whole(docs.join(needed, docs.doc_id == needed.first_id, "left_semi")).dropDuplicates(["node"]), "sets")
+    full = info.where("n_shingles > 0")
+    reps = full.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    reps = keep(reps.join(shared.select("node").distinct(), "node", "left_semi"), "sketches")
     # each node of a key against the one that agrees most
     weight = shared.groupBy("node").agg(F.sum(F.col("weight") * (F.col("size") - 1)).alias("agreed"))
     best = shared.join(weight, "node").groupBy("key").agg(F.max(F.struct("agreed", "node"))["node"].alias("b"))
-    stars = shared.join(best, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    near = keep(_links(stars, whole), "links")
+    met = keep(shared.join(best, "key").where("node <> b").select("key", F.col("node").alias("a"), "b"), "stars")
+    stars = met.select("a", "b").distinct()
+    near = keep(_links(keep(_near(stars, reps), "near"), docs, reps), "links")
     label = components(near)
-    known = shared.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    # what is left of a key beside that one, where it is still in several components
+    known = met.join(label, met.a == label.node, "left").select("key", F.col("a").alias("node"), F.coalesce("component", "a").alias("label"))
     mixed = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    members = known.join(mixed, "key").join(whole.select("node", "n", "sketch"), "node")
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = keep(_links(_across(members).join(tried, ["a", "b"], "left_anti"), whole), "links")
+    members = known.join(mixed, "key").join(reps.select("node", "n", "sketch"), "node")
+    more = keep(_links(keep(_across(members), "near"), docs, reps), "links")
+    whose = full.groupBy("node").agg(F.min("doc_id").alias("first_id"))
     ids = whose.join(components(near.union(more)), "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
     least = ids.groupBy("component").agg(F.min("first_id").alias("component_id"))
     found = ids.join(least, "component").select("node", "component_id")
