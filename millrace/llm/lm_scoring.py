@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import documents, keep, mix, partitions, remainder, words
+from millrace.llm.common import documents, keep, mix, partitions, remainder, sliced, words
 
 U = np.uint64
 END = U(0x00E4D00E4D00E4D1)
@@ -152,7 +152,7 @@ def gather(training: DataFrame, parts: int) -> DataFrame:
             held[kind], n[kind] = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([kind] * len(ids), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "kind", "blob"])
 
-        for batch in batches:
+        for batch in sliced(batches, 0):
             token, off = tokens(batch.column(0))
             for kind, own in ((0, np.delete(token, off[1:] - 1)), (1, pairs(token, off))):
                 key, c = np.unique(own, return_counts=True)
@@ -235,7 +235,7 @@ def score(docs: DataFrame, training: DataFrame, most_bytes: int = 256 << 20, par
         held = load(turns[0])
 
         def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches, 2):
                 token, off = tokens(batch.column(2))
                 word, pair = held.value.found(token, False), held.value.found(pairs(token, off), True)
                 got = log10_probability(word, pair, off, ends, total, distinct)
@@ -256,7 +256,7 @@ def score(docs: DataFrame, training: DataFrame, most_bytes: int = 256 << 20, par
 def _in_turns(docs: DataFrame, held: list, ends: int, total: int, distinct: int) -> DataFrame:
     def told(own):
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches, 2):
                 token, off = tokens(batch.column(2))
                 word, pair = (x.astype(np.uint8) for x in (own.value.found(token, False), own.value.found(pairs(token, off), True)))
                 blobs = [word[a:b].tobytes() + pair[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
@@ -297,7 +297,7 @@ def _base(docs: DataFrame, counted: DataFrame, total: int, distinct: int, ends:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count = held.value
-        for batch in batches:
+        for batch in sliced(batches, 1):
             hashed, off = words(batch.column(1))
             uid = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             doc = np.repeat(np.arange(len(uid)), np.diff(off))

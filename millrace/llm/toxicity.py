@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import documents, keep, mix, remainder, utf8, words
+from millrace.llm.common import documents, keep, mix, remainder, sliced, utf8, words
 
 U = np.uint64
 EXAMPLES, TERMS, NEAREST, BLOCK = 4096, 1024, 16, 32
@@ -128,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     texts = keep(picked, "example_texts")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 0):
             doc, term, _ = _counts(batch.column(0))
             y = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[doc]
             term, back = np.unique(term, return_inverse=True)
@@ -155,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     held = spark.sparkContext.broadcast(vocabulary)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             doc, term, times = _counts(batch.column(1), held.value)
             bound = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(term.astype(np.int64))), pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(times))], names=["doc_id", "toxic", "place", "times"])
@@ -175,7 +175,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
-        for batch in batches:
+        for batch in sliced(batches, 2):
             doc, term, times = _counts(batch.column(2), own.vocabulary)
             bound = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             scores, evidence, seen = np.full(batch.num_rows, own.empty), [[]] * batch.num_rows, {}
