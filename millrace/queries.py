@@ -2,6 +2,267 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions import normalise
+from millrace.operators import cost, extraction, review, similarity
+from millrace.plans.invoices import COMPARED, SQL, gold, predicted, table
+
+FLAGSHIP = "field_scores"
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-FLAGSHIP = "field_scores"
+#: Places of doubles that aggregates are rounded to, so that the order of summing doesn't show.
+PLACES = 9
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _r(*columns: str):
+    return [F.round(c, PLACES).alias(c) for c in columns]
+
+
+def _invoices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    both = predicted(gold(spark, sf_dir))
+    fields = extraction.compare(extraction.flatten(both, "pred"), extraction.flatten(both, "gold"))
+    return both.select("id", F.col("pred").isNull().alias("pred_null")), fields
+
+
+@query(SQL + " SELECT id, path, leaf, s, n FROM gold_f")
+def flatten_gold(spark, sf_dir):
+    return extraction.flatten(gold(spark, sf_dir), "gold")
+
+
+@query(SQL + " SELECT id, path, leaf, s, round(n, 9) AS n FROM pred_f")
+def flatten_pred(spark, sf_dir):
+    return extraction.flatten(predicted(gold(spark, sf_dir)), "pred").withColumn("n", F.round("n", PLACES))
+
+
+@query(COMPARED + " SELECT id, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round(p, 9) AS precision, round(r, 9) AS recall, round(f1, 9) AS f1, exact, round(agreement, 9) AS agreement FROM sc")
+def field_scores(spark, sf_dir):
+    ids, fields = _invoices(spark, sf_dir)
+    return extraction.field_scores(ids, fields).select("id", "tp", "fp", "fn", *_r("precision", "recall", "f1"), "exact", *_r("agreement"))
+
+
+@query(COMPARED + """ SELECT count(*) AS n, round(avg(f1), 9) AS f1_macro, round(avg(p), 9) AS precision_macro, round(avg(r), 9) AS recall_macro,
+  round(2.0 * (CAST(sum(tp) AS DOUBLE) / sum(tp + fp)) * (CAST(sum(tp) AS DOUBLE) / sum(tp + fn)) / (CAST(sum(tp) AS DOUBLE) / sum(tp + fp) + CAST(sum(tp) AS DOUBLE) / sum(tp + fn)), 9) AS f1_micro,
+  round(avg(CAST(exact AS INT)), 9) AS exact_rate, round(avg(agreement), 9) AS agreement FROM sc""")
+def evaluate_batch(spark, sf_dir):
+    out = extraction.batch_scores(extraction.field_scores(*_invoices(spark, sf_dir)))
+    return out.select("n", *_r("f1_macro", "precision_macro", "recall_macro", "f1_micro", "exact_rate", "agreement"))
+
+
+_CATEGORY = """, cat AS (SELECT *, CASE WHEN same THEN NULL WHEN ps IS NULL AND pn IS NULL THEN CASE WHEN path LIKE 'line_items[%' THEN 'missing_line_item' ELSE 'missing_field' END
+  WHEN gs IS NULL AND gn IS NULL THEN CASE WHEN path LIKE 'line_items[%' THEN 'hallucinated_line_item' ELSE 'hallucinated_field' END
+  WHEN leaf IN ('unit_price','total','subtotal','tax','grand_total') THEN 'wrong_money' WHEN leaf = 'qty' THEN 'wrong_qty' WHEN leaf = 'date' THEN 'wrong_date' ELSE 'wrong_text' END AS category FROM cmp) """
+
+
+@query(COMPARED + _CATEGORY + "SELECT category, count(*) AS n FROM cat WHERE category IS NOT NULL GROUP BY 1")
+def error_categories(spark, sf_dir):
+    return extraction.categorise(_invoices(spark, sf_dir)[1]).where("category is not null").groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query(COMPARED + _CATEGORY + "SELECT leaf, count(*) AS n FROM cat WHERE category IS NOT NULL GROUP BY 1")
+def error_leaves(spark, sf_dir):
+    return extraction.categorise(_invoices(spark, sf_dir)[1]).where("category is not null").groupBy("leaf").agg(F.count("*").alias("n"))
+
+
+@query(COMPARED + _CATEGORY + "SELECT id, count(*) AS n_fields, count(category) AS n_errors FROM cat GROUP BY 1 HAVING count(category) > 0 ORDER BY n_errors DESC, id LIMIT 5")
+def worst_documents(spark, sf_dir):
+    by = extraction.categorise(_invoices(spark, sf_dir)[1]).groupBy("id").agg(F.count("*").alias("n_fields"), F.count("category").alias("n_errors"))
+    return by.where("n_errors > 0").orderBy(F.desc("n_errors"), "id").limit(5)
+
+
+@query(COMPARED + """ SELECT id, CASE WHEN id % 10 > 1 THEN round(agreement, 4) END AS agreement, id % 10 <= 1 OR agreement >= 0.85 AS kept,
+  CASE WHEN id % 10 > 1 AND agreement < 0.85 THEN 'consistency: ' || printf('%.3f', agreement) END AS reason FROM sc""")
+def consistency_filter(spark, sf_dir):
+    """Second pass: the damaged copy; absent where id % 10 = 0, null where 1."""
+    scores = extraction.field_scores(*_invoices(spark, sf_dir)).select("id", "agreement")
+    second = scores.where("id % 10 <> 0").select("id", (F.col("id") % 10 == 1).alias("null_second"))
+    return extraction.consistency(scores, second)
+
+
+@query(SQL + " SELECT ids.id, h.subtotal, abs(coalesce(t.total, 0) - h.subtotal) <= CAST(0.02 AS DOUBLE) AS sums_up, coalesce(t.lines, 0) AS lines FROM ids JOIN h ON h.id = ids.id LEFT JOIN (SELECT id, sum(total) AS total, count(*) AS lines FROM li GROUP BY 1) t ON t.id = ids.id")
+def arithmetic_check(spark, sf_dir):
+    g = F.col("gold")
+    total = F.aggregate(g["line_items"], F.lit(0.0), lambda s, x: s + x.total)
+    return gold(spark, sf_dir).select("id", g["subtotal"].alias("subtotal"), (F.abs(total - g["subtotal"]) <= 0.02).alias("sums_up"), F.size(g["line_items"]).cast("long").alias("lines"))
+
+
+_ITEMS = COMPARED + """, items AS (SELECT sc.id, h.currency AS stratum, round((1 - f1) + 0.5 * CAST(sc.id % 3 = 0 AS INT) + 0.5 * CAST(NOT exact AS INT), 9) AS informativeness FROM sc JOIN h ON h.id = sc.id),
+  q AS (SELECT stratum, count(*) AS size, count(*) * CAST(60 AS DOUBLE) / sum(count(*)) OVER () AS quota FROM items GROUP BY 1),
+  al AS (SELECT stratum, size, CAST(floor(quota) + CASE WHEN row_number() OVER (ORDER BY quota - floor(quota) DESC, size DESC, stratum DESC) <= 60 - sum(floor(quota)) OVER () THEN 1 ELSE 0 END AS BIGINT) AS alloc FROM q) """
+
+
+def _items(spark, sf_dir):
+    invoices = gold(spark, sf_dir)
+    scores = extraction.field_scores(*_invoices(spark, sf_dir)).join(invoices.select("id", F.col("gold.currency").alias("stratum")), "id")
+    return scores.select("id", "stratum", F.round(review.informativeness(F.col("f1"), F.col("id") % 3 == 0, F.col("exact")), PLACES).alias("informativeness"))
+
+
+@query(_ITEMS + "SELECT stratum, size, alloc FROM al")
+def allocation(spark, sf_dir):
+    return review.allocate(_items(spark, sf_dir).groupBy("stratum").agg(F.count("*").alias("size")), 60)
+
+
+@query(_ITEMS + "SELECT id, stratum, informativeness, rank FROM (SELECT items.*, row_number() OVER (PARTITION BY items.stratum ORDER BY informativeness DESC, id) AS rank FROM items) x JOIN al USING (stratum) WHERE rank <= alloc")
+def stratified_sample(spark, sf_dir):
+    return review.stratified_sample(_items(spark, sf_dir), 60)
+
+
+def _raters(spark, sf_dir):
+    name = lambda c: F.when(c == 1, "correct").when(c == 0, "incorrect")
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), name(F.col("quality")).alias("a"), F.when(F.col("doc_id") % 9 != 0, name(1 - F.col("toxic"))).alias("b"))
+
+
+_RATERS = "WITH r AS (SELECT doc_id AS id, CASE quality WHEN 1 THEN 'correct' WHEN 0 THEN 'incorrect' END AS a, CASE WHEN doc_id % 9 <> 0 THEN CASE toxic WHEN 0 THEN 'correct' WHEN 1 THEN 'incorrect' END END AS b FROM labels), two AS (SELECT * FROM r WHERE a IS NOT NULL AND b IS NOT NULL) "
+
+
+@query(_RATERS + """, m AS (SELECT l, sum(x) AS x, sum(y) AS y FROM (SELECT a AS l, 1 AS x, 0 AS y FROM two UNION ALL SELECT b, 0, 1 FROM two) GROUP BY 1),
+  s AS (SELECT (SELECT count(*) FROM two) AS n, (SELECT avg(CAST(a = b AS INT)) FROM two) AS po, (SELECT CAST(sum(x * y) AS DOUBLE) FROM m) AS xy)
+  SELECT n, round(po, 9) AS po, round(xy / (CAST(n AS DOUBLE) * n), 9) AS pe, round((po - xy / (CAST(n AS DOUBLE) * n)) / (1 - xy / (CAST(n AS DOUBLE) * n)), 9) AS kappa FROM s""".replace(", m AS", ", m AS", 1))
+def rater_kappa(spark, sf_dir):
+    return review.rater_scores(_raters(spark, sf_dir)).select("n", *_r("po", "pe", "kappa"))
+
+
+@query(_RATERS + ", l AS (SELECT a AS l FROM two UNION SELECT b FROM two) SELECT x.l AS a, y.l AS b, (SELECT count(*) FROM two WHERE two.a = x.l AND two.b = y.l) AS n FROM l x CROSS JOIN l y")
+def rater_confusion(spark, sf_dir):
+    return review.confusion(_raters(spark, sf_dir))
+
+
+@query(_RATERS + "SELECT id, a, b FROM two WHERE a <> b")
+def rater_disagreements(spark, sf_dir):
+    return _raters(spark, sf_dir).where("a is not null and b is not null and a <> b")
+
+
+@query("""WITH k AS (SELECT o_orderkey AS id, md5(CAST(o_orderkey AS VARCHAR) || ':17') AS h FROM orders), o AS (SELECT id, row_number() OVER (ORDER BY h, id) - 1 AS ordinal, count(*) OVER () AS n FROM k)
+  SELECT id, ordinal, CASE WHEN ordinal < floor(n * 0.72) THEN 'train' WHEN ordinal < floor(n * 0.72) + floor(n * 0.1) THEN 'dev' WHEN ordinal < floor(n * 0.72) + floor(n * 0.1) + 60 THEN 'gold' WHEN ordinal < floor(n * 0.72) + floor(n * 0.1) + 90 THEN 'agreement' ELSE 'test' END AS split FROM o""")
+def random_split(spark, sf_dir):
+    return review.split(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")))
+
+
+def _bits(spark, sf_dir, name="documents", key="doc_id"):
+    similarity.checkpointed(spark)
+    return similarity.with_bits(table(spark, sf_dir, name).select(F.col(key).alias("id"), "text")).checkpoint()
+
+
+@query()
+def jaccard_pairs(spark, sf_dir):
+    """Pairs of documents with trigram Jaccard of at least 0.9 (tests hold it against brute force)."""
+    return similarity.similar_pairs(_bits(spark, sf_dir)).withColumn("similarity", F.round("similarity", PLACES))
+
+
+@query()
+def greedy_dedup(spark, sf_dir):
+    """Greedy dedup of documents by trigram Jaccard, in the order of doc_id (tests hold it against a loop)."""
+    bits = _bits(spark, sf_dir)
+    return similarity.greedy(bits.select("id"), similarity.similar_pairs(bits))
+
+
+@query()
+def leak_check(spark, sf_dir):
+    """Documents that are near copies of a benchmark item."""
+    return similarity.similar_pairs(_bits(spark, sf_dir), _bits(spark, sf_dir, "benchmark", "item_id")).select(F.col("a").alias("doc_id"), F.col("b").alias("item_id"), F.round("similarity", PLACES).alias("similarity"))
+
+
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
+  SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9""")
+def cosine_pairs(spark, sf_dir):
+    return similarity.cosine_pairs(_vectors(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def embedding_dedup(spark, sf_dir):
+    """Greedy dedup by cosine (tests hold it against a loop)."""
+    similarity.checkpointed(spark)
+    v = _vectors(spark, sf_dir)
+    return similarity.greedy(v.select("id"), similarity.cosine_pairs(v))
+
+
+@query("SELECT doc_id, 'seed-' || substr(sha256(trim(text)), 1, 16) AS content_id, length(trim(text)) >= 40 AS long_enough FROM documents")
+def content_ids(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", normalise.content_id(F.col("text")).alias("content_id"), (F.length(F.trim("text")) >= 40).alias("long_enough"))
+
+
+@query("SELECT min(doc_id) AS doc_id, 'seed-' || substr(sha256(trim(text)), 1, 16) AS content_id, count(*) AS copies FROM documents GROUP BY 2")
+def content_dedup(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(normalise.content_id(F.col("text")).alias("content_id")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_extendedprice, round(l_extendedprice, 2) AS us, round(l_extendedprice, 2) AS eu, round(-l_extendedprice, 2) AS closed, round(l_extendedprice, 2) AS plain FROM lineitem""")
+def money_formats(spark, sf_dir):
+    """Amounts printed in four styles and parsed back."""
+    x = F.col("l_extendedprice")
+    us = F.format_number(x, 2)
+    eu = F.translate(us, ",.", ".,")
+    back = {"us": F.concat(F.lit("$"), us), "eu": F.concat(eu, F.lit(" €")), "closed": F.concat(F.lit("("), us, F.lit(")")), "plain": F.format_string("%.2f", x)}
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", x, *[normalise.money(v).alias(k) for k, v in back.items()])
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '%Y-%m-%d') AS compact, strftime(o_orderdate, '%Y-%m-%d') AS textual,
+  CASE WHEN day(o_orderdate) > 12 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%d-%m') END AS day_first FROM orders""")
+def date_formats(spark, sf_dir):
+    """Dates printed in four styles and parsed back; day first is read as month first where both could be."""
+    d = F.col("o_orderdate")
+    forms = {"iso": "yyyy/MM/dd", "compact": "yyyyMMdd", "textual": "MMMM d, yyyy", "day_first": "dd.MM.yyyy"}
+    return table(spark, sf_dir, "orders").select("o_orderkey", *[normalise.date_iso(F.date_format(d, f)).alias(k) for k, f in forms.items()])
+
+
+@query("SELECT c_custkey, list_extract(['USD','EUR','GBP','PKR','INR'], CAST(c_nationkey % 5 + 1 AS INT)) AS currency FROM customer")
+def currency_codes(spark, sf_dir):
+    said = F.element_at(F.array(*map(F.lit, ("US$", "euros", "£", "Rs.", " indian rupees "))), (F.col("c_nationkey") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", normalise.currency(said).alias("currency"))
+
+
+def _calls(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("long")
+    return table(spark, sf_dir, "events").select("event_id", F.concat("event_type", F.lit("-2024-06-01")).alias("model"), k.alias("tokens_in"), (F.col("user_id") % 97).alias("tokens_out"), (F.col("event_id") % 4 == 0).alias("cached"), F.col("value").alias("latency"))
+
+
+_CALLS = "WITH c AS (SELECT event_id, event_type || '-2024-06-01' AS model, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens_in, user_id % 97 AS tokens_out, event_id % 4 = 0 AS cached, value AS latency FROM events) "
+
+
+@query(_CALLS + """, t AS (SELECT *, CASE WHEN event_type < 'd' THEN 3.0 ELSE 1.0 END AS pin, CASE WHEN event_type < 'd' THEN 15.0 ELSE 5.0 END AS pout FROM c)
+  SELECT model, sum(CASE WHEN cached THEN 0 ELSE 1 END)::BIGINT AS calls, sum(CASE WHEN cached THEN 1 ELSE 0 END)::BIGINT AS hits, sum(CASE WHEN cached THEN 0 ELSE tokens_in END)::BIGINT AS tokens_in, sum(CASE WHEN cached THEN 0 ELSE tokens_out END)::BIGINT AS tokens_out,
+  round(sum(CASE WHEN cached THEN 0 ELSE tokens_in / 1e6 * pin + tokens_out / 1e6 * pout END), 6) AS usd,
+  round(CAST(sum(CASE WHEN cached THEN 0 ELSE tokens_in + tokens_out END) AS DOUBLE) / greatest(sum(CASE WHEN cached THEN 0 ELSE 1 END), 1), 6) AS tokens_per_call FROM t GROUP BY model""")
+def usage_report(spark, sf_dir):
+    calls = _calls(spark, sf_dir)
+    kinds = table(spark, sf_dir, "events").select("event_type").distinct()
+    early = F.col("event_type") < "d"
+    rows = kinds.select(F.col("event_type").alias("prefix"), F.lit(1).alias("ord"), F.when(early, 3.0).otherwise(1.0).alias("price_in"), F.when(early, 15.0).otherwise(5.0).alias("price_out"))
+    return cost.usage(cost.prices(calls, rows)).withColumn("usd", F.round("usd", 6)).withColumn("tokens_per_call", F.round("tokens_per_call", 6))
+
+
+@query(_CALLS + "SELECT model, round(quantile_cont(latency, 0.5), 9) AS p50, round(quantile_cont(latency, 0.95), 9) AS p95, round(1 / greatest(avg(latency), 1e-9), 6) AS per_second FROM c GROUP BY 1")
+def latency_report(spark, sf_dir):
+    by = _calls(spark, sf_dir).groupBy("model")
+    return by.agg(F.round(F.percentile("latency", F.lit(0.5)), PLACES).alias("p50"), F.round(F.percentile("latency", F.lit(0.95)), PLACES).alias("p95"), F.round(1 / F.greatest(F.avg("latency"), F.lit(1e-9)), 6).alias("per_second"))
+
+
+@query("""SELECT volume, round(volume * (900 / 1e6 * 3 + 350 / 1e6 * 15), 9) AS api_usd, round(24 * (1100.0 / (3 * 365 * 24) * 1.0) + volume * (0.36 * 0.15 / (4 * 3600.0)), 9) AS own_usd FROM (SELECT unnest(generate_series(0, 600, 10)) AS volume)""")
+def cost_curves(spark, sf_dir):
+    """Daily cost by volume: API against amortised hardware plus energy."""
+    energy = 360 / 1000 * 0.15 / (4 * 3600)
+    capital = 24 * cost.amortised_hourly(1100, 3, 1.0, 0, 0)
+    v = F.col("id")
+    api = cost.api_cost(F.lit(900), F.lit(350), F.lit(3.0), F.lit(15.0))
+    return spark.range(0, 601, 10).select(v.alias("volume"), F.round(v * api, PLACES).alias("api_usd"), F.round(F.lit(capital) + v * F.lit(energy), PLACES).alias("own_usd"))
+
+
+@query("SELECT doc_id, CASE WHEN quality = 1 THEN 'correct' ELSE 'incorrect' END AS label FROM labels")
+def label_aliases(spark, sf_dir):
+    said = F.when(F.col("quality") == 1, F.element_at(F.array(*map(F.lit, ("Correct", " ok ", "YES", "1"))), (F.col("doc_id") % 4 + 1).cast("int"))).otherwise(F.element_at(F.array(*map(F.lit, ("wrong", "No", " BAD", "0"))), (F.col("doc_id") % 4 + 1).cast("int")))
+    return table(spark, sf_dir, "labels").select("doc_id", normalise.label(said).alias("label"))
