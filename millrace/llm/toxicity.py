@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 The examples are a bounded sample of the labelled rows: at most EXAMPLES of each label, in the order of a hash of their
-ids. Terms are words and their beginnings (4 and 6 bytes); those that the toxic examples have significantly more often
+ids. Terms are words and their beginnings (4 to 8 bytes); those that the toxic examples have significantly more often
 (the TERMS with the largest chi-squared statistic) make the vocabulary. The index lists, for each term, the examples
 that have it, and the largest weight in each block of examples. A text's blocks are visited in the order of their upper
 bounds, until none can still reach the nearest NEAREST found: the result is exact. Votes weigh by the cosine's square
@@ -27,33 +27,47 @@ U = np.uint64
 EXAMPLES, TERMS, NEAREST, BLOCK = 4096, 1024, 16, 32
 #: The least chi-squared statistic of a term (one degree of freedom, p = 1e-6), and the weight of the prior in votes.
 LEAST_CHI, PRIOR = 24.0, 0.25
-BEGINNINGS = (4, 6)
+BEGINNINGS = (4, 5, 6, 7, 8)
 
 
-def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The terms of each text as hashes (with repeats), and the text of each."""
+def terms(column: pa.Array, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of each text as hashes (with repeats), and the text of each; with only (sorted) of these terms, as their
+    places in it."""
     data, _ = utf8(column)
     hashed, off, first, end = words(column, spans=True)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    got, whose = [hashed], [doc]
-    for n in BEGINNINGS:
-        long = np.flatnonzero(end - first > n)
-        start = np.zeros(len(long), U)
-        for k in range(n):
-            b = data[first[long] + k]
-            start |= np.where((b >= 65) & (b <= 90), b + 32, b).astype(U) << U(8 * k)
-        got.append(mix(start ^ U(n << 56)))
-        whose.append(doc[long])
+    sieve = None
+    if only is not None:  # most terms fall out by the first bits of their hash
+        sieve = np.zeros(1 << 16, bool)
+        sieve[(only >> U(48)).astype(np.int64)] = True
+    got, whose = [], []
+
+    def take(h: np.ndarray, d: np.ndarray) -> None:
+        if sieve is not None:
+            some = np.flatnonzero(sieve[(h >> U(48)).astype(np.int64)])
+            h, d = h[some], d[some]
+            at = np.minimum(np.searchsorted(only, h), max(0, len(only) - 1))
+            hit = only[at] == h if len(only) else np.zeros(len(h), bool)
+            h, d = at[hit].astype(U), d[hit]
+        got.append(h)
+        whose.append(d)
+
+    take(hashed, doc)
+    at, size = first, end - first
+    start = np.zeros(len(at), U)
+    for k in range(max(BEGINNINGS)):
+        long = size > k + 1
+        at, size, doc, start = at[long], size[long], doc[long], start[long]
+        b = data[at + k]
+        start = start | np.where((b >= 65) & (b <= 90), b + 32, b).astype(U) << U(8 * k)
+        if k + 1 in BEGINNINGS:
+            take(mix(start ^ mix(np.full(1, k + 1, U))), doc)
     return np.concatenate(got), np.concatenate(whose)
 
 
 def _counts(column: pa.Array, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, times), sorted; with only (sorted) of these terms, as their places in it."""
-    term, doc = terms(column)
-    if only is not None:
-        at = np.minimum(np.searchsorted(only, term), max(0, len(only) - 1))
-        hit = only[at] == term if len(only) else np.zeros(len(term), bool)
-        term, doc = at[hit].astype(U), doc[hit]
+    """(text, term, times), sorted, of terms()."""
+    term, doc = terms(column, only)
     order = np.lexsort((term, doc))
     term, doc = term[order], doc[order]
     if not len(term):
