@@ -327,25 +327,29 @@ def _base(docs: DataFrame, counted: DataFrame, total: int, distinct: int, ends:
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, tuple] = {}
-        waiting: list[tuple[int, bytes]] = []
-
-        def answer(p: int, blob: bytes) -> pa.RecordBatch:
-            keys, counts = tables.get(p, (np.zeros(0, U), np.zeros(0, np.int64)))
-            n, d = np.frombuffer(blob, "<u4", 2)
-            uid, each = np.frombuffer(blob, "<i8", d, 8), np.frombuffer(blob, "<u4", d, 8 + 8 * d)
-            key = _unpack(blob[8 + 12 * d :], n, 7)
-            at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-            c = np.where(keys[at] == key, counts[at], 0) if len(keys) else np.zeros(n, np.int64)
-            first = np.concatenate(([0], np.cumsum(each.astype(np.int64))[:-1]))
-            logs, known = np.add.reduceat(np.log10(c + 1.0), first), np.add.reduceat((c > 0).astype(np.int64), first)
-            to = (uid.astype(U) % U(parts)).astype(np.int64)
-            some = known > 0
-            ids, blobs = [], []
-            for q in np.unique(to[some]):
-                own = some & (to == q)
-                ids.append(q)
-                blobs.append(_told(uid[own], logs[own], known[own], np.zeros(own.sum(), np.int64)))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+        waiting: dict[int, list[bytes]] = {}
+
+        def answer(p: int, blobs: list[bytes]) -> pa.RecordBatch:
+            """What the part knows of its texts, one row for each part that texts belong to."""
+            keys, counts = tables.pop(p, (np.zeros(0, U), np.zeros(0, np.int64)))
+            every = []
+            while blobs:
+                blob = blobs.pop()
+                n, d = np.frombuffer(blob, "<u4", 2)
+                uid, each = np.frombuffer(blob, "<i8", d, 8), np.frombuffer(blob, "<u4", d, 8 + 8 * d)
+                key = _unpack(blob[8 + 12 * d :], n, 7)
+                at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+                c = np.where(keys[at] == key, counts[at], 0) if len(keys) else np.zeros(n, np.int64)
+                first = np.concatenate(([0], np.cumsum(each.astype(np.int64))[:-1]))
+                logs, known = np.add.reduceat(np.log10(c + 1.0), first), np.add.reduceat((c > 0).astype(np.int64), first)
+                some = known > 0
+                every.append(np.frombuffer(_told(uid[some], logs[some], known[some], np.zeros(some.sum(), np.int64)), _TOLD))
+            told = np.concatenate(every)
+            to = (told["uid"].astype(U) % U(parts)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            bound = np.searchsorted(to[order], np.arange(parts + 1))
+            ids = np.flatnonzero(np.diff(bound))
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([told[order[bound[q] : bound[q + 1]]].tobytes() for q in ids], pa.binary())], names=["part", "blob"])
 
         for batch in batches:
             for p, kind, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -357,9 +361,9 @@ def _base(docs: DataFrame, counted: DataFrame, total: int, distinct: int, ends:
                     order = np.argsort(keys)
                     tables[p] = keys[order], np.frombuffer(blob, "<u8", n, 8 * n).astype(np.int64)[order]
                 else:
-                    waiting.append((p, blob))
-        for p, blob in waiting:
-            yield answer(p, blob)
+                    waiting.setdefault(p, []).append(blob)
+        for p, blobs in waiting.items():
+            yield answer(p, blobs)
 
     def total_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [np.frombuffer(x, _TOLD) for batch in batches for x in batch.column(1).to_pylist()]
