@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs, in DataFrame operations only.
 
-A text's paragraphs are its lines, cut after sentence ends and after WIDTH characters, so that a text of one line has
-several as well. Each distinct paragraph has a 64-bit digest, which goes into one cell of each of three tables: a cell
+A text's paragraphs are its lines; a longer line is cut at the first sentence end after LEAST characters, or after
+WIDTH, so that a text of one line has several as well. Each distinct paragraph has a 64-bit digest, which goes into one cell of each of three tables: a cell
 holds how many digests it has, their XOR, and the XOR of their check hashes. Sketches subtract cell by cell; peeling
 then recovers the digests that differ: a cell with one digest gives it away, taking it out of its other cells frees more.
 The small sketch (3 x 16 cells, a fold of the large one) is tried first, the large one (3 x 64) where peeling fails.
@@ -22,32 +22,36 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import documents, partitions
 
-WIDTH = 240
+LEAST, WIDTH = 80, 240
 SMALL, LARGE = 16, 64
 #: Rounds of peeling; each frees all cells that have one digest.
 ROUNDS = 16
 
 
-def paragraphs(text: Column) -> Column:
-    """Digests of the distinct paragraphs."""
-    cut = F.regexp_extract_all(text, F.lit(rf"[^\n.!?]{{1,{WIDTH}}}"), F.lit(0))
-    return F.array_distinct(F.transform(cut, lambda p: F.xxhash64(F.trim(p))))
+def _placed(digest: str, width: int) -> str:
+    """A digest d with its check hash and its cell in each of the three tables."""
+    at = ", ".join(f"'i{t}', cast(shiftrightunsigned(d, {12 * t}) & {width - 1} as int)" for t in range(3))
+    return f"transform({digest}, d -> named_struct('k', d, 'h', shiftrightunsigned(xxhash64(d), 32), {at}))"
 
 
-def cells(digests: str) -> Column:
-    """The large sketch of an array of digests: 3 * LARGE structs (c, k, h)."""
-    at = f"cast(shiftrightunsigned(d, 12 * (j div {LARGE})) & {LARGE - 1} as int) = j % {LARGE}"
-    return F.expr(f"""transform(sequence(0, {3 * LARGE - 1}), j -> aggregate(
-        filter({digests}, d -> {at}), named_struct('c', 0L, 'k', 0L, 'h', 0L),
-        (a, d) -> named_struct('c', a.c + 1L, 'k', a.k ^ d, 'h', a.h ^ shiftrightunsigned(xxhash64(d), 32))))""")
+def paragraphs(text: str) -> Column:
+    """The distinct paragraphs' digests, placed."""
+    cut = rf"regexp_extract_all({text}, '[^\n]{{1,{LEAST}}}[^\n.!?]{{0,{WIDTH - LEAST}}}[.!?]*', 0)"
+    return F.expr(_placed(f"array_distinct(transform({cut}, p -> xxhash64(trim(p))))", LARGE))
+
+
+def cells(placed: str) -> Column:
+    """The large sketch of placed digests: three tables of LARGE structs (c, k, h), one after the other."""
+    # transform(array(x), y -> ...)[0] binds x: an optimised plan would else compute it anew in each lambda
+    table = f"transform(sequence(0, {LARGE - 1}), j -> aggregate(filter(every, d -> d.i%d = j), named_struct('c', 0L, 'k', 0L, 'h', 0L), (a, d) -> named_struct('c', a.c + 1L, 'k', a.k ^ d.k, 'h', a.h ^ d.h)))"
+    return F.expr(f"transform(array({placed}), every -> concat({', '.join(table % t for t in range(3))}))[0]")
 
 
 def fold(sketch: str) -> Column:
     """The small sketch of the same digests."""
-    return F.expr(f"""transform(sequence(0, {3 * SMALL - 1}), j -> aggregate(
-        transform(sequence(0, {LARGE // SMALL - 1}), q -> {sketch}[(j div {SMALL}) * {LARGE} + j % {SMALL} + q * {SMALL}]),
-        named_struct('c', 0L, 'k', 0L, 'h', 0L),
-        (a, x) -> named_struct('c', a.c + x.c, 'k', a.k ^ x.k, 'h', a.h ^ x.h)))""")
+    parts = ", ".join(f"all[(j div {SMALL}) * {LARGE} + j % {SMALL} + {q * SMALL}]" for q in range(LARGE // SMALL))
+    one = f"aggregate(array({parts}), named_struct('c', 0L, 'k', 0L, 'h', 0L), (a, x) -> named_struct('c', a.c + x.c, 'k', a.k ^ x.k, 'h', a.h ^ x.h))"
+    return F.expr(f"transform(array({sketch}), all -> transform(sequence(0, {3 * SMALL - 1}), j -> {one}))[0]")
 
 
 def minus(a: str, b: str) -> Column:
@@ -57,11 +61,12 @@ def minus(a: str, b: str) -> Column:
 def peel(diff: str, width: int) -> Column:
     """struct: digests (c, k) that peeling recovers from a difference of sketches, c being 1 or -1 by the side that has
     them, and whether these are all."""
-    pure = "transform(filter(s.cells, x -> abs(x.c) = 1 and x.h = shiftrightunsigned(xxhash64(x.k), 32)), x -> named_struct('c', x.c, 'k', x.k))"
-    rest = f"""transform(s.cells, (x, j) -> aggregate(
-        filter(pure, p -> cast(shiftrightunsigned(p.k, 12 * (j div {width})) & {width - 1} as int) = j % {width}),
-        x, (a, p) -> named_struct('c', a.c - p.c, 'k', a.k ^ p.k, 'h', a.h ^ shiftrightunsigned(xxhash64(p.k), 32))))"""
-    step = f"if(exists(s.cells, x -> abs(x.c) = 1), transform(array(array_distinct({pure})), pure -> named_struct('cells', {rest}, 'found', concat(s.found, pure)))[0], s)"
+    at = ", ".join(f"'i{t}', cast(shiftrightunsigned(x.k, {12 * t}) & {width - 1} as int)" for t in range(3))
+    pure = f"transform(filter(s.cells, x -> abs(x.c) = 1 and x.h = shiftrightunsigned(xxhash64(x.k), 32)), x -> named_struct('c', x.c, 'k', x.k, 'h', x.h, {at}))"
+    table = f"transform(slice(s.cells, {width} * %d + 1, {width}), (x, j) -> aggregate(filter(pure, p -> p.i%d = j), x, (a, p) -> named_struct('c', a.c - p.c, 'k', a.k ^ p.k, 'h', a.h ^ p.h)))"
+    rest = f"concat({', '.join(table % (t, t) for t in range(3))})"
+    out = "concat(s.found, transform(pure, p -> named_struct('c', p.c, 'k', p.k)))"
+    step = f"if(exists(s.cells, x -> abs(x.c) = 1), transform(array(array_distinct({pure})), pure -> if(size(pure) = 0, s, named_struct('cells', {rest}, 'found', {out})))[0], s)"
     run = f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {diff}, 'found', cast(array() as array<struct<c: bigint, k: bigint>>)), (s, r) -> {step})"
     return F.expr(f"transform(array({run}), s -> named_struct('found', s.found, 'whole', forall(s.cells, x -> x.c = 0 and x.k = 0 and x.h = 0)))[0]")
 
@@ -135,7 +140,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.coalesce("next", F.lit("")), F.lit(1), half))
     df = df.withColumn("n_chars", n.cast("long")).withColumn("edited", edited).drop("next")
-    df = df.withColumn("p", paragraphs(F.col("text"))).withColumn("q", paragraphs(F.col("edited")))
+    df = df.withColumn("p", paragraphs("text")).withColumn("q", paragraphs("edited"))
     df = df.select("doc_id", "bucket", "ghost", "text_hash", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.size("p").cast("long").alias("np"), F.size("q").cast("long").alias("nq"), cells("p").alias("own"), cells("q").alias("other"))
     df = df.withColumn("following", F.lead("own").over(in_bucket)).withColumn("nf", F.lead("np").over(in_bucket)).where("not ghost")
     df = likeness(likeness(df, "near_edited", "own", "np", "other", "nq"), "near_next", "own", "np", "following", "nf")
