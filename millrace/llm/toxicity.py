@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import documents, keep, mix, remainder, sliced, utf8, words
 
 U = np.uint64
-EXAMPLES, TERMS, NEAREST, BLOCK = 4096, 1024, 16, 32
+EXAMPLES, TERMS, NEAREST, BLOCK, FIRST = 4096, 1024, 16, 32, 4
 #: The least chi-squared statistic of a term (one degree of freedom, p = 1e-6), and the weight of the prior in votes.
 LEAST_CHI, PRIOR = 24.0, 0.25
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -89,17 +89,12 @@ class Index:
         rows = sorted((r for r in rows if r[2]), key=lambda r: (max(r[2], key=lambda t: (r[2][t], -t)), r[0]))
         self.doc_id = np.array([r[0] for r in rows], np.int64)
         self.toxic = np.array([r[1] for r in rows], np.int64)
-        flat = sorted((t, i, w) for i, r in enumerate(rows) for t, w in r[2].items())
-        term = np.array([x[0] for x in flat], np.int64)
-        self.example = np.array([x[1] for x in flat], np.int64)
-        self.value = np.array([x[2] for x in flat])
         self.blocks = -(-len(rows) // BLOCK)
-        # postings of term t in block b lie from start[t, b] to start[t, b + 1]
-        slot = term * (self.blocks + 1) + self.example // BLOCK if len(flat) else np.zeros(0, np.int64)
-        self.start = np.searchsorted(slot, np.arange(len(vocabulary) * (self.blocks + 1) + 1)).reshape(-1)
-        self.most = np.zeros((len(vocabulary), self.blocks))
-        if len(flat):
-            np.maximum.at(self.most, (term, self.example // BLOCK), self.value)
+        # postings by term, in the order of the examples; TERMS and EXAMPLES bound them
+        self.value = np.zeros((len(vocabulary), self.blocks * BLOCK), np.float32)
+        for i, r in enumerate(rows):
+            self.value[list(r[2]), i] = list(r[2].values())
+        self.most = self.value.reshape(len(vocabulary), self.blocks, BLOCK).max(axis=2, initial=0)
 
     def vector(self, place: np.ndarray, times: np.ndarray) -> np.ndarray:
         w = (1 + np.log(times)) * self.idf[place]
@@ -108,19 +103,26 @@ class Index:
     def nearest(self, place: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The examples (places) with the largest cosines above 0, at most NEAREST, and the cosines."""
         bound = w @ self.most[place]
-        best_i, best = np.zeros(0, np.int64), np.zeros(0)
-        base = place * (self.blocks + 1)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == NEAREST and bound[b] < best[-1] - 1e-12:
-                break
-            got = np.zeros(BLOCK)
-            for t, x in zip(base, w, strict=True):
-                lo, hi = self.start[t + b], self.start[t + b + 1]
-                got[self.example[lo:hi] - b * BLOCK] += x * self.value[lo:hi]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        best_i, best, at, step = np.zeros(0, np.int64), np.zeros(0), 0, FIRST
+        while at < len(order):  # some blocks first, for a bar; then all that can still reach it
+            now = order[at : at + step]
+            if len(best) == NEAREST:
+                now = now[bound[now] >= best[-1] - 1e-6]
+                if not len(now):
+                    break
+            column = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            got = w @ self.value[place[:, None], column]
             hit = np.flatnonzero(got > 0)
-            i, c = np.concatenate((best_i, hit + b * BLOCK)), np.concatenate((best, got[hit]))
-            order = np.lexsort((i, -np.round(c, 12)))[:NEAREST]
-            best_i, best = i[order], c[order]
+            i, c = np.concatenate((best_i, column[hit])), np.concatenate((best, got[hit]))
+            if len(c) > NEAREST:
+                bar = np.partition(c, len(c) - NEAREST)[len(c) - NEAREST]
+                some = c >= bar - 1e-9
+                i, c = i[some], c[some]
+            rank = np.lexsort((i, -np.round(c, 9)))[:NEAREST]
+            best_i, best = i[rank], c[rank]
+            at, step = at + step, len(order)
         return best_i, best
 
     def vote(self, i: np.ndarray, cosine: np.ndarray) -> float:
