@@ -105,6 +105,7 @@ class Index:
         bound = w @ self.most[place]
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
+        narrow = w.astype(np.float32)
         best_i, best, at, step = np.zeros(0, np.int64), np.zeros(0), 0, FIRST
         while at < len(order):  # some blocks first, for a bar; then all that can still reach it
             now = order[at : at + step]
@@ -113,14 +114,17 @@ class Index:
                 if not len(now):
                     break
             column = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            got = w @ self.value[place[:, None], column]
+            if 8 * len(now) > self.blocks:  # whole rows lie together, which is faster than picking most of them
+                got = (narrow @ self.value[place])[column].astype(float)
+            else:
+                got = (narrow @ self.value[place[:, None], column]).astype(float)
             hit = np.flatnonzero(got > 0)
             i, c = np.concatenate((best_i, column[hit])), np.concatenate((best, got[hit]))
             if len(c) > NEAREST:
                 bar = np.partition(c, len(c) - NEAREST)[len(c) - NEAREST]
-                some = c >= bar - 1e-9
+                some = c >= bar - 1e-6
                 i, c = i[some], c[some]
-            rank = np.lexsort((i, -np.round(c, 9)))[:NEAREST]
+            rank = np.lexsort((i, -np.round(c, 6)))[:NEAREST]
             best_i, best = i[rank], c[rank]
             at, step = at + step, len(order)
         return best_i, best
