@@ -62,3 +62,50 @@ def split(rows: DataFrame, seed: int = 17, train: float = 0.72, dev: float = 0.1
     rest = F.col("ordinal") - first - second
     name = F.when(F.col("ordinal") < first, "train").when(rest < 0, "dev").when(rest < gold, "gold").when(rest < gold + agreement, "agreement").otherwise("test")
     return out.select("id", "ordinal", name.alias("split"))
+
+
+def binary_report(pairs: DataFrame, positive: str = "correct") -> DataFrame:
+    """One row: n, accuracy, precision, recall, f1 of b against a (the truth) for one label; ratios without a base are 0."""
+    both = pairs.where("a is not null and b is not null")
+    hit, said, true = (F.col("a") == positive) & (F.col("b") == positive), F.col("b") == positive, F.col("a") == positive
+    out = both.agg(F.count("*").alias("n"), F.coalesce(F.avg((F.col("a") == F.col("b")).cast("int")), F.lit(0.0)).alias("accuracy"), F.count_if(hit).alias("tp"), F.count_if(said).alias("said"), F.count_if(true).alias("true"))
+    out = out.withColumn("precision", F.coalesce(F.try_divide("tp", "said"), F.lit(0.0))).withColumn("recall", F.coalesce(F.try_divide("tp", "true"), F.lit(0.0)))
+    both_rates = F.col("precision") + F.col("recall")
+    return out.select("n", "accuracy", "precision", "recall", F.when(both_rates > 0, 2 * F.col("precision") * F.col("recall") / both_rates).otherwise(0.0).alias("f1"))
+
+
+def printed_share(document: Column, invoice: Column) -> Column:
+    """Share of an invoice's amounts that the document prints, with two places or without trailing zeros; 0 without any."""
+    amounts = F.array_compact(F.concat(F.array(invoice["subtotal"], invoice["tax"], invoice["grand_total"]), F.coalesce(F.transform(invoice["line_items"], lambda x: x["total"]), F.array().cast("array<double>"))))
+    shown = F.transform(amounts, lambda x: F.format_string("%.2f", x))
+    low = F.lower(document)
+    there = F.filter(shown, lambda t: low.contains(t) | low.contains(F.regexp_replace(F.regexp_replace(t, "0+$", ""), r"\.$", "")))
+    return F.when(F.size(shown) > 0, F.size(there) / F.size(shown)).otherwise(0.0)
+
+
+def rule_labels(rows: DataFrame, strict: float = 1.0, lenient: float = 0.6) -> DataFrame:
+    """id, a (strict rater), b (lenient rater), settled (the lenient one where they differ) of rows (id, document,
+    invoice); a null document or invoice is incorrect."""
+    share = F.coalesce(printed_share(F.col("document"), F.col("invoice")), F.lit(0.0))
+    name = lambda limit: F.when(F.col("share") >= limit, "correct").otherwise("incorrect")
+    out = rows.select("id", share.alias("share")).select("id", name(strict).alias("a"), name(lenient).alias("b"))
+    return out.withColumn("settled", F.col("b"))
+
+
+def silver(scores: DataFrame, least: float = 0.95) -> DataFrame:
+    """id, silver_field_f1, silver_verified from field scores against a second model (an invalid one has f1 0)."""
+    return scores.select("id", F.round("f1", 4).alias("silver_field_f1"), (F.col("f1") >= least).alias("silver_verified"))
+
+
+def gold_grade(rows: DataFrame) -> DataFrame:
+    """One row: n, verified by people, silver, unverified, and the grade that all rows support."""
+    people, second = F.coalesce("human_verified", F.lit(False)), F.coalesce("silver_verified", F.lit(False))
+    by = rows.agg(F.count("*").alias("n"), F.count_if(people).alias("human"), F.count_if(second).alias("silver"), F.count_if(~people & ~second).alias("unverified"))
+    grade = F.when((F.col("n") > 0) & (F.col("human") == F.col("n")), "human").when(F.col("silver") > 0, "silver").otherwise("unverified")
+    return by.withColumn("grade", grade)
+
+
+def quality_bar(student: Column, teacher: Column, least: float = 0.95) -> Column:
+    """struct(ratio, meets_bar); an unscored teacher counts as 1."""
+    ratio = F.try_divide(student, F.coalesce(teacher, F.lit(1.0)))
+    return F.struct(ratio.alias("ratio"), F.coalesce(ratio >= least, F.lit(False)).alias("meets_bar"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import normalise
-from millrace.operators import cost, extraction, review, similarity
-from millrace.plans.invoices import COMPARED, SQL, gold, predicted, table
+from millrace.functions import normalise, prompts
+from millrace.operators import calls, cost, extraction, gate, review, similarity
+from millrace.plans.invoices import COMPARED, SQL, cents, gold, predicted, table
 
 FLAGSHIP = "field_scores"
 QUERIES: dict = {}
@@ -266,3 +266,110 @@ def cost_curves(spark, sf_dir):
 def label_aliases(spark, sf_dir):
     said = F.when(F.col("quality") == 1, F.element_at(F.array(*map(F.lit, ("Correct", " ok ", "YES", "1"))), (F.col("doc_id") % 4 + 1).cast("int"))).otherwise(F.element_at(F.array(*map(F.lit, ("wrong", "No", " BAD", "0"))), (F.col("doc_id") % 4 + 1).cast("int")))
     return table(spark, sf_dir, "labels").select("doc_id", normalise.label(said).alias("label"))
+
+
+def _replies(spark, sf_dir):
+    """id, reply: an invoice as a model may send it, by id % 9: fenced, in prose, none, with a key too many, without its
+    date, with an amount as text, without lines, in an array, with a truth value as tax."""
+    k = F.col("id") % 9
+    g = F.when(k == 6, F.col("gold").withField("line_items", F.slice("gold.line_items", 1, 0))).otherwise(F.col("gold"))
+    j = F.col("j")
+    forms = (
+        F.concat(F.lit("Here it is:\n```json\n"), j, F.lit("\n```\nDone.")),
+        F.concat(F.lit("Sure {as asked}: "), j, F.lit(" I hope [1] that helps")),
+        F.lit("I can't read this."),
+        F.regexp_replace(j, r"^\{", '{"note":"x",'),
+        F.regexp_replace(j, '"date":"[^"]*",', ""),
+        F.regexp_replace(j, '"grand_total":[^,}]*', r'"grand_total":"\$1,234.50"'),
+        j,
+        F.concat(F.lit("["), j, F.lit("]")),
+        F.regexp_replace(j, '"tax":[^,}]*', '"tax":true'),
+    )
+    return gold(spark, sf_dir).select("id", F.to_json(g).alias("j")).select("id", F.coalesce(*[F.when(k == i, f) for i, f in enumerate(forms)]).alias("reply"))
+
+
+_REASON = "CASE h.id % 9 WHEN 2 THEN 'schema: not_json' WHEN 3 THEN 'schema: extra:note' WHEN 4 THEN 'schema: missing:date' WHEN 6 THEN 'schema: empty:line_items' WHEN 7 THEN 'schema: not_object' WHEN 8 THEN 'schema: type:tax' END"
+
+
+@query(SQL + f", g AS (SELECT h.*, {_REASON} AS drop_reason FROM h) SELECT id, drop_reason, CASE WHEN drop_reason IS NULL THEN vendor END AS vendor, CASE WHEN drop_reason IS NULL THEN date END AS date, CASE WHEN drop_reason IS NULL THEN currency END AS currency, CASE WHEN drop_reason IS NULL THEN round(subtotal, 2) END AS subtotal, CASE WHEN drop_reason IS NULL THEN CASE WHEN id % 9 = 5 THEN CAST(1234.5 AS DOUBLE) ELSE round(grand_total, 2) END END AS grand_total, CASE WHEN drop_reason IS NULL THEN m END AS lines, CASE WHEN drop_reason IS NULL THEN terms END AS terms FROM g")
+def schema_gate(spark, sf_dir):
+    """Replies through JSON extraction and the gate, both sides in one table."""
+    out = gate.schema_gate(_replies(spark, sf_dir).withColumn("output", gate.first_json(F.col("reply"))))
+    i = F.col("invoice")
+    return out.select("id", F.col("_drop_reason").alias("drop_reason"), i["vendor"].alias("vendor"), i["date"].alias("date"), i["currency"].alias("currency"), i["subtotal"].alias("subtotal"), i["grand_total"].alias("grand_total"), F.when(i.isNotNull(), F.size(i["line_items"])).cast("long").alias("lines"), i["payment_terms"].alias("terms"))
+
+
+@query(SQL + f" SELECT coalesce({_REASON}, 'kept') AS gate, count(*) AS n FROM h GROUP BY 1")
+def drop_report(spark, sf_dir):
+    return schema_gate(spark, sf_dir).groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("gate")).agg(F.count("*").alias("n"))
+
+
+@query(SQL + " SELECT round(avg(CASE WHEN id % 9 = 5 THEN 1 ELSE 0 END), 9) AS rate FROM h")
+def schema_valid_rate(spark, sf_dir):
+    """Share of replies that meet the contract as they stand."""
+    ok = F.size(gate.validate(F.col("reply"))["errors"]) == 0
+    return _replies(spark, sf_dir).agg(F.round(F.coalesce(F.avg(ok.cast("int")), F.lit(0.0)), PLACES).alias("rate"))
+
+
+@query(SQL + " SELECT id, id % 2 = 0 OR id % 3 = 0 AS valid, CAST(CASE WHEN id % 2 = 0 THEN 2 ELSE 3 END AS BIGINT) AS attempts, CASE WHEN id % 2 = 0 OR id % 3 = 0 THEN vendor END AS vendor, CASE WHEN NOT (id % 2 = 0 OR id % 3 = 0) THEN 'no JSON found' END AS error FROM h")
+def retry_resolution(spark, sf_dir):
+    """Logs of three attempts, of which the second or the third may pass."""
+    g = gold(spark, sf_dir).withColumn("good", F.to_json("gold")).withColumn("bad", F.lit("none"))
+    tries = F.array(*[F.struct(F.lit(n).alias("attempt"), F.when(ok, F.col("good")).otherwise(F.col("bad")).alias("reply")) for n, ok in ((1, F.lit(False)), (2, F.col("id") % 2 == 0), (3, F.col("id") % 3 == 0))])
+    return calls.resolve(g.select("id", F.inline(tries))).select("id", "valid", "attempts", F.col("invoice.vendor").alias("vendor"), "error")
+
+
+@query("""WITH k AS (SELECT event_id, substr(sha256('{"max_tokens":null,"model":"' || event_type || '","provider":null,"salt":"' || event_id % 3 || '","system":null,"temperature":"0.0","user":"' || json_extract_string(props, '$.k') || '"}'), 1, 40) AS key FROM events)
+  SELECT event_id, key, key IN (SELECT key FROM k WHERE event_id % 4 = 0) AS cached FROM k""")
+def cache_lookup(spark, sf_dir):
+    key = prompts.call_key(model=F.col("event_type"), user=F.get_json_object("props", "$.k"), temperature=F.lit("0.0"), salt=F.col("event_id") % 3)
+    asked = table(spark, sf_dir, "events").select("event_id", key.alias("key"))
+    return calls.with_cache(asked, asked.where("event_id % 4 = 0").select("key", F.lit("reply").alias("reply"))).select("event_id", "key", "cached")
+
+
+@query("""SELECT doc_id, 'S' AS system, '<document>' || chr(10) || text || chr(10) || '</document>' || chr(10) || 'Output:' AS "user", '{}' AS assistant, CASE doc_id % 3 WHEN 1 THEN 'retail' WHEN 2 THEN 'hotels' END AS hint FROM documents""")
+def chat_messages(spark, sf_dir):
+    m = prompts.training_messages("S", F.col("text"), F.lit("{}"))
+    return table(spark, sf_dir, "documents").select("doc_id", *[m[i]["content"].alias(c) for i, c in enumerate(("system", "user", "assistant"))], prompts.hint(F.col("doc_id"), [None, "retail", "hotels"]).alias("hint"))
+
+
+@query("SELECT doc_id, list_extract(['incorrect','correct','incorrect','correct','incorrect','incorrect'], CAST(doc_id % 6 + 1 AS INT)) AS label FROM labels")
+def free_text_labels(spark, sf_dir):
+    said = F.array(*map(F.lit, ("This is incorrect.", "- label: OK\nas printed", "hm\n\n* wrong, I think", "It looks correct", "no idea", "** Bad")))
+    return table(spark, sf_dir, "labels").select("doc_id", prompts.label_in(F.element_at(said, (F.col("doc_id") % 6 + 1).cast("int"))).alias("label"))
+
+
+_AMOUNTS = "leaf IN ('total', 'subtotal', 'tax', 'grand_total')"
+
+
+@query(SQL + f""", doc AS (SELECT id, string_agg(printf('%.2f', floor(n * 100 + 0.5) / 100), chr(10)) AS doc FROM gold_f WHERE {_AMOUNTS} GROUP BY 1),
+  tok AS (SELECT id, printf('%.2f', floor(n * 100 + 0.5) / 100) AS t FROM pred_f WHERE {_AMOUNTS}),
+  sh AS (SELECT id, avg(CASE WHEN contains(doc, t) OR contains(doc, rtrim(rtrim(t, '0'), '.')) THEN 1 ELSE 0 END) AS share FROM tok JOIN doc USING (id) GROUP BY 1),
+  l AS (SELECT ids.id, CASE WHEN share >= 1 THEN 'correct' ELSE 'incorrect' END AS a, CASE WHEN share >= CAST(0.6 AS DOUBLE) THEN 'correct' ELSE 'incorrect' END AS b FROM ids LEFT JOIN sh USING (id)) SELECT id, a, b, b AS settled FROM l""")
+def rule_raters(spark, sf_dir):
+    """Damaged invoices held against the amounts that the document prints."""
+    both = predicted(gold(spark, sf_dir))
+    every = lambda x: F.concat(F.array(x["subtotal"], x["tax"], x["grand_total"]), F.transform(x["line_items"], lambda y: y["total"]))
+    document = F.array_join(F.transform(every(F.col("gold")), lambda x: F.format_string("%.2f", cents(x).cast("double"))), "\n")
+    p = F.col("pred")
+    whole = p.withField("grand_total", cents(p["grand_total"]).cast("double"))
+    return review.rule_labels(both.select("id", document.alias("document"), whole.alias("invoice")))
+
+
+@query(_RATERS + """, s AS (SELECT count(*) AS n, avg(CAST(a = b AS INT)) AS accuracy, CAST(sum(CASE WHEN a = 'correct' AND b = 'correct' THEN 1 ELSE 0 END) AS DOUBLE) AS tp, sum(CASE WHEN b = 'correct' THEN 1 ELSE 0 END) AS said, sum(CASE WHEN a = 'correct' THEN 1 ELSE 0 END) AS t FROM two)
+  SELECT n, round(accuracy, 9) AS accuracy, round(tp / said, 9) AS precision, round(tp / t, 9) AS recall, round(2 * (tp / said) * (tp / t) / (tp / said + tp / t), 9) AS f1 FROM s""")
+def binary_report(spark, sf_dir):
+    return review.binary_report(_raters(spark, sf_dir)).select("n", *_r("accuracy", "precision", "recall", "f1"))
+
+
+@query(COMPARED + """, v AS (SELECT id, id % 50 = 0 AS human, f1 >= 0.95 AS second FROM sc)
+  SELECT count(*) AS n, count(*) FILTER (human) AS human, count(*) FILTER (second) AS silver, count(*) FILTER (NOT human AND NOT second) AS unverified, CASE WHEN bool_and(human) THEN 'human' WHEN bool_or(second) THEN 'silver' ELSE 'unverified' END AS grade FROM v""")
+def gold_grade(spark, sf_dir):
+    scores = review.silver(extraction.field_scores(*_invoices(spark, sf_dir)))
+    return review.gold_grade(scores.withColumn("human_verified", F.col("id") % 50 == 0))
+
+
+@query(COMPARED + " SELECT round(avg(f1), 9) AS ratio, avg(f1) >= 0.95 AS meets_bar FROM sc")
+def quality_gate(spark, sf_dir):
+    student = extraction.batch_scores(extraction.field_scores(*_invoices(spark, sf_dir)))
+    return student.select(review.quality_bar(F.col("f1_macro"), F.lit(None).cast("double")).alias("q")).select(*[F.round("q.ratio", PLACES).alias("ratio")], "q.meets_bar")
