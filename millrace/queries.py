@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import normalise, prompts
-from millrace.operators import calls, cost, extraction, gate, review, similarity
+from millrace.operators import calls, cost, extraction, gate, reports, review, similarity
 from millrace.plans.invoices import COMPARED, SQL, cents, gold, predicted, table
 
 FLAGSHIP = "field_scores"
@@ -252,14 +252,44 @@ def latency_report(spark, sf_dir):
     return by.agg(F.round(F.percentile("latency", F.lit(0.5)), PLACES).alias("p50"), F.round(F.percentile("latency", F.lit(0.95)), PLACES).alias("p95"), F.round(1 / F.greatest(F.avg("latency"), F.lit(1e-9)), 6).alias("per_second"))
 
 
-@query("""SELECT volume, round(volume * (900 / 1e6 * 3 + 350 / 1e6 * 15), 9) AS api_usd, round(24 * (1100.0 / (3 * 365 * 24) * 1.0) + volume * (0.36 * 0.15 / (4 * 3600.0)), 9) AS own_usd FROM (SELECT unnest(generate_series(0, 600, 10)) AS volume)""")
+@query("""SELECT volume, round(volume * (900 / 1e6 * 3 + 350 / 1e6 * 15), 9) AS api_usd, round(24 * (1100.0 / (3 * 365 * 24) * 1.0) + volume * (0.36 * 0.15 / (4 * 3600.0)), 9) AS own_usd FROM (SELECT unnest(generate_series(0, 610, 10)) AS volume) WHERE volume < 610""")
 def cost_curves(spark, sf_dir):
     """Daily cost by volume: API against amortised hardware plus energy."""
-    energy = 360 / 1000 * 0.15 / (4 * 3600)
-    capital = 24 * cost.amortised_hourly(1100, 3, 1.0, 0, 0)
-    v = F.col("id")
     api = cost.api_cost(F.lit(900), F.lit(350), F.lit(3.0), F.lit(15.0))
-    return spark.range(0, 601, 10).select(v.alias("volume"), F.round(v * api, PLACES).alias("api_usd"), F.round(F.lit(capital) + v * F.lit(energy), PLACES).alias("own_usd"))
+    out = cost.daily_curves(spark, cost.volume_axis(600), api, 1100, 3, 1.0, reports.Machine().energy(F.lit(4.0)))
+    return out.select("volume", *_r("api_usd", "own_usd"))
+
+
+_REPORT = COMPARED + """, q AS (SELECT count(*) AS n, avg(f1) AS f1_macro, avg(CAST(exact AS INT)) AS exact_rate, avg(agreement) AS agreement FROM sc),
+  e AS (SELECT quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, 1 / avg(value) AS per_second FROM events),
+  rep AS (SELECT *, f1_macro AS ratio, f1_macro >= 0.95 AS meets_bar, CAST(7.95 AS DOUBLE) AS api_1k, (1100.0 / 26280 + 0.054) / (per_second * 3600) * 1000 AS own_1k FROM q CROSS JOIN e),
+  rep2 AS (SELECT *, api_1k / own_1k AS multiple, CASE WHEN 0.00795 > 0.054 / (per_second * 3600) THEN 1100.0 / 1095 / (0.00795 - 0.054 / (per_second * 3600)) END AS break_even FROM rep) """
+
+
+def _report(spark, sf_dir):
+    scores = extraction.batch_scores(extraction.field_scores(*_invoices(spark, sf_dir)))
+    api = cost.api_cost(F.lit(900), F.lit(350), F.lit(3.0), F.lit(15.0))
+    return reports.evaluation(scores, reports.latencies(_calls(spark, sf_dir)), api, reports.Machine())
+
+
+@query(_REPORT + "SELECT n, round(f1_macro, 9) AS f1_macro, round(ratio, 9) AS ratio, meets_bar, round(p50, 9) AS p50, round(p95, 9) AS p95, round(per_second, 9) AS per_second, round(api_1k, 6) AS api_1k, round(own_1k, 6) AS own_1k, round(multiple, 6) AS multiple, round(break_even, 6) AS break_even FROM rep2")
+def evaluation_report(spark, sf_dir):
+    costs = [F.round(c, 6).alias(c) for c in ("api_1k", "own_1k", "multiple", "break_even")]
+    return _report(spark, sf_dir).select("n", *_r("f1_macro", "ratio"), "meets_bar", *_r("p50", "p95", "per_second"), *costs)
+
+
+@query(_REPORT + """, t AS (SELECT unnest([
+  {'ord': 0, 'metric': '$/1k requests', 'teacher': printf('$%.2f', api_1k), 'student': printf('$%.4f', own_1k), 'win': format('{:,}x cheaper', CAST(round(multiple) AS BIGINT))},
+  {'ord': 1, 'metric': 'Quality (f1_macro)', 'teacher': '1.0000 (ref)', 'student': printf('%.4f', f1_macro), 'win': printf('%.1f%%', ratio * 100) || ' of teacher — ' || CASE WHEN meets_bar THEN 'meets' ELSE 'below' END || ' 95% bar'},
+  {'ord': 2, 'metric': 'Teacher-agreement (fresh pool)', 'teacher': '—', 'student': printf('%.1f%%', agreement * 100), 'win': 'generalization'},
+  {'ord': 3, 'metric': 'Schema-valid rate', 'teacher': '—', 'student': 'n/a', 'win': 'robustness'},
+  {'ord': 4, 'metric': 'Exact match', 'teacher': '—', 'student': printf('%.1f%%', exact_rate * 100), 'win': 'strictest view'},
+  {'ord': 5, 'metric': 'p95 latency', 'teacher': '~2.1 s (typ. API)', 'student': format('{:,} ms', CAST(round(p95 * 1000) AS BIGINT)), 'win': 'lower'},
+  {'ord': 6, 'metric': 'Data egress', 'teacher': 'leaves org', 'student': 'stays local', 'win': 'privacy'},
+  {'ord': 7, 'metric': 'Break-even volume', 'teacher': '—', 'student': coalesce(format('~{:,} req/day', CAST(round(break_even) AS BIGINT)), 'none'), 'win': 'above this, local wins'}]) AS r FROM rep2)
+  SELECT CAST(r.ord AS BIGINT) AS ord, r.metric AS metric, r.teacher AS teacher, r.student AS student, r.win AS win FROM t""")
+def money_table(spark, sf_dir):
+    return reports.money_table(_report(spark, sf_dir))
 
 
 @query("SELECT doc_id, CASE WHEN quality = 1 THEN 'correct' ELSE 'incorrect' END AS label FROM labels")

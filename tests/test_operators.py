@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace import queries as Q
-from millrace.operators import review, similarity
+from millrace.operators import cost, reports, review, similarity
 
 CHECKED = sorted(Q.ORACLE_SQL)
 
@@ -89,3 +89,35 @@ def test_field_counts_add_up(spark, sf_dir):
     gold = Q.flatten_gold(spark, "/root/testdata/sf0.001").groupBy("id").agg(F.count("*").alias("g"))
     bad = scores.join(pred, "id", "left").join(gold, "id", "left").where("tp + fp <> coalesce(p, 0) or tp + fn <> coalesce(g, 0)")
     assert bad.count() == 0
+
+
+def test_price_modes(spark):
+    calls = spark.createDataFrame([("big-2024", 1), ("big", 2), ("bi", 3), ("other", 4), (None, 5)], "model string, n int")
+    table = spark.createDataFrame([("big-", 1, 1.0, 2.0), ("big", 2, 3.0, 4.0)], "prefix string, ord int, price_in double, price_out double")
+    got = lambda **k: [r.price_in for r in cost.prices(calls, table, **k).orderBy("n").collect()]
+    assert got() == [1.0, 3.0, 1.0, 0.0, 0.0]
+    assert got(mode="prefix", default=(9, 9)) == [1.0, 3.0, 9.0, 9.0, 9.0]
+    assert got(mode="exact") == [3.0, 3.0, 3.0, 3.0, 3.0]
+    with pytest.raises(Exception, match="no price for model"):
+        got(mode="prefix")
+    with pytest.raises(ValueError):
+        got(mode="none")
+
+
+def test_volume_axis():
+    assert list(cost.volume_axis(3)) == list(range(12))[:11] and list(cost.volume_axis(600))[-1] == 600
+    assert cost.volume_axis(1234).step == 20 and cost.volume_axis(1234)[-1] >= 1234
+
+
+def test_report_without_figures(spark):
+    row = spark.createDataFrame([(None, None, False, 1234.5, None, None, None)], "f1_macro double, ratio double, meets_bar boolean, api_1k double, own_1k double, multiple double, break_even double")
+    out = reports.money_table(row).orderBy("ord").collect()
+    assert [out[0].teacher, out[0].student, out[1].student, out[7].student] == ["$1,234.50", "n/a", "n/a", "none"]
+    text = reports.markdown(reports.money_table(row)).first().text.split("\n")
+    assert text[0] == "| metric | teacher | student | win |" and len(text) == 10
+
+
+def test_break_even(spark):
+    m = reports.Machine()
+    got = spark.range(1).select(m.break_even(F.lit(0.00795), F.lit(4.0)).alias("x"), m.break_even(F.lit(0.0), F.lit(4.0)).alias("none")).first()
+    assert abs(got.x - 126.4) < 0.05 and got.none is None
