@@ -149,28 +149,33 @@ def random_split(spark, sf_dir):
     return review.split(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")))
 
 
-def _bits(spark, sf_dir, name="documents", key="doc_id"):
+def _texts(spark, sf_dir, name="documents", key="doc_id"):
+    return table(spark, sf_dir, name).select(F.col(key).alias("id"), "text")
+
+
+def _bits(spark, sf_dir, *of):
     similarity.checkpointed(spark)
-    return similarity.with_bits(table(spark, sf_dir, name).select(F.col(key).alias("id"), "text")).checkpoint()
+    return similarity.with_classes(similarity.with_bits(_texts(spark, sf_dir, *of))).checkpoint()
 
 
 @query()
 def jaccard_pairs(spark, sf_dir):
-    """Pairs of documents with trigram Jaccard of at least 0.9 (tests hold it against brute force)."""
-    return similarity.similar_pairs(_bits(spark, sf_dir)).withColumn("similarity", F.round("similarity", PLACES))
+    """Pairs of documents with trigram Jaccard of at least 0.9, copies next to the first of them (tests hold it against
+    brute force)."""
+    return similarity.class_pairs(_bits(spark, sf_dir)).withColumn("similarity", F.round("similarity", PLACES))
 
 
 @query()
 def greedy_dedup(spark, sf_dir):
     """Greedy dedup of documents by trigram Jaccard, in the order of doc_id (tests hold it against a loop)."""
-    bits = _bits(spark, sf_dir)
-    return similarity.greedy(bits.select("id"), similarity.similar_pairs(bits))
+    return similarity.dedup_texts(_texts(spark, sf_dir))
 
 
 @query()
 def leak_check(spark, sf_dir):
-    """Documents that are near copies of a benchmark item."""
-    return similarity.similar_pairs(_bits(spark, sf_dir), _bits(spark, sf_dir, "benchmark", "item_id")).select(F.col("a").alias("doc_id"), F.col("b").alias("item_id"), F.round("similarity", PLACES).alias("similarity"))
+    """Documents that are near copies of a benchmark item (tests hold it against a loop)."""
+    found = similarity.leaks(_bits(spark, sf_dir), _bits(spark, sf_dir, "benchmark", "item_id"))
+    return found.select(F.col("a").alias("doc_id"), F.col("b").alias("item_id"), F.round("similarity", PLACES).alias("similarity"))
 
 
 def _vectors(spark, sf_dir):

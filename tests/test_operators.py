@@ -54,12 +54,47 @@ def test_pairs_and_greedy_against_loops(spark):
         else:
             kept.append(d)
     similarity.checkpointed(spark)
-    bits = similarity.with_bits(spark.createDataFrame(list(texts.items()), "id long, text string")).checkpoint()
+    bits = similarity.with_classes(similarity.with_bits(spark.createDataFrame(list(texts.items()), "id long, text string"))).checkpoint()
     found = similarity.similar_pairs(bits)
     assert {(r.a, r.b) for r in found.collect()} == pairs
     out = similarity.greedy(bits.select("id"), found).collect()
     assert {r.id for r in out if r.kept} == set(kept)
     assert {r.id: r.dup_of for r in out if not r.kept} == dup
+    whole = similarity.dedup(bits).collect()
+    assert sorted(r.id for r in whole) == order
+    assert {r.id: r.dup_of for r in whole if not r.kept} == dup
+    first = {}
+    for d in order:
+        first.setdefault(frozenset(grams[d]), d)
+    rep = {d: first[frozenset(grams[d])] for d in order}
+    classed = {(a, b) for a, b in pairs if rep[a] == a and rep[b] == b} | {(rep[d], d) for d in order if rep[d] != d and grams[d]}
+    assert {(r.a, r.b) for r in similarity.class_pairs(bits).collect()} == classed
+
+
+def test_copies_and_leaks_against_loops(spark):
+    long = "the quick brown fox jumps over the lazy dog and runs on"
+    texts = {1: long, 2: long + "s x", 3: long + "s", 4: long.upper(), 5: long + "s", 6: "", 7: None, 8: "ab", 9: "ab", 10: "else"}
+    for spread in (range(1, 11), (3, 1, 4, 2, 5, 7, 6, 9, 8, 10)):
+        mine = dict(zip(spread, texts.values(), strict=True))
+        grams = {d: _grams(t or "") for d, t in mine.items()}
+        sim = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b]) if grams[a] and grams[b] else 0.0
+        kept, dup = [], {}
+        for d in sorted(mine):
+            near = [k for k in kept if sim(k, d) >= 0.95]
+            if near:
+                dup[d] = max(near, key=lambda k: (sim(k, d), -k))
+            else:
+                kept.append(d)
+        docs = spark.createDataFrame(list(mine.items()), "id long, text string")
+        out = similarity.dedup_texts(docs, threshold=0.95).collect()
+        assert {r.id: r.dup_of for r in out if not r.kept} == dup and len(out) == 10
+    bits = similarity.with_classes(similarity.with_bits(docs)).checkpoint()
+    other = spark.createDataFrame([(1, "ab"), (2, ""), (3, " "), (4, "AB"), (5, "none of them")], "id long, text string")
+    found = similarity.leaks(bits, similarity.with_classes(similarity.with_bits(other)).checkpoint()).collect()
+    assert {(r.a, r.b) for r in found} == {(d, 1) for d, t in mine.items() if t == "ab"} | {(d, 2) for d, t in mine.items() if not t}
+    for wrong in ("none", "embedding"):
+        with pytest.raises(ValueError):
+            similarity.dedup_texts(docs, wrong)
 
 
 def test_greedy_keeps_what_is_only_near_a_dropped_row(spark):
