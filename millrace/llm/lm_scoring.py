@@ -31,8 +31,6 @@ U = np.uint64
 END = U(0x00E4D00E4D00E4D1)
 #: Words with more than 1 / FREQUENT of the tokens are broadcast with their counts.
 FREQUENT = 50_000
-#: A pair gets into the filter from this count on; rarer ones back off to their words.
-LEAST_PAIR = 2
 STEP, BITS, HASHES, MU = 1.5, 10, 5, 100.0
 #: N-grams that a task holds before it sends their sums.
 HELD = 1 << 22
@@ -182,9 +180,8 @@ def gather(training: DataFrame, parts: int) -> DataFrame:
                 c = np.bincount(back, np.concatenate([x for _, x in got[p][kind]]), len(key)).astype(np.int64)
                 full.append((key, c))
             del got[p]
-            often = full[1][1] >= LEAST_PAIR
-            kept = np.concatenate((_word_key(full[0][0]), _pair_key(full[1][0][often], p)))
-            bloom = segment(kept, np.concatenate((level(full[0][1]), level(full[1][1][often]))))
+            every = np.concatenate((_word_key(full[0][0]), _pair_key(full[1][0], p)))
+            bloom = segment(every, np.concatenate((level(full[0][1]), level(full[1][1]))))
             yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "words": [len(full[0][0])], "tokens": [int(full[0][1].sum())], "keys": pa.array([full[0][0].astype("<u8").tobytes()], pa.binary()), "counts": pa.array([full[0][1].astype("<u8").tobytes()], pa.binary()), "bloom": pa.array([bloom], pa.binary())})
 
     sent = training.select("text").mapInArrow(count, "part int, kind int, blob binary")

@@ -184,6 +184,14 @@ def test_lm_scoring(spark, rows):
     assert once == turns
 
 
+def test_lm_scoring_knows_pairs_seen_once(spark):
+    docs = spark.createDataFrame([(1, "x y"), (2, "z w"), (3, "z y")], "doc_id long, text string").withColumn("uid", F.xxhash64("doc_id"))
+    out = {r.doc_id: r.score for r in lm_scoring.score(docs, docs.where("doc_id < 3").select("text")).collect()}
+    # both end in y; x y was seen once, z y never: p(y) = (1 + 1) / (6 + 5 + 1)
+    back = lm_scoring.MU * 2 / 12
+    assert abs(out[1] - out[3] - np.log10((1 + back) / back)) < 1e-9
+
+
 def test_toxicity(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
     out = [r for r in toxicity.op6_toxicity(spark, "/root/testdata/sf0.1").collect() if r.held_out and r.doc_id in labels]
