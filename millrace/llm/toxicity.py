@@ -1,20 +1,23 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by the nearest labelled examples: exact cosine of weighted TF-IDF over an inverted index.
 
 The examples are a bounded sample of the labelled rows: at most EXAMPLES of each label, in the order of a hash of their
-ids. Terms are words and their beginnings (4 to 8 bytes); those that the toxic examples have significantly more often
-(the TERMS with the largest chi-squared statistic) make the vocabulary. The index lists, for each term, the examples
-that have it, and the largest weight in each block of examples. A text's blocks are visited in the order of their upper
-bounds, until none can still reach the nearest NEAREST found: the result is exact. Votes weigh by the cosine's square
-and by the label's share among all labelled rows, against a prior, so the score is a calibrated share.
-
-Defined cases: a null or empty text, or one without any term, is voted on by the examples without any term (the
-prior where there are none); ties in cosine go to the example that is first in the index; with no usable labels every
+ids. Terms are words and their beginnings (4 to 8 bytes); all that the examples have make the vocabulary. A term's IDF
+is multiplied by 1 + its chi-squared statistic where more than one toxic example has it and toxic ones have it more
+often, so that such terms decide where a text has them, and its other terms where not. The index lists, for each term,
+the examples that have it; terms of more than 1 / COMMON of the examples are whole rows, which many texts are multiplied
+with at once. All postings of a text's terms are added up, so the NEAREST examples are exact. Votes weigh by the cosine's
+square and by the label's share among all labelled rows, against a prior, so the score is a calibrated share.
+
+Defined cases: a null or empty text, or one without any term of the examples, is voted on by the examples without any
+term (the prior where there are none); ties in cosine go to the example that is first in the index; with no usable labels every
 score is 0; labels that repeat a doc_id count once, as toxic if any is; null labels and ids are left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,35 +27,20 @@ from pyspark.sql import functions as F
 from millrace.llm.common import documents, keep, mix, remainder, sliced, utf8, words
 
 U = np.uint64
-EXAMPLES, TERMS, NEAREST, BLOCK, FIRST = 4096, 1024, 16, 32, 4
-#: The least chi-squared statistic of a term (one degree of freedom, p = 1e-6), and the weight of the prior in votes.
-LEAST_CHI, PRIOR = 24.0, 0.25
+EXAMPLES, NEAREST, COMMON = 4096, 16, 16
+#: Texts whose common terms are multiplied at once.
+TOGETHER = 256
+#: The weight of the prior in votes.
+PRIOR = 0.25
 BEGINNINGS = (4, 5, 6, 7, 8)
 
 
-def terms(column: pa.Array, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The terms of each text as hashes (with repeats), and the text of each; with only (sorted) of these terms, as their
-    places in it."""
+def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of each text as hashes (with repeats), and the text of each."""
     data, _ = utf8(column)
     hashed, off, first, end = words(column, spans=True)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    sieve = None
-    if only is not None:  # most terms fall out by the first bits of their hash
-        sieve = np.zeros(1 << 16, bool)
-        sieve[(only >> U(48)).astype(np.int64)] = True
-    got, whose = [], []
-
-    def take(h: np.ndarray, d: np.ndarray) -> None:
-        if sieve is not None:
-            some = np.flatnonzero(sieve[(h >> U(48)).astype(np.int64)])
-            h, d = h[some], d[some]
-            at = np.minimum(np.searchsorted(only, h), max(0, len(only) - 1))
-            hit = only[at] == h if len(only) else np.zeros(len(h), bool)
-            h, d = at[hit].astype(U), d[hit]
-        got.append(h)
-        whose.append(d)
-
-    take(hashed, doc)
+    got, whose = [hashed], [doc]
     at, size = first, end - first
     start = np.zeros(len(at), U)
     for k in range(max(BEGINNINGS)):
@@ -61,73 +49,94 @@ def terms(column: pa.Array, only: np.ndarray | None = None) -> tuple[np.ndarray,
         b = data[at + k]
         start = start | np.where((b >= 65) & (b <= 90), b + 32, b).astype(U) << U(8 * k)
         if k + 1 in BEGINNINGS:
-            take(mix(start ^ mix(np.full(1, k + 1, U))), doc)
+            got.append(mix(start ^ mix(np.full(1, k + 1, U))))
+            whose.append(doc)
     return np.concatenate(got), np.concatenate(whose)
 
 
 def _counts(column: pa.Array, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, times), sorted, of terms()."""
-    term, doc = terms(column, only)
+    """(text, term, times), sorted, of terms(); with only (sorted) of these terms, as their places in it."""
+    term, doc = terms(column)
     order = np.lexsort((term, doc))
     term, doc = term[order], doc[order]
     if not len(term):
-        return doc, term, np.zeros(0, np.int64)
+        return doc, term.astype(np.int64) if only is not None else term, np.zeros(0, np.int64)
     new = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (doc[1:] != doc[:-1]))))
-    return doc[new], term[new], np.diff(np.append(new, len(term)))
+    doc, term, times = doc[new], term[new], np.diff(np.append(new, len(term)))
+    if only is None:
+        return doc, term, times
+    at = np.minimum(np.searchsorted(only, term), max(0, len(only) - 1))
+    hit = only[at] == term if len(only) else np.zeros(len(term), bool)
+    return doc[hit], at[hit], times[hit]
+
+
+def unit(place: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    w = (1 + np.log(times)) * idf[place]
+    return w / np.sqrt(w @ w)
 
 
 class Index:
-    """Examples as unit TF-IDF vectors over the chosen terms, in blocks."""
+    """Examples as unit TF-IDF vectors over their terms."""
 
-    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, rows: list[tuple[int, int, dict[int, float]]], weight: tuple[float, float], prior: float):
-        """rows: (doc_id, toxic, weights by term place)."""
+    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, rows: list[tuple[int, int, dict | tuple]], weight: tuple[float, float], prior: float):
+        """rows: (doc_id, toxic, weights by term place: a dict, or an array of places and one of weights)."""
         self.vocabulary, self.idf, self.weight, self.prior = vocabulary, idf, weight, prior
-        none = [y for _, y, w in rows if not w]
+        rows = [(d, y, *((np.array([*w], np.int32), np.array([*w.values()], np.float32)) if isinstance(w, dict) else w)) for d, y, w in rows]
+        none = [y for _, y, p, _ in rows if not len(p)]
         votes = sum(weight[y] for y in none)
         self.empty = (sum(weight[1] for y in none if y) + PRIOR * prior) / (votes + PRIOR) if rows else 0.0
-        # neighbours share their heaviest term, so blocks' bounds are tight
-        rows = sorted((r for r in rows if r[2]), key=lambda r: (max(r[2], key=lambda t: (r[2][t], -t)), r[0]))
+        rows = sorted((r for r in rows if len(r[2])), key=lambda r: r[0])
         self.doc_id = np.array([r[0] for r in rows], np.int64)
         self.toxic = np.array([r[1] for r in rows], np.int64)
-        self.blocks = -(-len(rows) // BLOCK)
-        # postings by term, in the order of the examples; TERMS and EXAMPLES bound them
-        self.value = np.zeros((len(vocabulary), self.blocks * BLOCK), np.float32)
-        for i, r in enumerate(rows):
-            self.value[list(r[2]), i] = list(r[2].values())
-        self.most = self.value.reshape(len(vocabulary), self.blocks, BLOCK).max(axis=2, initial=0)
+        place = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.int32)
+        value = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.float32)
+        example = np.repeat(np.arange(len(rows), dtype=np.uint16), [len(r[2]) for r in rows])
+        df = np.bincount(place, minlength=len(vocabulary))
+        # whole rows of common terms, in the order of the examples; there are at most COMMON times an example's mean terms
+        common = np.flatnonzero(df * COMMON > len(rows))
+        self.row = np.full(len(vocabulary), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        own = self.row[place]
+        self.wide = (len(common), len(rows)), own[own >= 0], example[own >= 0], value[own >= 0]
+        # postings of the others, by term
+        place, example, value = place[own < 0], example[own < 0], value[own < 0]
+        order = np.argsort(place, kind="stable")
+        self.example, self.posted = example[order], value[order]
+        df[common] = 0
+        self.start, self.size = (np.cumsum(df) - df).astype(np.int32), df.astype(np.int32)
+
+    @cached_property
+    def value(self) -> np.ndarray:
+        """The whole rows, made where they are used."""
+        shape, row, example, value = self.wide
+        out = np.zeros(shape, np.float32)
+        out[row, example] = value
+        return out
 
     def vector(self, place: np.ndarray, times: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(times)) * self.idf[place]
-        return w / np.sqrt(w @ w)
-
-    def nearest(self, place: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The examples (places) with the largest cosines above 0, at most NEAREST, and the cosines."""
-        bound = w @ self.most[place]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        narrow = w.astype(np.float32)
-        best_i, best, at, step = np.zeros(0, np.int64), np.zeros(0), 0, FIRST
-        while at < len(order):  # some blocks first, for a bar; then all that can still reach it
-            now = order[at : at + step]
-            if len(best) == NEAREST:
-                now = now[bound[now] >= best[-1] - 1e-6]
-                if not len(now):
-                    break
-            column = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            if 8 * len(now) > self.blocks:  # whole rows lie together, which is faster than picking most of them
-                got = (narrow @ self.value[place])[column].astype(float)
-            else:
-                got = (narrow @ self.value[place[:, None], column]).astype(float)
-            hit = np.flatnonzero(got > 0)
-            i, c = np.concatenate((best_i, column[hit])), np.concatenate((best, got[hit]))
-            if len(c) > NEAREST:
-                bar = np.partition(c, len(c) - NEAREST)[len(c) - NEAREST]
-                some = c >= bar - 1e-6
-                i, c = i[some], c[some]
-            rank = np.lexsort((i, -np.round(c, 6)))[:NEAREST]
-            best_i, best = i[rank], c[rank]
-            at, step = at + step, len(order)
-        return best_i, best
+        return unit(place, times, self.idf)
+
+    def common(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the common terms of each vector (places, weights) add to its cosine with each example."""
+        w = np.zeros((len(vectors), len(self.value)), np.float32)
+        for i, (place, own) in enumerate(vectors):
+            row = self.row[place]
+            w[i, row[row >= 0]] = own[row >= 0]
+        return w @ self.value
+
+    def nearest(self, place: np.ndarray, w: np.ndarray, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The examples (places) with the largest cosines above 0, at most NEAREST, and the cosines. common: its row of
+        common(), where that is known."""
+        if common is None:
+            common = self.common([(place, w)])[0]
+        first, size = self.start[place], self.size[place]
+        end = np.cumsum(size)
+        at = np.repeat(first - end + size, size) + np.arange(end[-1])
+        got = np.bincount(self.example.take(at), np.repeat(w.astype(np.float32), size) * self.posted.take(at), len(common)) + common
+        bar = max(1e-9, np.partition(got, len(got) - NEAREST)[len(got) - NEAREST] - 1e-6 if len(got) > NEAREST else 0)
+        i = np.flatnonzero(got >= bar)
+        i = i[np.lexsort((i, -np.round(got[i], 6)))[:NEAREST]]
+        return i, got[i]
 
     def vote(self, i: np.ndarray, cosine: np.ndarray) -> float:
         v = np.minimum(cosine, 1) ** 2 * np.where(self.toxic[i] == 1, self.weight[1], self.weight[0])
@@ -161,30 +170,34 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     if not m0 + m1:
         return Index(np.zeros(0, U), np.zeros(0), [], (1.0, 1.0), 0.0)
     by_term = texts.select("text", "toxic").mapInArrow(count, "term long, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
-    c, d = m1 - a, m0 - b
-    chi = (a * d - b * c) * (a * d - b * c) * (m0 + m1) / F.greatest((a + b) * (c + d) * m1 * m0, F.lit(1.0))
-    best = by_term.where((F.col("n1") > 1) & (a * m0 > b * m1)).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(TERMS).collect()
-    best = sorted((int(r["term"]) % (1 << 64), r["n0"] + r["n1"]) for r in best)
-    vocabulary, df = np.array([x[0] for x in best], U), np.array([x[1] for x in best], float)
-    idf = np.log((1 + m0 + m1) / (1 + df)) + 1
+    table = by_term.toArrow()  # the terms of at most 2 * EXAMPLES rows
+    term, n0, n1 = (table.column(k).to_numpy() for k in ("term", "n0", "n1"))
+    order = np.argsort(term.astype(U))
+    vocabulary, n0, n1 = term.astype(U)[order], n0[order].astype(float), n1[order].astype(float)
+    c, d = m1 - n1, m0 - n0
+    chi = (n1 * d - n0 * c) ** 2 * (m0 + m1) / np.maximum((n0 + n1) * (c + d) * m1 * m0, 1)
+    idf = (np.log((1 + m0 + m1) / (1 + n0 + n1)) + 1) * np.where((n1 > 1) & (n1 * m0 > n0 * m1), 1 + chi, 1)
     share = {y: by_class.get(y, 0) / max(1.0, m) for y, m in ((0, m0), (1, m1))}
     prior = by_class.get(1, 0) / max(1, by_class.get(0, 0) + by_class.get(1, 0))
     # labels weigh so that the sample's votes stand for all labelled rows
     weight = (share[0] / max(share.values()), share[1] / max(share.values()))
-    held = spark.sparkContext.broadcast(vocabulary)
+    held = spark.sparkContext.broadcast((vocabulary, idf))
+    del table, term, n0, n1, c, d, chi, order
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
-            doc, term, times = _counts(batch.column(1), held.value)
+            own, by_place = held.value
+            doc, term, times = _counts(batch.column(1), own)
             bound = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(term.astype(np.int64))), pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(times))], names=["doc_id", "toxic", "place", "times"])
+            blobs = [term[i:j].astype("<i4").tobytes() + (unit(term[i:j], times[i:j], by_place).astype("<f4").tobytes() if j > i else b"") for i, j in pairwise(bound)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(blobs, pa.binary())], names=["doc_id", "toxic", "weights"])
 
-    plain = Index(vocabulary, idf, [], weight, prior)
+    got = texts.select("doc_id", "text", "toxic").mapInArrow(places, "doc_id long, toxic int, weights binary").toArrow()  # at most 2 * EXAMPLES rows
     rows = []
-    for r in texts.select("doc_id", "text", "toxic").mapInArrow(places, "doc_id long, toxic int, place array<long>, times array<long>").collect():  # at most 2 * EXAMPLES rows
-        place, times = np.array(r["place"], np.int64), np.array(r["times"], np.int64)
-        rows.append((r["doc_id"], r["toxic"], dict(zip(place.tolist(), plain.vector(place, times).tolist(), strict=True)) if len(place) else {}))
+    for d, y, raw in zip(got.column("doc_id").to_pylist(), got.column("toxic").to_pylist(), got.column("weights"), strict=True):
+        raw = raw.as_buffer()
+        n = raw.size // 8
+        rows.append((d, y, (np.frombuffer(raw, "<i4", n), np.frombuffer(raw, "<f4", n, 4 * n))))
     return Index(vocabulary, idf, rows, weight, prior)
 
 
@@ -195,18 +208,25 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
-        for batch in sliced(batches, 2):
+        for batch in sliced(batches, 2, 1 << 20):
             doc, term, times = _counts(batch.column(2), own.vocabulary)
             bound = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             scores, evidence, seen = np.full(batch.num_rows, own.empty), [[]] * batch.num_rows, {}
-            for i in np.flatnonzero(np.diff(bound)):
-                place, n = term[bound[i] : bound[i + 1]].astype(np.int64), times[bound[i] : bound[i + 1]]
-                key = (place.tobytes(), n.tobytes())
-                if key not in seen:
-                    found, cosine = own.nearest(place, own.vector(place, n))
+            some = np.flatnonzero(np.diff(bound))
+            for first in range(0, len(some), TOGETHER):
+                of, fresh = {}, []  # equal texts are searched once
+                for i in some[first : first + TOGETHER]:
+                    place, n = term[bound[i] : bound[i + 1]], times[bound[i] : bound[i + 1]]
+                    of[i] = (place.tobytes(), n.tobytes())
+                    if of[i] not in seen:
+                        seen[of[i]] = None
+                        fresh.append((of[i], (place, own.vector(place, n))))
+                for (key, (place, w)), common in zip(fresh, own.common([x for _, x in fresh]), strict=True):
+                    found, cosine = own.nearest(place, w, common)
                     told = [{"doc_id": int(own.doc_id[j]), "toxic": int(own.toxic[j]), "cosine": float(x)} for j, x in zip(found[:3], cosine[:3], strict=True)]
                     seen[key] = (own.vote(found, cosine) if len(found) else own.empty, told)
-                scores[i], evidence[i] = seen[key]
+                for i, key in of.items():
+                    scores[i], evidence[i] = seen[key]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array(evidence, kind)], names=["doc_id", "held_out", "score", "evidence"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").mapInArrow(near, "doc_id long, held_out boolean, score double, evidence array<struct<doc_id: long, toxic: int, cosine: double>>")

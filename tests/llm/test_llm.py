@@ -218,6 +218,39 @@ def test_nearest_is_exact():
         assert np.allclose(cosine, want[want > 0])
 
 
+def test_nearest_is_exact_with_common_and_rare_terms():
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(500):
+        place = np.unique(np.concatenate((rng.choice(5, 3), rng.choice(np.arange(5, 300), rng.integers(1, 9)))))
+        w = rng.random(len(place))
+        rows.append((i, int(i % 2), dict(zip(place.tolist(), (w / np.linalg.norm(w)).tolist(), strict=True))))
+    index = toxicity.Index(np.arange(300, dtype=np.uint64), np.ones(300), rows, (1.0, 1.0), 0.1)
+    assert 0 < len(index.value) < 300 and len(index.posted)
+    dense = np.zeros((len(rows), 300))
+    for d, _, w in rows:
+        dense[d, list(w)] = list(w.values())
+    for n in (0, 1, 3) * 20:
+        place = np.sort(np.concatenate((rng.choice(5, n, replace=False), rng.choice(np.arange(5, 300), 4, replace=False))))
+        w = rng.random(len(place))
+        w /= np.linalg.norm(w)
+        got, cosine = index.nearest(place, w)
+        want = np.sort(dense[:, place] @ w)[::-1][: toxicity.NEAREST]
+        assert np.allclose(cosine, want[want > 0], atol=1e-6)
+        assert np.allclose(dense[index.doc_id[got]][:, place] @ w, cosine, atol=1e-6)
+
+
+def test_toxicity_searches_texts_without_toxic_terms(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(12)) + (" vile slur" if i % 8 == 0 else "")) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(80)], "doc_id long, toxic int")
+    out = {r.doc_id: r for r in toxicity.score(docs.withColumn("held_out", F.col("doc_id") >= 80), toxicity.fit(docs, labels)).collect()}
+    assert all(len(r.evidence) == 3 for r in out.values())
+    assert all(out[i].evidence[0].doc_id == i and abs(out[i].evidence[0].cosine - 1) < 1e-5 for i in range(80))
+    assert all((r.score >= 0.5) == (i % 8 == 0) for i, r in out.items())
+
+
 def test_exact_dedup(spark, rows):
     out = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.op7_exact_dedup(spark, SMALL).collect()}
     assert out == brute.exact_groups(rows)
