@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs, in DataFrame operations only.
 
-A text's paragraphs are its lines; a longer line is cut at the first sentence end after LEAST characters, or after
-WIDTH, so that a text of one line has several as well. Each distinct paragraph has a 64-bit digest, which goes into one cell of each of three tables: a cell
+A text's paragraphs are its lines, cut at each sentence end and after WIDTH characters, so that a text of one line has
+several as well. Each distinct paragraph has a 64-bit digest, which goes into one cell of each of three tables: a cell
 holds how many digests it has, their XOR, and the XOR of their check hashes. Sketches subtract cell by cell; peeling
 then recovers the digests that differ: a cell with one digest gives it away, taking it out of its other cells frees more.
 The small sketch (3 x 16 cells, a fold of the large one) is tried first, the large one (3 x 64) where peeling fails.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import documents, partitions
 
-LEAST, WIDTH = 80, 240
+WIDTH = 240
 SMALL, LARGE = 16, 64
 #: Rounds of peeling; each frees all cells that have one digest.
 ROUNDS = 16
@@ -36,7 +36,7 @@ def _placed(digest: str, width: int) -> str:
 
 def paragraphs(text: str) -> Column:
     """The distinct paragraphs' digests, placed."""
-    cut = rf"regexp_extract_all({text}, '[^\n]{{1,{LEAST}}}[^\n.!?]{{0,{WIDTH - LEAST}}}[.!?]*', 0)"
+    cut = rf"regexp_extract_all({text}, '[^\n][^\n.!?]{{0,{WIDTH - 1}}}[.!?]*', 0)"
     return F.expr(_placed(f"array_distinct(transform({cut}, p -> xxhash64(trim(p))))", LARGE))
 
 

@@ -88,6 +88,13 @@ def test_fingerprints(spark, rows):
     assert all(r.near_edited > r.near_next for r in out.values() if r.n_chars >= 500)
 
 
+def test_fingerprints_of_short_sentences(spark):
+    docs = spark.createDataFrame([(2, "Aa bb cc. Dd ee ff. Gg hh ii. Jj kk ll."), (1, "Xx yy zz. Uu vv ww. Pp qq rr.")], "doc_id long, text string")
+    out = {r.doc_id: r for r in fingerprints.fingerprint_edits(docs).collect()}
+    # the edited text has the first two sentences and two others
+    assert out[2].near_edited == 0.5 and out[2].near_edited_peeled and out[2].near_next == 0
+
+
 def test_peeling_recovers_the_difference(spark):
     a, b = list(range(1, 30)), list(range(11, 45))
     put = lambda xs: F.expr(fingerprints._placed(f"transform(array({','.join(f'{x}L' for x in xs)}), d -> xxhash64(d))", fingerprints.LARGE))
