@@ -77,3 +77,15 @@ def mix_targets(sizes, share=1.5, most=2.0):
         for s in over:
             full[s] = most * sizes[s]
         left = share * sum(sizes.values()) - sum(full.values())
+
+
+def warc_rows(rows, least=100):
+    """rows: (page_id, payload bytes) with distinct ids. page_id -> (bytes, digest, type, refers_to)."""
+    first = {}
+    for p, b in sorted(rows):
+        first.setdefault(b, p)
+    out = {}
+    for p, b in rows:
+        again = len(b) >= least and first[b] != p
+        out[p] = (len(b), sha256(b).hexdigest(), "revisit" if again else "response", first[b] if again else None)
+    return out

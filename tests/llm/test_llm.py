@@ -258,6 +258,29 @@ def test_toxicity_searches_texts_without_toxic_terms(spark):
     assert all((r.score >= 0.5) == (i % 8 == 0) for i, r in out.items())
 
 
+def test_warc_of_pages(spark, sf_dir):
+    """Every column against the contract, page by page."""
+    rows = [(r.page_id, (r.html or "").encode()) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.op9_warc(spark, sf_dir).collect()} == brute.warc_rows(rows)
+
+
+def test_warc_segments_and_repeats(spark, tmp_path):
+    long = "é" * 5000 + "\r\n\r\nWARC/1.1\r\nz"
+    rows = [(1, "http://a/x y", long), (1, "http://a/x y", long), (2, None, long), (2, None, long), (3, "http://b", None), (None, "http://q", "x" * 300), (4, "http://c", "y" * 1000), (5, "http://c", "y" * 1001)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("uid", F.lit(1)).withColumn("digest", F.lit("x"))
+    warc.write_archives(pages, f"file://{tmp_path}/w", segment=1000)
+    records = warc.read_records(spark, f"file://{tmp_path}/w").collect()
+    assert len({r.record_id for r in records}) == len(records) and max(len(r.payload or b"") for r in records) <= 1000
+    got = warc.captures(spark.createDataFrame(records, warc._RECORD)).withColumn("page", warc.page_of(F.col("metadata"))).collect()
+    assert Counter((r.page, r.record_type) for r in got) == Counter([(1, "response"), (1, "revisit"), (2, "revisit"), (2, "revisit"), (3, "response"), (None, "response"), (4, "response"), (5, "response")])
+    stored = {r.record_id: r for r in got if r.record_type == "response"}
+    for r in got:
+        own = stored[r.refers_to or r.record_id]
+        body = next((h or "").encode() for p, _, h in rows if p == own.page)
+        assert bytes(own.response.payload) == body and own.payload_bytes == len(body)
+        assert r.payload_digest == hashlib.sha256(body).hexdigest() and len(r.requests) == 1
+
+
 def test_exact_dedup(spark, rows):
     out = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.op7_exact_dedup(spark, SMALL).collect()}
     assert out == brute.exact_groups(rows)
