@@ -7,16 +7,17 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import prompts
-from millrace.operators.gate import first_json, validate
+from millrace.functions.normalise import content_id
+from millrace.operators.gate import batch_texts, first_json, validate
 
 #: Names of callers: provider name to a function that makes one from its options.
 PROVIDERS: dict[str, Callable[..., Callable[[dict], str]]] = {}
-# Marks of errors that pass by themselves.
-PASSING = ("429", "500", "502", "503", "504", "529", "overloaded", "rate limit", "rate_limit", "timeout", "timed out", "connection")
+# What marks errors that pass by themselves, in an exception's type name or message, in lower case.
+PASSING = ("ratelimit", "rate_limit", "overloaded", "timeout", "timed out", "connection", "apiconnection", "internalserver", "internal server", "529", "500", "502", "503", "504")
 
 
 def register(name: str):
@@ -46,9 +47,15 @@ def with_cache(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return requests.join(once, "key", "left").withColumn("cached", F.col("reply").isNotNull())
 
 
-def made(requests: DataFrame, call: Callable[[dict], str], tries: int = 5, base: float = 1.0, most: float = 60.0) -> DataFrame:
-    """key, reply, error of requests, called once per distinct key on the executors. Passing errors are waited out,
-    doubling from base up to most seconds, with jitter; a call that fails for good has error."""
+def passes(error: Exception) -> bool:
+    """Whether an error may pass by itself, by its type's name or its message."""
+    told = f"{type(error).__name__}\n{error}".lower()
+    return any(mark in told for mark in PASSING)
+
+
+def made(requests: DataFrame, call: Callable[[dict], str], tries: int = 6, base: float = 2.0, most: float = 60.0) -> DataFrame:
+    """key, reply, error of requests, called once per distinct key on the executors. Passing errors (passes()) are waited
+    out: base seconds, doubled each time, and up to a second more, at most `most`; a call that fails for good has error."""
     once = requests.dropDuplicates(["key"])
     names = once.columns
 
@@ -58,9 +65,9 @@ def made(requests: DataFrame, call: Callable[[dict], str], tries: int = 5, base:
                 return call(row), None
             except Exception as e:  # a provider may raise anything; it is told apart by its message, and kept
                 said = str(e)
-                if n == tries - 1 or not any(m in said.lower() for m in PASSING):
+                if n == tries - 1 or not passes(e):
                     return None, said
-                time.sleep(min(most, base * 2**n) * (0.5 + random.random() / 2))
+                time.sleep(min(most, base * 2**n + random.random()))
         return None, "no tries"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,7 +76,7 @@ def made(requests: DataFrame, call: Callable[[dict], str], tries: int = 5, base:
             got = [ask(r) for r in rows]
             yield pd.DataFrame({"key": batch["key"], "reply": [g[0] for g in got], "error": [g[1] for g in got]})
 
-    return once.mapInPandas(run, "key string, reply string, error string")
+    return once.mapInPandas(run, f"key {once.schema['key'].dataType.simpleString()}, reply string, error string")
 
 
 def judged(log: DataFrame) -> DataFrame:
@@ -96,6 +103,41 @@ def resolve(log: DataFrame, retries: int = 2) -> DataFrame:
     return by.select("id", valid.alias("valid"), F.coalesce("first", "last").cast("long").alias("attempts"), F.col("good.invoice").alias("invoice"), F.when(valid, F.col("good.reply")).otherwise(F.col("bad.reply")).alias("reply"), F.when(~valid, F.col("bad.error")).alias("error"))
 
 
+def extracted(log: DataFrame, retries: int = 2) -> DataFrame:
+    """resolve() where a row without a valid reply is an error that tells its id, attempts and last error."""
+    told = F.concat(F.lit("no valid reply for "), F.col("id").cast("string"), F.lit(" after "), F.col("attempts").cast("string"), F.lit(" attempt(s): "), F.coalesce("error", F.lit("")))
+    found = resolve(log, retries)
+    return found.withColumn("invoice", F.when(F.col("valid"), F.col("invoice")).otherwise(F.raise_error(told).cast(found.schema["invoice"].dataType)))
+
+
+def new_seeds(batches: DataFrame, seen: DataFrame, least: int = 40) -> DataFrame:
+    """id, text, source, batch of batches (batch, reply): the texts that are long enough and neither in seen (id) nor in
+    an earlier place. An anti join on the content's id; of equal texts the first batch's counts."""
+    texts = batches.select("batch", F.posexplode(batch_texts(F.col("reply"), least)).alias("at", "text"))
+    keyed = texts.withColumn("id", content_id(F.col("text")))
+    first = keyed.groupBy("id").agg(F.min_by(F.struct("text", "batch"), F.struct("batch", "at")).alias("w"))
+    return first.join(seen.select("id"), "id", "left_anti").select("id", "w.text", F.lit("teacher").alias("source"), "w.batch")
+
+
+def until(spark: SparkSession, n: int, ask: Callable[[int, int], str], known: list[str] = (), per_call: int = 10, misses: int = 50, least: int = 40) -> DataFrame:
+    """id, text, source of n new texts (more where the last reply has more than was asked for), or fewer after so many
+    replies without a new one. ask(batch, want) gives a reply; known are ids that count as seen. A loop on the driver, as
+    every call depends on what the ones before gave; it holds the n texts. Replies are read and texts identified by the same expressions as new_seeds()."""
+    found: dict[str, tuple] = {}
+    seen, batch, missed = set(known), 0, 0
+    while len(found) < n and missed < misses:
+        reply = spark.createDataFrame([(batch, ask(batch, min(per_call, n - len(found))))], "batch long, reply string")
+        fresh = reply.select(F.posexplode(batch_texts(F.col("reply"), least)).alias("at", "text")).select("at", "text", content_id(F.col("text")).alias("id"))
+        before = len(found)
+        for row in sorted(fresh.collect()):
+            if row.id not in seen:
+                seen.add(row.id)
+                found[row.id] = (row.id, row.text, "teacher")
+        missed += len(found) == before
+        batch += 1
+    return spark.createDataFrame(list(found.values()), "id string, text string, source string")
+
+
 def next_requests(seeds: DataFrame, log: DataFrame, system: str, retries: int = 2) -> DataFrame:
     """What to ask next (id, attempt, messages, temperature, constrained): first attempts of seeds (id, text) without a
     log, and repairs of those whose last reply failed. The first attempt is free at 0, later ones constrained at 0.3."""

@@ -2,66 +2,159 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.normalise import comparable
+from millrace.functions.normalise import comparable, let, strip
+from millrace.operators.gate import LINE_FIELDS, _kind, _object, parsed
 
 MONEY = ("unit_price", "total", "subtotal", "tax", "grand_total")
 _TEXT, _NUMBER = ("vendor", "date", "currency", "payment_terms"), ("subtotal", "tax", "grand_total")
+_HEADS = ("vendor", "date", "currency", "subtotal", "tax", "grand_total", "payment_terms")
 
 
-def flatten(docs: DataFrame, column: str) -> DataFrame:
-    """docs (id, column: invoice struct) to one row per field: id, path, leaf, s (text) or n (number). One scan, one
-    generator: each row explodes into its own fields, so nothing is shuffled."""
-    x = F.col(column)
-    field = lambda path, leaf, s, n: F.struct(path.alias("path"), F.lit(leaf).alias("leaf"), s.cast("string").alias("s"), n.cast("double").alias("n"))
+def _cell(x: Column, leaf: str) -> tuple[Column, Column]:
+    """A typed field as (text, number)."""
     none = F.lit(None)
-    top = [field(F.lit(c), c, x[c], none) for c in _TEXT] + [field(F.lit(c), c, none, x[c]) for c in _NUMBER]
+    return (x[leaf].cast("string"), none.cast("double")) if leaf in (*_TEXT, "description") else (none.cast("string"), x[leaf].cast("double"))
 
-    def item(v: Column, i: Column) -> Column:
-        at = lambda leaf: F.concat(F.lit("line_items["), i.cast("string"), F.lit(f"].{leaf}"))
-        return F.array(field(at("description"), "description", v["description"], none), *[field(at(c), c, none, v[c]) for c in ("qty", "unit_price", "total")])
 
-    lines = F.flatten(F.transform(F.coalesce(x["line_items"], F.array()), item))
-    return docs.where(x.isNotNull()).select("id", F.inline(F.concat(F.array(*top), lines)))
+def _line_path(i: Column, leaf: str) -> Column:
+    return F.concat(F.lit("line_items["), i.cast("string"), F.lit(f"].{leaf}"))
+
+
+def flatten(docs: DataFrame, column: str) -> DataFrame:
+    """docs (id, column: invoice struct) to one row per field: id, path, leaf, s (text) or n (number). One scan, one
+    generator: each row explodes into its own fields, so nothing is shuffled. A struct has all its top fields; a line that
+    is null has none, and the lines after it keep their numbers."""
+    x = F.col(column)
+    field = lambda path, leaf, v: F.struct(path.alias("path"), F.lit(leaf).alias("leaf"), _cell(v, leaf)[0].alias("s"), _cell(v, leaf)[1].alias("n"))
+    top = F.array(*[field(F.lit(c), c, x) for c in _HEADS])
+    numbered = F.transform(F.coalesce(x["line_items"], F.array()), lambda v, i: F.struct(v.alias("v"), i.alias("i")))
+    lines = F.flatten(F.transform(F.filter(numbered, lambda y: y["v"].isNotNull()), lambda y: F.array(*[field(_line_path(y["i"], c), c, y["v"]) for c in LINE_FIELDS])))
+    return docs.where(x.isNotNull()).select("id", F.inline(F.concat(top, lines)))
+
+
+def flatten_json(docs: DataFrame, column: str) -> DataFrame:
+    """docs (id, column: JSON text) to one row per field that is there: id, path, leaf, s (text), n (number; truth values
+    as 0 and 1) or j (JSON of anything else). A key that is missing has no row, one that is null has a row of nulls. Line
+    items that aren't objects are left out and keep their numbers. Amounts and quantities given as text have n where they
+    read as a number as they stand. What isn't an object has no rows."""
+
+    def field(path: Column, leaf: str, m: Column) -> Column:
+        def of_value(v: Column) -> Column:
+            kind = _kind(v)
+            text = F.when(kind == "STRING", F.try_variant_get(v, "$", "string"))
+            truth = F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double"))
+            nested = kind.isin("OBJECT", "ARRAY")
+            number = F.when(~nested & (kind != "STRING"), F.coalesce(truth, F.try_variant_get(v, "$", "double")))
+            if leaf in (*MONEY, "qty"):
+                number = F.coalesce(number, strip(text).try_cast("double"))
+                text = F.when(number.isNull(), text)
+            return F.struct(path.alias("path"), F.lit(leaf).alias("leaf"), text.alias("s"), number.alias("n"), F.when(nested, F.to_json(v)).alias("j"))
+
+        return F.when(F.map_contains_key(m, leaf), let(F.try_element_at(m, F.lit(leaf)), of_value))
+
+    def of_object(m: Column) -> Column:
+        top = F.array(*[field(F.lit(c), c, m) for c in _HEADS])
+        items = F.try_variant_get(F.try_element_at(m, F.lit("line_items")), "$", "array<variant>")
+        lines = F.transform(items, lambda x, i: let(_object(x), lambda own: F.array(*[field(_line_path(i, c), c, own) for c in LINE_FIELDS])))
+        return F.array_compact(F.concat(top, F.coalesce(F.flatten(lines), F.slice(top, 1, 0))))
+
+    return docs.select("id", F.inline(let(_object(parsed(F.col(column))), of_object)))
 
 
 def compare(pred: DataFrame, gold: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """Full outer join of fields by (id, path), with match. Present but null differs from missing in has_*."""
-    p = pred.select("id", "path", F.col("leaf").alias("pleaf"), F.col("s").alias("ps"), F.col("n").alias("pn"), F.lit(True).alias("has_pred"))
-    g = gold.select("id", "path", F.col("leaf").alias("gleaf"), F.col("s").alias("gs"), F.col("n").alias("gn"), F.lit(True).alias("has_gold"))
-    met = p.join(g, ["id", "path"], "full_outer").withColumn("leaf", F.coalesce("pleaf", "gleaf"))
+    """Full outer join of fields by (id, path), with match: for sides in separate tables (compare_pairs for sides in one
+    row). Present but null differs from missing in has_*."""
+    nested = "j" in pred.columns and "j" in gold.columns
+    side = lambda df, x: df.select("id", "path", F.col("leaf").alias(f"{x}leaf"), F.col("s").alias(f"{x}s"), F.col("n").alias(f"{x}n"), *([F.col("j").alias(f"{x}j")] if nested else []), F.lit(True).alias(f"has_{'pred' if x == 'p' else 'gold'}"))
+    met = side(pred, "p").join(side(gold, "g"), ["id", "path"], "full_outer").withColumn("leaf", F.coalesce("pleaf", "gleaf"))
     met = met.withColumn("has_pred", F.coalesce("has_pred", F.lit(False))).withColumn("has_gold", F.coalesce("has_gold", F.lit(False)))
-    none_p, none_g = F.col("ps").isNull() & F.col("pn").isNull(), F.col("gs").isNull() & F.col("gn").isNull()
+    return _matched(met.drop("pleaf", "gleaf"), tolerance, nested)
+
+
+def compare_pairs(docs: DataFrame, pred: str = "pred", gold: str = "gold", keep: tuple[str, ...] = (), tolerance: float = 0.01) -> DataFrame:
+    """The rows of compare() for docs (id, pred and gold: invoice structs, and columns to keep). Fields of both sides
+    meet within the row, top fields by name and lines by position, so nothing is shuffled or computed twice."""
+    p, g = F.col(pred), F.col(gold)
+
+    def field(path: Column, leaf: str, a: Column, b: Column) -> Column:
+        (ps, pn), (gs, gn) = _cell(a, leaf), _cell(b, leaf)
+        return F.struct(path.alias("path"), F.lit(leaf).alias("leaf"), ps.alias("ps"), pn.alias("pn"), a.isNotNull().alias("has_pred"), gs.alias("gs"), gn.alias("gn"), b.isNotNull().alias("has_gold"))
+
+    top = F.array(*[field(F.lit(c), c, p, g) for c in _HEADS])
+    none = F.array()
+    both = F.arrays_zip(F.coalesce(p["line_items"], none).alias("p"), F.coalesce(g["line_items"], none).alias("g"))
+    lines = F.flatten(F.transform(both, lambda x, i: F.array(*[field(_line_path(i, c), c, x["p"], x["g"]) for c in LINE_FIELDS])))
+    out = docs.select("id", *keep, p.isNull().alias("pred_null"), F.inline(F.concat(top, lines))).where("has_pred or has_gold")
+    return _matched(out, tolerance)
+
+
+def _matched(met: DataFrame, tolerance: float, nested: bool = False) -> DataFrame:
+    none = lambda x: F.col(f"{x}s").isNull() & F.col(f"{x}n").isNull() & (F.col(f"{x}j").isNull() if nested else F.lit(True))
     limit = F.when(F.col("leaf") == "qty", 1e-4).otherwise(tolerance)
     number = F.abs(F.col("pn") - F.col("gn")) <= limit
-    same = F.when(none_p & none_g, True).when(none_p | none_g, False).otherwise(F.coalesce(number, comparable(F.col("ps")) == comparable(F.col("gs")), F.lit(False)))
-    return met.withColumn("same", same).withColumn("match", F.col("same") & F.col("has_pred") & F.col("has_gold")).drop("pleaf", "gleaf")
+    text = comparable(F.col("ps")) == comparable(F.col("gs"))
+    alike = F.coalesce(number, text, *([F.col("pj") == F.col("gj")] if nested else []), F.lit(False))
+    same = F.when(none("p") & none("g"), True).when(none("p") | none("g"), False).otherwise(alike)
+    return met.withColumn("same", same).withColumn("match", F.col("same") & F.col("has_pred") & F.col("has_gold"))
 
 
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
+def _scored(ids: DataFrame) -> DataFrame:
+    p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
+    out = ids.withColumn("precision", p).withColumn("recall", r)
+    out = out.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    out = out.withColumn("exact", ~F.col("pred_null") & F.coalesce("all", F.lit(True)))
+    return out.withColumn("agreement", F.when(F.col("pred_null"), 0.0).otherwise(F.coalesce("agree", F.lit(0.0))))
+
+
+_SCORES = ("tp", "fp", "fn", "precision", "recall", "f1", "exact", "agreement")
+
+
+def _sums() -> list[Column]:
+    n = lambda c: F.count_if(c).cast("long")
+    return [n(F.col("match")).alias("tp"), n(F.col("has_pred") & ~F.col("match")).alias("fp"), n(F.col("has_gold") & ~F.col("match")).alias("fn"), F.bool_and("match").alias("all"), F.avg(F.col("match").cast("int")).alias("agree")]
+
+
 def field_scores(ids: DataFrame, fields: DataFrame) -> DataFrame:
     """Per id: tp, fp, fn, precision, recall, f1, exact, agreement. ids: id, pred_null; an id without fields scores 0
     (exact where it has a prediction and no fields on either side)."""
-    n = lambda c: F.count_if(c).cast("long")
-    by = fields.groupBy("id").agg(n(F.col("match")).alias("tp"), n(F.col("has_pred") & ~F.col("match")).alias("fp"), n(F.col("has_gold") & ~F.col("match")).alias("fn"), F.bool_and("match").alias("all"), F.avg(F.col("match").cast("int")).alias("agree"))
-    out = ids.join(by, "id", "left").na.fill(0, ["tp", "fp", "fn"])
-    p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
-    out = out.withColumn("precision", p).withColumn("recall", r)
-    out = out.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
-    exact = ~F.col("pred_null") & F.coalesce("all", F.lit(True))
-    return out.select("id", "tp", "fp", "fn", "precision", "recall", "f1", exact.alias("exact"), F.when(F.col("pred_null"), 0.0).otherwise(F.coalesce("agree", F.lit(0.0))).alias("agreement"))
+    out = ids.join(fields.groupBy("id").agg(*_sums()), "id", "left").na.fill(0, ["tp", "fp", "fn"])
+    return _scored(out).select("id", *_SCORES)
+
+
+def pair_scores(docs: DataFrame, pred: str = "pred", gold: str = "gold", keep: tuple[str, ...] = (), tolerance: float = 0.01) -> DataFrame:
+    """field_scores() of docs (id, pred, gold, and columns to keep, one value an id): a row's fields are summed up in the
+    task that made them, so one row an id is shuffled. An id without a struct on either side has no row."""
+    by = compare_pairs(docs, pred, gold, keep, tolerance).groupBy("id", *keep).agg(F.bool_or("pred_null").alias("pred_null"), *_sums())
+    return _scored(by).select("id", *keep, *_SCORES)
 
 
-def batch_scores(scores: DataFrame) -> DataFrame:
-    """One row over field_scores: macro means, micro f1, exact rate."""
+def one_to_one(preds: DataFrame, golds: DataFrame, order: str = "at") -> DataFrame:
+    """preds (at, pred) next to golds (at, gold) of the same place. A place that one side lacks, or has twice, is an error,
+    as is a pair of empty tables."""
+    side = lambda df, name: df.groupBy(order).agg(F.count("*").alias(f"n_{name}"), F.first(name).alias(name))
+    met = side(preds, "pred").join(side(golds, "gold"), order, "full_outer")
+    fits = (F.coalesce("n_pred", F.lit(0)) == 1) & (F.coalesce("n_gold", F.lit(0)) == 1)
+    told = F.raise_error(F.concat(F.lit("no pair at place "), F.col(order).cast("string"))).cast("boolean")
+    if met.isEmpty():
+        raise ValueError("no predictions")
+    return met.where(F.when(fits, F.lit(True)).otherwise(told)).select(order, "pred", "gold")
+
+
+def batch_scores(scores: DataFrame, valid: Column | None = None) -> DataFrame:
+    """One row over field scores: macro means, micro f1, exact rate, and schema_valid_rate where valid (a truth value a
+    row: whether the raw reply passes the gate, or that there is a prediction) is given. Without rows it is an error."""
     tp, fp, fn = (F.sum(c) for c in ("tp", "fp", "fn"))
     micro_p, micro_r = ratio(tp, tp + fp), ratio(tp, tp + fn)
-    return scores.agg(F.count("*").alias("n"), F.avg("f1").alias("f1_macro"), F.avg("precision").alias("precision_macro"), F.avg("recall").alias("recall_macro"), ratio(2 * micro_p * micro_r, micro_p + micro_r).alias("f1_micro"), F.avg(F.col("exact").cast("int")).alias("exact_rate"), F.avg("agreement").alias("agreement"))
+    some = F.when(F.count("*") > 0, F.count("*")).otherwise(F.raise_error(F.lit("no documents to score")).cast("long"))
+    more = [] if valid is None else [F.avg(valid.cast("int")).alias("schema_valid_rate")]
+    return scores.agg(some.alias("n"), F.avg("f1").alias("f1_macro"), F.avg("precision").alias("precision_macro"), F.avg("recall").alias("recall_macro"), ratio(2 * micro_p * micro_r, micro_p + micro_r).alias("f1_micro"), F.avg(F.col("exact").cast("int")).alias("exact_rate"), F.avg("agreement").alias("agreement"), *more)
 
 
 def categorise(fields: DataFrame) -> DataFrame:
@@ -73,11 +166,57 @@ def categorise(fields: DataFrame) -> DataFrame:
     return fields.withColumn("category", F.when(F.col("same"), None).when(none_p, what("missing")).when(none_g, what("hallucinated")).otherwise(wrong))
 
 
+def most_common(rows: DataFrame, column: str) -> DataFrame:
+    """column, n, rank: values by falling count, then by value. The counts, not the rows, are ordered."""
+    by = rows.groupBy(column).agg(F.count("*").alias("n"))
+    return by.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), column)).cast("long"))
+
+
+def second_pass(records: DataFrame, second: DataFrame, order: str = "ord") -> DataFrame:
+    """records (id, output, ...) with second: the output of the last of their rows in second (id, output, ord); null where
+    there is none or it is null. Repeated rows are settled before the join, so records don't multiply."""
+    last = second.groupBy("id").agg(F.max_by(F.struct("output"), order)["output"].alias("second"))
+    return records.join(last, "id", "left")
+
+
+def self_consistent(agreement: Column, threshold: float = 0.85) -> Column:
+    """struct(ok, agreement) of two passes over one document; a null agreement (a pass is missing) is (false, 0)."""
+    share = F.coalesce(agreement, F.lit(0.0))
+    return F.struct((agreement.isNotNull() & (share >= threshold)).alias("ok"), share.alias("agreement"))
+
+
 def consistency(first: DataFrame, second: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """id, agreement (rounded), kept, reason. first: id and its agreement with the second pass; second: id, null_second.
-    Rows whose second pass is absent or null are kept, with null agreement."""
-    met = first.join(second, "id", "left")
-    seen = F.coalesce(~F.col("null_second"), F.lit(False))
+    """id, agreement (rounded), kept, reason. first: id and its agreement with the second pass; second: id, null_second
+    (of repeated ids, one that isn't null counts). Rows whose second pass is absent or null are kept, with null agreement."""
+    met = first.join(second.groupBy("id").agg(F.bool_and("null_second").alias("null_second")), "id", "left")
+    return _consistent(met, F.coalesce(~F.col("null_second"), F.lit(False)), threshold)
+
+
+def consistency_of(records: DataFrame, second: DataFrame, threshold: float = 0.85, order: str = "ord") -> DataFrame:
+    """consistency() of records (id, output struct) and the last of their second passes (id, output struct, ord)."""
+    met = second_pass(records.select("id", "output"), second, order)
+    scores = pair_scores(met.withColumn("seen", F.col("second").isNotNull()), "second", "output", ("seen",))
+    return _consistent(scores, F.col("seen"), threshold)
+
+
+def _consistent(met: DataFrame, seen: Column, threshold: float) -> DataFrame:
     kept = ~seen | (F.col("agreement") >= threshold)
     reason = F.when(~kept, F.format_string("consistency: %.3f", F.col("agreement")))
     return met.select("id", F.when(seen, F.round("agreement", 4)).alias("agreement"), kept.alias("kept"), reason.alias("reason"))
+
+
+def sums_up(invoice: Column, tolerance: float = 0.02) -> Column:
+    """struct(lines, total): whether the lines' totals make the subtotal, and subtotal and tax the grand total."""
+    total = F.aggregate(F.coalesce(invoice["line_items"], F.array()), F.lit(0.0), lambda s, x: s + F.coalesce(x["total"], F.lit(0.0)))
+    return F.struct((F.abs(total - invoice["subtotal"]) <= tolerance).alias("lines"), (F.abs(invoice["subtotal"] + invoice["tax"] - invoice["grand_total"]) <= tolerance).alias("total"))
+
+
+def route(invoice: Column, most_lines: int = 20, tolerance: float = 0.02) -> Column:
+    """Reasons (array) to ask the teacher about a student's invoice; empty where there is none: many_lines, arithmetic
+    (lines and tax don't make the grand total), missing:field for each required top field that is null, and no_invoice."""
+    x = invoice
+    total = F.aggregate(F.coalesce(x["line_items"], F.array()), F.lit(0.0), lambda s, y: s + F.coalesce(y["total"], F.lit(0.0)))
+    missing = [F.when(x[c].isNull(), f"missing:{c}") for c in _HEADS if c != "payment_terms"]
+    wrong = F.abs(total + x["tax"] - x["grand_total"]) > tolerance
+    found = F.array_compact(F.array(F.when(F.size(x["line_items"]) > most_lines, "many_lines"), F.when(wrong, "arithmetic"), *missing))
+    return F.when(x.isNull(), F.array(F.lit("no_invoice"))).otherwise(found)

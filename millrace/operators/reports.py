@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.normalise import model_size
 from millrace.operators import cost
 from millrace.operators.review import quality_bar
 
@@ -77,6 +78,43 @@ def money_table(report: DataFrame, metric: str = "f1_macro", bar: float = 0.95)
     return report.select(F.inline(F.array(*rows)))
 
 
+def local_table(report: DataFrame, teacher: str, student: str, retries: int, metric: str = "f1_macro", bar: float = 0.95) -> DataFrame:
+    """ord, axis, teacher, student, win: the seven lines of the table where the teacher runs on own hardware as well, so
+    that it costs nothing by price. teacher and student are models' names, whose sizes are read off (model_size)."""
+    sized = report.withColumn("_t", model_size(F.lit(teacher))).withColumn("_s", model_size(F.lit(student)))
+    has = lambda c: F.col(c) if c in report.columns else F.lit(None).cast("double")
+    said = lambda form, x: F.when(x.isNotNull(), F.format_string(form, x)).otherwise("n/a")
+    size = lambda c: F.regexp_replace(F.format_string("%.6f", c), r"\.?0+$", "")
+    share = lambda c: said("%.1f%%", has(c) * 100)
+    billions = F.concat(size("_t"), F.lit("B"))
+    # The table's wording.
+    lines = [
+        ("Model footprint", F.coalesce(F.concat(billions, F.lit("-class")), F.lit("open teacher")), F.concat(F.lit(student.split("/")[-1]), F.coalesce(F.concat(F.lit(" (~"), size("_s"), F.lit("B)")), F.lit(""))), F.coalesce(F.concat(F.format_string("~%.0f", F.col("_t") / F.col("_s")), F.lit("× smaller")), F.lit("smaller"))),
+        (f"Quality ({metric})", F.concat(said("%.4f", has("teacher_metric")), F.lit(" (ref)")), F.concat(said("%.4f", has(metric)), F.lit(" ("), share("ratio"), F.lit(" of teacher)")), F.concat(F.when(F.col("meets_bar"), "meets").otherwise("below"), F.lit(f" {bar:.0%} bar"))),
+        ("Schema-valid rate", F.lit("—"), F.concat(share("schema_valid_rate"), F.lit(f" (after ≤{retries} constrained-repair retries)")), F.lit("robustness")),
+        ("Exact match", F.lit("—"), share("exact_rate"), F.lit("strictest view")),
+        ("p95 latency", F.coalesce(F.concat(F.lit("full "), billions, F.lit(" forward")), F.lit("full teacher forward")), said("%,.0f ms", has("p95") * 1000), F.lit("smaller footprint")),
+        ("Data egress", F.lit("stays local"), F.lit("stays local"), F.lit("on-prem / private")),
+        ("$/1k (GPU amortized)", said("$%,.4f", has("api_1k")), said("$%,.4f", has("own_1k")), F.lit("both ~free locally")),
+    ]
+    rows = [F.struct(F.lit(i).cast("long").alias("ord"), F.lit(m).alias("axis"), t.alias("teacher"), s.alias("student"), w.alias("win")) for i, (m, t, s, w) in enumerate(lines)]
+    return sized.select(F.inline(F.array(*rows)))
+
+
+def failures(fields: DataFrame, worst: int = 5) -> DataFrame:
+    """One row of a failure analysis over categorise() rows: n_docs, n_perfect, n_fields, n_errors, error_share,
+    categories and leaves (arrays of name, n, share of errors; by falling count, then name), worst (the documents with
+    most errors). One aggregation a document; counts of categories and leaves are summed before they meet."""
+    wrong = F.col("category").isNotNull()
+    by = fields.groupBy("id").agg(F.count("*").alias("f"), F.count_if(wrong).alias("e"))
+    sums = by.agg(F.count("*").alias("n_docs"), F.count_if(F.col("e") == 0).alias("n_perfect"), F.sum("f").alias("n_fields"), F.sum("e").alias("n_errors"))
+    top = by.where("e > 0").orderBy(F.desc("e"), "id").limit(worst).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("e")).alias("o"), "id", F.col("e").alias("n_errors"), F.col("f").alias("n_fields")))), lambda x: F.struct(x["id"].alias("id"), x["n_errors"].alias("n_errors"), x["n_fields"].alias("n_fields"))).alias("worst"))
+    ranked = lambda c: fields.where(wrong).groupBy(F.col(c).alias("name")).agg(F.count("*").alias("n")).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "name", "n"))), lambda x: F.struct(x["name"].alias("name"), x["n"].alias("n"))).alias(c))
+    row = sums.crossJoin(F.broadcast(ranked("category"))).crossJoin(F.broadcast(ranked("leaf"))).crossJoin(F.broadcast(top))  # one row each
+    share = lambda xs: F.transform(xs, lambda x: F.struct(x["name"].alias("name"), x["n"].alias("n"), (x["n"] / F.greatest("n_errors", F.lit(1))).alias("share")))
+    return row.select("n_docs", "n_perfect", "n_fields", "n_errors", (F.col("n_errors") / F.greatest("n_fields", F.lit(1))).alias("error_share"), share(F.col("category")).alias("categories"), share(F.col("leaf")).alias("leaves"), "worst")
+
+
 def markdown(table: DataFrame, order: str = "ord") -> DataFrame:
     """One row, text: a table of few rows (a report) in markdown, in the order of a column that is left out."""
     names = [c for c in table.columns if c != order]

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.extraction import pair_scores
+from millrace.operators.gate import validate
+
 
 def informativeness(f1: Column, repaired: Column, exact: Column) -> Column:
     return (1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), f1))) + 0.5 * repaired.cast("int") + 0.5 * (~exact).cast("int")
@@ -28,23 +31,88 @@ def stratified_sample(items: DataFrame, n: int) -> DataFrame:
     return items.withColumn("rank", rank).join(plan, "stratum").where("rank <= alloc").select("id", "stratum", "informativeness", F.col("rank").cast("long").alias("rank"))
 
 
-def rater_scores(pairs: DataFrame) -> DataFrame:
-    """One row: n, raw agreement, chance agreement and Cohen's kappa of labels a, b (rows with both)."""
-    both = pairs.where("a is not null and b is not null")
+def candidates(docs: DataFrame) -> DataFrame:
+    """id, stratum, f1, exact, repaired, informativeness of docs (id, pred, gold: invoices, raw: the reply): repaired tells
+    that there is a raw reply which doesn't pass the gate as it stands; the stratum is the currency of the prediction,
+    else (without a prediction) of the gold, else UNK."""
+    repaired = F.col("raw").isNotNull() & (F.size(validate(F.col("raw"))["errors"]) > 0)
+    named = F.when(F.col("pred").isNotNull(), F.col("pred.currency")).otherwise(F.col("gold.currency"))
+    ready = docs.select("id", "pred", "gold", F.coalesce(F.nullif(named, F.lit("")), F.lit("UNK")).alias("stratum"), repaired.alias("repaired"))
+    out = pair_scores(ready, keep=("stratum", "repaired")).select("id", "stratum", "f1", "exact", "repaired")
+    return out.withColumn("informativeness", informativeness(F.col("f1"), F.col("repaired"), F.col("exact")))
+
+
+def limited(rows: DataFrame, by: str, n: int, order: str = "id") -> DataFrame:
+    """The first n rows of each set, by order. Each task keeps n a set before rows move."""
+    return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("_rank") <= n).drop("_rank")
+
+
+def aligned(a: DataFrame, b: DataFrame, order: str = "ord") -> DataFrame:
+    """id, a, b of two raters' rows (id, label, ord): ids that both labelled, each by the last of its rows with a label.
+    Both sides come down to one row an id before they meet."""
+    last = lambda df, name: df.where("label is not null and label <> ''").groupBy("id").agg(F.max_by("label", order).alias(name))
+    return last(a, "a").join(last(b, "b"), "id")
+
+
+def _agreement() -> list[Column]:
+    return [F.count("*").alias("n"), F.avg((F.col("a") == F.col("b")).cast("int")).alias("po")]
+
+
+def _kappa(both: DataFrame, raw: DataFrame) -> DataFrame:
+    """raw (one row with n and po, and more) with pe and kappa of both (a, b)."""
     labels = both.select(F.col("a").alias("label"), F.lit(1).alias("in_a"), F.lit(0).alias("in_b")).union(both.select("b", F.lit(0), F.lit(1)))
     chance = labels.groupBy("label").agg(F.sum("in_a").alias("x"), F.sum("in_b").alias("y")).agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
-    raw = both.agg(F.count("*").alias("n"), F.avg((F.col("a") == F.col("b")).cast("int")).alias("po"))
-    met = raw.crossJoin(F.broadcast(chance)).withColumn("pe", F.try_divide(F.col("xy").cast("double"), F.col("n").cast("double") * F.col("n")))
+    met = raw.crossJoin(F.broadcast(chance)).withColumn("pe", F.try_divide(F.col("xy").cast("double"), F.col("n").cast("double") * F.col("n")))  # one row by one
     close = F.abs(F.col("pe") - 1) <= 1e-9
     kappa = F.when(close, F.when(F.abs(F.col("po") - 1) <= 1e-9, 1.0).otherwise(0.0)).otherwise(F.try_divide(F.col("po") - F.col("pe"), 1 - F.col("pe")))
-    return met.select("n", "po", "pe", kappa.alias("kappa"))
+    return met.withColumn("kappa", kappa).drop("xy")
+
+
+def rater_scores(pairs: DataFrame) -> DataFrame:
+    """One row: n, raw agreement, chance agreement and Cohen's kappa of labels a, b (rows with both)."""
+    both = pairs.where("a is not null and b is not null")
+    return _kappa(both, both.agg(*_agreement())).select("n", "po", "pe", "kappa")
+
+
+def score_raters(a: DataFrame, b: DataFrame, labels: tuple[str, ...] = ("correct", "incorrect"), bar: float = 0.70, order: str = "ord") -> DataFrame:
+    """One row over aligned() raters: n, po, kappa, n_disagreements, confusion (a map "a|b" to counts, zeros included) and
+    verdict (PASS where kappa reaches the bar, else REVISE). Raters that share no item are an error."""
+    both = aligned(a, b, order)
+    cells = [(x, y) for x in labels for y in labels]
+    counts = [F.count_if((F.col("a") == x) & (F.col("b") == y)).alias(f"c{i}") for i, (x, y) in enumerate(cells)]
+    out = _kappa(both, both.agg(*_agreement(), F.count_if(F.col("a") != F.col("b")).alias("n_disagreements"), *counts))
+    some = F.when(F.col("n") > 0, F.col("n")).otherwise(F.raise_error(F.lit("the raters share no rated item")).cast("long"))
+    grid = F.create_map(*[x for i, (p, q) in enumerate(cells) for x in (F.lit(f"{p}|{q}"), F.col(f"c{i}"))])
+    return out.select(some.alias("n"), "po", "kappa", "n_disagreements", grid.alias("confusion"), kappa_gate(F.col("kappa"), bar).alias("verdict"))
+
+
+def kappa_gate(kappa: Column, bar: float = 0.70) -> Column:
+    return F.when(kappa >= bar, "PASS").otherwise("REVISE")
+
+
+def human_accuracy(labels: DataFrame) -> DataFrame:
+    """One row over settled labels (label): n, human_verified_accuracy, n_correct, n_incorrect, precision_correct,
+    recall_correct (1 by definition: every extraction was put forward as correct). No labels are an error."""
+    good = F.coalesce(F.col("label") == "correct", F.lit(False))
+    out = labels.agg(F.count("*").alias("n"), F.count_if(good).alias("n_correct"))
+    some = F.when(F.col("n") > 0, F.col("n")).otherwise(F.raise_error(F.lit("no gold labels")).cast("long"))
+    share = F.try_divide("n_correct", "n")
+    return out.select(some.alias("n"), share.alias("human_verified_accuracy"), "n_correct", (F.col("n") - F.col("n_correct")).alias("n_incorrect"), share.alias("precision_correct"), F.lit(1.0).alias("recall_correct"))
+
+
+#: Labels that a confusion matrix may have, so that their pairs can be made from a broadcast.
+MOST_LABELS = 1000
 
 
 def confusion(pairs: DataFrame) -> DataFrame:
-    """a, b, n over all pairs of labels that occur, zero where none."""
+    """a, b, n over all pairs of labels that occur, zero where none. More than MOST_LABELS labels are an error."""
     both = pairs.where("a is not null and b is not null")
     labels = both.select(F.col("a").alias("l")).union(both.select("b")).distinct()
-    grid = labels.select(F.col("l").alias("a")).crossJoin(F.broadcast(labels.select(F.col("l").alias("b"))))  # labels squared
+    found = labels.limit(MOST_LABELS + 1).collect()
+    if len(found) > MOST_LABELS:
+        raise ValueError(f"a confusion matrix has at most {MOST_LABELS} labels")
+    names = [r.l for r in found]
+    grid = both.sparkSession.createDataFrame([(x, y) for x in names for y in names], f"a {labels.schema['l'].dataType.simpleString()}, b {labels.schema['l'].dataType.simpleString()}")
     return grid.join(both.groupBy("a", "b").agg(F.count("*").alias("n")), ["a", "b"], "left").na.fill(0, ["n"])
 
 
@@ -65,13 +133,14 @@ def split(rows: DataFrame, seed: int = 17, train: float = 0.72, dev: float = 0.1
 
 
 def binary_report(pairs: DataFrame, positive: str = "correct") -> DataFrame:
-    """One row: n, accuracy, precision, recall, f1 of b against a (the truth) for one label; ratios without a base are 0."""
+    """One row: n, accuracy, precision, recall, f1 of b against a (the truth) for one label, and kappa; ratios without a
+    base are 0."""
     both = pairs.where("a is not null and b is not null")
     hit, said, true = (F.col("a") == positive) & (F.col("b") == positive), F.col("b") == positive, F.col("a") == positive
-    out = both.agg(F.count("*").alias("n"), F.coalesce(F.avg((F.col("a") == F.col("b")).cast("int")), F.lit(0.0)).alias("accuracy"), F.count_if(hit).alias("tp"), F.count_if(said).alias("said"), F.count_if(true).alias("true"))
+    out = _kappa(both, both.agg(*_agreement(), F.count_if(hit).alias("tp"), F.count_if(said).alias("said"), F.count_if(true).alias("true")))
     out = out.withColumn("precision", F.coalesce(F.try_divide("tp", "said"), F.lit(0.0))).withColumn("recall", F.coalesce(F.try_divide("tp", "true"), F.lit(0.0)))
     both_rates = F.col("precision") + F.col("recall")
-    return out.select("n", "accuracy", "precision", "recall", F.when(both_rates > 0, 2 * F.col("precision") * F.col("recall") / both_rates).otherwise(0.0).alias("f1"))
+    return out.select("n", F.coalesce("po", F.lit(0.0)).alias("accuracy"), "precision", "recall", F.when(both_rates > 0, 2 * F.col("precision") * F.col("recall") / both_rates).otherwise(0.0).alias("f1"), "kappa")
 
 
 def printed_share(document: Column, invoice: Column) -> Column:
@@ -97,6 +166,20 @@ def silver(scores: DataFrame, least: float = 0.95) -> DataFrame:
     return scores.select("id", F.round("f1", 4).alias("silver_field_f1"), (F.col("f1") >= least).alias("silver_verified"))
 
 
+# The grades of a gold set.
+GRADES = ("SILVER (cross-model agreement)", "human_verified", "DEV_ONLY_teacher_labeled")
+
+
+def usable_gold(rows: DataFrame, silver_only: bool = False, allow_unverified: bool = False) -> DataFrame:
+    """The rows that may be scored, with grade and n_unverified (of all rows, not of those alone): in silver mode those
+    that a second model agreed with, else those that people verified, or all where unverified ones are allowed. The grade
+    of the set depends on all its rows; the two counts are broadcast, one row."""
+    people = F.coalesce("human_verified", F.lit(False))
+    whole = rows.agg(F.count_if(~people).alias("n_unverified")).withColumn("grade", F.lit(GRADES[0]) if silver_only else F.when(F.col("n_unverified") == 0, GRADES[1]).otherwise(GRADES[2]))
+    kept = F.coalesce("silver_verified", F.lit(False)) if silver_only else people | F.lit(allow_unverified)
+    return rows.where(kept).crossJoin(F.broadcast(whole))
+
+
 def gold_grade(rows: DataFrame) -> DataFrame:
     """One row: n, verified by people, silver, unverified, and the grade that all rows support."""
     people, second = F.coalesce("human_verified", F.lit(False)), F.coalesce("silver_verified", F.lit(False))

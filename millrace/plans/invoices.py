@@ -4,7 +4,7 @@ Each is also given as SQL (CTEs for an oracle), written from the rules, not from
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CURRENCIES = ("USD", "EUR", "GBP", "PKR", "INR")
@@ -19,11 +19,12 @@ def cents(x: Column) -> Column:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, gold (struct): one invoice per order with lines."""
+    """id, gold (struct): one invoice per order with lines. Lines move twice: to their part (unless it is broadcast), and
+    to their order, where one sorted list is made of them."""
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
-    lines = line.withColumn("pos", F.row_number().over(order) - 1).join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
-    item = F.struct("pos", F.col("p_name").alias("description"), F.col("l_quantity").alias("qty"), cents(F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"), F.col("l_extendedprice").alias("total"))
+    lines = line.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+    order = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+    item = F.struct(*order, F.col("p_name").alias("description"), F.col("l_quantity").alias("qty"), cents(F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"), F.col("l_extendedprice").alias("total"))
     money = lambda c: F.sum(cents(c).cast("decimal(18,2)")).cast("double")
     by = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"), money(F.col("l_extendedprice")).alias("subtotal"), money(F.col("l_extendedprice") * F.col("l_tax")).alias("tax"))
     head = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey")), F.col("c_nationkey") == F.col("n_nationkey"))

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import random
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import normalise, prompts
 from millrace.operators import calls, cost, extraction, gate, reports, review, similarity
 from millrace.plans.invoices import COMPARED, SQL, cents, gold, predicted, table
+from millrace.sources import files
+from millrace.sources.scratch import keep, new_path
 
 FLAGSHIP = "field_scores"
 QUERIES: dict = {}
@@ -30,10 +37,16 @@ def _r(*columns: str):
     return [F.round(c, PLACES).alias(c) for c in columns]
 
 
-def _invoices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    both = predicted(gold(spark, sf_dir))
-    fields = extraction.compare(extraction.flatten(both, "pred"), extraction.flatten(both, "gold"))
-    return both.select("id", F.col("pred").isNull().alias("pred_null")), fields
+def _invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predicted(gold(spark, sf_dir))
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.pair_scores(_invoices(spark, sf_dir))
+
+
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.categorise(extraction.compare_pairs(_invoices(spark, sf_dir)))
 
 
 @query(SQL + " SELECT id, path, leaf, s, n FROM gold_f")
@@ -48,16 +61,17 @@ def flatten_pred(spark, sf_dir):
 
 @query(COMPARED + " SELECT id, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round(p, 9) AS precision, round(r, 9) AS recall, round(f1, 9) AS f1, exact, round(agreement, 9) AS agreement FROM sc")
 def field_scores(spark, sf_dir):
-    ids, fields = _invoices(spark, sf_dir)
-    return extraction.field_scores(ids, fields).select("id", "tp", "fp", "fn", *_r("precision", "recall", "f1"), "exact", *_r("agreement"))
+    return _scores(spark, sf_dir).select("id", "tp", "fp", "fn", *_r("precision", "recall", "f1"), "exact", *_r("agreement"))
 
 
 @query(COMPARED + """ SELECT count(*) AS n, round(avg(f1), 9) AS f1_macro, round(avg(p), 9) AS precision_macro, round(avg(r), 9) AS recall_macro,
   round(2.0 * (CAST(sum(tp) AS DOUBLE) / sum(tp + fp)) * (CAST(sum(tp) AS DOUBLE) / sum(tp + fn)) / (CAST(sum(tp) AS DOUBLE) / sum(tp + fp) + CAST(sum(tp) AS DOUBLE) / sum(tp + fn)), 9) AS f1_micro,
-  round(avg(CAST(exact AS INT)), 9) AS exact_rate, round(avg(agreement), 9) AS agreement FROM sc""")
+  round(avg(CAST(exact AS INT)), 9) AS exact_rate, round(avg(agreement), 9) AS agreement, round(avg(CASE WHEN id % 9 = 5 THEN 1 ELSE 0 END), 9) AS schema_valid_rate FROM sc""")
 def evaluate_batch(spark, sf_dir):
-    out = extraction.batch_scores(extraction.field_scores(*_invoices(spark, sf_dir)))
-    return out.select("n", *_r("f1_macro", "precision_macro", "recall_macro", "f1_micro", "exact_rate", "agreement"))
+    valid = F.size(gate.validate(F.col("raw"))["errors"]) == 0
+    docs = _replied(spark, sf_dir).withColumn("valid", valid)
+    out = extraction.batch_scores(extraction.pair_scores(docs, keep=("valid",)), F.col("valid"))
+    return out.select("n", *_r("f1_macro", "precision_macro", "recall_macro", "f1_micro", "exact_rate", "agreement", "schema_valid_rate"))
 
 
 _CATEGORY = """, cat AS (SELECT *, CASE WHEN same THEN NULL WHEN ps IS NULL AND pn IS NULL THEN CASE WHEN path LIKE 'line_items[%' THEN 'missing_line_item' ELSE 'missing_field' END
@@ -67,45 +81,136 @@ _CATEGORY = """, cat AS (SELECT *, CASE WHEN same THEN NULL WHEN ps IS NULL AND
 
 @query(COMPARED + _CATEGORY + "SELECT category, count(*) AS n FROM cat WHERE category IS NOT NULL GROUP BY 1")
 def error_categories(spark, sf_dir):
-    return extraction.categorise(_invoices(spark, sf_dir)[1]).where("category is not null").groupBy("category").agg(F.count("*").alias("n"))
+    return _fields(spark, sf_dir).where("category is not null").groupBy("category").agg(F.count("*").alias("n"))
 
 
 @query(COMPARED + _CATEGORY + "SELECT leaf, count(*) AS n FROM cat WHERE category IS NOT NULL GROUP BY 1")
 def error_leaves(spark, sf_dir):
-    return extraction.categorise(_invoices(spark, sf_dir)[1]).where("category is not null").groupBy("leaf").agg(F.count("*").alias("n"))
+    return _fields(spark, sf_dir).where("category is not null").groupBy("leaf").agg(F.count("*").alias("n"))
 
 
 @query(COMPARED + _CATEGORY + "SELECT id, count(*) AS n_fields, count(category) AS n_errors FROM cat GROUP BY 1 HAVING count(category) > 0 ORDER BY n_errors DESC, id LIMIT 5")
 def worst_documents(spark, sf_dir):
-    by = extraction.categorise(_invoices(spark, sf_dir)[1]).groupBy("id").agg(F.count("*").alias("n_fields"), F.count("category").alias("n_errors"))
+    by = _fields(spark, sf_dir).groupBy("id").agg(F.count("*").alias("n_fields"), F.count("category").alias("n_errors"))
     return by.where("n_errors > 0").orderBy(F.desc("n_errors"), "id").limit(5)
 
 
-@query(COMPARED + """ SELECT id, CASE WHEN id % 10 > 1 THEN round(agreement, 4) END AS agreement, id % 10 <= 1 OR agreement >= 0.85 AS kept,
-  CASE WHEN id % 10 > 1 AND agreement < 0.85 THEN 'consistency: ' || printf('%.3f', agreement) END AS reason FROM sc""")
+_SECOND = "id % 10 > 1 AND id % 29 <> 0"
+
+
+def _second(spark, sf_dir):
+    """Second passes: the damaged copy; absent where id % 10 = 0, null where 1; a third has an earlier one, the gold."""
+    both = _invoices(spark, sf_dir).where("id % 10 <> 0")
+    passes = F.array(F.struct(F.lit(1).alias("ord"), F.col("gold").alias("output")), F.struct(F.lit(2).alias("ord"), F.when(F.col("id") % 10 != 1, F.col("pred")).alias("output")))
+    return both.select("id", F.inline(F.when(F.col("id") % 3 == 0, passes).otherwise(F.slice(passes, 2, 1))))
+
+
+@query(COMPARED + f""" SELECT id, CASE WHEN {_SECOND} THEN round(agreement, 4) END AS agreement, NOT ({_SECOND}) OR agreement >= 0.85 AS kept,
+  CASE WHEN {_SECOND} AND agreement < 0.85 THEN 'consistency: ' || printf('%.3f', agreement) END AS reason FROM sc""")
 def consistency_filter(spark, sf_dir):
-    """Second pass: the damaged copy; absent where id % 10 = 0, null where 1."""
-    scores = extraction.field_scores(*_invoices(spark, sf_dir)).select("id", "agreement")
-    second = scores.where("id % 10 <> 0").select("id", (F.col("id") % 10 == 1).alias("null_second"))
-    return extraction.consistency(scores, second)
+    return extraction.consistency_of(gold(spark, sf_dir).withColumnRenamed("gold", "output"), _second(spark, sf_dir))
 
 
-@query(SQL + " SELECT ids.id, h.subtotal, abs(coalesce(t.total, 0) - h.subtotal) <= CAST(0.02 AS DOUBLE) AS sums_up, coalesce(t.lines, 0) AS lines FROM ids JOIN h ON h.id = ids.id LEFT JOIN (SELECT id, sum(total) AS total, count(*) AS lines FROM li GROUP BY 1) t ON t.id = ids.id")
+@query(COMPARED + f" SELECT id, {_SECOND} AND agreement >= 0.85 AS ok, CASE WHEN {_SECOND} THEN round(agreement, 9) ELSE 0.0 END AS agreement FROM sc")
+def self_consistency(spark, sf_dir):
+    met = extraction.second_pass(gold(spark, sf_dir).withColumnRenamed("gold", "output"), _second(spark, sf_dir))
+    scores = extraction.pair_scores(met.withColumn("seen", F.col("second").isNotNull()), "second", "output", ("seen",))
+    return scores.select("id", extraction.self_consistent(F.when(F.col("seen"), F.col("agreement"))).alias("x")).select("id", "x.ok", F.round("x.agreement", PLACES).alias("agreement"))
+
+
+@query(SQL + """ SELECT h.id, h.subtotal, abs(coalesce(t.total, 0) - h.subtotal) <= CAST(0.01 AS DOUBLE) AS lines, h.id % 5 <> 3 AS total FROM h JOIN ph ON ph.id = h.id
+  LEFT JOIN (SELECT id, sum(total) AS total FROM pl GROUP BY 1) t ON t.id = h.id""")
 def arithmetic_check(spark, sf_dir):
-    g = F.col("gold")
-    total = F.aggregate(g["line_items"], F.lit(0.0), lambda s, x: s + x.total)
-    return gold(spark, sf_dir).select("id", g["subtotal"].alias("subtotal"), (F.abs(total - g["subtotal"]) <= 0.02).alias("sums_up"), F.size(g["line_items"]).cast("long").alias("lines"))
+    """Of damaged invoices; by a grand total that is 0.02 off, or lines that don't make the subtotal."""
+    x = _invoices(spark, sf_dir).where("pred is not null").select("id", F.col("pred.subtotal").alias("subtotal"), extraction.sums_up(F.col("pred"), 0.01).alias("x"))
+    return x.select("id", "subtotal", "x.lines", "x.total")
+
+
+@query(SQL + """, t AS (SELECT id, count(*) AS lines, sum(total) AS total FROM pl GROUP BY 1)
+  SELECT ids.id, CASE WHEN pred_null THEN 'no_invoice' ELSE concat_ws(',', CASE WHEN t.lines > 5 THEN 'many_lines' END, CASE WHEN abs(coalesce(t.total, 0) + ph.tax - ph.grand_total) > CAST(0.03 AS DOUBLE) THEN 'arithmetic' END,
+    CASE WHEN ids.id % 8 = 3 THEN 'missing:date' END, CASE WHEN ids.id % 31 = 5 THEN 'missing:currency' END) END AS reasons FROM ids LEFT JOIN ph ON ph.id = ids.id LEFT JOIN t ON t.id = ids.id""")
+def routing(spark, sf_dir):
+    p = F.col("pred")
+    bare = p.withField("date", F.when(F.col("id") % 8 != 3, p["date"])).withField("currency", F.when(F.col("id") % 31 != 5, p["currency"]))
+    rows = _invoices(spark, sf_dir).withColumn("x", F.when(p.isNotNull(), bare))
+    return rows.select("id", F.array_join(extraction.route(F.col("x"), 5, 0.03), ",").alias("reasons"))
+
+
+#: Invoices as JSON text, damaged on the way: keys of null fields dropped, lines that aren't objects, an amount as text, an
+#: object for a name, and an array in place of an object. raw_f has the fields that remain.
+_RAW = SQL + """, raw_f AS (SELECT id, CASE WHEN id % 5 = 0 AND path LIKE 'line_items[%' THEN 'line_items[' || (CAST(regexp_extract(path, '\\[([0-9]+)\\]', 1) AS BIGINT) + 2) || '].' || leaf ELSE path END AS path, leaf,
+  CASE WHEN NOT (id % 13 = 6 AND path = 'vendor') THEN s END AS s, CASE WHEN id % 11 = 4 AND path = 'tax' THEN 12.5 ELSE n END AS n, CASE WHEN id % 13 = 6 AND path = 'vendor' THEN '{"n":1}' END AS j
+  FROM gold_f WHERE id % 17 <> 8 AND NOT (id % 7 = 3 AND path = 'date') AND NOT (id % 2 = 0 AND s IS NULL AND n IS NULL))"""
+
+
+def _raw(spark, sf_dir):
+    k, g = F.col("id"), F.col("gold")
+    j = F.when(k % 2 == 0, F.to_json(g)).otherwise(F.to_json(g, {"ignoreNullFields": "false"}))
+    for when, pattern, to in ((k % 5 == 0, r'"line_items":\[', '"line_items":[4,"x",'), (k % 7 == 3, '"date":"[^"]*",', ""), (k % 11 == 4, '"tax":[^,}]*', '"tax":" 12.5 "'), (k % 13 == 6, '"vendor":"[^"]*"', '"vendor":{"n":1}')):
+        j = F.when(when, F.regexp_replace(j, pattern, to)).otherwise(j)
+    return gold(spark, sf_dir).select("id", "gold", F.when(k % 17 == 8, "[1]").otherwise(j).alias("raw"))
 
 
-_ITEMS = COMPARED + """, items AS (SELECT sc.id, h.currency AS stratum, round((1 - f1) + 0.5 * CAST(sc.id % 3 = 0 AS INT) + 0.5 * CAST(NOT exact AS INT), 9) AS informativeness FROM sc JOIN h ON h.id = sc.id),
+@query(_RAW + " SELECT id, path, leaf, s, round(n, 9) AS n, j FROM raw_f")
+def flatten_raw(spark, sf_dir):
+    return extraction.flatten_json(_raw(spark, sf_dir), "raw").withColumn("n", F.round("n", PLACES))
+
+
+@query(_RAW + """, c AS (SELECT coalesce(p.id, g.id) AS id, p.id IS NOT NULL AS hp, g.id IS NOT NULL AS hg, CASE WHEN p.s IS NULL AND p.n IS NULL AND p.j IS NULL THEN g.s IS NULL AND g.n IS NULL WHEN g.s IS NULL AND g.n IS NULL THEN false
+    WHEN p.n IS NOT NULL AND g.n IS NOT NULL THEN abs(p.n - g.n) <= CASE WHEN g.leaf = 'qty' THEN CAST(0.0001 AS DOUBLE) ELSE CAST(0.01 AS DOUBLE) END
+    ELSE coalesce(lower(trim(regexp_replace(p.s, '\\s+', ' ', 'g'))) = lower(trim(regexp_replace(g.s, '\\s+', ' ', 'g'))), false) END AS same FROM raw_f p FULL OUTER JOIN gold_f g ON p.id = g.id AND p.path = g.path)
+  SELECT id, count(*) FILTER (same AND hp AND hg) AS tp, count(*) FILTER (hp AND NOT (same AND hg)) AS fp, count(*) FILTER (hg AND NOT (same AND hp)) AS fn FROM c GROUP BY 1""")
+def raw_scores(spark, sf_dir):
+    """Raw replies against the invoices, as tables apart: what is missing differs from what is null."""
+    rows = keep(_raw(spark, sf_dir), "raw")
+    told = rows.select("id", F.to_json("gold", {"ignoreNullFields": "false"}).alias("whole"))
+    fields = extraction.compare(extraction.flatten_json(rows, "raw"), extraction.flatten_json(told, "whole"))
+    return extraction.field_scores(rows.select("id", (F.col("id") % 17 == 8).alias("pred_null")), fields).select("id", "tp", "fp", "fn")
+
+
+@query(SQL + " SELECT id - 1 AS at, id % 29 = 0 AS pred_null, vendor FROM h")
+def one_to_one(spark, sf_dir):
+    both = _invoices(spark, sf_dir).withColumn("at", F.col("id") - 1)
+    met = extraction.one_to_one(both.select("at", "pred"), both.select("at", "gold"))
+    return met.select("at", F.col("pred").isNull().alias("pred_null"), "gold.vendor")
+
+
+@query(COMPARED + _CATEGORY + "SELECT category, n, row_number() OVER (ORDER BY n DESC, category) AS rank FROM (SELECT category, count(*) AS n FROM cat WHERE category IS NOT NULL GROUP BY 1) x")
+def categories_ranked(spark, sf_dir):
+    return extraction.most_common(_fields(spark, sf_dir).where("category is not null"), "category")
+
+
+@query(COMPARED + _CATEGORY + """, d AS (SELECT id, count(*) AS f, count(category) AS e FROM cat GROUP BY 1)
+  SELECT count(*) AS n_docs, count(*) FILTER (e = 0) AS n_perfect, CAST(sum(f) AS BIGINT) AS n_fields, CAST(sum(e) AS BIGINT) AS n_errors, round(sum(e) / sum(f), 9) AS error_share,
+  (SELECT string_agg(category || '=' || n, ',' ORDER BY n DESC, category) FROM (SELECT category, count(*) AS n FROM cat WHERE category IS NOT NULL GROUP BY 1) x) AS categories,
+  (SELECT string_agg(leaf || '=' || n, ',' ORDER BY n DESC, leaf) FROM (SELECT leaf, count(*) AS n FROM cat WHERE category IS NOT NULL GROUP BY 1) x) AS leaves,
+  (SELECT string_agg(id, ',' ORDER BY e DESC, id) FROM (SELECT id, e FROM d WHERE e > 0 ORDER BY e DESC, id LIMIT 5) x) AS worst FROM d""")
+def failure_report(spark, sf_dir):
+    told = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("=", x["name"], x["n"].cast("string"))), ",").alias(c)
+    out = reports.failures(keep(_fields(spark, sf_dir).select("id", "path", "leaf", "category"), "fields"))
+    return out.select("n_docs", "n_perfect", "n_fields", "n_errors", *_r("error_share"), told("categories"), told("leaves"), F.array_join(F.transform("worst", lambda x: x["id"].cast("string")), ",").alias("worst"))
+
+
+_ITEMS = COMPARED + """, items AS (SELECT sc.id, CASE WHEN sc.id % 29 <> 0 AND sc.id % 19 = 6 THEN 'XXX' WHEN sc.id % 37 = 9 THEN 'UNK' ELSE h.currency END AS stratum, f1, exact, sc.id % 31 <> 0 AND sc.id % 9 <> 5 AS repaired, round((1 - f1) + 0.5 * CAST(sc.id % 31 <> 0 AND sc.id % 9 <> 5 AS INT) + 0.5 * CAST(NOT exact AS INT), 9) AS informativeness FROM sc JOIN h ON h.id = sc.id),
   q AS (SELECT stratum, count(*) AS size, count(*) * CAST(60 AS DOUBLE) / sum(count(*)) OVER () AS quota FROM items GROUP BY 1),
   al AS (SELECT stratum, size, CAST(floor(quota) + CASE WHEN row_number() OVER (ORDER BY quota - floor(quota) DESC, size DESC, stratum DESC) <= 60 - sum(floor(quota)) OVER () THEN 1 ELSE 0 END AS BIGINT) AS alloc FROM q) """
 
 
 def _items(spark, sf_dir):
-    invoices = gold(spark, sf_dir)
-    scores = extraction.field_scores(*_invoices(spark, sf_dir)).join(invoices.select("id", F.col("gold.currency").alias("stratum")), "id")
-    return scores.select("id", "stratum", F.round(review.informativeness(F.col("f1"), F.col("id") % 3 == 0, F.col("exact")), PLACES).alias("informativeness"))
+    """Candidates, some without a reply and some without a currency on either side."""
+    bare = lambda c: F.when(F.col(c).isNotNull(), F.col(c).withField("currency", F.when((F.col("id") % 37 != 9) | ((F.col("id") % 29 != 0) & (F.col("id") % 19 == 6)), F.col(c)["currency"])))
+    docs = _replied(spark, sf_dir).select("id", bare("pred").alias("pred"), bare("gold").alias("gold"), F.when(F.col("id") % 31 != 0, F.col("raw")).alias("raw"))
+    return keep(review.candidates(docs).withColumn("informativeness", F.round("informativeness", PLACES)), "items")
+
+
+@query(_ITEMS + "SELECT id, stratum, repaired, informativeness FROM items")
+def candidates(spark, sf_dir):
+    return _items(spark, sf_dir).select("id", "stratum", "repaired", "informativeness")
+
+
+@query(_ITEMS + "SELECT id, stratum FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY id) AS r FROM items) x WHERE r <= 7")
+def limited(spark, sf_dir):
+    return review.limited(_items(spark, sf_dir), "stratum", 7).select("id", "stratum")
 
 
 @query(_ITEMS + "SELECT stratum, size, alloc FROM al")
@@ -149,85 +254,209 @@ def random_split(spark, sf_dir):
     return review.split(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")))
 
 
-def _texts(spark, sf_dir, name="documents", key="doc_id"):
-    return table(spark, sf_dir, name).select(F.col(key).alias("id"), "text")
+@query(_RATERS + """, x AS (SELECT id, a, b FROM r WHERE id % 7 <> 0 AND a IS NOT NULL AND b IS NOT NULL), m AS (SELECT l, sum(x) AS x, sum(y) AS y FROM (SELECT a AS l, 1 AS x, 0 AS y FROM x UNION ALL SELECT b, 0, 1 FROM x) GROUP BY 1),
+  s AS (SELECT count(*) AS n, avg(CAST(a = b AS INT)) AS po, count(*) FILTER (a <> b) AS n_disagreements, count(*) FILTER (a = 'correct' AND b = 'correct') AS cc, count(*) FILTER (a = 'correct' AND b = 'incorrect') AS ci, count(*) FILTER (a = 'incorrect' AND b = 'correct') AS ic, count(*) FILTER (a = 'incorrect' AND b = 'incorrect') AS ii FROM x),
+  k AS (SELECT s.*, (po - pe) / (1 - pe) AS kappa FROM s, (SELECT CAST(sum(m.x * m.y) AS DOUBLE) / (SELECT CAST(count(*) AS DOUBLE) * count(*) FROM x) AS pe FROM m) p)
+  SELECT n, round(po, 9) AS po, round(kappa, 9) AS kappa, n_disagreements, cc, ci, ic, ii, CASE WHEN kappa >= 0.7 THEN 'PASS' ELSE 'REVISE' END AS verdict FROM k""")
+def score_raters(spark, sf_dir):
+    """Sheets in which ids occur again: an earlier opposite label, and a later row without one."""
+    rows = _raters(spark, sf_dir)
+    other = F.when(F.col("label") == "correct", "incorrect").otherwise("correct")
+    sheet = lambda c: rows.select("id", F.col(c).alias("label")).select("id", F.inline(F.array(F.struct(F.when(F.col("id") % 4 == 0, other).alias("label"), F.lit(1).alias("ord")), F.struct(F.col("label"), F.lit(2).alias("ord")), F.struct(F.lit(None).cast("string").alias("label"), F.lit(3).alias("ord")))))
+    out = review.score_raters(sheet("a").where("id % 7 <> 0"), sheet("b").where("id % 9 <> 0"))
+    cells = [F.col("confusion")[f"{x}|{y}"].alias(x[0] + y[0]) for x in ("correct", "incorrect") for y in ("correct", "incorrect")]
+    return out.select("n", *_r("po", "kappa"), "n_disagreements", *cells, "verdict")
+
 
+@query("SELECT count(*) AS n, count(*) FILTER (quality = 1) AS n_correct, count(*) FILTER (quality = 0) AS n_incorrect, round(avg(quality), 9) AS human_verified_accuracy, round(avg(quality), 9) AS precision_correct, CAST(1 AS DOUBLE) AS recall_correct FROM labels")
+def human_accuracy(spark, sf_dir):
+    out = review.human_accuracy(_raters(spark, sf_dir).select(F.col("a").alias("label")))
+    return out.select("n", "n_correct", "n_incorrect", *_r("human_verified_accuracy", "precision_correct"), "recall_correct")
 
-def _bits(spark, sf_dir, *of):
-    similarity.checkpointed(spark)
-    return similarity.with_classes(similarity.with_bits(_texts(spark, sf_dir, *of))).checkpoint()
+
+def _texts(spark, sf_dir, name="documents", key="doc_id"):
+    return table(spark, sf_dir, name).select(F.col(key).alias("id"), "text")
 
 
-@query()
+_WS = "[\\t-\\r\\x1c-\\x20\\x{85}\\p{Z}]+"
+#: grams (id, g, n): the distinct trigrams of documents; classes (id, rep); pairs (a, b, similarity) of all documents.
+_PAIRS = f"""WITH RECURSIVE norm AS (SELECT doc_id AS id, lower(trim(regexp_replace(coalesce(text, ''), '{_WS}', ' ', 'g'))) AS s FROM documents),
+  chars AS (SELECT id, length(s) AS m, unnest(string_split(s, '')) AS c, generate_subscripts(string_split(s, ''), 1) AS i FROM norm WHERE s <> ''),
+  three AS (SELECT id, m, c, lead(c, 1) OVER w AS d, lead(c, 2) OVER w AS e FROM chars WINDOW w AS (PARTITION BY id ORDER BY i)),
+  said AS (SELECT DISTINCT id, coalesce(c || d || e, CASE WHEN m < 3 THEN c || coalesce(d, '') END) AS g FROM three WHERE e IS NOT NULL OR (m < 3 AND (d IS NOT NULL OR m = 1))),
+  coded AS MATERIALIZED (SELECT id, dense_rank() OVER (ORDER BY g) AS g, count(*) OVER (PARTITION BY id) AS n FROM said),
+  classes AS MATERIALIZED (SELECT id, min(id) OVER (PARTITION BY k) AS rep FROM (SELECT norm.id, coalesce(string_agg(g, ',' ORDER BY g), '') AS k FROM norm LEFT JOIN coded ON coded.id = norm.id GROUP BY 1) x),
+  shared AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS m FROM coded a JOIN coded b ON a.g = b.g AND a.id < b.id AND a.n >= 0.9 * b.n AND b.n >= 0.9 * a.n GROUP BY 1, 2),
+  pairs AS MATERIALIZED (SELECT a, b, CAST(m AS DOUBLE) / (na + nb - m) AS similarity FROM shared WHERE CAST(m AS DOUBLE) / (na + nb - m) >= 0.9)"""
+#: settled (id, kept): in the order of id; a row is dropped where an earlier kept one is similar. p has the pairs.
+_GREEDY = """, inside AS (SELECT id, row_number() OVER (ORDER BY id) AS pos FROM (SELECT a AS id FROM p UNION SELECT b FROM p) x),
+  step(pos, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT i.pos, CASE WHEN list_has_any(s.kept, coalesce((SELECT list(p.a) FROM p WHERE p.b = i.id), CAST([] AS BIGINT[]))) THEN s.kept ELSE list_append(s.kept, i.id) END FROM step s JOIN inside i ON i.pos = s.pos + 1),
+  settled AS (SELECT unnest(kept) AS id FROM (SELECT kept FROM step ORDER BY pos DESC LIMIT 1) x),
+  best AS (SELECT b AS id, first(a ORDER BY similarity DESC, a) AS dup_of, max(similarity) AS similarity FROM p WHERE a IN (SELECT id FROM settled) AND b NOT IN (SELECT id FROM settled) GROUP BY 1) """
+
+
+@query(_PAIRS + """ SELECT a, b, round(similarity, 9) AS similarity FROM pairs WHERE a IN (SELECT rep FROM classes) AND b IN (SELECT rep FROM classes)
+  UNION ALL SELECT rep, id, CAST(1 AS DOUBLE) FROM classes WHERE id <> rep AND id IN (SELECT id FROM coded)""")
 def jaccard_pairs(spark, sf_dir):
-    """Pairs of documents with trigram Jaccard of at least 0.9, copies next to the first of them (tests hold it against
-    brute force)."""
-    return similarity.class_pairs(_bits(spark, sf_dir)).withColumn("similarity", F.round("similarity", PLACES))
+    """Pairs of documents with trigram Jaccard of at least 0.9, copies next to the first of them."""
+    return similarity.class_pairs(similarity.classed(_texts(spark, sf_dir))).withColumn("similarity", F.round("similarity", PLACES))
 
 
-@query()
+@query(_PAIRS + ", p AS (SELECT * FROM pairs)" + _GREEDY + "SELECT norm.id, best.id IS NULL AS kept, dup_of, round(similarity, 4) AS similarity FROM norm LEFT JOIN best ON best.id = norm.id")
 def greedy_dedup(spark, sf_dir):
-    """Greedy dedup of documents by trigram Jaccard, in the order of doc_id (tests hold it against a loop)."""
+    """Greedy dedup of documents by trigram Jaccard, in the order of doc_id."""
     return similarity.dedup_texts(_texts(spark, sf_dir))
 
 
-@query()
+@query(_PAIRS + """, held AS (SELECT id FROM norm WHERE id % 5 = 0), void AS (SELECT id FROM norm WHERE id NOT IN (SELECT id FROM coded)),
+  met AS (SELECT a, b, similarity FROM pairs UNION ALL SELECT b, a, similarity FROM pairs UNION ALL SELECT x.id, y.id, CAST(1 AS DOUBLE) FROM void x, void y WHERE x.id <> y.id),
+  first AS (SELECT rep, min(id) AS b FROM classes WHERE id % 5 <> 0 GROUP BY 1)
+  SELECT met.a AS doc_id, first.b AS item_id, round(max(similarity), 9) AS similarity FROM met JOIN held ON held.id = met.a JOIN classes c ON c.id = met.b JOIN first ON first.rep = c.rep WHERE met.b % 5 <> 0 GROUP BY 1, 2""")
 def leak_check(spark, sf_dir):
-    """Documents that are near copies of a benchmark item (tests hold it against a loop)."""
-    found = similarity.leaks(_bits(spark, sf_dir), _bits(spark, sf_dir, "benchmark", "item_id"))
+    """Held-out documents (a fifth) that are near copies of others; of equal ones the first is named."""
+    docs = _texts(spark, sf_dir)
+    found = similarity.leaks(similarity.classed(docs.where("id % 5 = 0")), similarity.classed(docs.where("id % 5 <> 0")))
     return found.select(F.col("a").alias("doc_id"), F.col("b").alias("item_id"), F.round("similarity", PLACES).alias("similarity"))
 
 
+@query(f"""WITH norm AS (SELECT item_id AS id, lower(trim(regexp_replace(coalesce(text, ''), '{_WS}', ' ', 'g'))) AS s FROM benchmark)
+  SELECT id, list_sort(list_distinct(CASE WHEN length(s) = 0 THEN [] WHEN length(s) < 3 THEN [s] ELSE list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3)) END))::VARCHAR AS grams FROM norm""")
+def gram_sets(spark, sf_dir):
+    rows = _texts(spark, sf_dir, "benchmark", "item_id").select("id", F.array_sort(similarity.grams(F.col("text"))).alias("g"))
+    quoted = F.transform("g", lambda x: F.when(x.rlike(r"""^\s|\s$|[\[\]{}(),'"\\]|^$|(?i)^null$"""), F.concat(F.lit("'"), F.regexp_replace(x, r"(['\\])", r"\\$1"), F.lit("'"))).otherwise(x))
+    return rows.select("id", F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]")).alias("grams"))
+
+
+_WORDS = "CASE WHEN doc_id % 11 = 0 THEN '' ELSE lower(array_to_string(list_slice(string_split(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), ' '), 1, 12), ' ')) END"
+
+
+@query(f"""WITH w AS (SELECT doc_id AS id, trim({_WORDS}) AS s FROM documents), g AS (SELECT id, list_distinct(CASE WHEN length(s) = 0 THEN [] WHEN length(s) < 3 THEN [s] ELSE list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3)) END) AS g FROM w)
+  SELECT a.id, round(CASE WHEN len(a.g) = 0 AND len(b.g) = 0 THEN 1.0 ELSE CAST(len(list_intersect(a.g, b.g)) AS DOUBLE) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) END, 9) AS similarity FROM g a JOIN g b ON b.id = a.id + 11""")
+def jaccard_scores(spark, sf_dir):
+    """The first words of a document and of the one 11 ids on; where both have none they are the same."""
+    first = F.array_join(F.slice(F.split(F.regexp_replace("text", "[^A-Za-z]+", " "), " "), 1, 12), " ")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), similarity.grams(F.when(F.col("doc_id") % 11 == 0, "").otherwise(first)).alias("g"))
+    met = rows.join(rows.select((F.col("id") - 11).alias("id"), F.col("g").alias("h")), "id")
+    return met.select("id", F.round(similarity.jaccard(F.col("g"), F.col("h")), PLACES).alias("similarity"))
+
+
 def _vectors(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    """The vectors, a near copy of every third, and one near that copy of every sixth."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    moved = lambda step, by: v.where(F.col("id") % step == 0).select((F.col("id") + F.lit(by * 1_000_000)).alias("id"), F.transform("v", lambda x, i: x + F.when(i % 2 == 0, 0.03 * by).otherwise(0.0)).alias("v"))
+    return v.unionAll(moved(3, 1)).unionAll(moved(6, 2))
+
 
+_VECTORS = """WITH RECURSIVE v0 AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+  v AS MATERIALIZED (SELECT id, e FROM v0 UNION ALL SELECT id + 1000000, list_transform(e, lambda x, i: x + CASE WHEN i % 2 = 1 THEN 0.03::DOUBLE ELSE 0::DOUBLE END) FROM v0 WHERE id % 3 = 0
+    UNION ALL SELECT id + 2000000, list_transform(e, lambda x, i: x + CASE WHEN i % 2 = 1 THEN 0.06::DOUBLE ELSE 0::DOUBLE END) FROM v0 WHERE id % 6 = 0),
+  p AS MATERIALIZED (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS similarity FROM v a JOIN v b ON a.id < b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.9)"""
 
-@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
-  SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9""")
+
+@query(_VECTORS + " SELECT a, b, round(similarity, 6) AS similarity FROM p")
 def cosine_pairs(spark, sf_dir):
     return similarity.cosine_pairs(_vectors(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+@query(_VECTORS + _GREEDY + "SELECT v.id, best.id IS NULL AS kept, dup_of FROM v LEFT JOIN best ON best.id = v.id")
 def embedding_dedup(spark, sf_dir):
-    """Greedy dedup by cosine (tests hold it against a loop)."""
-    similarity.checkpointed(spark)
+    """Greedy dedup by cosine, by the method that is taken where vectors are given."""
     v = _vectors(spark, sf_dir)
-    return similarity.greedy(v.select("id"), similarity.cosine_pairs(v))
+    return similarity.dedup_texts(v.select("id"), "auto", vectors=v).select("id", "kept", "dup_of")
+
 
+#: Documents with white space of several kinds around them.
+_PADDED = "WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN chr(9) || text || chr(10) WHEN 2 THEN chr(160) || text || chr(8195) WHEN 3 THEN ' ' || text || chr(28) ELSE text END AS text FROM documents), k AS (SELECT doc_id, regexp_replace(regexp_replace(text, '^" + _WS + "', ''), '" + _WS + "$', '') AS t FROM d) "
 
-@query("SELECT doc_id, 'seed-' || substr(sha256(trim(text)), 1, 16) AS content_id, length(trim(text)) >= 40 AS long_enough FROM documents")
+
+def _padded(spark, sf_dir):
+    around = {1: ("\t", "\n"), 2: ("\xa0", "\u2003"), 3: (" ", "\x1c")}
+    text = F.coalesce(*[F.when(F.col("doc_id") % 4 == i, F.concat(F.lit(a), F.col("text"), F.lit(b))) for i, (a, b) in around.items()], F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
+@query(_PADDED + "SELECT doc_id, 'seed-' || substr(sha256(t), 1, 16) AS content_id, length(t) >= 40 AS long_enough FROM k")
 def content_ids(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", normalise.content_id(F.col("text")).alias("content_id"), (F.length(F.trim("text")) >= 40).alias("long_enough"))
+    return _padded(spark, sf_dir).select("doc_id", normalise.content_id(F.col("text")).alias("content_id"), normalise.long_enough(F.col("text")).alias("long_enough"))
 
 
-@query("SELECT min(doc_id) AS doc_id, 'seed-' || substr(sha256(trim(text)), 1, 16) AS content_id, count(*) AS copies FROM documents GROUP BY 2")
+@query(_PADDED + "SELECT min(doc_id) AS doc_id, 'seed-' || substr(sha256(t), 1, 16) AS content_id, count(*) AS copies FROM k GROUP BY 2")
 def content_dedup(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(normalise.content_id(F.col("text")).alias("content_id")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    return _padded(spark, sf_dir).groupBy(normalise.content_id(F.col("text")).alias("content_id")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+def _batches(spark, sf_dir):
+    """Replies with a batch of one text (and what isn't one): bare, in a fence, an object, and none."""
+    j = F.to_json(F.array("text"))
+    mixed = F.concat(F.substring(j, F.lit(1), F.length(j) - 1), F.lit(',5,null,["x"],"  too short  "]'))
+    forms = (mixed, F.concat(F.lit("Here:\n```json\n"), mixed, F.lit("\n```")), F.concat(F.lit('{"a":'), j, F.lit("}")), F.lit("I won't."))
+    k = F.col("doc_id") % 4
+    return _padded(spark, sf_dir).select(F.col("doc_id").alias("batch"), F.coalesce(*[F.when(k == i, f) for i, f in enumerate(forms)]).alias("reply"))
+
+
+@query(_PADDED + "SELECT doc_id AS batch, CASE WHEN doc_id % 4 < 2 THEN CASE WHEN length(t) >= 40 THEN 1 ELSE 0 END END AS n, CASE WHEN doc_id % 4 < 2 AND length(t) >= 40 THEN md5(t) END AS first FROM k")
+def generated_batches(spark, sf_dir):
+    texts = gate.batch_texts(F.col("reply"))
+    return _batches(spark, sf_dir).select("batch", F.when(texts.isNotNull(), F.size(texts)).alias("n"), F.md5(F.get(texts, F.lit(0))).alias("first"))
+
+
+@query(_PADDED + """, i AS (SELECT doc_id, 'seed-' || substr(sha256(t), 1, 16) AS id, length(t) >= 40 AS ok FROM k) SELECT id, min(doc_id) AS batch FROM i WHERE ok AND doc_id % 4 < 2 AND id NOT IN (SELECT id FROM i WHERE doc_id % 10 = 4) GROUP BY 1""")
+def new_seeds(spark, sf_dir):
+    seen = _padded(spark, sf_dir).where("doc_id % 10 = 4").select(normalise.content_id(F.col("text")).alias("id"))
+    return calls.new_seeds(_batches(spark, sf_dir), seen).select("id", "batch")
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_extendedprice, round(l_extendedprice, 2) AS us, round(l_extendedprice, 2) AS eu, round(-l_extendedprice, 2) AS closed, round(l_extendedprice, 2) AS plain FROM lineitem""")
+@query(_PADDED + """, i AS (SELECT doc_id, 'seed-' || substr(sha256(t), 1, 16) AS id, length(t) >= 40 AS ok FROM k) SELECT id FROM (SELECT id, min(doc_id) AS at FROM i WHERE ok GROUP BY 1) x ORDER BY at LIMIT 25""")
+def generate_until(spark, sf_dir):
+    """A caller that hands out documents in order, some replies without any."""
+    texts = iter([r.text for r in _padded(spark, sf_dir).orderBy("doc_id").limit(120).collect()])
+
+    def ask(batch: int, want: int) -> str:
+        return "Sorry." if batch % 3 == 1 else json.dumps([next(texts) for _ in range(want)])
+
+    return calls.until(spark, 25, ask).select("id")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_extendedprice, round(l_extendedprice, 2) AS us, round(l_extendedprice, 2) AS eu, round(-l_extendedprice, 2) AS closed, round(l_extendedprice, 2) AS plain,
+  round(l_extendedprice, 2) AS noted, round(l_extendedprice, 2) AS twice, floor(l_extendedprice) * 1000 + 567 AS whole, CAST(NULL AS DOUBLE) AS none FROM lineitem""")
 def money_formats(spark, sf_dir):
-    """Amounts printed in four styles and parsed back."""
+    """Amounts printed in several styles and parsed back: thousands by comma or dot, negative in parentheses with white
+    space around, a note in parentheses (not negative), two minus signs (positive), whole thousands, and no number."""
     x = F.col("l_extendedprice")
     us = F.format_number(x, 2)
     eu = F.translate(us, ",.", ".,")
-    back = {"us": F.concat(F.lit("$"), us), "eu": F.concat(eu, F.lit(" €")), "closed": F.concat(F.lit("("), us, F.lit(")")), "plain": F.format_string("%.2f", x)}
+    back = {"us": F.concat(F.lit("\t$"), us), "eu": F.concat(eu, F.lit("\xa0€\n")), "closed": F.concat(F.lit("\t("), us, F.lit(")\n")), "plain": F.format_string("%.2f", x)}
+    back |= {"noted": F.concat(F.lit("USD ("), us, F.lit(") net")), "twice": F.concat(F.lit("--"), us), "whole": F.concat(F.floor(x).cast("string"), F.lit(".567")), "none": F.concat(F.lit("("), F.translate(us, "0123456789", ""), F.lit(")"))}
+    back["whole"] = F.concat(F.format_number(F.floor(x), 0), F.lit(",567"))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", x, *[normalise.money(v).alias(k) for k, v in back.items()])
 
 
+@query("SELECT l_orderkey, l_linenumber, round(l_quantity, 2) AS pcs, round(l_quantity + 0.5, 2) AS hours, CAST(NULL AS DOUBLE) AS word FROM lineitem")
+def quantity_formats(spark, sf_dir):
+    q = F.col("l_quantity")
+    forms = {"pcs": F.concat(F.format_string("%.0f", q), F.lit(" PCS.\n")), "hours": F.concat(F.lit("\t"), F.translate(F.format_string("%.1f", q + 0.5), ".", ","), F.lit(" hrs")), "word": F.lit("some units")}
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[normalise.quantity(v).alias(k) for k, v in forms.items()])
+
+
+@query("SELECT p_partkey, CAST(p_size AS DOUBLE) + 0.5 AS size, CAST(NULL AS DOUBLE) AS none FROM part")
+def model_sizes(spark, sf_dir):
+    name = F.concat(F.lit("org/model-2b-v"), F.col("p_partkey"), F.lit("-"), F.col("p_size"), F.lit(".5B-instruct"))
+    return table(spark, sf_dir, "part").select("p_partkey", normalise.model_size(name).alias("size"), normalise.model_size(F.lit("7bit")).alias("none"))
+
+
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '%Y-%m-%d') AS compact, strftime(o_orderdate, '%Y-%m-%d') AS textual,
   CASE WHEN day(o_orderdate) > 12 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%d-%m') END AS day_first FROM orders""")
 def date_formats(spark, sf_dir):
     """Dates printed in four styles and parsed back; day first is read as month first where both could be."""
     d = F.col("o_orderdate")
     forms = {"iso": "yyyy/MM/dd", "compact": "yyyyMMdd", "textual": "MMMM d, yyyy", "day_first": "dd.MM.yyyy"}
-    return table(spark, sf_dir, "orders").select("o_orderkey", *[normalise.date_iso(F.date_format(d, f)).alias(k) for k, f in forms.items()])
+    around = lambda x: F.concat(F.lit("\t"), x, F.lit("\xa0\n"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", *[normalise.date_iso(around(F.date_format(d, f))).alias(k) for k, f in forms.items()])
 
 
 @query("SELECT c_custkey, list_extract(['USD','EUR','GBP','PKR','INR'], CAST(c_nationkey % 5 + 1 AS INT)) AS currency FROM customer")
 def currency_codes(spark, sf_dir):
-    said = F.element_at(F.array(*map(F.lit, ("US$", "euros", "£", "Rs.", " indian rupees "))), (F.col("c_nationkey") % 5 + 1).cast("int"))
+    said = F.element_at(F.array(*map(F.lit, ("\tUS$\n", "euros", "\xa0£", "Rs.", "\x1f indian rupees "))), (F.col("c_nationkey") % 5 + 1).cast("int"))
     return table(spark, sf_dir, "customer").select("c_custkey", normalise.currency(said).alias("currency"))
 
 
@@ -272,7 +501,7 @@ _REPORT = COMPARED + """, q AS (SELECT count(*) AS n, avg(f1) AS f1_macro, avg(C
 
 
 def _report(spark, sf_dir):
-    scores = extraction.batch_scores(extraction.field_scores(*_invoices(spark, sf_dir)))
+    scores = extraction.batch_scores(_scores(spark, sf_dir))
     api = cost.api_cost(F.lit(900), F.lit(350), F.lit(3.0), F.lit(15.0))
     return reports.evaluation(scores, reports.latencies(_calls(spark, sf_dir)), api, reports.Machine())
 
@@ -297,14 +526,27 @@ def money_table(spark, sf_dir):
     return reports.money_table(_report(spark, sf_dir))
 
 
+@query(_REPORT + """, t AS (SELECT unnest([
+  {'ord': 0, 'axis': 'Model footprint', 'teacher': '14B-class', 'student': 'm-0.5B-chat (~0.5B)', 'win': '~28× smaller'},
+  {'ord': 1, 'axis': 'Quality (f1_macro)', 'teacher': '1.0000 (ref)', 'student': printf('%.4f', f1_macro) || ' (' || printf('%.1f%%', ratio * 100) || ' of teacher)', 'win': CASE WHEN meets_bar THEN 'meets' ELSE 'below' END || ' 95% bar'},
+  {'ord': 2, 'axis': 'Schema-valid rate', 'teacher': '—', 'student': 'n/a (after ≤2 constrained-repair retries)', 'win': 'robustness'},
+  {'ord': 3, 'axis': 'Exact match', 'teacher': '—', 'student': printf('%.1f%%', exact_rate * 100), 'win': 'strictest view'},
+  {'ord': 4, 'axis': 'p95 latency', 'teacher': 'full 14B forward', 'student': format('{:,} ms', CAST(round(p95 * 1000) AS BIGINT)), 'win': 'smaller footprint'},
+  {'ord': 5, 'axis': 'Data egress', 'teacher': 'stays local', 'student': 'stays local', 'win': 'on-prem / private'},
+  {'ord': 6, 'axis': '$/1k (GPU amortized)', 'teacher': printf('$%.4f', api_1k), 'student': printf('$%.4f', own_1k), 'win': 'both ~free locally'}]) AS r FROM rep2)
+  SELECT CAST(r.ord AS BIGINT) AS ord, r.axis AS axis, r.teacher AS teacher, r.student AS student, r.win AS win FROM t""")
+def local_money_table(spark, sf_dir):
+    return reports.local_table(_report(spark, sf_dir), "qwen3:14b", "org/m-0.5B-chat", 2)
+
+
 @query("SELECT doc_id, CASE WHEN quality = 1 THEN 'correct' ELSE 'incorrect' END AS label FROM labels")
 def label_aliases(spark, sf_dir):
-    said = F.when(F.col("quality") == 1, F.element_at(F.array(*map(F.lit, ("Correct", " ok ", "YES", "1"))), (F.col("doc_id") % 4 + 1).cast("int"))).otherwise(F.element_at(F.array(*map(F.lit, ("wrong", "No", " BAD", "0"))), (F.col("doc_id") % 4 + 1).cast("int")))
+    said = F.when(F.col("quality") == 1, F.element_at(F.array(*map(F.lit, ("Correct", "\tok\n", "YES\xa0", "1"))), (F.col("doc_id") % 4 + 1).cast("int"))).otherwise(F.element_at(F.array(*map(F.lit, ("wrong", "No", " BAD", "0"))), (F.col("doc_id") % 4 + 1).cast("int")))
     return table(spark, sf_dir, "labels").select("doc_id", normalise.label(said).alias("label"))
 
 
-def _replies(spark, sf_dir):
-    """id, reply: an invoice as a model may send it, by id % 9: fenced, in prose, none, with a key too many, without its
+def _replies(spark, sf_dir, docs=None):
+    """id, reply, and what docs (id, gold) has: an invoice as a model may send it, by id % 9: fenced, in prose, none, with a key too many, without its
     date, with an amount as text, without lines, in an array, with a truth value as tax."""
     k = F.col("id") % 9
     g = F.when(k == 6, F.col("gold").withField("line_items", F.slice("gold.line_items", 1, 0))).otherwise(F.col("gold"))
@@ -320,7 +562,13 @@ def _replies(spark, sf_dir):
         F.concat(F.lit("["), j, F.lit("]")),
         F.regexp_replace(j, '"tax":[^,}]*', '"tax":true'),
     )
-    return gold(spark, sf_dir).select("id", F.to_json(g).alias("j")).select("id", F.coalesce(*[F.when(k == i, f) for i, f in enumerate(forms)]).alias("reply"))
+    rows = gold(spark, sf_dir) if docs is None else docs
+    return rows.select(*rows.columns, F.to_json(g).alias("j")).select(*rows.columns, F.coalesce(*[F.when(k == i, f) for i, f in enumerate(forms)]).alias("reply"))
+
+
+def _replied(spark, sf_dir):
+    """id, gold, pred, raw: the damaged invoices, and replies as above."""
+    return _replies(spark, sf_dir, _invoices(spark, sf_dir)).withColumnRenamed("reply", "raw")
 
 
 _REASON = "CASE h.id % 9 WHEN 2 THEN 'schema: not_json' WHEN 3 THEN 'schema: extra:note' WHEN 4 THEN 'schema: missing:date' WHEN 6 THEN 'schema: empty:line_items' WHEN 7 THEN 'schema: not_object' WHEN 8 THEN 'schema: type:tax' END"
@@ -392,19 +640,148 @@ def rule_raters(spark, sf_dir):
 
 
 @query(_RATERS + """, s AS (SELECT count(*) AS n, avg(CAST(a = b AS INT)) AS accuracy, CAST(sum(CASE WHEN a = 'correct' AND b = 'correct' THEN 1 ELSE 0 END) AS DOUBLE) AS tp, sum(CASE WHEN b = 'correct' THEN 1 ELSE 0 END) AS said, sum(CASE WHEN a = 'correct' THEN 1 ELSE 0 END) AS t FROM two)
-  SELECT n, round(accuracy, 9) AS accuracy, round(tp / said, 9) AS precision, round(tp / t, 9) AS recall, round(2 * (tp / said) * (tp / t) / (tp / said + tp / t), 9) AS f1 FROM s""")
+  SELECT n, round(accuracy, 9) AS accuracy, round(tp / said, 9) AS precision, round(tp / t, 9) AS recall, round(2 * (tp / said) * (tp / t) / (tp / said + tp / t), 9) AS f1, round((accuracy - pe) / (1 - pe), 9) AS kappa FROM (SELECT s.*, (said * t + (n - said) * (n - t)) / (CAST(n AS DOUBLE) * n) AS pe FROM s) y""")
 def binary_report(spark, sf_dir):
-    return review.binary_report(_raters(spark, sf_dir)).select("n", *_r("accuracy", "precision", "recall", "f1"))
+    return review.binary_report(_raters(spark, sf_dir)).select("n", *_r("accuracy", "precision", "recall", "f1", "kappa"))
+
+
+_GRADED = COMPARED + ", v AS (SELECT id, id % 50 = 0 AS human, f1 >= 0.95 AS second FROM sc), u AS (SELECT count(*) FILTER (NOT human) AS n_unverified FROM v) "
+
+
+@query(_GRADED + """SELECT 'silver' AS mode, (SELECT count(*) FROM v WHERE second) AS n, 'SILVER (cross-model agreement)' AS grade, n_unverified FROM u
+  UNION ALL SELECT 'human', (SELECT count(*) FROM v WHERE human), 'DEV_ONLY_teacher_labeled', n_unverified FROM u UNION ALL SELECT 'all', (SELECT count(*) FROM v), 'DEV_ONLY_teacher_labeled', n_unverified FROM u
+  UNION ALL SELECT 'verified', (SELECT count(*) FROM v WHERE human), 'human_verified', 0 FROM u""")
+def usable_gold(spark, sf_dir):
+    """How many rows may be scored, and by which grade, in four settings (the last over verified rows alone)."""
+    rows = keep(review.silver(_scores(spark, sf_dir)).withColumn("human_verified", F.col("id") % 50 == 0), "graded")
+    forms = {"silver": review.usable_gold(rows, silver_only=True), "human": review.usable_gold(rows), "all": review.usable_gold(rows, allow_unverified=True), "verified": review.usable_gold(rows.where("human_verified"))}
+    out = None
+    for mode, df in forms.items():
+        one = df.groupBy(F.lit(mode).alias("mode"), "grade", "n_unverified").agg(F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(COMPARED + """, v AS (SELECT id, id % 50 = 0 AS human, f1 >= 0.95 AS second FROM sc)
   SELECT count(*) AS n, count(*) FILTER (human) AS human, count(*) FILTER (second) AS silver, count(*) FILTER (NOT human AND NOT second) AS unverified, CASE WHEN bool_and(human) THEN 'human' WHEN bool_or(second) THEN 'silver' ELSE 'unverified' END AS grade FROM v""")
 def gold_grade(spark, sf_dir):
-    scores = review.silver(extraction.field_scores(*_invoices(spark, sf_dir)))
+    scores = review.silver(_scores(spark, sf_dir))
     return review.gold_grade(scores.withColumn("human_verified", F.col("id") % 50 == 0))
 
 
 @query(COMPARED + " SELECT round(avg(f1), 9) AS ratio, avg(f1) >= 0.95 AS meets_bar FROM sc")
 def quality_gate(spark, sf_dir):
-    student = extraction.batch_scores(extraction.field_scores(*_invoices(spark, sf_dir)))
+    student = extraction.batch_scores(_scores(spark, sf_dir))
     return student.select(review.quality_bar(F.col("f1_macro"), F.lit(None).cast("double")).alias("q")).select(*[F.round("q.ratio", PLACES).alias("ratio")], "q.meets_bar")
+
+
+@query(SQL + " SELECT h.id, 'vendor,date,currency,line_items,subtotal,tax,grand_total,payment_terms' AS keys, h.vendor, round(grand_total, 2) AS grand_total, m AS lines FROM h")
+def canonical_form(spark, sf_dir):
+    """Canonical JSON of every invoice: its keys in order, and what is read back from it."""
+    text = gate.canonical_json(F.col("gold"))
+    rows = gold(spark, sf_dir).select("id", text.alias("j"))
+    value = lambda path, kind: F.try_variant_get(F.parse_json("j"), path, kind)
+    return rows.select("id", F.array_join(F.json_object_keys("j"), ",").alias("keys"), value("$.vendor", "string").alias("vendor"), F.round(value("$.grand_total", "double"), 2).alias("grand_total"), F.json_array_length(F.get_json_object("j", "$.line_items")).cast("long").alias("lines"))
+
+
+@query("""SELECT * FROM (VALUES ('vendor', true, 'string'), ('date', true, 'string'), ('currency', true, 'string'), ('line_items', true, 'array'), ('subtotal', true, 'number'), ('tax', true, 'number'), ('grand_total', true, 'number'), ('payment_terms', false, 'string,null')) t(field, required, kind)""")
+def contract_schema(spark, sf_dir):
+    schema = gate.json_schema()
+    kind = lambda x: x if isinstance(x, str) else ",".join(x)
+    return spark.createDataFrame([(n, n in schema["required"], kind(p["type"])) for n, p in schema["properties"].items()], "field string, required boolean, kind string")
+
+
+@query("SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END AS balance FROM customer")
+def jsonl_round_trip(spark, sf_dir):
+    """JSON lines written, put in place of themselves, and read."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal")).alias("balance"))
+    path = new_path(spark, "jsonl")
+    schema = "id long, name string, balance double"
+    files.write_jsonl(rows.withColumn("name", F.concat("name", F.lit("\n¶"))), path)
+    back = files.read_jsonl(spark, path, schema)
+    files.rewrite(back.withColumn("name", F.substring_index("name", "\n", 1)), path)
+    return files.read_jsonl(spark, path, schema)
+
+
+@query("SELECT 'seed-' || substr(sha256(n_name), 1, 16) AS id, n_name AS text FROM nation")
+def text_folder(spark, sf_dir):
+    path = new_path(spark, "texts")
+    table(spark, sf_dir, "nation").select(F.concat(F.lit(" \t"), "n_name", F.lit("\xa0"))).write.option("maxRecordsPerFile", 1).text(path)
+    return files.read_seeds(spark, path).select("id", "text")
+
+
+@query("SELECT doc_id AS id, CASE quality WHEN 1 THEN 'correct' ELSE CASE WHEN toxic = 1 THEN NULL ELSE 'incorrect' END END AS label, 'line one' || chr(10) || 'and \"two\", of ' || doc_id AS notes FROM labels")
+def rating_sheet(spark, sf_dir):
+    """A filled sheet, written and read: labels by their aliases, one that is none, and notes of two lines."""
+    said = F.when(F.col("quality") == 1, " OK").when(F.col("toxic") == 1, "perhaps").otherwise("WRONG")
+    notes = F.concat(F.lit('line one\nand "two", of '), "doc_id")
+    path = new_path(spark, "sheet")
+    files.write_sheet(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), said.alias("label"), notes.alias("notes")), path)
+    return files.read_ratings(spark, path).select(F.col("id").cast("long").alias("id"), "label", "notes")
+
+
+@query(_RATERS + "SELECT id, a AS label FROM two WHERE a <> b")
+def settled_sheet(spark, sf_dir):
+    """The queue of disagreements, settled in favour of the first rater, and read as gold labels."""
+    path, done = new_path(spark, "queue"), new_path(spark, "settled")
+    files.write_queue(rater_disagreements(spark, sf_dir), path)
+    queue = spark.read.csv(path, header=True)
+    files.write_sheet(queue.select("id", F.col("rater_a").alias("label")), done, ("id", "label"))
+    return files.read_settled(spark, done).select(F.col("id").cast("long").alias("id"), "label")
+
+
+@query(ORACLE_SQL["usage_report"])
+def report_file(spark, sf_dir):
+    """A report written as JSON and read."""
+    path = new_path(spark, "report")
+    report = usage_report(spark, sf_dir)
+    files.write_report(report, path)
+    return spark.read.schema(report.schema).json(path)
+
+
+@query("SELECT 0.9 AS threshold, 'auto' AS method, true AS below")
+def settings_file(spark, sf_dir):
+    """Settings of a file, changed in depth, and a path that is taken from the project's folder."""
+    with tempfile.TemporaryDirectory() as top:
+        at = Path(top).resolve()
+        (at / "pyproject.toml").touch()
+        (at / "a").mkdir()
+        (at / "a" / "s.json").write_text('{"dedup": {"method": "jaccard", "threshold": 0.9}, "paths": {"out": "b/c"}}')
+        found = files.read_settings(at / "a" / "s.json", {"dedup": {"method": "auto"}})
+        below = files.resolve_path(found, "out") == at / "b" / "c"
+    return spark.createDataFrame([(found["dedup"]["threshold"], found["dedup"]["method"], below)], "threshold double, method string, below boolean")
+
+
+@query("""SELECT doc_id AS id, p.pass, p.salt FROM documents, (VALUES (1, ''), (2, 'consistency')) p(pass, salt)""")
+def two_passes(spark, sf_dir):
+    return calls.two_passes(_texts(spark, sf_dir)).select("id", "pass", "salt")
+
+
+@query(SQL + " SELECT id, CAST(2 AS BIGINT) AS attempt, true AS constrained, CAST(0.3 AS DOUBLE) AS temperature, 4 AS turns, 'no JSON found' AS told FROM h WHERE id % 2 = 1 UNION ALL SELECT id, 1, false, 0.0, 2, NULL FROM h WHERE id % 2 = 0")
+def next_requests(spark, sf_dir):
+    """What to ask next where half of the documents have had one refused reply."""
+    seeds = gold(spark, sf_dir).select("id", F.col("gold.vendor").alias("text"))
+    log = seeds.where("id % 2 = 1").select("id", F.lit(1).alias("attempt"), F.lit("none").alias("reply"))
+    asked = calls.next_requests(seeds, log, "S")
+    told = F.regexp_extract(F.get("messages", F.lit(3))["content"], "not accepted: ([^\n]*)", 1)
+    return asked.select("id", "attempt", "constrained", "temperature", F.size("messages").alias("turns"), F.when(F.size("messages") == 4, told).alias("told"))
+
+
+@query(SQL + " SELECT id, vendor FROM h WHERE id % 2 = 0")
+def extracted(spark, sf_dir):
+    """The raising form over logs that end well."""
+    log = gold(spark, sf_dir).where("id % 2 = 0").select("id", F.inline(F.array(F.struct(F.lit(1).alias("attempt"), F.lit("none").alias("reply")), F.struct(F.lit(2).alias("attempt"), F.to_json("gold").alias("reply")))))
+    return calls.extracted(log).select("id", "invoice.vendor")
+
+
+@query("SELECT event_id % 50 AS key, 'r' || (event_id % 50) AS reply FROM events GROUP BY 1")
+def calls_made(spark, sf_dir):
+    """Calls through the boundary, each key once; the first two tries of some fail with errors that pass."""
+
+    def call(row: dict) -> str:
+        if random.random() < 0.2:
+            raise ConnectionError("reset")
+        return f"r{row['key']}"
+
+    asked = table(spark, sf_dir, "events").select((F.col("event_id") % 50).alias("key"))
+    return calls.made(asked, call, tries=40, base=0.0, most=0.0).select(F.col("key").cast("long").alias("key"), "reply")

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.normalise import label
+from millrace.functions.normalise import content_id, label, strip
 from millrace.operators.gate import is_json
 
 # Columns of a rating sheet and of the sheet for settling disagreements.
@@ -43,17 +43,23 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     """file, text of the folder's *.txt: stripped; broken UTF-8 replaced; empty ones left out."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder)
-    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    text = strip(F.make_valid_utf8(F.col("content").cast("string")))
     return raw.select(F.substring_index("path", "/", -1).alias("file"), text.alias("text")).where("text <> ''")
 
 
+def read_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    """id, text, source of the folder's *.txt; of equal texts the first by file name counts."""
+    rows = read_texts(spark, folder).withColumn("id", content_id(F.col("text")))
+    return rows.groupBy("id").agg(F.min_by("text", "file").alias("text"), F.concat(F.lit("raw:"), F.min("file")).alias("source"))
+
+
 def read_ratings(spark: SparkSession, path: str) -> DataFrame:
     """id, label (normalised, null where unknown), notes, raw_label of a filled sheet; rows without an id are skipped.
     A sheet without a column id is an error."""
     rows = spark.read.csv(path, **_CSV)
     if "id" not in rows.columns:
         raise ValueError(f"{path}: no column id")
-    text = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) if c in rows.columns else F.lit("")
+    text = lambda c: F.coalesce(strip(F.col(c)), F.lit("")) if c in rows.columns else F.lit("")
     return rows.select(text("id").alias("id"), label(text("label")).alias("label"), text("notes").alias("notes"), text("label").alias("raw_label")).where("id <> ''")
 
 
@@ -86,15 +92,42 @@ def merged(base: dict, changes: dict) -> dict:
 
 
 def read_settings(path: str | Path, changes: dict | None = None) -> dict:
-    """Settings of a JSON file, or of a YAML file where a YAML reader is installed."""
-    text = Path(path).read_text("utf-8")
-    if Path(path).suffix in (".yaml", ".yml"):
+    """Settings of a JSON file, or of a YAML file where a YAML reader is installed. _root is the project's folder, from
+    which relative paths count, and _path the file."""
+    path = Path(path).resolve()
+    text = path.read_text("utf-8")
+    if path.suffix in (".yaml", ".yml"):
         import yaml  # not needed for anything else
 
         found = yaml.safe_load(text)
     else:
         found = json.loads(text)
-    return merged(found or {}, changes or {})
+    try:
+        root = project_root(path.parent)
+    except FileNotFoundError:
+        root = path.parent
+    return merged(found or {}, changes or {}) | {"_root": str(root), "_path": str(path)}
+
+
+def resolve_path(settings: dict, key: str) -> Path:
+    """The path that settings has under paths.key; a relative one counts from the project's folder."""
+    return Path(settings["_root"]) / settings["paths"][key]
+
+
+def rewrite(rows: DataFrame, path: str) -> None:
+    """JSON lines in place of what path held, rows made from path included: they are written next to it first, and take
+    its place by renaming. A failed write leaves path as it was."""
+    spark = rows.sparkSession
+    fresh, old = f"{path.rstrip('/')}.next", f"{path.rstrip('/')}.last"
+    write_jsonl(rows, fresh)
+    names = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh, old)]
+    system = names[0].getFileSystem(spark._jsc.hadoopConfiguration())
+    system.delete(names[2], True)
+    if system.exists(names[0]) and not system.rename(names[0], names[2]):
+        raise OSError(f"{path} can't be moved")
+    if not system.rename(names[1], names[0]):
+        raise OSError(f"{fresh} can't be moved to {path}")
+    system.delete(names[2], True)
 
 
 def project_root(start: str | Path, mark: str = "pyproject.toml") -> Path:

@@ -81,8 +81,9 @@ def test_texts_sheets_and_settings(spark, tmp_path):
     files.write_queue(spark.createDataFrame([("1", "x", "y")], "id string, a string, b string"), str(tmp_path / "q"))
     assert "1,x,y," in "".join(p.read_text() for p in (tmp_path / "q").glob("part-*"))
     (tmp_path / "c.json").write_text('{"a": {"b": 1, "c": 2}}')
-    assert files.read_settings(tmp_path / "c.json", {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
+    assert files.read_settings(tmp_path / "c.json", {"a": {"b": 3}})["a"] == {"b": 3, "c": 2}
     (tmp_path / "pyproject.toml").touch()
+    assert files.read_settings(tmp_path / "c.json")["_root"] == str(tmp_path.resolve())
     assert files.project_root(tmp_path / "x") == tmp_path.resolve()
 
 
@@ -98,6 +99,39 @@ def test_attempts(spark):
     assert calls.two_passes(seeds).count() == 8
 
 
+def test_attempts_that_never_end_well_raise(spark):
+    log = spark.createDataFrame([(7, 1, "x"), (7, 2, "{}")], "id int, attempt int, reply string")
+    with pytest.raises(Exception, match="no valid reply for 7 after 2"):
+        calls.extracted(log).collect()
+
+
+def test_passing_errors():
+    class APIConnectionError(Exception):
+        pass
+
+    assert calls.passes(APIConnectionError("")) and calls.passes(ValueError("HTTP 503")) and calls.passes(TimeoutError())
+    assert not calls.passes(ValueError("HTTP 429")) and not calls.passes(KeyError("x"))
+
+
+def test_a_rewrite_reads_its_own_path(spark, tmp_path):
+    at = f"file://{tmp_path}/rows"
+    files.write_jsonl(spark.range(5), at)
+    files.rewrite(files.read_jsonl(spark, at, "id long").withColumn("id", F.col("id") * 2), at)
+    assert sorted(r.id for r in files.read_jsonl(spark, at, "id long").collect()) == [0, 2, 4, 6, 8]
+    assert [p.name for p in tmp_path.iterdir()] == ["rows"]
+
+
+def test_generation_stops_after_misses(spark):
+    asked = []
+
+    def ask(batch, want):
+        asked.append((batch, want))
+        return json.dumps(["a" * 50, "b" * 50]) if batch == 1 else "no"
+
+    out = calls.until(spark, 5, ask, misses=3, per_call=4).collect()
+    assert [len(r.text) for r in out] == [50, 50] and asked == [(0, 4), (1, 4), (2, 3), (3, 3)]
+
+
 def test_calls_are_made_once_and_waited_for(spark):
     def call(row):
         if row["text"] == "bad":

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace import queries as Q
-from millrace.operators import cost, reports, review, similarity
+from millrace.operators import cost, extraction, reports, review, similarity
 
 CHECKED = sorted(Q.ORACLE_SQL)
 
@@ -53,8 +53,7 @@ def test_pairs_and_greedy_against_loops(spark):
             dup[d] = max(near, key=lambda k: (sim(k, d), -k))
         else:
             kept.append(d)
-    similarity.checkpointed(spark)
-    bits = similarity.with_classes(similarity.with_bits(spark.createDataFrame(list(texts.items()), "id long, text string"))).checkpoint()
+    bits = similarity.classed(spark.createDataFrame(list(texts.items()), "id long, text string"))
     found = similarity.similar_pairs(bits)
     assert {(r.a, r.b) for r in found.collect()} == pairs
     out = similarity.greedy(bits.select("id"), found).collect()
@@ -88,9 +87,9 @@ def test_copies_and_leaks_against_loops(spark):
         docs = spark.createDataFrame(list(mine.items()), "id long, text string")
         out = similarity.dedup_texts(docs, threshold=0.95).collect()
         assert {r.id: r.dup_of for r in out if not r.kept} == dup and len(out) == 10
-    bits = similarity.with_classes(similarity.with_bits(docs)).checkpoint()
+    bits = similarity.classed(docs)
     other = spark.createDataFrame([(1, "ab"), (2, ""), (3, " "), (4, "AB"), (5, "none of them")], "id long, text string")
-    found = similarity.leaks(bits, similarity.with_classes(similarity.with_bits(other)).checkpoint()).collect()
+    found = similarity.leaks(bits, similarity.classed(other)).collect()
     assert {(r.a, r.b) for r in found} == {(d, 1) for d, t in mine.items() if t == "ab"} | {(d, 2) for d, t in mine.items() if not t}
     for wrong in ("none", "embedding"):
         with pytest.raises(ValueError):
@@ -98,12 +97,27 @@ def test_copies_and_leaks_against_loops(spark):
 
 
 def test_greedy_keeps_what_is_only_near_a_dropped_row(spark):
-    similarity.checkpointed(spark)
     pairs = spark.createDataFrame([(1, 2, 0.95), (2, 3, 0.95), (3, 4, 0.92)], "a long, b long, similarity double")
     out = {r.id: (r.kept, r.dup_of) for r in similarity.greedy(spark.range(1, 6), pairs).collect()}
     assert out == {1: (True, None), 2: (False, 1), 3: (True, None), 4: (False, 3), 5: (True, None)}
 
 
+@pytest.mark.parametrize("at_once", [0, 50, 10**6])
+def test_greedy_settles_long_chains(spark, at_once):
+    """Each row is near the one before it alone: every second one stays, however many there are."""
+    n = 20 if at_once < 50 else 400 if at_once > 50 else 60
+    pairs = spark.createDataFrame([(i, i + 1, 0.95) for i in range(n)], "a long, b long, similarity double")
+    assert {r.id for r in similarity.greedy(spark.range(n + 1), pairs, at_once).collect() if r.kept} == set(range(0, n + 1, 2))
+
+
+def test_grams_of_characters_beyond_the_plane(spark):
+    texts = ["a😀b c", "😀😀😀😀", "😀", "ab", "Straße  X", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = [_grams(t or "") for t in texts]
+    assert [set(r.g) for r in rows.select("id", similarity.grams(F.col("text")).alias("g")).orderBy("id").collect()] == want
+    assert [r.n for r in similarity.with_bits(rows).orderBy("id").collect()] == [len(g) for g in want]
+
+
 def test_allocation_sums_up(spark):
     sizes = [("a", 5), ("b", 50), ("c", 1), ("d", 33)]
     strata = spark.createDataFrame(sizes, "stratum string, size long")
@@ -156,3 +170,61 @@ def test_break_even(spark):
     m = reports.Machine()
     got = spark.range(1).select(m.break_even(F.lit(0.00795), F.lit(4.0)).alias("x"), m.break_even(F.lit(0.0), F.lit(4.0)).alias("none")).first()
     assert abs(got.x - 126.4) < 0.05 and got.none is None
+
+
+def test_gold_and_raters_without_rows_are_errors(spark):
+    none = spark.createDataFrame([], "label string")
+    with pytest.raises(Exception, match="no gold labels"):
+        review.human_accuracy(none).collect()
+    a = spark.createDataFrame([(1, "correct", 1)], "id long, label string, ord int")
+    with pytest.raises(Exception, match="share no rated item"):
+        review.score_raters(a, a.withColumn("id", F.col("id") + 1)).collect()
+    with pytest.raises(Exception, match="no documents to score"):
+        extraction.batch_scores(spark.createDataFrame([], "tp long, fp long, fn long, f1 double, precision double, recall double, exact boolean, agreement double")).collect()
+
+
+def test_pairs_by_place(spark):
+    side = lambda rows, name: spark.createDataFrame(rows, f"at long, {name} string")
+    assert [tuple(r) for r in extraction.one_to_one(side([(1, "x"), (2, None)], "pred"), side([(2, "b"), (1, "a")], "gold")).orderBy("at").collect()] == [(1, "x", "a"), (2, None, "b")]
+    for preds, golds in (([(1, "x")], [(1, "a"), (2, "b")]), ([(1, "x"), (1, "y")], [(1, "a")])):
+        with pytest.raises(Exception, match="no pair at place"):
+            extraction.one_to_one(side(preds, "pred"), side(golds, "gold")).collect()
+    with pytest.raises(ValueError):
+        extraction.one_to_one(side([], "pred"), side([], "gold"))
+
+
+_INVOICE = "struct<vendor: string, date: string, currency: string, line_items: array<struct<description: string, qty: double, unit_price: double, total: double>>, subtotal: double, tax: double, grand_total: double, payment_terms: string>"
+
+
+def test_fields_within_a_row_and_by_a_join_agree(spark):
+    """Null lines keep their numbers; sides may be null or of different lengths."""
+    line = lambda d: (d, 1.0, 2.0, 2.0)
+    one = lambda *lines: ("V", "2024-01-01", "USD", list(lines), 1.0, 0.0, 1.0, None)
+    rows = [(1, one(line("a"), None, line("b")), one(line("A "), line("x"))), (2, None, one(line("a"))), (3, one(), None), (4, one(None), one(None)), (5, None, None)]
+    docs = spark.createDataFrame(rows, f"id long, pred {_INVOICE}, gold {_INVOICE}")
+    columns = ["id", "path", "leaf", "has_pred", "has_gold", "same", "match", "ps", "pn", "gs", "gn"]
+    key = lambda df: sorted(map(str, df.select(*columns).collect()))
+    joined = extraction.compare(extraction.flatten(docs, "pred"), extraction.flatten(docs, "gold"))
+    within = extraction.compare_pairs(docs)
+    assert key(within) == key(joined)
+    paths = {r.path for r in within.where("id = 1 and has_pred and path like 'line%description'").collect()}
+    assert paths == {"line_items[0].description", "line_items[2].description"}
+
+
+def test_json_fields(spark):
+    text = '{"vendor": null, "tax": "3.50", "subtotal": true, "date": 5, "currency": {"a": [1]}, "other": 1, "line_items": [null, 3, {"qty": "2", "total": "x"}, []]}'
+    rows = extraction.flatten_json(spark.createDataFrame([(1, text), (2, "[]"), (3, None), (4, '{"line_items": "no"}')], "id long, j0 string"), "j0").collect()
+    got = {r.path: (r.s, r.n, r.j) for r in rows}
+    assert got == {"vendor": (None, None, None), "tax": (None, 3.5, None), "subtotal": (None, 1.0, None), "date": (None, 5.0, None), "currency": (None, None, '{"a":[1]}'), "line_items[2].qty": (None, 2.0, None), "line_items[2].total": ("x", None, None)}
+    assert {r.id for r in rows} == {1}
+
+
+def test_repeated_second_passes_do_not_multiply_records(spark):
+    docs = spark.createDataFrame([(1, ("V", "d", "USD", [], 1.0, 0.0, 1.0, None)), (2, ("V", "d", "USD", [], 1.0, 0.0, 1.0, None))], f"id long, output {_INVOICE}")
+    bad = ("W", "e", "EUR", [], 9.0, 9.0, 9.0, "x")
+    good = ("V", "d", "USD", [], 1.0, 0.0, 1.0, None)
+    second = spark.createDataFrame([(1, 1, good), (1, 2, bad), (2, 1, bad), (2, 2, None)], f"id long, ord int, output {_INVOICE}")
+    got = {r.id: (r.agreement, r.kept, r.reason) for r in extraction.consistency_of(docs, second).collect()}
+    assert got == {1: (0.0, False, "consistency: 0.000"), 2: (None, True, None)}
+    old = extraction.consistency(spark.createDataFrame([(1, 0.5)], "id long, agreement double"), spark.createDataFrame([(1, False), (1, True)], "id long, null_second boolean"))
+    assert [tuple(r) for r in old.collect()] == [(1, 0.5, False, "consistency: 0.500")]
