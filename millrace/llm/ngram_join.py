@@ -18,9 +18,14 @@ Verification takes whole sets, recomputed from whole texts. With slack s in the
 in more than s words; a set with at most s empty words therefore agrees in one that is not empty, and only sets with
 more empty words also give keys for these.
 
+Hot keys: a key of more than BLOCK nodes is cut into blocks, and each pair of its blocks is a group of its own, so no task
+takes a whole key; only pairs that sizes and sketches allow leave it.
+
 Defined cases: null text or text without words is linked with nothing (size 0, its own component); fewer words than
-five are one shingle; rows that repeat a doc_id each come back,
-joined by any of their texts' links; a row with a null doc_id is left out of the result (the pipeline stage keeps it).
+five are one shingle; very long texts are hashed in pieces; rows that repeat a doc_id each come back, and all their texts
+belong to one document, so they are linked with one another; a row with a null doc_id takes part like others, but lends
+no id: its component_id is the smallest id that it reaches, null where there is none; an empty table gives no rows;
+columns beyond doc_id and text are left alone. Nodes are told apart by 64-bit digests of their shingle sets.
 """
 
 from __future__ import annotations
@@ -39,6 +44,8 @@ LEAST = 80
 SHINGLE = 5
 #: Longs in the bitmap of the ids of documents that are needed again.
 BITMAP = 1 << 16
+#: Nodes of a key that are compared in one group, and nodes that a task remembers.
+BLOCK, SEEN = 4096, 1 << 20
 U = np.uint64
 _EMPTY = U(0x5A17_0F3C_9E2B_4D61)
 
@@ -163,6 +170,8 @@ def shared_keys(docs: DataFrame, parts: int) -> DataFrame:
             grams, off = sets(batch.column(0))
             node = digests(grams, off)
             fresh = []
+            if len(seen) > SEEN:  # what comes again then is sorted out where keys meet
+                seen.clear()
             for i, x in enumerate(node.tolist()):
                 if off[i + 1] > off[i] and x not in seen:
                     seen.add(x)
@@ -229,15 +238,15 @@ def shared_keys(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, node, n_shingles, sketch."""
+    """doc_id, uid, node, n_shingles, sketch of docs (doc_id, uid, text)."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 1):
-            grams, off = sets(batch.column(1))
+        for batch in sliced(batches, 2):
+            grams, off = sets(batch.column(2))
             full = pa.array([sketch(grams[a:b]) if b > a else b"" for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests(grams, off).astype(np.int64)), pa.array(np.diff(off)), full], names=["doc_id", "node", "n_shingles", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests(grams, off).astype(np.int64)), pa.array(np.diff(off)), full], names=["doc_id", "uid", "node", "n_shingles", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(digest, "doc_id long, node long, n_shingles long, sketch binary")
+    return docs.select("doc_id", "uid", "text").mapInArrow(digest, "doc_id long, uid long, node long, n_shingles long, sketch binary")
 
 
 def _whole(docs: DataFrame) -> DataFrame:
@@ -248,6 +257,8 @@ def _whole(docs: DataFrame) -> DataFrame:
         for batch in sliced(batches, 0):
             grams, off = sets(batch.column(0))
             node = digests(grams, off).astype(np.int64)
+            if len(seen) > SEEN:
+                seen.clear()
             new = np.array([i for i, x in enumerate(node.tolist()) if not (x in seen or seen.add(x))], np.int64)
             lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(grams.astype(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(node[new]), pa.array(np.diff(off)[new]), lists.take(pa.array(new))], names=["node", "n", "shingles"])
@@ -277,13 +288,14 @@ def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) of nodes that link, by their whole sets, from one document each."""
+    """Those of pairs (a, b) of nodes that link, by their whole sets, from one document each. b may be in very many pairs:
+    its set is joined last, so it moves once, and a join that is skewed by it can be split."""
     some = pairs.select("a").union(pairs.select("b")).distinct()
-    needed = reps.join(some, F.col("node") == F.col("a")).select("first_id")
-    whole = keep(_whole(among(docs, needed)), "sets")
+    needed = reps.join(some, F.col("node") == F.col("a")).select("first_uid")
+    whole = keep(_whole(among(docs, needed)).dropDuplicates(["node"]), "sets")
     left = whole.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = whole.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    met = pairs.join(right, "b").join(left, "a")
+    met = pairs.join(left, "a").join(right, "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return met.where(100 * both >= LEAST * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
@@ -298,11 +310,12 @@ def _fold(raw: list[bytes], to: int) -> np.ndarray:
 
 def _across(members: DataFrame) -> DataFrame:
     """Pairs (a, b) to verify of members (key, node, label, n, sketch): of different labels under one key, whose sizes
-    and sketches allow a link. A key's members are taken in blocks, so memory is bounded by its members' sketches."""
+    and sketches allow a link. The nodes of a key are dealt to blocks of about BLOCK by hash, and a group is a block with
+    itself or with another, so memory and time of a task are bounded by two blocks' sketches."""
 
-    def pairs(node: np.ndarray, label: np.ndarray, n: np.ndarray, raw: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(node: np.ndarray, label: np.ndarray, n: np.ndarray, side: np.ndarray, raw: list[bytes], one: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         order = np.argsort(n, kind="stable")
-        node, label, n, raw = node[order], label[order], n[order], [raw[i] for i in order]
+        node, label, n, side, raw = node[order], label[order], n[order], side[order], [raw[i] for i in order]
         for lo in range(0, len(node), 256):
             hi = min(lo + 256, len(node))
             end = int(np.searchsorted(n * LEAST, n[hi - 1] * 100, "right"))
@@ -313,6 +326,8 @@ def _across(members: DataFrame) -> DataFrame:
                     continue
                 apart = np.bitwise_count(block[i - lo] ^ block[i + 1 - lo : stop - lo]).sum(axis=1, dtype=np.int64)
                 ok = (label[i + 1 : stop] != label[i]) & ((100 + LEAST) * apart <= (100 - LEAST) * (n[i] + n[i + 1 : stop]))
+                if not one:
+                    ok &= side[i + 1 : stop] != side[i]
                 hit = node[i + 1 : stop][ok]
                 if len(hit):
                     yield np.minimum(node[i], hit), np.maximum(node[i], hit)
@@ -322,52 +337,61 @@ def _across(members: DataFrame) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                for a, b in pairs(*(np.concatenate([x[k] for x in held]) for k in (1, 2, 3)), [r for x in held for r in x[4]]):
+                _, x, y = held[0][0]
+                for a, b in pairs(*(np.concatenate([h[k] for h in held]) for k in (1, 2, 3, 4)), [r for h in held for r in h[5]], x == y):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
                 held.clear()
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, node, label, n = (batch.column(i).to_numpy() for i in range(4))
-            raw = batch.column(4).to_pylist()
-            cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+            key, x, y, node, label, n, side = (batch.column(i).to_numpy() for i in range(7))
+            raw = batch.column(7).to_pylist()
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(key)], strict=True):
-                if held and held[0][0] != key[lo]:
+                name = (key[lo], x[lo], y[lo])
+                if held and held[0][0] != name:
                     yield from flush()
-                held.append((key[lo], node[lo:hi], label[lo:hi], n[lo:hi], raw[lo:hi]))
+                held.append((name, node[lo:hi], label[lo:hi], n[lo:hi], side[lo:hi], raw[lo:hi]))
         yield from flush()
 
-    dealt = members.select("key", "node", "label", "n", "sketch").repartition("key").sortWithinPartitions("key")
+    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    mates = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("x"), F.greatest("block", j).alias("y")))
+    each = own.select("key", F.inline(mates), "node", "label", "n", F.col("block").alias("side"), "sketch")
+    dealt = each.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").select("key", "x", "y", "node", "label", "n", "side", "sketch")
     return dealt.mapInArrow(by_key, "a long, b long").distinct()
 
 
 def among(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is a first_id of needed. A bitmap of the ids' hashes, of fixed size (BITMAP longs),
-    is broadcast first, so that texts which aren't needed don't move; the join that follows is exact at any size."""
-    bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64({c}), 20), 64) as int))")
-    word = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP)).cast("int")
+    """The rows of docs whose uid is a first_uid of needed. A bitmap of the uids, of fixed size (BITMAP longs), is
+    broadcast first, so that texts which aren't needed don't move; the join that follows is exact at any size."""
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(shiftright({c}, 20), 64) as int))")
+    word = lambda c: F.pmod(F.col(c), F.lit(BITMAP)).cast("int")
     needed = keep(needed, "needed")
-    bitmap = needed.groupBy(word("first_id").alias("word")).agg(F.bit_or(bit("first_id")).alias("bits"))
-    some = docs.withColumn("at", word("doc_id")).join(F.broadcast(bitmap), F.col("at") == F.col("word")).where(F.col("bits").bitwiseAND(bit("doc_id")) != 0)
-    return some.join(needed, F.col("doc_id") == F.col("first_id"), "left_semi").select(*docs.columns)
+    bitmap = needed.groupBy(word("first_uid").alias("word")).agg(F.bit_or(bit("first_uid")).alias("bits"))
+    some = docs.withColumn("at", word("uid")).join(F.broadcast(bitmap), F.col("at") == F.col("word")).where(F.col("bits").bitwiseAND(bit("uid")) != 0)
+    return some.join(needed, F.col("uid") == F.col("first_uid"), "left_semi").select(*docs.columns)
 
 
 def similar(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of each distinct doc_id of docs (doc_id, text)."""
+    """doc_id, n_shingles, component_id of each row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    info = keep(nodes(docs.where("doc_id is not null")), "nodes")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("uid", F.xxhash64("doc_id", "text"))
+    info = keep(nodes(docs), "nodes")
     shared = keep(shared_keys(docs, partitions(spark)), "shared")
     full = info.where("n_shingles > 0")
-    reps = full.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    reps = full.groupBy("node").agg(F.min("uid").alias("first_uid"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     reps = keep(reps.join(shared.select("node").distinct(), "node", "left_semi"), "sketches")
+    # the texts of one doc_id
+    own = full.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
+    same = full.join(own, "doc_id").where("node <> a").select("a", F.col("node").alias("b"))
     # each node of a key against the one that agrees most
     weight = shared.groupBy("node").agg(F.sum(F.col("weight") * (F.col("size") - 1)).alias("agreed"))
     best = shared.join(weight, "node").groupBy("key").agg(F.max(F.struct("agreed", "node"))["node"].alias("b"))
     met = keep(shared.join(best, "key").where("node <> b").select("key", F.col("node").alias("a"), "b"), "stars")
     stars = met.select("a", "b").distinct()
-    near = keep(_links(keep(_near(stars, reps), "near"), docs, reps), "links")
+    near = keep(_links(keep(_near(stars, reps), "near"), docs, reps).union(same.distinct()), "links")
     label = components(near)
     # what is left of a key beside that one, where it is still in several components
     known = met.join(label, met.a == label.node, "left").select("key", F.col("a").alias("node"), F.coalesce("component", "a").alias("label"))
@@ -387,7 +411,8 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays, that with the smallest doc_id. Rows with a null doc_id stay."""
+    """Pipeline stage: one document of each group stays, that with the smallest doc_id (with all rows of that id). Rows
+    with a null doc_id stay, as nothing names them; an empty table stays empty. Returns docs' own columns."""
     kept = similar(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     alone = docs.where("doc_id is null")
     return docs.join(kept, docs.doc_id == kept["_kept"], "left_semi").unionByName(alone)

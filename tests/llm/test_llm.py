@@ -47,9 +47,7 @@ OPS = [fingerprints.op1_fingerprints, sharding.op2_sharding, ngram_join.op3_ngra
 def test_awkward_and_empty_tables(spark, awkward, op):
     path, empty, rows = awkward
     got = op(spark, path).collect()
-    if op is ngram_join.op3_ngram_join:
-        assert len(got) == len(rows) - 1
-    elif op is warc.op9_warc:
+    if op is warc.op9_warc:
         assert Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got) == Counter([(1, "response", None, 203), (2, "revisit", 1, 203), (2, "revisit", 1, 203), (3, "response", None, 0), (4, "response", None, 0), (5, "response", None, 17), (6, "response", None, 17)])
     elif op is not packing.op4_packing:
         assert len(got) == len(rows)
@@ -137,6 +135,31 @@ def test_ngram_join_of_star_and_threshold(spark):
     assert got == brute.jaccard_components(rows)
 
 
+def test_ngram_join_of_repeated_and_null_ids(spark):
+    rng = random.Random(9)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    a, b, c = text(), text(), text()
+    near = lambda t: " ".join([*t, "more"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (3, near(a)), (7, " ".join(b)), (None, near(c)), (9, " ".join(c)), (None, "quite alone here with no other text"), (None, None), (5, ""), (8, None)]
+    got = ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # 7 reaches 3 through document 5, which has both texts; a row without an id lends none
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter([(5, 56, 3), (5, 56, 3), (3, 57, 3), (7, 56, 3), (None, 57, 9), (9, 56, 9), (None, 3, None), (None, 0, None), (5, 0, 5), (8, 0, 8)])
+
+
+def test_ngram_join_of_one_hot_key(spark, monkeypatch):
+    """Nodes that share a key, most of which don't link, in blocks: no link between them is lost."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 500)
+    rng = np.random.default_rng(4)
+    n, size = 10_000, 40
+    grams = rng.integers(0, 1 << 62, (n, size)).astype(np.uint64)
+    twins = rng.choice(n // 2, 300, replace=False)
+    grams[twins + n // 2, :-2] = grams[twins, :-2]
+    raw = [ngram_join.sketch(np.unique(g)) for g in grams]
+    members = spark.createDataFrame([(1, i, i, size, r) for i, r in enumerate(raw)], "key long, node long, label long, n long, sketch binary")
+    got = {(r.a, r.b) for r in ngram_join._across(members).collect()}
+    assert {(int(t), int(t) + n // 2) for t in twins} <= got and len(got) < 2 * len(twins)
+
+
 def test_packing_round_trip(spark, rows):
     ids, by, sequences = packing.Ids(), defaultdict(list), defaultdict(list)
     for r in packing.op4_packing(spark, SMALL).collect():
