@@ -1,16 +1,21 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs, in DataFrame operations only.
 
-A text's paragraphs are its lines, cut at each sentence end and after WIDTH characters, so that a text of one line has
-several as well. Each distinct paragraph has a 64-bit digest, which goes into one cell of each of three tables: a cell
-holds how many digests it has, their XOR, and the XOR of their check hashes. Sketches subtract cell by cell; peeling
-then recovers the digests that differ: a cell with one digest gives it away, taking it out of its other cells frees more.
-The small sketch (3 x 16 cells, a fold of the large one) is tried first, the large one (3 x 64) where peeling fails.
-Where that fails too, the number of differences is estimated from the cells' counts, as in a tug-of-war sketch.
-
-Likeness of two fingerprints: 1 - differing digests / digests of both (1 where neither has any).
-
-Defined cases: null text is empty, and an empty text has no paragraphs; equal texts have equal fingerprints; repeated
-doc_ids follow in the order of the hash of their texts; null doc_ids come last; extra columns are left alone.
+A text's paragraphs are its lines, cut at each sentence end and after WIDTH characters; a text of fewer than FEW of them
+has its words as well, so that two short texts of which one half is equal share something. Each distinct paragraph has a
+64-bit digest, which goes into one cell of each of three tables of W cells: a cell holds how many digests it has, their
+XOR, and the XOR of their check hashes. Sketches are kept as their cells that aren't empty, in order, so building,
+folding and subtracting are all one merge of cells by number (`combine`).
+
+A fingerprint is the sketch of a text at a width W that grows with its paragraphs (3 * W cells are eight times as many at
+least), so it gives its own digests away as well. Two fingerprints are folded to the smaller width, subtracted and
+peeled: a cell with one digest gives it away, taking it out of its other cells frees more. Where peeling fails, the
+difference is tried again in larger sketches, of a width for all digests of both texts, and of four times that; where
+two digests share all cells even there (one pair in billions), the digests themselves are compared. So the likeness is
+always exact: 1 - differing digests / digests of both (1 where neither has any).
+
+Defined cases: null text is empty, and an empty text has no paragraphs; equal texts have equal fingerprints; a very long
+text has a wide fingerprint (at most 2^20 cells a table); repeated doc_ids follow in the order of the hash of their texts;
+null doc_ids come last; an empty table gives no rows; extra columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,81 +27,96 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import documents, partitions
 
-WIDTH = 240
-SMALL, LARGE = 16, 64
+WIDTH, FEW = 240, 8
+#: Cells of a table, at least and at most (powers of two).
+LEAST, MOST = 16, 1 << 20
 #: Rounds of peeling; each frees all cells that have one digest.
-ROUNDS = 16
-
-
-def _placed(digest: str, width: int) -> str:
-    """A digest d with its check hash and its cell in each of the three tables."""
-    at = ", ".join(f"'i{t}', cast(shiftrightunsigned(d, {12 * t}) & {width - 1} as int)" for t in range(3))
-    return f"transform({digest}, d -> named_struct('k', d, 'h', shiftrightunsigned(xxhash64(d), 32), {at}))"
+ROUNDS = 24
 
 
 def paragraphs(text: str) -> Column:
-    """The distinct paragraphs' digests, placed."""
+    """The distinct paragraphs' digests."""
     cut = rf"regexp_extract_all({text}, '[^\n][^\n.!?]{{0,{WIDTH - 1}}}[.!?]*', 0)"
-    return F.expr(_placed(f"array_distinct(transform({cut}, p -> xxhash64(trim(p))))", LARGE))
+    said = f"transform(regexp_extract_all({text}, '[^\\\\s]+', 0), w -> xxhash64(w, 'word'))"
+    digests = f"transform(array({cut}), c -> concat(transform(c, p -> xxhash64(trim(p))), if(size(c) < {FEW}, {said}, array())))[0]"
+    return F.expr(f"array_distinct({digests})")
+
+
+def width(n: str) -> str:
+    """The width for n digests, as SQL."""
+    return f"cast(least({MOST}, greatest({LEAST}, pow(2, ceil(log2(greatest({n}, 1) * 8.0D / 3))))) as bigint)"
+
+
+def _check(k: str) -> str:
+    return f"shiftrightunsigned(xxhash64({k}, 1), 32)"
+
+
+def _cells_of(k: str, w: str, c: str) -> str:
+    """The three cells (j, c, k, h) that a digest k is in, c times. A cell's number j is its place times 3, plus its table."""
+    one = ", ".join(f"named_struct('j', (shiftrightunsigned(e, {20 * t}) & ({w} - 1)) * 3 + {t}, 'c', {c}, 'k', {k}, 'h', {_check(k)})" for t in range(3))
+    return f"transform(array(xxhash64({k})), e -> array({one}))[0]"
 
 
-def cells(placed: str) -> Column:
-    """The large sketch of placed digests: three tables of LARGE structs (c, k, h), one after the other."""
-    # transform(array(x), y -> ...)[0] binds x: an optimised plan would else compute it anew in each lambda
-    table = f"transform(sequence(0, {LARGE - 1}), j -> aggregate(filter(every, d -> d.i%d = j), named_struct('c', 0L, 'k', 0L, 'h', 0L), (a, d) -> named_struct('c', a.c + 1L, 'k', a.k ^ d.k, 'h', a.h ^ d.h)))"
-    return F.expr(f"transform(array({placed}), every -> concat({', '.join(table % t for t in range(3))}))[0]")
+def entries(digests: str, w: str, sign: int = 1) -> str:
+    return f"flatten(transform({digests}, d -> {_cells_of('d', w, f'{sign}L')}))"
 
 
-def fold(sketch: str) -> Column:
-    """The small sketch of the same digests."""
-    parts = ", ".join(f"all[(j div {SMALL}) * {LARGE} + j % {SMALL} + {q * SMALL}]" for q in range(LARGE // SMALL))
-    one = f"aggregate(array({parts}), named_struct('c', 0L, 'k', 0L, 'h', 0L), (a, x) -> named_struct('c', a.c + x.c, 'k', a.k ^ x.k, 'h', a.h ^ x.h))"
-    return F.expr(f"transform(array({sketch}), all -> transform(sequence(0, {3 * SMALL - 1}), j -> {one}))[0]")
+def combine(cells: str) -> str:
+    """Cells in order, those of one number merged, empty ones left out. (transform(array(x), y -> ...)[0] binds x.)"""
+    last = "coalesce(get(starts, r + 1), size(s)) - i"
+    merged = "aggregate(slice(s, i + 1, %s), named_struct('j', s[i].j, 'c', 0L, 'k', 0L, 'h', 0L), (a, x) -> named_struct('j', a.j, 'c', a.c + x.c, 'k', a.k ^ x.k, 'h', a.h ^ x.h))" % last
+    runs = f"filter(transform(starts, (i, r) -> if({last} = 1, s[i], {merged})), x -> x.c != 0 or x.k != 0 or x.h != 0)"
+    starts = "filter(sequence(0, size(s) - 1), i -> i = 0 or s[i].j != s[greatest(i - 1, 0)].j)"
+    return f"transform(array(array_sort({cells})), s -> if(size(s) = 0, s, transform(array({starts}), starts -> {runs})[0]))[0]"
 
 
-def minus(a: str, b: str) -> Column:
-    return F.expr(f"zip_with({a}, {b}, (x, y) -> named_struct('c', x.c - y.c, 'k', x.k ^ y.k, 'h', x.h ^ y.h))")
+def fold(cells: str, w: str) -> str:
+    """A sketch at a smaller width: its cells under their new numbers, not yet merged."""
+    return f"transform({cells}, x -> named_struct('j', ((x.j div 3) & ({w} - 1)) * 3 + x.j % 3, 'c', x.c, 'k', x.k, 'h', x.h))"
 
 
-def peel(diff: str, width: int) -> Column:
-    """struct: digests (c, k) that peeling recovers from a difference of sketches, c being 1 or -1 by the side that has
-    them, and whether these are all."""
-    at = ", ".join(f"'i{t}', cast(shiftrightunsigned(x.k, {12 * t}) & {width - 1} as int)" for t in range(3))
-    pure = f"transform(filter(s.cells, x -> abs(x.c) = 1 and x.h = shiftrightunsigned(xxhash64(x.k), 32)), x -> named_struct('c', x.c, 'k', x.k, 'h', x.h, {at}))"
-    table = f"transform(slice(s.cells, {width} * %d + 1, {width}), (x, j) -> aggregate(filter(pure, p -> p.i%d = j), x, (a, p) -> named_struct('c', a.c - p.c, 'k', a.k ^ p.k, 'h', a.h ^ p.h)))"
-    rest = f"concat({', '.join(table % (t, t) for t in range(3))})"
-    out = "concat(s.found, transform(pure, p -> named_struct('c', p.c, 'k', p.k)))"
-    step = f"if(exists(s.cells, x -> abs(x.c) = 1), transform(array(array_distinct({pure})), pure -> if(size(pure) = 0, s, named_struct('cells', {rest}, 'found', {out})))[0], s)"
-    run = f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {diff}, 'found', cast(array() as array<struct<c: bigint, k: bigint>>)), (s, r) -> {step})"
-    return F.expr(f"transform(array({run}), s -> named_struct('found', s.found, 'whole', forall(s.cells, x -> x.c = 0 and x.k = 0 and x.h = 0)))[0]")
+def negated(cells: str) -> str:
+    return f"transform({cells}, x -> named_struct('j', x.j, 'c', -x.c, 'k', x.k, 'h', x.h))"
 
 
-def estimate(diff: str, n: str, m: str) -> Column:
-    """Differences by the squares of the counts in the large sketch, between the least and the most that n and m allow."""
-    squares = f"aggregate({diff}, 0L, (a, x) -> a + x.c * x.c) / 3.0D"
-    return F.expr(f"least(greatest(({squares} - pow({n} - {m}, 2) / {LARGE}.0D) / (1 - 1 / {LARGE}.0D), abs({n} - {m})), {n} + {m})")
+def peel(diff: str, w: str) -> str:
+    """struct: found, the digests (c, k) that peeling recovers from a difference of sketches, c being 1 or -1 by the side
+    that has them, and whole, whether these are all."""
+    pure = f"array_distinct(transform(filter(st.cells, x -> abs(x.c) = 1 and x.h = {_check('x.k')}), x -> named_struct('c', x.c, 'k', x.k)))"
+    out = f"flatten(transform(pure, p -> {_cells_of('p.k', w, '-p.c')}))"
+    step = f"if(size(st.cells) = 0, st, transform(array({pure}), pure -> if(size(pure) = 0, st, named_struct('cells', {combine(f'concat(st.cells, {out})')}, 'found', concat(st.found, pure))))[0])"
+    run = f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {diff}, 'found', cast(array() as array<struct<c: bigint, k: bigint>>)), (st, round) -> {step})"
+    return f"transform(array({run}), z -> named_struct('found', z.found, 'whole', size(z.cells) = 0))[0]"
 
 
-def likeness(df: DataFrame, name: str, a: str, na: str, b: str, nb: str) -> DataFrame:
-    """Adds the column name, the likeness of the large sketches a and b of na and nb digests, and name_peeled."""
-    own = f"_{name}"
-    df = df.withColumn(f"{own}_diff", minus(a, b)).withColumn(f"{own}_low", fold(f"{own}_diff"))
-    df = df.withColumn(f"{own}_about", estimate(f"{own}_diff", na, nb))
-    # a table of three parts is peeled up to about 0.8 digests a cell; beyond, trying is in vain
-    df = df.withColumn(f"{own}_one", F.when(F.col(f"{own}_about") <= 3 * SMALL, peel(f"{own}_low", SMALL)))
-    failed = ~F.coalesce(F.col(f"{own}_one.whole"), F.lit(False))
-    df = df.withColumn(f"{own}_two", F.when(failed & (F.col(f"{own}_about") <= 3 * LARGE), peel(f"{own}_diff", LARGE)))
-    exact = F.when(F.col(f"{own}_one.whole"), F.size(f"{own}_one.found")).when(F.col(f"{own}_two.whole"), F.size(f"{own}_two.found"))
-    both = F.col(na) + F.col(nb)
-    out = df.withColumn(f"{name}_peeled", exact.isNotNull())
-    out = out.withColumn(name, F.when(both == 0, F.lit(1.0)).otherwise(1 - F.coalesce(exact.cast("double"), F.col(f"{own}_about")) / F.greatest(both, F.lit(1))))
-    return out.drop(*[f"{own}_{x}" for x in ("diff", "low", "about", "one", "two")])
+def likeness(df: DataFrame, name: str, a: str, b: str) -> DataFrame:
+    """Adds the column name, the likeness of the fingerprints of two texts, and name_tries: how many sizes of sketches it
+    took, 4 where the digests themselves were compared. a and b name columns: x (digests), x_n, x_w (width), x_cells."""
+    low, both = f"least({a}_w, {b}_w)", f"({a}_n + {b}_n)"
+    large = width(both)
+    tried = [f"_{name}_{i}" for i in range(3)]
+    counted = lambda w, cells: F.expr(f"transform(array({peel(combine(cells), w)}), z -> if(z.whole, size(z.found), null))[0]")
+    # sizes alone tell a difference that the smaller width can't hold
+    first = F.expr(f"abs({a}_n - {b}_n) <= 2.4D * {low}")
+    df = df.withColumn("_low", F.expr(low)).withColumn("_large", F.expr(large))
+    df = df.withColumn(tried[0], F.when(first, counted("_low", f"concat({fold(f'{a}_cells', '_low')}, {negated(fold(f'{b}_cells', '_low'))})")))
+    open_ = F.col(tried[0]).isNull()
+    for i, w in ((1, "_large"), (2, f"least({MOST}, _large * 4)")):
+        df = df.withColumn("_w", F.expr(w))
+        df = df.withColumn(tried[i], F.when(open_, counted("_w", f"concat({entries(a, '_w')}, {entries(b, '_w', -1)})"))).drop("_w")
+        open_ = open_ & F.col(tried[i]).isNull()
+    apart = F.when(open_, F.expr(f"size(array_except({a}, {b})) + size(array_except({b}, {a}))"))
+    n = F.coalesce(*tried, apart)
+    tries = F.when(~open_ & F.col(tried[0]).isNotNull(), 1).when(F.col(tried[1]).isNotNull(), 2).when(F.col(tried[2]).isNotNull(), 3).otherwise(4)
+    out = df.withColumn(f"{name}_tries", tries).withColumn(name, F.when(F.expr(both) == 0, F.lit(1.0)).otherwise(1 - n / F.greatest(F.expr(both), F.lit(1))))
+    return out.drop("_low", "_large", *tried)
 
 
-def text_form(sketch: str, n: str) -> Column:
-    """A small sketch as text: the number of digests, then each cell's count, XOR and check in hexadecimal."""
-    cell = f"transform({sketch}, x -> if(x.c = 0 and x.k = 0, '', concat_ws('.', hex(x.c), hex(x.k), hex(x.h))))"
-    return F.expr(f"concat(cast({n} as string), ':', array_join({cell}, ','))")
+def text_form(x: str) -> Column:
+    """A fingerprint as text: width, number of digests, then each cell that isn't empty: number, count, XOR and check in
+    hexadecimal."""
+    cell = f"transform({x}_cells, y -> concat_ws('.', y.j, y.c, hex(y.k), hex(y.h)))"
+    return F.expr(f"concat({x}_w, ':', {x}_n, ':', array_join({cell}, ','))")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -140,12 +160,13 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.coalesce("next", F.lit("")), F.lit(1), half))
     df = df.withColumn("n_chars", n.cast("long")).withColumn("edited", edited).drop("next")
-    df = df.withColumn("p", paragraphs("text")).withColumn("q", paragraphs("edited"))
-    df = df.select("doc_id", "bucket", "ghost", "text_hash", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.size("p").cast("long").alias("np"), F.size("q").cast("long").alias("nq"), cells("p").alias("own"), cells("q").alias("other"))
-    df = df.withColumn("following", F.lead("own").over(in_bucket)).withColumn("nf", F.lead("np").over(in_bucket)).where("not ghost")
-    df = likeness(likeness(df, "near_edited", "own", "np", "other", "nq"), "near_next", "own", "np", "following", "nf")
-    df = df.withColumn("small", fold("own")).withColumn("small_edited", fold("other"))
-    return df.select("doc_id", "n_chars", "edited_sha256", text_form("small", "np").alias("fingerprint"), text_form("small_edited", "nq").alias("edited_fingerprint"), "near_edited", "near_next", "near_edited_peeled", "near_next_peeled")
+    df = df.select("doc_id", "bucket", "ghost", "text_hash", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), paragraphs("text").alias("own"), paragraphs("edited").alias("other"))
+    sketched = lambda df, x: df.withColumn(f"{x}_n", F.size(x).cast("long")).withColumn(f"{x}_w", F.expr(width(f"{x}_n"))).withColumn(f"{x}_cells", F.expr(combine(entries(x, f"{x}_w"))))
+    df = sketched(sketched(df, "own"), "other")
+    for c in ("own", "own_n", "own_w", "own_cells"):
+        df = df.withColumn(c.replace("own", "follows", 1), F.lead(c).over(in_bucket))
+    df = likeness(likeness(df.where("not ghost"), "near_edited", "own", "other"), "near_next", "own", "follows")
+    return df.select("doc_id", "n_chars", "edited_sha256", text_form("own").alias("fingerprint"), text_form("other").alias("edited_fingerprint"), "near_edited", "near_next", "near_edited_tries", "near_next_tries")
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
