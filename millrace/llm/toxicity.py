@@ -1,16 +1,22 @@
-"""Toxicity by the nearest labelled examples: exact cosine of weighted TF-IDF over an inverted index.
+"""Toxicity by the nearest labelled examples: exact cosine of weighted TF-IDF over a block-max inverted index.
 
 The examples are a bounded sample of the labelled rows: at most EXAMPLES of each label, in the order of a hash of their
 ids. Terms are words and their beginnings (4 to 8 bytes); all that the examples have make the vocabulary. A term's IDF
 is multiplied by 1 + its chi-squared statistic where more than one toxic example has it and toxic ones have it more
-often, so that such terms decide where a text has them, and its other terms where not. The index lists, for each term,
-the examples that have it; terms of more than 1 / COMMON of the examples are whole rows, which many texts are multiplied
-with at once. All postings of a text's terms are added up, so the NEAREST examples are exact. Votes weigh by the cosine's
-square and by the label's share among all labelled rows, against a prior, so the score is a calibrated share.
+often, so that such terms decide where a text has them, and its other terms where not.
+
+The index orders the examples by likeness (halving them along the main direction of their projected vectors) and cuts
+them into blocks of BLOCK. Rare terms have posting lists; terms of more than 1 / COMMON of the examples have a row of
+weights in each block, and their greatest weight in it. A search adds up the postings of a text's rare terms, adds the
+block maxima of its common terms, and so has an upper bound for every example. The blocks with the best bounds are
+worked out first; then, of the others, only those whose bound reaches the NEAREST-th cosine found. What is skipped
+can't be among the nearest, so these are exact. Votes weigh by the cosine's square and by the label's share among all
+labelled rows, against a prior, so the score is a calibrated share.
 
 Defined cases: a null or empty text, or one without any term of the examples, is voted on by the examples without any
-term (the prior where there are none); ties in cosine go to the example that is first in the index; with no usable labels every
-score is 0; labels that repeat a doc_id count once, as toxic if any is; null labels and ids are left out.
+term (the prior where there are none); ties in cosine go to the smaller doc_id; with no usable labels every score is 0;
+labels that repeat a doc_id count once, as toxic if any is; null labels and ids are left out; very long texts are counted
+whole; an empty table gives no rows; repeated rows get equal scores; extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -28,7 +34,9 @@ from millrace.llm.common import documents, keep, mix, remainder, sliced, utf8, w
 
 U = np.uint64
 EXAMPLES, NEAREST, COMMON = 4096, 16, 16
-#: Texts whose common terms are multiplied at once.
+#: Examples in a block, blocks that a search works out first, and dimensions that examples are ordered by.
+BLOCK, FIRST, DIMENSIONS = 32, 4, 24
+#: Texts that are searched at once.
 TOGETHER = 256
 #: The weight of the prior in votes.
 PRIOR = 0.25
@@ -54,20 +62,65 @@ def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(got), np.concatenate(whose)
 
 
-def _counts(column: pa.Array, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, times), sorted, of terms(); with only (sorted) of these terms, as their places in it."""
+def _counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, times), sorted, of terms()."""
     term, doc = terms(column)
     order = np.lexsort((term, doc))
     term, doc = term[order], doc[order]
     if not len(term):
-        return doc, term.astype(np.int64) if only is not None else term, np.zeros(0, np.int64)
+        return doc, term, np.zeros(0, np.int64)
     new = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (doc[1:] != doc[:-1]))))
-    doc, term, times = doc[new], term[new], np.diff(np.append(new, len(term)))
-    if only is None:
-        return doc, term, times
-    at = np.minimum(np.searchsorted(only, term), max(0, len(only) - 1))
-    hit = only[at] == term if len(only) else np.zeros(len(term), bool)
-    return doc[hit], at[hit], times[hit]
+    return doc[new], term[new], np.diff(np.append(new, len(term)))
+
+
+def _runs(key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+
+
+def _find(vocabulary: np.ndarray, term: np.ndarray) -> np.ndarray:
+    """Places in the sorted vocabulary; -1 for a term that isn't in it."""
+    at = np.minimum(np.searchsorted(vocabulary, term), max(0, len(vocabulary) - 1))
+    return np.where(vocabulary[at] == term, at, -1) if len(vocabulary) else np.full(len(term), -1)
+
+
+def _places(column: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place in the sorted vocabulary, times), sorted, of the terms() that are in it. Terms are made and looked up
+    once for each distinct word; what is sorted are plain numbers."""
+    data, _ = utf8(column)
+    hashed, off, first, end = words(column, spans=True)
+    none = np.zeros(0, np.int64)
+    if not len(hashed):
+        return none, none, none
+    word, example, back = np.unique(hashed, return_index=True, return_inverse=True)
+    place = np.full((len(word), 1 + len(BEGINNINGS)), -1, np.int64)
+    place[:, 0] = _find(vocabulary, word)
+    at, size, start, own = first[example], (end - first)[example], np.zeros(len(word), U), np.arange(len(word))
+    for k in range(max(BEGINNINGS)):
+        long = size > k + 1
+        at, size, start, own = at[long], size[long], start[long], own[long]
+        b = data[at + k]
+        start = start | np.where((b >= 65) & (b <= 90), b + 32, b).astype(U) << U(8 * k)
+        if k + 1 in BEGINNINGS:
+            place[own, 1 + BEGINNINGS.index(k + 1)] = _find(vocabulary, mix(start ^ mix(np.full(1, k + 1, U))))
+    key = np.repeat(np.arange(len(off) - 1), np.diff(off)) * len(word) + back
+    key.sort()
+    new = _runs(key)
+    times, key = np.diff(np.append(new, len(key))), key[new]
+    doc, every = key // len(word), place[key % len(word)]
+    hit = every >= 0
+    doc, times, every = np.repeat(doc, hit.sum(axis=1)), np.repeat(times, hit.sum(axis=1)), every[hit]
+    if not len(doc):
+        return none, none, none
+    low, mid = int(times.max()).bit_length(), len(vocabulary).bit_length()
+    if low + mid + int(doc[-1]).bit_length() < 63:
+        code = ((doc << mid | every) << low) | times
+        code.sort()
+        key, times = code >> low, code & ((1 << low) - 1)
+    else:
+        order = np.lexsort((every, doc))
+        key, times = doc[order] << mid | every[order], times[order]
+    new = _runs(key)
+    return key[new] >> mid, key[new] & ((1 << mid) - 1), np.add.reduceat(times, new)
 
 
 def unit(place: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -75,8 +128,31 @@ def unit(place: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return w / np.sqrt(w @ w)
 
 
+def likewise(bounds: np.ndarray, place: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
+    """An order of sparse vectors (one after the other, bounds long) in which alike ones are near each other: projected by
+    random signs, and halved along the main direction of what is left, down to blocks."""
+    rng = np.random.default_rng(7)
+    full = np.flatnonzero(np.diff(bounds))
+    points = np.zeros((len(bounds) - 1, DIMENSIONS))
+    for d in range(DIMENSIONS):
+        sign = rng.choice(np.array([-1, 1], np.float32), size)
+        points[full, d] = np.add.reduceat(sign[place] * value, bounds[full]) if len(full) else 0
+    out, todo = [], [np.arange(len(points))]
+    while todo:
+        own = todo.pop()
+        if len(own) <= BLOCK:
+            out.append(own)
+            continue
+        x = points[own] - points[own].mean(axis=0)
+        main = np.linalg.eigh(x.T @ x)[1][:, -1]
+        order = own[np.argsort(x @ main, kind="stable")]
+        half = -(-len(own) // (2 * BLOCK)) * BLOCK
+        todo += [order[half:], order[:half]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 class Index:
-    """Examples as unit TF-IDF vectors over their terms."""
+    """Examples as unit TF-IDF vectors over their terms, in blocks."""
 
     def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, rows: list[tuple[int, int, dict | tuple]], weight: tuple[float, float], prior: float):
         """rows: (doc_id, toxic, weights by term place: a dict, or an array of places and one of weights)."""
@@ -86,18 +162,22 @@ class Index:
         votes = sum(weight[y] for y in none)
         self.empty = (sum(weight[1] for y in none if y) + PRIOR * prior) / (votes + PRIOR) if rows else 0.0
         rows = sorted((r for r in rows if len(r[2])), key=lambda r: r[0])
+        if rows:
+            bounds = np.concatenate(([0], np.cumsum([len(r[2]) for r in rows])))
+            rows = [rows[i] for i in likewise(bounds, np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows]), len(vocabulary))]
         self.doc_id = np.array([r[0] for r in rows], np.int64)
         self.toxic = np.array([r[1] for r in rows], np.int64)
+        self.blocks = -(-len(rows) // BLOCK)
         place = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.int32)
         value = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.float32)
         example = np.repeat(np.arange(len(rows), dtype=np.uint16), [len(r[2]) for r in rows])
         df = np.bincount(place, minlength=len(vocabulary))
-        # whole rows of common terms, in the order of the examples; there are at most COMMON times an example's mean terms
+        # whole rows of common terms; there are at most COMMON times an example's mean terms
         common = np.flatnonzero(df * COMMON > len(rows))
         self.row = np.full(len(vocabulary), -1, np.int32)
         self.row[common] = np.arange(len(common))
         own = self.row[place]
-        self.wide = (len(common), len(rows)), own[own >= 0], example[own >= 0], value[own >= 0]
+        self.wide = len(common), own[own >= 0], example[own >= 0], value[own >= 0]
         # postings of the others, by term
         place, example, value = place[own < 0], example[own < 0], value[own < 0]
         order = np.argsort(place, kind="stable")
@@ -107,36 +187,69 @@ class Index:
 
     @cached_property
     def value(self) -> np.ndarray:
-        """The whole rows, made where they are used."""
-        shape, row, example, value = self.wide
-        out = np.zeros(shape, np.float32)
-        out[row, example] = value
+        """(blocks, common terms, BLOCK): the weights of common terms, made where they are used."""
+        terms_, row, example, value = self.wide
+        out = np.zeros((self.blocks, terms_, BLOCK), np.float32)
+        out[example // BLOCK, row, example % BLOCK] = value
         return out
 
+    @cached_property
+    def most(self) -> np.ndarray:
+        """(common terms, blocks): the greatest weight of each common term in each block."""
+        return np.ascontiguousarray(self.value.max(axis=2).T) if self.blocks else np.zeros((self.wide[0], 0), np.float32)
+
     def vector(self, place: np.ndarray, times: np.ndarray) -> np.ndarray:
         return unit(place, times, self.idf)
 
-    def common(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """What the common terms of each vector (places, weights) add to its cosine with each example."""
-        w = np.zeros((len(vectors), len(self.value)), np.float32)
-        for i, (place, own) in enumerate(vectors):
+    def search(self, vectors: list[tuple[np.ndarray, np.ndarray]], worked: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector (places, weights) the examples with the largest cosines above 0, at most NEAREST, and the
+        cosines. worked: gets the number of (vector, block) pairs that were worked out."""
+        n, blocks = len(vectors), self.blocks
+        if not blocks:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * n
+        wide = np.zeros((n, self.wide[0]), np.float32)
+        got = np.zeros((n, blocks * BLOCK), np.float32)
+        for i, (place, w) in enumerate(vectors):
             row = self.row[place]
-            w[i, row[row >= 0]] = own[row >= 0]
-        return w @ self.value
-
-    def nearest(self, place: np.ndarray, w: np.ndarray, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The examples (places) with the largest cosines above 0, at most NEAREST, and the cosines. common: its row of
-        common(), where that is known."""
-        if common is None:
-            common = self.common([(place, w)])[0]
-        first, size = self.start[place], self.size[place]
-        end = np.cumsum(size)
-        at = np.repeat(first - end + size, size) + np.arange(end[-1])
-        got = np.bincount(self.example.take(at), np.repeat(w.astype(np.float32), size) * self.posted.take(at), len(common)) + common
-        bar = max(1e-9, np.partition(got, len(got) - NEAREST)[len(got) - NEAREST] - 1e-6 if len(got) > NEAREST else 0)
-        i = np.flatnonzero(got >= bar)
-        i = i[np.lexsort((i, -np.round(got[i], 6)))[:NEAREST]]
-        return i, got[i]
+            wide[i, row[row >= 0]] = w[row >= 0]
+            first, size = self.start[place], self.size[place]
+            end = np.cumsum(size)
+            if len(end) and end[-1]:
+                at = np.repeat(first - end + size, size) + np.arange(end[-1])
+                got[i] = np.bincount(self.example.take(at), np.repeat(w.astype(np.float32), size) * self.posted.take(at), got.shape[1])
+        cells = got.reshape(n, blocks, BLOCK)
+        bound = cells.max(axis=2) + wide @ self.most  # no example of the block can have more
+        done = np.zeros((n, blocks), bool)
+
+        def work(which: np.ndarray) -> None:
+            for b in np.flatnonzero(which.any(axis=0)):
+                own = np.flatnonzero(which[:, b])
+                if len(own) == n:
+                    cells[:, b] += wide @ self.value[b]
+                else:
+                    cells[own, b] += wide[own] @ self.value[b]
+            done[which] = True
+
+        best = np.zeros((n, blocks), bool)
+        np.put_along_axis(best, np.argpartition(-bound, FIRST, axis=1)[:, :FIRST] if blocks > FIRST else np.broadcast_to(np.arange(blocks), (n, blocks)), True, axis=1)
+        work(best)
+        found = np.where(done[:, :, None], cells, -1).reshape(n, -1)
+        last = found.shape[1] - NEAREST
+        bar = np.partition(found, last, axis=1)[:, last] if last > 0 else np.full(n, -1, np.float32)
+        work((bound >= bar[:, None] - 1e-5) & ~done)
+        if worked is not None:
+            worked.append(int(done.sum()))
+        found = np.where(done[:, :, None], cells, -1).reshape(n, -1)
+        bar = np.maximum(1e-9, (np.partition(found, last, axis=1)[:, last] if last > 0 else np.full(n, -1)) - 1e-6)
+        out = []
+        for i in range(n):
+            near = np.flatnonzero(found[i] >= bar[i])
+            near = near[np.lexsort((self.doc_id[near], -np.round(found[i, near], 6)))[:NEAREST]]
+            out.append((near, found[i, near].astype(np.float64)))
+        return out
+
+    def nearest(self, place: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.search([(place, w)])[0]
 
     def vote(self, i: np.ndarray, cosine: np.ndarray) -> float:
         v = np.minimum(cosine, 1) ** 2 * np.where(self.toxic[i] == 1, self.weight[1], self.weight[0])
@@ -187,7 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
             own, by_place = held.value
-            doc, term, times = _counts(batch.column(1), own)
+            doc, term, times = _places(batch.column(1), own)
             bound = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             blobs = [term[i:j].astype("<i4").tobytes() + (unit(term[i:j], times[i:j], by_place).astype("<f4").tobytes() if j > i else b"") for i, j in pairwise(bound)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(blobs, pa.binary())], names=["doc_id", "toxic", "weights"])
@@ -209,7 +322,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         for batch in sliced(batches, 2, 1 << 20):
-            doc, term, times = _counts(batch.column(2), own.vocabulary)
+            doc, term, times = _places(batch.column(2), own.vocabulary)
             bound = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             scores, evidence, seen = np.full(batch.num_rows, own.empty), [[]] * batch.num_rows, {}
             some = np.flatnonzero(np.diff(bound))
@@ -221,8 +334,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
                     if of[i] not in seen:
                         seen[of[i]] = None
                         fresh.append((of[i], (place, own.vector(place, n))))
-                for (key, (place, w)), common in zip(fresh, own.common([x for _, x in fresh]), strict=True):
-                    found, cosine = own.nearest(place, w, common)
+                for (key, _), (found, cosine) in zip(fresh, own.search([x for _, x in fresh]), strict=True):
                     told = [{"doc_id": int(own.doc_id[j]), "toxic": int(own.toxic[j]), "cosine": float(x)} for j, x in zip(found[:3], cosine[:3], strict=True)]
                     seen[key] = (own.vote(found, cosine) if len(found) else own.empty, told)
                 for i, key in of.items():

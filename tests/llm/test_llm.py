@@ -294,8 +294,15 @@ def test_lm_scoring_knows_pairs_seen_once(spark):
 
 def test_toxicity(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
-    out = [r for r in toxicity.op6_toxicity(spark, "/root/testdata/sf0.1").collect() if r.held_out and r.doc_id in labels]
+    every = toxicity.op6_toxicity(spark, "/root/testdata/sf0.1").collect()
+    assert all(len(r.evidence) == 3 for r in every)
+    out = [r for r in every if r.held_out and r.doc_id in labels]
     assert sum(r.predicted == labels[r.doc_id] for r in out) >= 0.97 * len(out)
+    # calibration: far below the Brier score of the share of toxic rows, and bins near the share that they tell
+    base = sum(labels[r.doc_id] for r in out) / len(out)
+    assert sum((r.score - labels[r.doc_id]) ** 2 for r in out) / len(out) < 0.35 * base * (1 - base)
+    low = [r for r in out if r.score < 0.5]
+    assert abs(sum(r.score for r in low) - sum(labels[r.doc_id] for r in low)) < 0.05 * len(low)
 
 
 def test_nearest_is_exact():
@@ -326,7 +333,7 @@ def test_nearest_is_exact_with_common_and_rare_terms():
         w = rng.random(len(place))
         rows.append((i, int(i % 2), dict(zip(place.tolist(), (w / np.linalg.norm(w)).tolist(), strict=True))))
     index = toxicity.Index(np.arange(300, dtype=np.uint64), np.ones(300), rows, (1.0, 1.0), 0.1)
-    assert 0 < len(index.value) < 300 and len(index.posted)
+    assert 0 < index.wide[0] < 300 and len(index.posted)
     dense = np.zeros((len(rows), 300))
     for d, _, w in rows:
         dense[d, list(w)] = list(w.values())
@@ -340,6 +347,31 @@ def test_nearest_is_exact_with_common_and_rare_terms():
         assert np.allclose(dense[index.doc_id[got]][:, place] @ w, cosine, atol=1e-6)
 
 
+def test_nearest_is_exact_on_documents(spark, sf_dir):
+    """Over real texts, all at once: cosines of whole vectors, and blocks that are skipped."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.createDataFrame([(r.doc_id, int("damn" in r.text or r.doc_id % 9 == 0)) for r in docs.collect() if r.doc_id % 2], "doc_id long, toxic int")
+    index = toxicity.fit(docs, labels)
+    texts = [r.text for r in docs.where("doc_id % 3 = 0").collect()]
+    doc, place, times = toxicity._places(pa.array(texts), index.vocabulary)
+    slow = toxicity._counts(pa.array(texts))
+    at = toxicity._find(index.vocabulary, slow[1])
+    assert sorted(zip(doc.tolist(), place.tolist(), times.tolist())) == sorted((d, p, t) for d, p, t in zip(slow[0].tolist(), at.tolist(), slow[2].tolist()) if p >= 0)
+    dense = np.zeros((len(index.doc_id), len(index.vocabulary)), np.float32)
+    n, row, example, value = index.wide
+    back = np.flatnonzero(index.row >= 0)
+    dense[example, back[row]] = value
+    dense[index.example, np.repeat(np.arange(len(index.size)), index.size)] = index.posted
+    bound = np.searchsorted(doc, np.arange(len(texts) + 1))
+    vectors = [(place[a:b], index.vector(place[a:b], times[a:b])) for a, b in zip(bound[:-1], bound[1:]) if b > a]
+    worked = []
+    for (p, w), (near, cosine) in zip(vectors, index.search(vectors, worked), strict=True):
+        whole = dense[:, p] @ w
+        want = np.sort(whole)[::-1][: toxicity.NEAREST]
+        assert np.allclose(cosine, want[want > 1e-9], atol=1e-5) and np.allclose(whole[near], cosine, atol=1e-5)
+    assert worked[0] < len(vectors) * index.blocks
+
+
 def test_toxicity_searches_texts_without_toxic_terms(spark):
     rng = random.Random(7)
     rows = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(12)) + (" vile slur" if i % 8 == 0 else "")) for i in range(120)]
