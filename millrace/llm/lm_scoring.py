@@ -5,15 +5,18 @@ into a Bloom filter, and probing level after level until one is missing gives th
 is its count smoothed towards the word's own: (c(v, w) + MU * p(w)) / (c(v) + MU), p(w) = (c(w) + 1) / (N + V + 1).
 
 Counting: tasks sum up n-grams before they send them, packed, to a part of the hash space; each part builds its own
-segment of the filter. The segments are broadcast in as many turns as their size asks for (`most_bytes` at a time):
-with one turn, texts are scored at once; with more, each turn tells what it found for each token, and these meet by text.
+segment of the filter. A filter of at most MOST_BYTES, as measured, is broadcast whole, and texts are scored at once. A
+larger one is never brought together: texts travel in batches, each batch asks the parts for the levels of its distinct
+n-grams, the parts probe their segments, and the answers meet the batch again. Both ways probe the same filter, so
+scores are the same; the driver holds MOST_BYTES at most, whatever the data.
 
 The exact base score needs exact word counts. Words that are more than 1 / FREQUENT of all tokens (at most FREQUENT
 words, whatever the data) are broadcast with their counts; the others' occurrences meet their counts in the parts, so
 that no part holds a frequent word's occurrences.
 
 Defined cases: null text is empty: one token, the end; with no training text all counts are 0; equal rows get equal
-scores; a null doc_id is held out by the rule for the empty text; extra columns are left alone.
+scores; a null doc_id is held out by the rule for the empty text; very long texts are hashed in pieces, and each is scored
+in one array of its tokens; an empty table gives no rows; extra columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +38,8 @@ FREQUENT = 50_000
 STEP, BITS, HASHES, MU = 1.5, 10, 5, 100.0
 #: N-grams that a task holds before it sends their sums.
 HELD = 1 << 22
+#: Bytes of a filter that may be broadcast.
+MOST_BYTES = 64 << 20
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -83,8 +89,24 @@ def segment(key: np.ndarray, levels: np.ndarray) -> bytes:
     return np.packbits(on, bitorder="little").tobytes()
 
 
+def probe(key: np.ndarray, bits: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The level of each key in the segment that begins at byte start of bits and has size bits (0: none): level after
+    level is probed, until one is missing."""
+    out = np.zeros(len(key), np.int64)
+    left = np.flatnonzero(size > 0)
+    at = 1
+    while len(left):
+        hit = np.ones(len(left), bool)
+        for b in _bits(key[left], np.full(len(left), at), size[left]):
+            hit &= (bits[start[left] + (b >> 3)] >> (b & 7).astype(np.uint8)) & 1 == 1
+        left = left[hit]
+        out[left] = at
+        at += 1
+    return out
+
+
 class Filter:
-    """The segments of some parts."""
+    """The segments of all parts."""
 
     def __init__(self, parts: int, segments: list[tuple[int, bytes]]):
         self.parts = parts
@@ -96,21 +118,10 @@ class Filter:
         self.bytes = np.frombuffer(b"".join(raw for _, raw in segments), np.uint8)
 
     def found(self, hashed: np.ndarray, pair: bool) -> np.ndarray:
-        """The level of each n-gram, by its hash; 0 for one of a part that isn't held."""
+        """The level of each n-gram, by its hash."""
         once, back = np.unique(hashed, return_inverse=True)
         part = (once % U(self.parts)).astype(np.int64)
-        key = _pair_key(once // U(self.parts), part) if pair else _word_key(once)
-        out = np.zeros(len(once), np.int64)
-        left = np.flatnonzero(self.size[part] > 0)
-        at = 1
-        while len(left):
-            hit = np.ones(len(left), bool)
-            for b in _bits(key[left], np.full(len(left), at), self.size[part[left]]):
-                hit &= (self.bytes[self.start[part[left]] + (b >> 3)] >> (b & 7).astype(np.uint8)) & 1 == 1
-            left = left[hit]
-            out[left] = at
-            at += 1
-        return out[back]
+        return probe(_key(once, part, self.parts, pair), self.bytes, self.start[part], self.size[part])[back]
 
 
 def _pack(number: np.ndarray, width: int) -> bytes:
@@ -196,6 +207,10 @@ def _pair_key(short: np.ndarray, part: int | np.ndarray) -> np.ndarray:
     return mix((short & U(0xFFFFFFFFFF)) ^ U(0x5000000000000000) ^ (np.asarray(part).astype(U) << U(40)))
 
 
+def _key(hashed: np.ndarray, part: int | np.ndarray, parts: int, pair: bool) -> np.ndarray:
+    return _pair_key(hashed // U(parts), part) if pair else _word_key(hashed)
+
+
 def log10_probability(word: np.ndarray, pair: np.ndarray, off: np.ndarray, ends: int, total: int, distinct: int) -> np.ndarray:
     """The score of each text, from the levels of its tokens and of its pairs. ends: training texts."""
     c = MIDDLE[word]
@@ -207,29 +222,17 @@ def log10_probability(word: np.ndarray, pair: np.ndarray, off: np.ndarray, ends:
     return np.add.reduceat(np.log10(p), off[:-1]) if len(off) > 1 else np.zeros(0)
 
 
-def score(docs: DataFrame, training: DataFrame, most_bytes: int = 256 << 20, parts: int | None = None) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, most_bytes: int = MOST_BYTES, parts: int | None = None) -> DataFrame:
     """docs: doc_id, text, uid long (a hash of the row's values). Adds n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     parts = parts or partitions(spark)
     counted = keep(gather(training, parts), "counts")
     ends = training.count()
-    sums = counted.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    sums = counted.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum(F.octet_length("bloom")), F.lit(0))).first()
     distinct, total = int(sums[0]) + (ends > 0), int(sums[1]) + ends
-    sizes = sorted((r.part, r.n) for r in counted.select("part", F.octet_length("bloom").alias("n")).collect())
-    turns, room = [[]], most_bytes
-    for p, n in sizes:
-        if n > room and turns[-1]:
-            turns.append([])
-            room = most_bytes
-        turns[-1].append(p)
-        room -= n
-
-    def load(own: list[int]):
-        rows = counted.where(F.col("part").isin(own)).select("part", "bloom").collect()
-        return spark.sparkContext.broadcast(Filter(parts, [(r.part, bytes(r.bloom)) for r in rows]))
-
-    if len(turns) == 1:
-        held = load(turns[0])
+    if sums[2] <= most_bytes:
+        rows = counted.select("part", "bloom").collect()  # at most most_bytes
+        held = spark.sparkContext.broadcast(Filter(parts, [(r.part, bytes(r.bloom)) for r in rows]))
 
         def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches, 2):
@@ -240,7 +243,7 @@ def score(docs: DataFrame, training: DataFrame, most_bytes: int = 256 << 20, par
 
         scored = docs.select("doc_id", "uid", "text").mapInArrow(at_once, "doc_id long, uid long, n_tokens long, score double")
     else:
-        scored = _in_turns(docs, [load(own) for own in turns], ends, total, distinct)
+        scored = _routed(docs, counted, ends, total, distinct, parts)
     base = _base(docs, counted, total, distinct, ends, parts)
     met = scored.join(base.withColumnRenamed("uid", "base_uid"), F.col("uid") == F.col("base_uid"), "left")
     times = F.greatest(F.col("rows"), F.lit(1))
@@ -250,30 +253,101 @@ def score(docs: DataFrame, training: DataFrame, most_bytes: int = 256 << 20, par
     return met.select("doc_id", "uid", "n_tokens", known.cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (logs + least).alias("base_score"), "score")
 
 
-def _in_turns(docs: DataFrame, held: list, ends: int, total: int, distinct: int) -> DataFrame:
-    def told(own):
-        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in sliced(batches, 2):
-                token, off = tokens(batch.column(2))
-                word, pair = (x.astype(np.uint8) for x in (own.value.found(token, False), own.value.found(pairs(token, off), True)))
-                blobs = [word[a:b].tobytes() + pair[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["doc_id", "uid", "found"])
-
-        return found
-
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        rows = [np.frombuffer(x, np.uint8) for x in table.column("found").to_pylist()]
-        n = len(rows[0]) // 2
-        most = np.max(rows, axis=0)  # an n-gram is found in one turn only; rows that repeat agree
-        got = log10_probability(most[:n].astype(np.int64), most[n:].astype(np.int64), np.array([0, n]), ends, total, distinct)
-        again = len(rows) // len(held)
-        return pa.table({"doc_id": pa.array([key[0].as_py()] * again, pa.int64()), "uid": pa.array([key[1].as_py()] * again, pa.int64()), "n_tokens": pa.array([n] * again, pa.int64()), "score": pa.array([float(got[0])] * again)})
-
-    every = None
-    for own in held:
-        part = docs.select("doc_id", "uid", "text").mapInArrow(told(own), "doc_id long, uid long, found binary")
-        every = part if every is None else every.union(part)
-    return every.groupBy("doc_id", "uid").applyInArrow(add, "doc_id long, uid long, n_tokens long, score double")
+def _asked(column: pa.Array, parts: int) -> tuple:
+    """tokens and offsets of a batch's texts; for words and for pairs the distinct hashes, ordered by part, the part bounds
+    in them, and for each token the place of its own."""
+    token, off = tokens(column)
+    out = [token, off]
+    for hashed in (token, pairs(token, off)):
+        once, back = np.unique(hashed, return_inverse=True)
+        part = (once % U(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        out += [once[order], np.searchsorted(part[order], np.arange(parts + 1)), place[back]]
+    return tuple(out)
+
+
+def _routed(docs: DataFrame, counted: DataFrame, ends: int, total: int, distinct: int, parts: int) -> DataFrame:
+    """doc_id, uid, n_tokens, score, by a filter that stays in its parts. Batches of about 4 MB of texts go, compressed,
+    to a task of their own; their distinct n-grams go to the parts (one row a batch and part, however often an n-gram
+    occurs), and a byte for each comes back. Everything travels in shuffles that spill."""
+    schema = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("text", pa.string())])
+    told = "part int, kind int, batch long, of int, blob binary"
+    names = ["part", "kind", "batch", "of", "blob"]
+
+    def rows(got: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], k) for i, k in enumerate(kinds)], names=names)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for number, batch in enumerate(sliced(batches, 2)):
+            name = task << 32 | number
+            sink = pa.BufferOutputStream()
+            plain = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, schema, strict=True)], schema=schema)
+            with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+                to.write_batch(plain)
+            got = [(name % parts, 0, name, -1, sink.getvalue().to_pybytes())]
+            _, _, word, word_at, _, pair, pair_at, _ = _asked(batch.column(2), parts)
+            for p in range(parts):
+                w, q = word[word_at[p] : word_at[p + 1]], pair[pair_at[p] : pair_at[p + 1]]
+                if len(w) + len(q):
+                    got.append((p, 1, name, p, np.array([len(w)], "<u4").tobytes() + w.astype("<u8").tobytes() + _pack(q // U(parts), _WIDTH[1])))
+            yield rows(got)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segments: dict[int, np.ndarray] = {}  # rows come by part, the part's segment first
+        for batch in batches:
+            got = []
+            for p, kind, name, of, blob in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if kind == 2:
+                    segments = {p: np.frombuffer(blob, np.uint8)}
+                elif kind == 0:
+                    got.append((p, 0, name, of, blob))
+                else:
+                    bits = segments.get(p, np.zeros(0, np.uint8))
+                    n = int(np.frombuffer(blob, "<u4", 1)[0])
+                    word = np.frombuffer(blob, "<u8", n, 4).astype(U)
+                    short = _unpack(blob[4 + 8 * n :], (len(blob) - 4 - 8 * n) // _WIDTH[1], _WIDTH[1])
+                    key = np.concatenate((_word_key(word), _pair_key(short, p)))
+                    level_ = probe(key, bits, np.zeros(len(key), np.int64), np.full(len(key), 8 * len(bits), U))
+                    got.append((name % parts, 1, name, of, level_.astype(np.uint8).tobytes()))
+            if got:
+                yield rows(got)
+
+    def gather_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blob, answers = None, None, {}
+
+        def end() -> pa.RecordBatch:
+            (texts,) = pa.ipc.open_stream(blob).read_all().to_batches()
+            _, off, word, word_at, word_of, pair, pair_at, pair_of = _asked(texts.column(2), parts)
+            levels = np.zeros(len(word), np.int64), np.zeros(len(pair), np.int64)
+            for p, raw in answers.items():
+                got = np.frombuffer(raw, np.uint8)
+                n = word_at[p + 1] - word_at[p]
+                levels[0][word_at[p] : word_at[p + 1]], levels[1][pair_at[p] : pair_at[p + 1]] = got[:n], got[n:]
+            score = log10_probability(levels[0][word_of], levels[1][pair_of], off, ends, total, distinct)
+            return pa.RecordBatch.from_arrays([texts.column(0), texts.column(1), pa.array(np.diff(off)), pa.array(score)], names=["doc_id", "uid", "n_tokens", "score"])
+
+        for batch in batches:
+            for _, kind, name, of, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if name != now:
+                    if now is not None:
+                        yield end()
+                    now, blob, answers = name, None, {}
+                if kind == 0:
+                    blob = raw
+                else:
+                    answers[of] = raw
+        if now is not None:
+            yield end()
+
+    asked = docs.select("doc_id", "uid", "text").mapInArrow(ask, told)
+    segments = counted.select("part", F.lit(2).alias("kind"), F.lit(-1).cast("long").alias("batch"), F.lit(-1).alias("of"), F.col("bloom").alias("blob"))
+    met = asked.union(segments).repartitionById(parts, "part").sortWithinPartitions("part", "batch", "kind")
+    back = met.mapInArrow(answer, told).repartitionById(parts, "part").sortWithinPartitions("batch", "kind")
+    return back.mapInArrow(gather_up, "doc_id long, uid long, n_tokens long, score double")
 
 
 def _base(docs: DataFrame, counted: DataFrame, total: int, distinct: int, ends: int, parts: int) -> DataFrame:

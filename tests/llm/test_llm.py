@@ -280,8 +280,33 @@ def test_lm_scoring(spark, rows):
         assert math.isclose(r.base_score, sum(math.log10((count[x] + 1) / (n + v + 1)) for x in ts), rel_tol=1e-9)
         assert r.score < 0
     docs = documents(spark, SMALL).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"))
-    once, turns = ({r.doc_id: r.score for r in lm_scoring.score(docs, docs, most_bytes=b).collect()} for b in (1 << 28, 10_000))
-    assert once == turns
+    once, routed = ({r.doc_id: r.score for r in lm_scoring.score(docs, docs, most_bytes=b).collect()} for b in (1 << 28, 1000))
+    assert len(once) == len(rows) and once == routed
+
+
+def test_lm_scoring_against_a_plain_model(spark, rows):
+    """Quantised counts and smoothing in plain Python: probes of the filter err for few n-grams only."""
+    import math
+
+    tokens = {d: [None, *brute.WORD.findall(brute.lower(t)), None] for d, t in rows}
+    training = [d for d in tokens if brute.crc(d) % 7 != 2]
+    one, two = Counter(x for d in training for x in tokens[d][1:]), Counter(x for d in training for x in zip(tokens[d][:-1], tokens[d][1:], strict=True))
+    n, v, mu = sum(one.values()), len(one), lm_scoring.MU
+    about = lambda c: float(lm_scoring.MIDDLE[lm_scoring.level(np.array([c]))[0]])
+    c1 = lambda x: len(training) if x is None else about(one[x])
+
+    def plain(t):
+        return sum(math.log10((about(two[a, b]) + mu * (c1(b) + 1) / (n + v + 1)) / (max(c1(a), about(two[a, b])) + mu)) for a, b in zip(t[:-1], t[1:], strict=True))
+
+    out = {r.doc_id: r.score for r in lm_scoring.op5_lm_scoring(spark, SMALL).collect()}
+    off = [abs(out[d] / len(t) - plain(t) / len(t)) for d, t in tokens.items()]
+    assert max(off) < 0.15 and sum(off) / len(off) < 0.02
+    # keys that were never put in: few are found
+    rng = np.random.default_rng(3)
+    raw = lm_scoring.segment(rng.integers(0, 1 << 62, 50_000).astype(np.uint64), np.ones(50_000, np.int64))
+    other = rng.integers(1 << 62, 1 << 63, 100_000).astype(np.uint64)
+    level = lm_scoring.probe(other, np.frombuffer(raw, np.uint8), np.zeros(len(other), np.int64), np.full(len(other), 8 * len(raw), np.uint64))
+    assert (level > 0).mean() < 0.012
 
 
 def test_lm_scoring_knows_pairs_seen_once(spark):
