@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,51 +9,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.scratch import keep, new_path  # noqa: F401  (taken from here by the operators)
+
 #: The white space of all contracts here: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 #: Bytes of text that the numpy passes take at once; a longer document is cut at white space.
 PIECE = 1 << 20
 
-_scratch: dict[str, str] = {}
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (as in tests)."""
-    context = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        context.setCheckpointDir(at)
-    top = f"{at}/millrace-{context.applicationId}"
-    if context.applicationId not in _scratch:
-        _scratch[context.applicationId] = top
-
-        def clear() -> None:
-            try:
-                path = context._jvm.org.apache.hadoop.fs.Path(top)
-                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-            except Exception:  # the JVM may be gone at interpreter exit; the folder is then the cluster's to clear
-                pass
-
-        atexit.register(clear)
-    return top
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, and survives the loss of executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

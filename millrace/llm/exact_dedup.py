@@ -8,8 +8,9 @@ of the slot's text, nonmembers group separately by their digest. Winners then go
 which Spark can split where one digest is hot.
 
 Defined cases: null text is empty; the winner has the most code points, then the smallest doc_id (null last);
-rows that repeat a winner's doc_id and length are told apart by number, and the first stays; extra columns are ignored
-by the decisions and kept by `keep_unique`.
+rows that repeat a winner's doc_id and length are told apart by number, and the first stays; very long texts are hashed
+where they are, whole; an empty table gives no rows; extra columns, whatever their names, are ignored by the decisions
+and kept by `keep_unique`.
 """
 
 from __future__ import annotations
@@ -22,13 +23,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SPACES, documents, keep, mix, partitions, remainder
+from millrace.llm.common import SPACES, documents, keep, mix, partitions
 
 
 def normal(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
 
 
+def past(doc_id: Column) -> Column:
+    """Whether a row belongs to the history: the MD5 of its id begins with 0 to 7."""
+    return F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))) < "8"
+
+
 class PerfectHash:
     """Minimal perfect hash of distinct 16+ byte digests by displacement: keys fall into small buckets, and each
     bucket, largest first, takes the first seed that puts its keys on free slots. A table of n slots holds n keys."""
@@ -71,6 +77,8 @@ class PerfectHash:
         return self._slot(digests, self.seeds[(digests[:, 0] % np.uint64(len(self.seeds))).astype(np.int64)].astype(np.uint64))
 
 
+#: Digests in a shard, about, at most.
+SHARD = 200_000
 _GROUP = "digest binary, keep_len int, keep_id long, rows long, keep_rows long, repeats boolean"
 
 
@@ -114,15 +122,16 @@ def resolve(docs: DataFrame, old: Column) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.unhex(F.sha2(normal(F.col("text")), 256)).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), F.length(text).alias("n_chars"), old.alias("old"))
     rows = keep(rows.groupBy("digest", "doc_id", "n_chars", "old").agg(F.count("*").alias("rows")), "digests")
-    found = groups(rows, 2 * partitions(spark)).withColumnRenamed("rows", "group_size")
+    shards = max(2 * partitions(spark), -(-rows.count() // SHARD))  # so that a shard's memory doesn't grow with the data
+    found = groups(rows, shards).withColumnRenamed("rows", "group_size")
     return rows.join(found, "digest")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents; the history is the half of them whose crc32 of the id is even, the new rows are the other half.
-    Groups and winners are over both."""
+    """All documents; the history is about half of them, by a hash of the id, the new rows are the other half. Groups and
+    winners are over both."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    found = resolve(docs, remainder(F.col("doc_id"), 2) == 0)
+    found = resolve(docs, past(F.col("doc_id")))
     best = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_len"))
     out = found.withColumn("number", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     return out.select("doc_id", "keep_id", F.col("group_size"), (best & (F.col("number") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), F.col("repeats").alias("in_history"))
@@ -130,7 +139,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of equal texts the winner stays, with all its columns."""
-    found = resolve(docs.select("doc_id", "text"), remainder(F.col("doc_id"), 2) == 0)
+    found = resolve(docs.select("doc_id", "text"), past(F.col("doc_id")))
     best = found.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_len")))
     names = docs.columns
     text = F.col("text")

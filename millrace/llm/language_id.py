@@ -3,9 +3,12 @@
 The counts of every training row make one log-probability matrix (buckets x languages), whose size depends on the
 parameters and the number of languages only; it is broadcast, and whole texts are scored in numpy, batch by batch.
 
+The matrix has at most CELLS cells: where a column of languages has very many values, n-grams go to fewer buckets.
+
 Defined cases: a null text, or one without a letter, is `und` with score 0; with no training row every text is `und`;
-equal posteriors go to the language that sorts first; rows with a null or repeated doc_id are scored like any other;
-columns of the input beyond doc_id, text and lang are left alone.
+equal posteriors go to the language that sorts first; rows with a null or repeated doc_id are scored like any other; an
+empty table gives no rows; a very long text is counted in pieces of CHARS characters, none lost between them; columns of
+the input beyond doc_id, text and lang are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,14 +26,27 @@ from millrace.llm.common import documents, mix, remainder
 LETTER = regex.compile(r"\p{L}")
 #: Characters that the numpy passes take at once.
 CHARS = 1 << 19
+#: Cells of the matrix, at most (four bytes each).
+CELLS = 1 << 24
 
 
 def _grams(texts: list[str], orders: tuple[int, ...], buckets: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, end text, buckets of all n-grams, offsets of the texts in them), in runs of about CHARS characters."""
     i = 0
     while i < len(texts):
+        if len(texts[i]) > CHARS:  # windows that begin in a piece may end in the next
+            for a in range(0, len(texts[i]), CHARS):
+                piece = np.frombuffer(texts[i][a : a + CHARS + max(orders) - 1].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+                for order in orders:
+                    m = max(0, min(CHARS, len(piece) - order + 1))
+                    h = np.zeros(m, np.uint64)
+                    for k in range(order):
+                        h = h * np.uint64(0x100000001B3) + piece[k : k + m]
+                    yield i, i + 1, (mix(h + np.uint64(order)) % np.uint64(buckets)).astype(np.int32), np.array([0, m])
+            i += 1
+            continue
         j, n = i, 0
-        while j < len(texts) and (j == i or n + len(texts[j]) <= CHARS):
+        while j < len(texts) and len(texts[j]) <= CHARS and (j == i or n + len(texts[j]) <= CHARS):
             n += len(texts[j]) + 1
             j += 1
         size = np.array([len(t) for t in texts[i:j]], np.int64)
@@ -52,6 +68,15 @@ def _grams(texts: list[str], orders: tuple[int, ...], buckets: int) -> Iterator[
         i = j
 
 
+def fewer(buckets: int, languages: int, cells: int = CELLS) -> int:
+    """Buckets for so many languages; the halving stops at 64, beyond which there are too many languages to tell apart."""
+    while buckets > 64 and buckets * languages > cells:
+        buckets //= 2
+    if buckets * languages > cells:
+        raise ValueError(f"{languages} languages are more than a matrix of {cells} cells can hold")
+    return buckets
+
+
 def train(df: DataFrame, orders: tuple[int, ...] = (1, 2, 3), buckets: int = 1 << 14) -> tuple[list[str], np.ndarray]:
     """Languages (sorted) and the float32 matrix buckets x languages of log probabilities, add-one smoothed.
 
@@ -94,7 +119,9 @@ def identify(df: DataFrame, training: DataFrame, orders: tuple[int, ...] = (1, 2
     hundred n-grams, so that it falls towards 1 / languages for a text between them) to df, which has a text column.
     into: other names for the two."""
     spark = df.sparkSession
-    langs, matrix = train(training.where("text is not null and lang is not null").select(F.lower("text").alias("text"), "lang"), orders, buckets)
+    rows = training.where("text is not null and lang is not null").select(F.lower("text").alias("text"), "lang")
+    buckets = fewer(buckets, rows.select("lang").distinct().count())
+    langs, matrix = train(rows, orders, buckets)
     held = spark.sparkContext.broadcast(matrix)
     names = list(df.columns)
 
@@ -136,5 +163,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
     """Pipeline stage: learns from the labelled rows of docs, and drops a document without a letter or whose best
     language has less than `least` of the posterior. Returns docs' own columns."""
-    out = identify(docs, docs.select("text", "lang"), into=("_language", "_share"))
-    return out.where((F.col("_language") != "und") & (F.col("_share") >= least)).select(*docs.columns)
+    names = docs.columns
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col("text"), F.col("lang"))
+    out = identify(plain.drop("lang"), plain.select("text", "lang"), into=("language", "share"))
+    return out.where((F.col("language") != "und") & (F.col("share") >= least)).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

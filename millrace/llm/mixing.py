@@ -4,13 +4,15 @@ Each source's schedule is a weight that changes linearly over training time t in
 demanded up to t. A source's documents stand in a fixed pseudo-random order, over and over, and inverting the cumulated
 demand at the word where a document begins gives its training position. Documents are range-sorted by position.
 
-Running sums are taken in two steps, over cells of a source and within a cell, so that no task holds a whole source.
+Running sums are taken in two steps, over 1024 cells of a source and within a cell, so that no task holds a whole source.
 Targets: sources in code point order (null last) weigh 5, 2, 1, repeating, and share `share` times all sizes; a target
 stops at `most` times its source's size, and the excess goes to the others by weight until none is above.
 
 Defined cases: null text has size 0 and takes nothing; a source of size 0 has target 0; the order is by a hash of the
 id, then the id, then a hash of the text, so rows that repeat take a whole number of words each and reruns agree;
-a document at the target's edge is taken in part (its first words).
+a document at the target's edge is taken in part (its first words); a null doc_id is a key like others; very long
+texts are only counted (the stage cuts one at most a source); an empty table gives no rows; extra columns are left alone
+by the query and kept by the stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +25,6 @@ from millrace.llm.common import documents, keep, partitions
 #: Fixed values of the contract: the weights that repeat over the sources.
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
-#: Cells of a source, for its running sums.
-CELLS = 1024
 
 
 def targets(sizes: DataFrame, share: float, most: float) -> DataFrame:
@@ -45,12 +45,12 @@ def targets(sizes: DataFrame, share: float, most: float) -> DataFrame:
 
 
 def curriculum(docs: DataFrame, share: float = 1.5, most: float = 2.0, slopes: tuple[float, ...] = (0.6, -0.6, 0.0)) -> DataFrame:
-    """docs: any key columns, source, size long, and order_key long, order_id long, order_text long, which order a
-    source's rows. Adds source_size, target, taken, and turns: an array of (words, position) for each time it is taken.
+    """docs: any key columns, source, size long, and order_key long (60 bits), order_id long, order_text long, which order
+    a source's rows. Adds source_size, target, taken, and turns: an array of (words, position) for each time it is taken.
 
     slopes: by source in turn, how a schedule's weight changes: from 1 - slope at the start to 1 + slope at the end."""
     spark = docs.sparkSession
-    cell = F.pmod(F.shiftright(F.col("order_key"), 20), F.lit(CELLS)).cast("int")
+    cell = F.shiftright(F.col("order_key"), 60 - 10).cast("int")
     rows = docs.withColumn("cell", cell)
     sums = keep(rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size")), "cells")
     goal = targets(sums.groupBy("source").agg(F.sum("cell_size").alias("source_size")), share, most)
@@ -80,14 +80,14 @@ def curriculum(docs: DataFrame, share: float = 1.5, most: float = 2.0, slopes: t
 
 def keyed(docs: DataFrame) -> list[Column]:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return [size.alias("size"), F.xxhash64(F.lit("order"), "doc_id").alias("order_key"), F.col("doc_id").cast("long").alias("order_id"), F.xxhash64("text").alias("order_text")]
+    return [size.alias("size"), F.conv(F.substring(F.md5(F.concat(F.lit("order "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long").alias("order_key"), F.col("doc_id").cast("long").alias("order_id"), F.xxhash64("text").alias("order_text")]
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "source", *keyed(documents(spark, sf_dir)))
     out = curriculum(keep(docs, "sizes"))
-    first = F.get("turns", F.lit(0))["position"].alias("position")
-    done = out.select("doc_id", "size", "source_size", "target", "taken", first, F.size("turns").alias("turns"))
+    first = F.round(F.get("turns", F.lit(0))["position"], 9).alias("position")
+    done = out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", first, F.size("turns").alias("turns"))
     return done.repartitionByRange(partitions(spark), F.col("position"), F.col("doc_id")).sortWithinPartitions("position", "doc_id")
 
 

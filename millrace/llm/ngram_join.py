@@ -288,14 +288,14 @@ def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) of nodes that link, by their whole sets, from one document each. b may be in very many pairs:
-    its set is joined last, so it moves once, and a join that is skewed by it can be split."""
+    """Those of pairs (a, b) of nodes that link, by their whole sets, from one document each. b may be in very many pairs,
+    whose rows then stand side by side with the same set when they are moved to a, and compress to little."""
     some = pairs.select("a").union(pairs.select("b")).distinct()
     needed = reps.join(some, F.col("node") == F.col("a")).select("first_uid")
-    whole = keep(_whole(among(docs, needed)).dropDuplicates(["node"]), "sets")
+    whole = keep(_whole(among(docs, needed)), "sets")
     left = whole.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = whole.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    met = pairs.join(left, "a").join(right, "b")
+    met = pairs.join(right, "b").join(left, "a")
     both = F.size(F.array_intersect("sa", "sb"))
     return met.where(100 * both >= LEAST * (F.col("na") + F.col("nb") - both)).select("a", "b")
 

@@ -1,11 +1,15 @@
 """Packing along a space-filling curve.
 
 A document's vector of hashed byte 4-grams is projected to a few dimensions, the point's Hilbert key ranks it, and
-documents are range-sorted by that key (ties by a hash of the text, then doc_id, so a large group of copies is dealt
-out as well). Each range is packed by itself: its documents' ids follow one another along the curve, sequences of 1024
-are cut from them, and what is left at the end of a range makes sequences of powers of two, which need no padding.
-
-Defined cases: null or empty text is its end id alone; a very long text spans sequences; repeated rows are packed each.
+documents are dealt to ranges of the curve and sorted by that key (ties by a hash of the text, then doc_id). Ranges are
+even in bytes: the bytes of each of 2^CELL_BITS cells of the curve are summed up first, the driver cuts their sequence
+into ranges, and a cell that is more than a range (a large group of copies, say) is dealt to several by a hash of text
+and id. Each range is packed by itself: its documents' ids follow one another along the curve, sequences of 1024 are cut
+from them, and what is left at the end of a range makes sequences of powers of two, which need no padding.
+
+Defined cases: null or empty text is its end id alone; a very long text spans sequences and is tokenised whole, by one
+task; repeated rows and rows with a null doc_id are packed each; an empty table gives no rows; extra columns are left
+alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +29,10 @@ from millrace.llm.common import documents, partitions, utf8
 #: Texts whose characters are all below this are tokenised by the faster library, which has the same vocabulary and
 #: gives the same ids there (tests compare the two over every such character); all others by `tokenizers`.
 PLAIN = 0x250
+#: Dimensions and bits of a point, and bits of the cells whose bytes are summed up.
+DIMENSIONS, POINT_BITS, CELL_BITS = 4, 12, 14
+#: Bytes that a document counts for beside its text.
+ROW = 64
 
 
 class Ids:
@@ -79,7 +87,7 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(column: pa.Array, dims: int = 4, bits: int = 12, buckets: int = 256) -> np.ndarray:
+def curve_keys(column: pa.Array, dims: int = DIMENSIONS, bits: int = POINT_BITS, buckets: int = 256) -> np.ndarray:
     """The Hilbert key of each text: 4-gram counts in hashed buckets, made unit vectors, projected by a fixed random
     matrix of signs, and cut into 2 ** bits steps per dimension."""
     data, at = utf8(column)
@@ -99,6 +107,20 @@ def curve_keys(column: pa.Array, dims: int = 4, bits: int = 12, buckets: int = 2
     return hilbert(points, bits)
 
 
+def cut_ranges(sizes: dict[int, int], ranges: int) -> list[tuple[int, int, int]]:
+    """(cell, first range, ranges): cells in order, dealt so that a range has about its share of all bytes; a cell of more
+    than a share goes to several ranges, which it has for itself."""
+    share = max(1, -(-sum(sizes.values()) // max(1, ranges)))
+    out, at, used = [], 0, 0
+    for cell, size in sorted(sizes.items()):
+        if used and used + size > share:
+            at, used = at + 1, 0
+        n = -(-size // share)
+        out.append((cell, at, n))
+        at, used = (at + n, 0) if n > 1 else (at, used + size)
+    return out
+
+
 def pack(docs: DataFrame, length: int = 1024, end: int = 0, ranges: int | None = None) -> DataFrame:
     """One row per piece of docs (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     curve_key. length: a power of two."""
@@ -116,7 +138,7 @@ def pack(docs: DataFrame, length: int = 1024, end: int = 0, ranges: int | None =
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "curve_key"]
         schema = pa.schema([(n, pa.int64()) for n in names])
         for batch in batches:
-            out: list[tuple] = []
+            out: list[tuple] = []  # pieces of a batch
             for doc_id, text, curve in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "curve_key")), strict=True):
                 ids = np.append(ids_of(text or ""), np.uint32(end)).astype("<u4")
                 start = 0
@@ -144,7 +166,15 @@ def pack(docs: DataFrame, length: int = 1024, end: int = 0, ranges: int | None =
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * len(names))], schema=schema)
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(key, "doc_id long, text string, curve_key long")
-    sorted_ = keyed.repartitionByRange(ranges or partitions(spark), "curve_key", F.xxhash64("text"), "doc_id").sortWithinPartitions("curve_key", F.xxhash64("text"), "doc_id")
+    cell = F.shiftright("curve_key", DIMENSIONS * POINT_BITS - CELL_BITS).cast("int")
+    bytes_ = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW
+    sizes = {r["cell"]: r["size"] for r in keyed.groupBy(cell.alias("cell")).agg(F.sum(bytes_).alias("size")).collect()}  # at most 2^CELL_BITS rows
+    table = cut_ranges(sizes, ranges or partitions(spark))
+    places = spark.createDataFrame(table, "at_cell int, first int, n int")
+    met = keyed.withColumn("cell", cell).join(F.broadcast(places), F.col("cell") == F.col("at_cell"))
+    dealt = met.withColumn("range", F.col("first") + F.pmod(F.xxhash64("text", "doc_id"), F.col("n")).cast("int"))
+    count = max((first + n for _, first, n in table), default=1)
+    sorted_ = dealt.repartitionById(count, "range").sortWithinPartitions("curve_key", F.xxhash64("text"), "doc_id").select("doc_id", "text", "curve_key")
     return sorted_.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve_key long")
 
 

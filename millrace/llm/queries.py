@@ -18,5 +18,32 @@ QUERIES = {
     for f in (op1_fingerprints, op2_sharding, op3_ngram_join, op4_packing, op5_lm_scoring, op6_toxicity, op7_exact_dedup, op8_mixing, op9_warc, op10_language_id)
 }
 
-#: Operators whose results depend on hashes, models or archives have none; they are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+#: Where SQL can tell the result. The others depend on hashes, sketches or models, and are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_join": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+  g AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+  n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+  c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+  e AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 80 * (x.n + y.n - m)),
+  r AS (SELECT a AS id, a AS m FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.m),
+  t AS (SELECT id, min(m) AS m FROM r GROUP BY 1)
+  SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(t.m, d.doc_id) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN t ON t.id = d.doc_id""",
+    "op7_exact_dedup": r"""WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h, md5(CAST(doc_id AS VARCHAR)) < '8' AS past FROM documents),
+  k AS (SELECT h, first(doc_id ORDER BY n DESC, doc_id) AS keep_id, count(*) AS group_size, bool_or(past) AS in_history FROM d GROUP BY 1)
+  SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256, in_history FROM d JOIN k USING (h)""",
+    "op8_mixing": r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, CAST('0x' || substr(md5('order ' || CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS k FROM documents),
+  s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY 1),
+  w AS (SELECT *, CAST(list_extract([5, 2, 1], CAST(place % 3 + 1 AS INT)) AS DOUBLE) AS weight, list_extract([0.6::DOUBLE, -0.6::DOUBLE, 0::DOUBLE], CAST(place % 3 + 1 AS INT)) AS slope FROM s),
+  o AS (SELECT *, 2 * source_size / weight AS fill FROM w),
+  l AS (SELECT *, (CAST(1.5 AS DOUBLE) * sum(source_size) OVER () - coalesce(2 * sum(source_size) OVER (ORDER BY fill, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY fill, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
+  t AS (SELECT source, source_size, slope, least(CAST(2 * source_size AS DOUBLE), max(level) OVER () * weight) AS target FROM l),
+  r AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM d),
+  m AS (SELECT r.doc_id, r.size, t.source_size, t.target, t.slope, pos, CAST(round(t.target) AS BIGINT) AS goal, greatest(0, least(r.size, CAST(round(t.target) AS BIGINT) - pos)) AS one, greatest(0, least(r.size, CAST(round(t.target) AS BIGINT) - pos - t.source_size)) AS two FROM r JOIN t ON t.source IS NOT DISTINCT FROM r.source)
+  SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(one + two AS BIGINT) AS taken, CAST((one > 0)::INT + (two > 0)::INT AS INT) AS turns,
+    round(CASE WHEN one > 0 THEN 2 * (pos / goal) / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * (pos / goal))) END, 9) AS position FROM m""",
+    "op9_warc": r"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest, regexp_replace(coalesce(url, 'about:blank'), '[\x00-\x20\x7f]', '%20', 'g') AS u FROM pages),
+  f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+  SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to,
+    'GET ' || coalesce(nullif(regexp_extract(u, '^[a-z]+://[^/?#]*([^#]*)', 1), ''), '/') || ' HTTP/1.1' AS request FROM f""",
+}

@@ -10,7 +10,8 @@ The bound is exact here: all rows spread over the shards so that counts are at m
 stay on their home shard, and a change of the number of shards moves those of the new shard and what overflows.
 
 Defined cases: null text has no bytes (size 8, crc32 0); a null doc_id is a key like others; rows that repeat doc_id and
-text share a cell, and are dealt out by rank; an empty table gives no rows.
+text share a cell, and are dealt out by rank; very long texts are only measured; an empty table gives no rows; extra
+columns are left alone by the query, and kept by `shard`, which takes rows of any columns beside key.
 """
 
 from __future__ import annotations
