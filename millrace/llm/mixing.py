@@ -111,9 +111,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     at = {c: i for i, c in enumerate(names)}
     each = each.withColumn("text_of", F.col(f"c{at['text']}"))
     text = F.coalesce(cut, F.col("text_of"))
-    out = [F.length(text).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else (text.alias(c) if c == "text" else F.col(f"c{i}").alias(c)) for i, c in enumerate(names)]
-    done = each.select(*out, F.col("turn.position").alias("_position"), F.col("order_id").alias("_order"))
-    return done.repartitionByRange(partitions(spark), "_position", "_order").sortWithinPartitions("_position", "_order").drop("_position", "_order")
+    kept = {"n_chars": F.length(text), "text": text}
+    out = [kept.get(c, F.col(f"c{i}")).cast(docs.schema[i].dataType).alias(f"o{i}") for i, c in enumerate(names)]
+    done = each.select(*out, F.col("turn.position").alias("position"), "order_id")
+    return done.repartitionByRange(partitions(spark), "position", "order_id").sortWithinPartitions("position", "order_id").select(*[F.col(f"o{i}").alias(c) for i, c in enumerate(names)])
 
 
 def _repeats(light: DataFrame, agreed: list[str]) -> bool:

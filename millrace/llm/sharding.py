@@ -83,8 +83,9 @@ def place(counts: dict[int, int], shards: int, virtual: int, cells: int = CELLS)
 
 
 def shard(rows: DataFrame, shards: int, virtual: int = 64) -> DataFrame:
-    """rows with key long (a hash). Adds shard, slot (gapless from 0 in a shard) and home_shard. Rows are ranked in their
-    cell by key and then by all other columns."""
+    """rows with key long (a hash) and any columns but cell, rank, shard, slot, home_shard and those of the ring's table.
+    Adds shard, slot (gapless from 0 in a shard) and home_shard. Rows are ranked in their cell by key and then by all
+    other columns."""
     spark = rows.sparkSession
     celled = keep(rows.withColumn("cell", F.pmod("key", F.lit(CELLS)).cast("int")), "keys")
     counts = {r["cell"]: r["count"] for r in celled.groupBy("cell").count().collect()}  # at most CELLS rows

@@ -128,15 +128,15 @@ def unit(place: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return w / np.sqrt(w @ w)
 
 
-def likewise(bounds: np.ndarray, place: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
-    """An order of sparse vectors (one after the other, bounds long) in which alike ones are near each other: projected by
-    random signs, and halved along the main direction of what is left, down to blocks."""
+def likewise(first: np.ndarray, end: np.ndarray, place: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
+    """An order of sparse vectors (from first to end in place and value, none empty) in which alike ones are near each
+    other: projected by random signs, and halved along the main direction of what is left, down to blocks."""
     rng = np.random.default_rng(7)
-    full = np.flatnonzero(np.diff(bounds))
-    points = np.zeros((len(bounds) - 1, DIMENSIONS))
+    points = np.zeros((len(first), DIMENSIONS))
     for d in range(DIMENSIONS):
         sign = rng.choice(np.array([-1, 1], np.float32), size)
-        points[full, d] = np.add.reduceat(sign[place] * value, bounds[full]) if len(full) else 0
+        run = np.cumsum(np.append(np.float32(0), sign[place] * value), dtype=np.float64)
+        points[:, d] = run[end] - run[first]
     out, todo = [], [np.arange(len(points))]
     while todo:
         own = todo.pop()
@@ -148,39 +148,44 @@ def likewise(bounds: np.ndarray, place: np.ndarray, value: np.ndarray, size: int
         order = own[np.argsort(x @ main, kind="stable")]
         half = -(-len(own) // (2 * BLOCK)) * BLOCK
         todo += [order[half:], order[:half]]
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+    return np.concatenate(out)
 
 
 class Index:
     """Examples as unit TF-IDF vectors over their terms, in blocks."""
 
-    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, rows: list[tuple[int, int, dict | tuple]], weight: tuple[float, float], prior: float):
-        """rows: (doc_id, toxic, weights by term place: a dict, or an array of places and one of weights)."""
+    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, rows: list[tuple[int, int, dict]] | tuple, weight: tuple[float, float], prior: float):
+        """rows: (doc_id, toxic, weights by term place), or arrays of these, one after the other: doc_id, toxic, the number
+        of terms, places, weights. Large arrays are let go of as soon as they are used, as the driver builds the index."""
         self.vocabulary, self.idf, self.weight, self.prior = vocabulary, idf, weight, prior
-        rows = [(d, y, *((np.array([*w], np.int32), np.array([*w.values()], np.float32)) if isinstance(w, dict) else w)) for d, y, w in rows]
-        none = [y for _, y, p, _ in rows if not len(p)]
-        votes = sum(weight[y] for y in none)
-        self.empty = (sum(weight[1] for y in none if y) + PRIOR * prior) / (votes + PRIOR) if rows else 0.0
-        rows = sorted((r for r in rows if len(r[2])), key=lambda r: r[0])
-        if rows:
-            bounds = np.concatenate(([0], np.cumsum([len(r[2]) for r in rows])))
-            rows = [rows[i] for i in likewise(bounds, np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows]), len(vocabulary))]
-        self.doc_id = np.array([r[0] for r in rows], np.int64)
-        self.toxic = np.array([r[1] for r in rows], np.int64)
-        self.blocks = -(-len(rows) // BLOCK)
-        place = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.int32)
-        value = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.float32)
-        example = np.repeat(np.arange(len(rows), dtype=np.uint16), [len(r[2]) for r in rows])
+        if isinstance(rows, list):
+            flat = lambda get, kind: np.array([x for r in rows for x in get(r[2])], kind)
+            rows = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.array([len(r[2]) for r in rows], np.int64), flat(dict.keys, np.int32), flat(dict.values, np.float32)
+        doc_id, toxic, terms_, place, value = rows
+        del rows
+        votes = np.where(toxic == 1, weight[1], weight[0])[terms_ == 0]
+        self.empty = float((votes[toxic[terms_ == 0] == 1].sum() + PRIOR * prior) / (votes.sum() + PRIOR)) if len(doc_id) else 0.0
+        bounds = np.concatenate(([0], np.cumsum(terms_)))
+        some = np.flatnonzero(terms_)
+        some = some[np.argsort(doc_id[some], kind="stable")]
+        some = some[likewise(bounds[some], bounds[some + 1], place, value, len(vocabulary))] if len(some) else some
+        self.doc_id, self.toxic, self.blocks = doc_id[some], toxic[some], -(-len(some) // BLOCK)
         df = np.bincount(place, minlength=len(vocabulary))
         # whole rows of common terms; there are at most COMMON times an example's mean terms
-        common = np.flatnonzero(df * COMMON > len(rows))
+        common = np.flatnonzero(df * COMMON > len(some))
         self.row = np.full(len(vocabulary), -1, np.int32)
         self.row[common] = np.arange(len(common))
-        own = self.row[place]
-        self.wide = len(common), own[own >= 0], example[own >= 0], value[own >= 0]
+        place = np.concatenate([place[bounds[i] : bounds[i + 1]] for i in some]) if len(some) else place
+        value = np.concatenate([value[bounds[i] : bounds[i + 1]] for i in some]) if len(some) else value
+        example = np.repeat(np.arange(len(some), dtype=np.uint16), terms_[some])
+        wide = self.row[place] >= 0
+        self.wide = len(common), self.row[place[wide]], example[wide], value[wide]
         # postings of the others, by term
-        place, example, value = place[own < 0], example[own < 0], value[own < 0]
+        np.logical_not(wide, out=wide)
+        place, example, value = place[wide], example[wide], value[wide]
+        del wide
         order = np.argsort(place, kind="stable")
+        del place
         self.example, self.posted = example[order], value[order]
         df[common] = 0
         self.start, self.size = (np.cumsum(df) - df).astype(np.int32), df.astype(np.int32)
@@ -306,12 +311,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(blobs, pa.binary())], names=["doc_id", "toxic", "weights"])
 
     got = texts.select("doc_id", "text", "toxic").mapInArrow(places, "doc_id long, toxic int, weights binary").toArrow()  # at most 2 * EXAMPLES rows
-    rows = []
-    for d, y, raw in zip(got.column("doc_id").to_pylist(), got.column("toxic").to_pylist(), got.column("weights"), strict=True):
-        raw = raw.as_buffer()
-        n = raw.size // 8
-        rows.append((d, y, (np.frombuffer(raw, "<i4", n), np.frombuffer(raw, "<f4", n, 4 * n))))
-    return Index(vocabulary, idf, rows, weight, prior)
+    raw = [x.as_buffer() for x in got.column("weights")]
+    terms_ = np.array([x.size // 8 for x in raw], np.int64)
+    doc_id, toxic = (got.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "toxic"))
+    place = np.concatenate([np.frombuffer(x, "<i4", n) for x, n in zip(raw, terms_, strict=True)])
+    value = np.concatenate([np.frombuffer(x, "<f4", n, 4 * n) for x, n in zip(raw, terms_, strict=True)])
+    del got, raw
+    return Index(vocabulary, idf, (doc_id, toxic, terms_, place, value), weight, prior)
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:

@@ -23,16 +23,20 @@ def rows(spark):
     return [(r.doc_id, r.text) for r in documents(spark, SMALL).collect()]
 
 
+#: Over a MiB, in one line.
+LONG = " ".join(f"wort{i * 7919 % 60000}" for i in range(130_000))
+
+
 @pytest.fixture(scope="module")
 def awkward(spark, tmp_path_factory):
     """Nulls, empty and long texts, ties, repeated rows, an extra column with a clashing name."""
     rng = random.Random(5)
     base = " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(rng.randrange(50)) for _ in range(80))
-    rows = [(1, base, "en", "a", 1), (2, base, None, None, None), (3, base + " x", "en", "b", 3), (4, None, "de", None, 0), (5, "", "de", "b", 0), (6, "a b", "en", "c", 3), (7, "A\tb", "en", "c", 3), (8, " \n", None, "c", 2), (9, "wort " * 30000, "de", "d", 1), (6, "a b", "en", "c", 3), (10, "…—“”", None, "a", 4), (None, "no id", "en", "a", 5)]
+    rows = [(1, base, "en", "a", 1), (2, base, None, None, None), (3, base + " x", "en", "b", 3), (4, None, "de", None, 0), (5, "", "de", "b", 0), (6, "a b", "en", "c", 3), (7, "A\tb", "en", "c", 3), (8, " \n", None, "c", 2), (9, LONG, "de", "d", 1), (6, "a b", "en", "c", 3), (10, "…—“”", None, "a", 4), (None, "no id", "en", "a", 5)]
     path = str(tmp_path_factory.mktemp("awkward"))
-    spark.createDataFrame(rows, DOCS).withColumn("score", F.lit(1)).write.parquet(f"{path}/documents.parquet")
-    spark.createDataFrame([(1, 1, 1), (2, 0, 0), (6, 1, 0), (6, 1, 1), (None, 0, 1), (7, 0, None)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
-    spark.createDataFrame([(1, "http://a/x y", "<p>" + "z" * 200), (2, None, "<p>" + "z" * 200), (3, "http://b", None), (4, "http://c", ""), (5, "http://d", "x\r\n\r\nWARC/1.1\r\nä"), (6, "http://e", "x\r\n\r\nWARC/1.1\r\nä"), (2, None, "<p>" + "z" * 200)], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    spark.createDataFrame(rows, DOCS).withColumn("score", F.lit(1)).withColumn("uid", F.lit("u")).withColumn("own", F.lit(2)).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 1), (2, 0, 0), (6, 1, 0), (6, 1, 1), (None, 0, 1), (7, 0, None)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("x")).withColumn("label_id", F.lit(1)).write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, "http://a/x y", "<p>" + "z" * 200), (2, None, "<p>" + "z" * 200), (3, "http://b", None), (4, "http://c", ""), (5, "http://d", "x\r\n\r\nWARC/1.1\r\nä"), (6, "http://e", "x\r\n\r\nWARC/1.1\r\nä"), (2, None, "<p>" + "z" * 200)], "page_id long, url string, html string").withColumn("uid", F.lit("x")).withColumn("digest", F.lit(3)).withColumn("a.b", F.lit(1)).write.parquet(f"{path}/pages.parquet")
     empty = str(tmp_path_factory.mktemp("empty"))
     spark.createDataFrame([], DOCS).write.parquet(f"{empty}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
@@ -463,6 +467,132 @@ def test_language_id(spark, sf_dir):
     assert sum(r.lang_pred == lang[r.doc_id] for r in out) >= 0.98 * len(out)
 
 
+def test_language_id_against_a_plain_model(spark):
+    """Counts, logs and sums in plain Python, over the same buckets; ties go to the language that sorts first."""
+    import math
+
+    m = (1 << 64) - 1
+
+    def bucket(gram, n):
+        h = 0
+        for c in gram:
+            h = (h * 0x100000001B3 + ord(c) + 1) & m
+        x = (h + len(gram)) & m
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            x = ((x ^ (x >> shift)) * by) & m
+        return x % n
+
+    grams = lambda t, n: Counter(bucket(t[i : i + k], n) for k in (1, 2, 3) for i in range(len(t) - k + 1))
+    rows = [(1, "der hund und die katze", "de"), (2, "the dog and the cat", "en"), (3, "le chien et le chat", "fr"), (4, "the house", "en"), (5, "das haus und", "de"), (6, "12 34", "en"), (7, "zz qq", "aa"), (8, "zz qq", "bb")]
+    asked = [(10, "DER HUND"), (11, "the cat and"), (12, "chat et"), (13, "zz qq"), (14, "123"), (15, None), (16, "ü"), (17, "dog " * 200_000)]
+    docs = spark.createDataFrame(asked, "doc_id long, text string")
+    training = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs, training, buckets=512).collect()}
+    by = defaultdict(Counter)
+    for _, t, lang in rows:
+        by[lang] += grams(t, 512)
+    for d, t in asked[:4] + asked[6:7]:
+        own = grams(t.lower(), 512)
+        z = {x: sum(n * math.log((c[g] + 1) / (c.total() + 512)) for g, n in own.items()) for x, c in by.items()}
+        best = min(z, key=lambda x: (-round(z[x], 4), x))
+        scale = min(own.total(), 100) / own.total()
+        share = 1 / sum(math.exp((v - z[best]) * scale) for v in z.values())
+        assert got[d][0] == best and abs(got[d][1] - share) < 1e-3, d
+    assert got[13][0] == "aa" and got[14] == got[15] == ("und", 0.0) and got[17][0] == "en"
+    assert language_id.fewer(1 << 14, 100_000) == 128
+    with pytest.raises(ValueError):
+        language_id.fewer(1 << 14, 1 << 20)
+
+
+def test_long_texts_lose_no_window(monkeypatch):
+    texts = ["abcdefghij" * 7, "xy", "k" * 23, ""]
+    whole = sorted(x for _, _, k, own in language_id._grams(texts, (1, 2, 3), 1 << 14) for x in k.tolist())
+    monkeypatch.setattr(language_id, "CHARS", 10)
+    assert sorted(x for _, _, k, own in language_id._grams(texts, (1, 2, 3), 1 << 14) for x in k.tolist()) == whole
+
+
+def test_equal_cosines_go_to_the_smaller_id(spark):
+    docs = spark.createDataFrame([(i, "same text here") for i in (9, 3, 7, 5)] + [(1, "other words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in (9, 3, 7, 5, 1)], "doc_id long, toxic int")
+    out = {r.doc_id: r for r in toxicity.score(docs.withColumn("held_out", F.lit(False)), toxicity.fit(docs, labels)).collect()}
+    assert [e.doc_id for e in out[9].evidence] == [3, 5, 7]
+
+
+def test_sharding_against_plain_rules(spark, rows):
+    """Sizes and checksums by Python; a row leaves its home shard only where that is full, and then for the next with room."""
+    out = {r.doc_id: r for r in sharding.op2_sharding(spark, SMALL).collect()}
+    counts = Counter(r.shard for r in out.values())
+    assert max(counts.values()) - min(counts.values()) <= 1
+    for d, t in rows:
+        raw = (t or "").encode()
+        assert (out[d]["size"], out[d].text_crc32, out[d].law, out[d].grown_shard) == (len(raw) + 8, zlib.crc32(raw), "rows", None)
+    bound = {s: len(rows) // 24 + (s < len(rows) % 24) for s in range(24)}
+    assert all(counts[r.home_shard] == bound[r.home_shard] for r in out.values() if r.shard != r.home_shard)
+    home = sharding.ring(24, 64)
+    cells = {r.doc_id: r.key % sharding.CELLS for r in sharding.sized(documents(spark, SMALL)).collect()}
+    assert all(out[d].home_shard == home[c] for d, c in cells.items())
+
+
+def test_ranges_are_even_in_bytes():
+    rng = random.Random(2)
+    sizes = {c: rng.randrange(1, 50) for c in range(0, 3000, 3)} | {1: 9000, 2: 4000}
+    table = packing.cut_ranges(sizes, 40)
+    share = -(-sum(sizes.values()) // 40)
+    load = Counter()
+    for cell, first, n in table:
+        for r in range(first, first + n):
+            load[r] += sizes[cell] / n
+    assert sorted(load) == list(range(len(load))) and max(load.values()) <= share and len(load) <= 2 * 40
+    assert [c for c, _, _ in table] == sorted(sizes) and packing.cut_ranges({}, 8) == []
+
+
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    """Each stage's own input through a plain form of it."""
+    import corpus_pipeline
+
+    docs = documents(spark, SMALL).unionByName(spark.createDataFrame([(5001, "12 34 -- 5", "en", "x", 9), (5002, "", "de", None, 0), (5003, None, None, None, None)], documents(spark, SMALL).schema))
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = corpus_pipeline.keep(stage(spark, docs, SMALL), name)
+        assert after.columns == docs.columns
+        seen[name] = docs.collect(), after.collect()
+        docs = after
+    before, kept = seen["language_id"]
+    assert {r.doc_id for r in before} - {r.doc_id for r in kept} >= {5001, 5002, 5003}
+    assert len(kept) >= 0.97 * (len(before) - 3) and {tuple(r) for r in kept} <= {tuple(r) for r in before}
+    before, kept = seen["exact_dedup"]
+    groups = brute.exact_groups([(r.doc_id, r.text) for r in before])
+    assert sorted(tuple(r) for r in kept) == sorted(tuple(r) for r in before if groups[r.doc_id][2])
+    before, kept = seen["ngram_join"]
+    component = brute.jaccard_components([(r.doc_id, r.text) for r in before])
+    assert sorted(tuple(r) for r in kept) == sorted(tuple(r) for r in before if component[r.doc_id][1] == r.doc_id)
+    before, mixed = seen["mixing"]
+    words_of = lambda t: brute.WORD.findall(t or "")
+    sizes, taken, by_id = Counter(), Counter(), {r.doc_id: r for r in before}
+    for r in before:
+        sizes[r.source] += len(words_of(r.text))
+    for r in mixed:
+        whole = by_id[r.doc_id]
+        assert (whole.text or "").startswith(r.text) and (r.lang, r.source, r.n_chars) == (whole.lang, whole.source, len(r.text))
+        taken[r.source] += len(words_of(r.text))
+    want = brute.mix_targets(sizes)
+    assert all(abs(taken[x] - want[x]) <= 1 for x in sizes)
+    ids = packing.Ids()
+    pieces = Counter()
+    for r in corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect():
+        pieces[r.doc_id] += r.length
+    tokens_ = Counter()
+    for r in mixed:
+        tokens_[r.doc_id] += len(ids(r.text)) + 1
+    assert pieces == tokens_
+
+
+def test_pipeline_on_empty_tables(spark, awkward):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, awkward[1]).collect() == []
+
+
 def test_pipeline_keeps_columns(spark, awkward):
     import corpus_pipeline
 
