@@ -1,4 +1,8 @@
-"""Corpus pipeline: language ID, exact dedup, near-duplicate removal, mixing, packing."""
+"""Corpus pipeline: language ID, exact dedup, near-duplicate removal, mixing, packing.
+
+Defined cases: a null or empty text, and one without a letter, goes at the first stage; of equal or similar texts one
+document stays; rows with a null doc_id pass the near-duplicate stage; very long texts are taken whole; an empty table
+gives no rows; extra columns, whatever their names, stay until the last stage."""
 
 from __future__ import annotations
 
@@ -20,7 +24,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: A classifier and a tokenizer are not expressible in SQL; tests hold the stages against brute force.
+#: A classifier and a tokenizer are not expressible in SQL; a test holds each stage's output against a plain form of it
+#: over the stage's own input (of the classifier: what has no letter goes, and hardly anything else).
 ORACLE_SQL = None
 
 
