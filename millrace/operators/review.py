@@ -189,6 +189,7 @@ def gold_grade(rows: DataFrame) -> DataFrame:
 
 
 def quality_bar(student: Column, teacher: Column, least: float = 0.95) -> Column:
-    """struct(ratio, meets_bar); an unscored teacher counts as 1."""
-    ratio = F.try_divide(student, F.coalesce(teacher, F.lit(1.0)))
+    """struct(ratio, meets_bar); an unscored teacher counts as 1, and to one that scored 0 the ratio is 0."""
+    by = F.coalesce(teacher, F.lit(1.0))
+    ratio = F.when(by != 0, student / by).otherwise(F.lit(0.0) * student)
     return F.struct(ratio.alias("ratio"), F.coalesce(ratio >= least, F.lit(False)).alias("meets_bar"))
