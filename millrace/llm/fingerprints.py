@@ -32,6 +32,8 @@ WIDTH, FEW = 240, 8
 LEAST, MOST = 16, 1 << 20
 #: Rounds of peeling; each frees all cells that have one digest.
 ROUNDS = 24
+#: Cells left that are looked for one by one; more are merged with all.
+SCANNED = 256
 
 
 def paragraphs(text: str) -> Column:
@@ -53,8 +55,8 @@ def _check(k: str) -> str:
 
 def _cells_of(k: str, w: str, c: str) -> str:
     """The three cells (j, c, k, h) that a digest k is in, c times. A cell's number j is its place times 3, plus its table."""
-    one = ", ".join(f"named_struct('j', (shiftrightunsigned(e, {20 * t}) & ({w} - 1)) * 3 + {t}, 'c', {c}, 'k', {k}, 'h', {_check(k)})" for t in range(3))
-    return f"transform(array(xxhash64({k})), e -> array({one}))[0]"
+    one = ", ".join(f"named_struct('j', (shiftrightunsigned(e.e, {20 * t}) & ({w} - 1)) * 3 + {t}, 'c', {c}, 'k', {k}, 'h', e.h)" for t in range(3))
+    return f"transform(array(named_struct('e', xxhash64({k}), 'h', {_check(k)})), e -> array({one}))[0]"
 
 
 def entries(digests: str, w: str, sign: int = 1) -> str:
@@ -67,7 +69,7 @@ def combine(cells: str) -> str:
     merged = "aggregate(slice(s, i + 1, %s), named_struct('j', s[i].j, 'c', 0L, 'k', 0L, 'h', 0L), (a, x) -> named_struct('j', a.j, 'c', a.c + x.c, 'k', a.k ^ x.k, 'h', a.h ^ x.h))" % last
     runs = f"filter(transform(starts, (i, r) -> if({last} = 1, s[i], {merged})), x -> x.c != 0 or x.k != 0 or x.h != 0)"
     starts = "filter(sequence(0, size(s) - 1), i -> i = 0 or s[i].j != s[greatest(i - 1, 0)].j)"
-    return f"transform(array(array_sort({cells})), s -> if(size(s) = 0, s, transform(array({starts}), starts -> {runs})[0]))[0]"
+    return f"transform(array(sort_array({cells})), s -> if(size(s) = 0, s, transform(array({starts}), starts -> {runs})[0]))[0]"
 
 
 def fold(cells: str, w: str) -> str:
@@ -81,10 +83,17 @@ def negated(cells: str) -> str:
 
 def peel(diff: str, w: str) -> str:
     """struct: found, the digests (c, k) that peeling recovers from a difference of sketches, c being 1 or -1 by the side
-    that has them, and whole, whether these are all."""
-    pure = f"array_distinct(transform(filter(st.cells, x -> abs(x.c) = 1 and x.h = {_check('x.k')}), x -> named_struct('c', x.c, 'k', x.k)))"
-    out = f"flatten(transform(pure, p -> {_cells_of('p.k', w, '-p.c')}))"
-    step = f"if(size(st.cells) = 0, st, transform(array({pure}), pure -> if(size(pure) = 0, st, named_struct('cells', {combine(f'concat(st.cells, {out})')}, 'found', concat(st.found, pure))))[0])"
+    that has them, and whole, whether these are all. In a round, the digests of all cells that have one come out, and are
+    taken out of their other cells; where few cells are left, only those of them that are meant are merged."""
+    one = f"abs(x.c) = 1 and x.h = {_check('x.k')}"
+    side = lambda c: f"array_distinct(transform(filter(st.cells, x -> x.c = {c} and x.h = {_check('x.k')}), x -> x.k))"
+    gone = lambda side, c: f"flatten(transform(got.{side}, k -> {_cells_of('k', w, c)}))"
+    out = f"concat({gone('plus', '-1L')}, {gone('minus', '1L')})"
+    few = combine(f"concat(got.rest, transform(array(transform(got.rest, x -> x.j)), js -> filter({out}, x -> array_contains(js, x.j)))[0])")
+    left = f"if(size(got.rest) = 0, got.rest, if(size(got.rest) <= {SCANNED}, {few}, {combine(f'concat(st.cells, {out})')}))"
+    found = "concat(st.found, transform(got.plus, k -> named_struct('c', 1L, 'k', k)), transform(got.minus, k -> named_struct('c', -1L, 'k', k)))"
+    got = f"named_struct('plus', {side('1')}, 'minus', {side('-1')}, 'rest', filter(st.cells, x -> not ({one})))"
+    step = f"if(size(st.cells) = 0, st, transform(array({got}), got -> if(size(got.plus) + size(got.minus) = 0, st, named_struct('cells', {left}, 'found', {found})))[0])"
     run = f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {diff}, 'found', cast(array() as array<struct<c: bigint, k: bigint>>)), (st, round) -> {step})"
     return f"transform(array({run}), z -> named_struct('found', z.found, 'whole', size(z.cells) = 0))[0]"
 
@@ -95,19 +104,22 @@ def likeness(df: DataFrame, name: str, a: str, b: str) -> DataFrame:
     low, both = f"least({a}_w, {b}_w)", f"({a}_n + {b}_n)"
     large = width(both)
     tried = [f"_{name}_{i}" for i in range(3)]
-    counted = lambda w, cells: F.expr(f"transform(array({peel(combine(cells), w)}), z -> if(z.whole, size(z.found), null))[0]")
-    # sizes alone tell a difference that the smaller width can't hold
+    peeled = lambda cells, w: f"transform(array({peel(cells, w)}), z -> if(z.whole, size(z.found), null))[0]"
+    # the counts tell about how many digests differ (a sum of squares, less what the surplus of one side adds), and sizes
+    # how many at least; where that is more than a sketch of this width gives away, it is not peeled
+    about = f"(aggregate(diff, 0L, (s, x) -> s + x.c * x.c) / 3.0D - pow({a}_n - {b}_n, 2) / _low)"
     first = F.expr(f"abs({a}_n - {b}_n) <= 2.4D * {low}")
     df = df.withColumn("_low", F.expr(low)).withColumn("_large", F.expr(large))
-    df = df.withColumn(tried[0], F.when(first, counted("_low", f"concat({fold(f'{a}_cells', '_low')}, {negated(fold(f'{b}_cells', '_low'))})")))
+    folded = combine(f"concat({fold(f'{a}_cells', '_low')}, {negated(fold(f'{b}_cells', '_low'))})")
+    df = df.withColumn(tried[0], F.when(first, F.expr(f"transform(array({folded}), diff -> if({about} <= 2.4D * _low, {peeled('diff', '_low')}, null))[0]")))
     open_ = F.col(tried[0]).isNull()
     for i, w in ((1, "_large"), (2, f"least({MOST}, _large * 4)")):
         df = df.withColumn("_w", F.expr(w))
-        df = df.withColumn(tried[i], F.when(open_, counted("_w", f"concat({entries(a, '_w')}, {entries(b, '_w', -1)})"))).drop("_w")
+        df = df.withColumn(tried[i], F.when(open_, F.expr(peeled(combine(f"concat({entries(a, '_w')}, {entries(b, '_w', -1)})"), "_w")))).drop("_w")
         open_ = open_ & F.col(tried[i]).isNull()
     apart = F.when(open_, F.expr(f"size(array_except({a}, {b})) + size(array_except({b}, {a}))"))
     n = F.coalesce(*tried, apart)
-    tries = F.when(~open_ & F.col(tried[0]).isNotNull(), 1).when(F.col(tried[1]).isNotNull(), 2).when(F.col(tried[2]).isNotNull(), 3).otherwise(4)
+    tries = F.when(F.col(tried[0]).isNotNull(), 1).when(F.col(tried[1]).isNotNull(), 2).when(F.col(tried[2]).isNotNull(), 3).otherwise(4)
     out = df.withColumn(f"{name}_tries", tries).withColumn(name, F.when(F.expr(both) == 0, F.lit(1.0)).otherwise(1 - n / F.greatest(F.expr(both), F.lit(1))))
     return out.drop("_low", "_large", *tried)
 
