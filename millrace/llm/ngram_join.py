@@ -309,9 +309,9 @@ def _fold(raw: list[bytes], to: int) -> np.ndarray:
 
 
 def _across(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) to verify of members (key, node, label, n, sketch): of different labels under one key, whose sizes
-    and sketches allow a link. The nodes of a key are dealt to blocks of about BLOCK by hash, and a group is a block with
-    itself or with another, so memory and time of a task are bounded by two blocks' sketches."""
+    """Pairs (a, b) to verify of members (key, blocks, node, label, n, sketch): of different labels under one key, whose
+    sizes and sketches allow a link. The nodes of a key are dealt to its blocks (of about BLOCK) by hash, and a group is a
+    block with itself or with another, so memory and time of a task are bounded by two blocks' sketches."""
 
     def pairs(node: np.ndarray, label: np.ndarray, n: np.ndarray, side: np.ndarray, raw: list[bytes], one: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         order = np.argsort(n, kind="stable")
@@ -355,8 +355,7 @@ def _across(members: DataFrame) -> DataFrame:
                 held.append((name, node[lo:hi], label[lo:hi], n[lo:hi], side[lo:hi], raw[lo:hi]))
         yield from flush()
 
-    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    own = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     mates = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("x"), F.greatest("block", j).alias("y")))
     each = own.select("key", F.inline(mates), "node", "label", "n", F.col("block").alias("side"), "sketch")
     dealt = each.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").select("key", "x", "y", "node", "label", "n", "side", "sketch")
@@ -395,7 +394,7 @@ def similar(docs: DataFrame) -> DataFrame:
     label = components(near)
     # what is left of a key beside that one, where it is still in several components
     known = met.join(label, met.a == label.node, "left").select("key", F.col("a").alias("node"), F.coalesce("component", "a").alias("label"))
-    mixed = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    mixed = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("x <> y").select("key", "blocks")
     members = known.join(mixed, "key").join(reps.select("node", "n", "sketch"), "node")
     more = keep(_links(keep(_across(members), "near"), docs, reps), "links")
     whose = full.groupBy("node").agg(F.min("doc_id").alias("first_id"))

@@ -220,16 +220,15 @@ def test_ngram_join_of_repeated_and_null_ids(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter([(5, 56, 3), (5, 56, 3), (3, 57, 3), (7, 56, 3), (None, 57, 9), (9, 56, 9), (None, 3, None), (None, 0, None), (5, 0, 5), (8, 0, 8)])
 
 
-def test_ngram_join_of_one_hot_key(spark, monkeypatch):
+def test_ngram_join_of_one_hot_key(spark):
     """Nodes that share a key, most of which don't link, in blocks: no link between them is lost."""
-    monkeypatch.setattr(ngram_join, "BLOCK", 500)
     rng = np.random.default_rng(4)
     n, size = 10_000, 40
     grams = rng.integers(0, 1 << 62, (n, size)).astype(np.uint64)
     twins = rng.choice(n // 2, 300, replace=False)
     grams[twins + n // 2, :-2] = grams[twins, :-2]
     raw = [ngram_join.sketch(np.unique(g)) for g in grams]
-    members = spark.createDataFrame([(1, i, i, size, r) for i, r in enumerate(raw)], "key long, node long, label long, n long, sketch binary")
+    members = spark.createDataFrame([(1, i, i, size, r) for i, r in enumerate(raw)], "key long, node long, label long, n long, sketch binary").withColumn("blocks", F.lit(20))
     got = {(r.a, r.b) for r in ngram_join._across(members).collect()}
     assert {(int(t), int(t) + n // 2) for t in twins} <= got and len(got) < 2 * len(twins)
 
