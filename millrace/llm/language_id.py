@@ -120,7 +120,7 @@ def identify(df: DataFrame, training: DataFrame, orders: tuple[int, ...] = (1, 2
     into: other names for the two."""
     spark = df.sparkSession
     rows = training.where("text is not null and lang is not null").select(F.lower("text").alias("text"), "lang")
-    buckets = fewer(buckets, rows.select("lang").distinct().count())
+    buckets = fewer(buckets, training.where("lang is not null").select("lang").distinct().count())  # reads no text
     langs, matrix = train(rows, orders, buckets)
     held = spark.sparkContext.broadcast(matrix)
     names = list(df.columns)
