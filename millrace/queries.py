@@ -536,7 +536,7 @@ def money_table(spark, sf_dir):
   {'ord': 6, 'axis': '$/1k (GPU amortized)', 'teacher': printf('$%.4f', api_1k), 'student': printf('$%.4f', own_1k), 'win': 'both ~free locally'}]) AS r FROM rep2)
   SELECT CAST(r.ord AS BIGINT) AS ord, r.axis AS axis, r.teacher AS teacher, r.student AS student, r.win AS win FROM t""")
 def local_money_table(spark, sf_dir):
-    return reports.local_table(_report(spark, sf_dir), "qwen3:14b", "org/m-0.5B-chat", 2)
+    return reports.local_table(_report(spark, sf_dir), "teacher:14b", "org/m-0.5B-chat", 2)
 
 
 @query("SELECT doc_id, CASE WHEN quality = 1 THEN 'correct' ELSE 'incorrect' END AS label FROM labels")
