@@ -39,7 +39,7 @@ STEP, BITS, HASHES, MU = 1.5, 10, 5, 100.0
 #: N-grams that a task holds before it sends their sums.
 HELD = 1 << 22
 #: Bytes of a filter that may be broadcast.
-MOST_BYTES = 64 << 20
+MOST_BYTES = 256 << 20
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
