@@ -11,14 +11,34 @@ from millrace.llm.ngram_join import op3_ngram_join
 from millrace.llm.packing import op4_packing
 from millrace.llm.sharding import op2_sharding
 from millrace.llm.toxicity import op6_toxicity
+from millrace.llm.vector_codes import op11_vector_codes
 from millrace.llm.warc import op9_warc
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_fingerprints, op2_sharding, op3_ngram_join, op4_packing, op5_lm_scoring, op6_toxicity, op7_exact_dedup, op8_mixing, op9_warc, op10_language_id)
+    for f in (op1_fingerprints, op2_sharding, op3_ngram_join, op4_packing, op5_lm_scoring, op6_toxicity, op7_exact_dedup, op8_mixing, op9_warc, op10_language_id, op11_vector_codes)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+
+def _codes_sql(parts: int = 8, width: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Product codes: each round is an assignment over all entries and a floor of averages."""
+    near = "SELECT p.part, p.vec_id, p.label, any_value(p.x) AS x, min(list_sum(list_transform(range(1, {w} + 1), lambda i: (p.x[i] - c.c[i]) * (p.x[i] - c.c[i]))) * {k} + c.entry) AS m FROM p JOIN c{r} c ON c.part = p.part GROUP BY 1, 2, 3"
+    steps = [
+        "v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"p AS MATERIALIZED (SELECT vec_id, label, part, x[part * {width} + 1:part * {width} + {width}] AS x FROM v, range({parts}) t(part))",
+        f"c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {entries}))",
+    ]
+    for r in range(rounds):
+        steps.append(f"a{r} AS MATERIALIZED ({near.format(w=width, k=entries, r=r)})")
+        steps.append(f"m{r} AS (SELECT part, entry, list(z ORDER BY i) AS c FROM (SELECT part, m % {entries} AS entry, i, CAST(floor(CAST(sum(x[i]) AS DOUBLE) / count(*)) AS BIGINT) AS z FROM a{r}, range(1, {width} + 1) t(i) GROUP BY 1, 2, 3) GROUP BY 1, 2)")
+        steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.c, c.c) AS c FROM c{r} c LEFT JOIN m{r} m ON m.part = c.part AND m.entry = c.entry)")
+    steps.append(f"e AS MATERIALIZED (SELECT vec_id, label, string_agg(printf('%02x', m % {entries}), '' ORDER BY part) AS code, CAST(sum(m // {entries}) AS BIGINT) AS error FROM ({near.format(w=width, k=entries, r=rounds)}) GROUP BY 1, 2)")
+    steps.append(f"s AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS h FROM c{rounds})")
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM e, s"
+
+
 #: Where SQL can tell the result. The others depend on hashes, sketches or models, and are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op3_ngram_join": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -46,4 +66,5 @@ ORACLE_SQL: dict[str, str] = {
   f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
   SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to,
     'GET ' || coalesce(nullif(regexp_extract(u, '^[a-z]+://[^/?#]*([^#]*)', 1), ''), '/') || ' HTTP/1.1' AS request FROM f""",
+    "op11_vector_codes": _codes_sql(),
 }
