@@ -10,13 +10,14 @@ from millrace.llm.mixing import op8_mixing
 from millrace.llm.ngram_join import op3_ngram_join
 from millrace.llm.packing import op4_packing
 from millrace.llm.sharding import op2_sharding
+from millrace.llm.spelling import op12_spelling
 from millrace.llm.toxicity import op6_toxicity
 from millrace.llm.vector_codes import op11_vector_codes
 from millrace.llm.warc import op9_warc
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_fingerprints, op2_sharding, op3_ngram_join, op4_packing, op5_lm_scoring, op6_toxicity, op7_exact_dedup, op8_mixing, op9_warc, op10_language_id, op11_vector_codes)
+    for f in (op1_fingerprints, op2_sharding, op3_ngram_join, op4_packing, op5_lm_scoring, op6_toxicity, op7_exact_dedup, op8_mixing, op9_warc, op10_language_id, op11_vector_codes, op12_spelling)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -67,4 +68,18 @@ ORACLE_SQL: dict[str, str] = {
   SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to,
     'GET ' || coalesce(nullif(regexp_extract(u, '^[a-z]+://[^/?#]*([^#]*)', 1), ''), '/') || ' HTTP/1.1' AS request FROM f""",
     "op11_vector_codes": _codes_sql(),
+    "op12_spelling": r"""WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+  r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+  o AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w AS key, w, count(*) AS n FROM r GROUP BY ALL),
+  h AS (SELECT w, n, xor(4294967295, list_reduce([4294967295] || flatten(list_transform(string_split(key, ''), lambda x: CASE WHEN ord(x) < 128 THEN [CAST(ord(x) AS BIGINT)] ELSE [CAST(192 + (ord(x) >> 6) AS BIGINT), CAST(128 + (ord(x) & 63) AS BIGINT)] END)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h FROM o, t),
+  d AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
+  k AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM d WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+  c AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS s FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM k)),
+  e AS MATERIALIZED (SELECT a.word, b.word AS near, b.n AS near_n FROM c a JOIN c b ON a.i = b.i AND a.s = b.s AND a.word <> b.word
+    UNION SELECT c.word, k.word, k.n FROM c JOIN k ON k.word = c.s UNION SELECT k.word, c.word, c.n FROM c JOIN k ON k.word = c.s),
+  b AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM e GROUP BY 1),
+  f AS MATERIALIZED (SELECT k.word, k.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * k.n THEN near END AS form, CASE WHEN near_n >= 2 * k.n THEN near_n END AS form_n FROM k LEFT JOIN b USING (word)),
+  g AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT g.word, f.form, step + 1 FROM g JOIN f ON f.word = g.root AND f.form IS NOT NULL),
+  z AS (SELECT word, arg_max(root, step) AS root FROM g GROUP BY 1)
+  SELECT f.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM f JOIN z USING (word)""",
 }
