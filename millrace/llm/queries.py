@@ -9,6 +9,7 @@ from millrace.llm.lm_scoring import op5_lm_scoring
 from millrace.llm.mixing import op8_mixing
 from millrace.llm.ngram_join import op3_ngram_join
 from millrace.llm.packing import op4_packing
+from millrace.llm.quality import op13_quality
 from millrace.llm.sharding import op2_sharding
 from millrace.llm.spelling import op12_spelling
 from millrace.llm.toxicity import op6_toxicity
@@ -17,7 +18,7 @@ from millrace.llm.warc import op9_warc
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_fingerprints, op2_sharding, op3_ngram_join, op4_packing, op5_lm_scoring, op6_toxicity, op7_exact_dedup, op8_mixing, op9_warc, op10_language_id, op11_vector_codes, op12_spelling)
+    for f in (op1_fingerprints, op2_sharding, op3_ngram_join, op4_packing, op5_lm_scoring, op6_toxicity, op7_exact_dedup, op8_mixing, op9_warc, op10_language_id, op11_vector_codes, op12_spelling, op13_quality)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
