@@ -34,13 +34,15 @@ from millrace.llm.common import documents, mix, remainder, sliced, utf8, words
 U = np.uint64
 #: Of the sample: documents, and lines of each, at most.
 EXAMPLES, LINES = 4096, 256
+#: Bytes of text that are worked on at once (a longer text comes alone).
+SLICE = 1 << 20
 #: Bins of a feature; bin 0 is that of a line which isn't there.
 BINS = 10
 ROUNDS, RATE, PENALTY = 120, 0.1, 1e-3
 NAMES = ("capitals", "digits", "symbols", "points", "shouts", "word_length", "bytes", "words", "echoes", "distinct", "new", "single", "again", "ends")
 
 _UPPER, _LETTER, _DIGIT, _SPACE, _POINT, _SHOUT, _SYMBOL = range(7)
-_KIND = np.full(256, _SYMBOL, np.int64)
+_KIND = np.full(256, _SYMBOL, np.uint8)
 _KIND[65:91], _KIND[97:123], _KIND[128:], _KIND[48:58] = _UPPER, _LETTER, _LETTER, _DIGIT
 _KIND[[9, 10, 11, 12, 13, 32]] = _SPACE
 _KIND[[ord(c) for c in ".,;:'\"-?()"]], _KIND[ord("!")] = _POINT, _SHOUT
@@ -62,6 +64,7 @@ def lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     hashed, off, first, end = words(column, spans=True)
     if not len(hashed):
         return np.zeros((0, len(NAMES)), np.float32), np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
+    data, first, end = data[at[0] : at[-1]], first - at[0], end - at[0]  # the column may be a slice of a longer one
     doc = np.repeat(np.arange(n), np.diff(off))
     breaks = np.flatnonzero((data == 10) | (data == 13))
     row = np.searchsorted(breaks, first)  # breaks before a word
@@ -69,7 +72,8 @@ def lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     line = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(row))))
     lo, hi = first[begins], end[np.append(begins[1:], len(row)) - 1]  # from the first word to the last
     size = hi - lo
-    kinds = np.stack([(t := np.concatenate(([0], np.cumsum(_KIND[data] == k))))[hi] - t[lo] for k in range(7)], axis=1).astype(np.float64)
+    kind = _KIND[data]
+    kinds = np.stack([np.add.reduceat(kind == k, np.stack((lo, hi), axis=1).ravel()[: 2 * len(lo) - (hi[-1] == len(data))], dtype=np.int64)[::2] for k in range(7)], axis=1).astype(np.float64)
     count = np.diff(np.append(begins, len(row))).astype(np.float64)
     per_line = lambda x: np.bincount(line[x], minlength=len(begins))
     echo = np.concatenate(([False], (hashed[1:] == hashed[:-1]) & (line[1:] == line[:-1])))
@@ -212,7 +216,7 @@ def train(labelled: DataFrame) -> Field | None:
     """A field of labelled (doc_id, text, good): rows with null ids or labels left out; None where there is no row."""
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 1):
+        for batch in sliced(batches, 1, SLICE):
             x, size, off = lines(batch.column(1))
             keys = batch.column(0).to_pylist()
             got_x, got_size = [], []
@@ -241,7 +245,7 @@ def score(docs: DataFrame, field: Field | None) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
-        for batch in sliced(batches, len(others)):
+        for batch in sliced(batches, len(others), SLICE):
             x, size, off = lines(batch.column(len(others)))
             p, _ = marginals(own.odds(own.bins(x, off)), own.steps, off)
             share = _share(p, size, off)
