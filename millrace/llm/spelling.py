@@ -99,7 +99,7 @@ def _apart(u: str, v: str) -> int:
 
 def _matrix(words: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     """The letters (one byte each), padded, from the front and from the back."""
-    size = np.array([len(w) for w in words])
+    size = np.array([len(w) for w in words], np.int64)
     flat = np.frombuffer("".join(words).encode("latin-1"), np.uint8)
     row, start = np.repeat(np.arange(len(words)), size), np.repeat(np.cumsum(size) - size, size)
     at = np.arange(len(flat)) - start
@@ -111,7 +111,7 @@ def _matrix(words: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _verify(words: list[str], base: np.ndarray, hi: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which pairs of places are near, with the first difference in the block's window."""
-    size = np.array([len(w) for w in words])
+    size = np.array([len(w) for w in words], np.int64)
     near = np.zeros(len(i), bool)
     width = int(min(WIDE, size.max()))
     slim = np.flatnonzero(size <= width)
