@@ -10,6 +10,8 @@ from millrace.operators.gate import LINE_FIELDS, _kind, _object, parsed
 
 MONEY = ("unit_price", "total", "subtotal", "tax", "grand_total")
 _TEXT, _NUMBER = ("vendor", "date", "currency", "payment_terms"), ("subtotal", "tax", "grand_total")
+#: How a number may be written in a text, as a float's constructor reads it (underscores between digits taken out later).
+_FLOAT = r"(?i)^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?$|^[+-]?(inf|infinity|nan)$"
 _HEADS = ("vendor", "date", "currency", "subtotal", "tax", "grand_total", "payment_terms")
 
 
@@ -19,6 +21,12 @@ def _cell(x: Column, leaf: str) -> tuple[Column, Column]:
     return (x[leaf].cast("string"), none.cast("double")) if leaf in (*_TEXT, "description") else (none.cast("string"), x[leaf].cast("double"))
 
 
+def float_in(text: Column) -> Column:
+    """The number that a text is, white space around it aside; null for any other text (a cast would take 1d or 1f too)."""
+    bare = strip(text)
+    return F.when(bare.rlike(_FLOAT), F.replace(bare, F.lit("_"), F.lit("")).try_cast("double"))
+
+
 def _line_path(i: Column, leaf: str) -> Column:
     return F.concat(F.lit("line_items["), i.cast("string"), F.lit(f"].{leaf}"))
 
@@ -49,7 +57,7 @@ def flatten_json(docs: DataFrame, column: str) -> DataFrame:
             nested = kind.isin("OBJECT", "ARRAY")
             number = F.when(~nested & (kind != "STRING"), F.coalesce(truth, F.try_variant_get(v, "$", "double")))
             if leaf in (*MONEY, "qty"):
-                number = F.coalesce(number, strip(text).try_cast("double"))
+                number = F.coalesce(number, float_in(text))
                 text = F.when(number.isNull(), text)
             return F.struct(path.alias("path"), F.lit(leaf).alias("leaf"), text.alias("s"), number.alias("n"), F.when(nested, F.to_json(v)).alias("j"))
 
@@ -97,7 +105,8 @@ def _matched(met: DataFrame, tolerance: float, nested: bool = False) -> DataFram
     number = F.abs(F.col("pn") - F.col("gn")) <= limit
     text = comparable(F.col("ps")) == comparable(F.col("gs"))
     alike = F.coalesce(number, text, *([F.col("pj") == F.col("gj")] if nested else []), F.lit(False))
-    same = F.when(none("p") & none("g"), True).when(none("p") | none("g"), False).otherwise(alike)
+    amount = F.col("leaf").isin(*MONEY, "qty")  # these agree as numbers or not at all
+    same = F.when(none("p") & none("g"), True).when(none("p") | none("g"), False).when(amount, F.coalesce(number, F.lit(False))).otherwise(alike)
     return met.withColumn("same", same).withColumn("match", F.col("same") & F.col("has_pred") & F.col("has_gold"))
 
 
@@ -158,9 +167,11 @@ def batch_scores(scores: DataFrame, valid: Column | None = None) -> DataFrame:
 
 
 def categorise(fields: DataFrame) -> DataFrame:
-    """Adds category to compared fields; null where values agree. A missing field counts as null here."""
+    """Adds category to compared fields, typed or raw; null where values agree. A missing field counts as null here, a
+    nested value (pj, gj) doesn't."""
     line = F.col("path").startswith("line_items[")
-    none_p, none_g = F.col("ps").isNull() & F.col("pn").isNull(), F.col("gs").isNull() & F.col("gn").isNull()
+    none = lambda x: F.coalesce(*[F.col(c).cast("string") for c in (f"{x}s", f"{x}n", f"{x}j") if c in fields.columns]).isNull()
+    none_p, none_g = none("p"), none("g")
     what = lambda kind: F.when(line, f"{kind}_line_item").otherwise(f"{kind}_field")
     wrong = F.when(F.col("leaf").isin(*MONEY), "wrong_money").when(F.col("leaf") == "qty", "wrong_qty").when(F.col("leaf") == "date", "wrong_date").otherwise("wrong_text")
     return fields.withColumn("category", F.when(F.col("same"), None).when(none_p, what("missing")).when(none_g, what("hallucinated")).otherwise(wrong))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.normalise import model_size
 from millrace.operators import cost
+from millrace.operators.quantiles import exact_quantiles
 from millrace.operators.review import quality_bar
 
 
@@ -37,10 +38,15 @@ class Machine:
         return cost.break_even(self.capex * self.utilisation, self.years, api, self.energy(per_second))
 
 
-def latencies(calls: DataFrame, column: str = "latency") -> DataFrame:
-    """One row: p50, p95 (linear between neighbours) and requests a second of a run of calls one after the other."""
-    p = F.percentile(column, F.array(F.lit(0.5), F.lit(0.95)))
-    return calls.agg(p.alias("p"), F.avg(column).alias("mean")).select(F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), (1 / F.greatest("mean", F.lit(1e-9))).alias("per_second"))
+def latencies(calls: DataFrame, column: str = "latency", by: tuple[str, ...] = ()) -> DataFrame:
+    """p50, p95 (linear between neighbours) and requests a second of runs of calls one after the other: one row, or one for
+    each value of the columns `by`. Exact whatever the number of calls: ranks are selected by counts."""
+    ranked = exact_quantiles(calls, column, (0.5, 0.95), by).select(*by, F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"))
+    speed = calls.groupBy(*by).agg(F.avg(column).alias("mean")).select(*[F.col(c).alias(f"_{c}") for c in by], (1 / F.greatest("mean", F.lit(1e-9))).alias("per_second"))
+    if not by:
+        return speed.join(ranked, how="left").select("p50", "p95", "per_second")  # one row by one at most
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return speed.join(ranked, same, "left").select(*[F.col(f"_{c}").alias(c) for c in by], "p50", "p95", "per_second")
 
 
 def evaluation(quality: DataFrame, speed: DataFrame, api: Column, machine: Machine, metric: str = "f1_macro", teacher: float | None = None, bar: float = 0.95) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.extraction import pair_scores
-from millrace.operators.gate import validate
+from millrace.operators.gate import first_json, validate
 
 
 def informativeness(f1: Column, repaired: Column, exact: Column) -> Column:
@@ -25,10 +25,12 @@ def allocate(strata: DataFrame, n: int) -> DataFrame:
 
 
 def stratified_sample(items: DataFrame, n: int) -> DataFrame:
-    """The alloc most informative items (id, stratum, informativeness) of each stratum, ties by id."""
+    """The alloc most informative items (id, stratum, informativeness) of each stratum, ties by id. No stratum gets more than
+    n, so each task keeps n of each before rows move, and no task sorts a whole stratum."""
     plan = allocate(items.groupBy("stratum").agg(F.count("*").alias("size")), n)
     rank = F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("informativeness"), "id"))
-    return items.withColumn("rank", rank).join(plan, "stratum").where("rank <= alloc").select("id", "stratum", "informativeness", F.col("rank").cast("long").alias("rank"))
+    first = items.withColumn("rank", rank).where(F.col("rank") <= n)
+    return first.join(plan, "stratum").where("rank <= alloc").select("id", "stratum", "informativeness", F.col("rank").cast("long").alias("rank"))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -166,6 +168,26 @@ def silver(scores: DataFrame, least: float = 0.95) -> DataFrame:
     return scores.select("id", F.round("f1", 4).alias("silver_field_f1"), (F.col("f1") >= least).alias("silver_verified"))
 
 
+def silver_fields(rows: DataFrame, model: str, least: float = 0.95) -> DataFrame:
+    """id, silver_verified, silver_model, silver_field_f1, silver_note of rows (id, gold: an invoice, reply: what a second
+    model made of the document; error: why there is no reply, if the table has it). A reply without JSON that passes the
+    gate is not verified, with f1 0 and a note that says why; else fields decide, and there is no note."""
+    found = rows.withColumn("_json", first_json(F.col("reply"))).withColumn("_checked", validate(F.col("_json")))
+    told = F.when(F.col("_json").isNull(), "no JSON found").when(F.size("_checked.errors") > 0, F.array_join("_checked.errors", ", "))
+    failed = F.coalesce(*([F.col("error")] if "error" in rows.columns else []), told)
+    ready = found.select("id", "gold", F.when(failed.isNull(), F.col("_checked.invoice")).alias("pred"), failed.alias("failed"))
+    scores = ready.join(pair_scores(ready.where("failed is null").select("id", "pred", "gold")).select("id", "f1"), "id", "left")
+    f1 = F.when(F.col("failed").isNull(), F.coalesce("f1", F.lit(0.0))).otherwise(0.0)
+    note = F.when(F.col("failed").isNotNull(), F.concat(F.lit("verifier-invalid: "), F.substring("failed", 1, 60)))
+    return scores.select("id", (F.col("failed").isNull() & (f1 >= least)).alias("silver_verified"), F.lit(model).alias("silver_model"), F.round(f1, 4).alias("silver_field_f1"), note.alias("silver_note"))
+
+
+def silver_rate(fields: DataFrame) -> DataFrame:
+    """One row of silver_fields(): n, verified, invalid, rate."""
+    verified = F.count_if("silver_verified")
+    return fields.agg(F.count("*").alias("n"), verified.alias("verified"), F.count_if(F.col("silver_note").isNotNull()).alias("invalid"), (verified / F.greatest(F.count("*"), F.lit(1))).alias("rate"))
+
+
 # The grades of a gold set.
 GRADES = ("SILVER (cross-model agreement)", "human_verified", "DEV_ONLY_teacher_labeled")
 
