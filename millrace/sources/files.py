@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.normalise import content_id, label, strip
 from millrace.operators.gate import is_json
+from millrace.sources.scratch import keep
 
 # Columns of a rating sheet and of the sheet for settling disagreements.
 SHEET = ("id", "source_document", "model_extraction", "label", "notes")
@@ -28,11 +29,21 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return checked.select("row.*").drop("_broken")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1), value of every line of text files, blank ones too. A file is read in splits, however large it
+    is: each split counts its lines, the counts of the splits before it in its file are added up (one row a split), and a
+    line's number is that sum and its place in its split."""
+    told = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    splits = told.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("lines"))
+    before = F.sum("lines").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    base = splits.withColumn("before", F.coalesce(before, F.lit(0))).drop("lines")
+    return told.join(base, ["file", "start"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "value")
+
+
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line (from 1), value of lines that are not JSON. Numbers lines, so a file is read by one task: for looking
-    into a failure, not for the way of all data."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
-    return files.where((F.trim("value") != "") & ~is_json(F.col("value"))).select("file", (F.col("at") + 1).alias("line"), "value")
+    """file, line (from 1), value of lines that are not JSON; no file is read whole."""
+    lines = numbered_lines(spark, path)
+    return lines.where((F.trim(F.regexp_replace("value", r"\s", " ")) != "") & ~is_json(F.col("value")))
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
@@ -130,6 +141,25 @@ def rewrite(rows: DataFrame, path: str) -> None:
     system.delete(names[2], True)
 
 
+def upsert(updates: DataFrame, path: str, by: str, key: str = "id") -> None:
+    """Sets the columns of updates (key and columns, one row a key; repeated keys are an error) in the rows of the Parquet
+    table at path that have the key; columns that the table lacks are added to it. Of the table, which is partitioned by
+    `by`, only the partitions that hold such a row are written again; the files of the others stay as they are. Keys that
+    the table doesn't have change nothing. A run that was stopped can be repeated."""
+    spark = updates.sparkSession
+    base = spark.read.option("mergeSchema", True).parquet(path)
+    new = [c for c in updates.columns if c != key]
+    once = updates.groupBy(key).agg(F.count("*").alias("_times"), *[F.first(c).alias(f"_{c}") for c in new])
+    told = F.raise_error(F.concat(F.lit("more than one update of "), F.col(key).cast("string"))).cast("boolean")
+    once = keep(once.where(F.when(F.col("_times") > 1, told).otherwise(True)).withColumn("_hit", F.lit(True)), "updates")
+    touched = base.join(once, key, "left_semi").select(by).distinct()
+    rows = base.join(touched.select(F.col(by).alias("_by")), F.col(by).eqNullSafe(F.col("_by")), "left_semi").join(once, key, "left")
+    value = lambda c: F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c) if c in base.columns else F.lit(None)).alias(c)
+    columns = [value(c) if c in new else F.col(c) for c in base.columns if c != by] + [value(c) for c in new if c not in base.columns]
+    merged_rows = keep(rows.select(*columns, by), "merged")  # read and written path are the same: it is whole before it is moved
+    merged_rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
 def project_root(start: str | Path, mark: str = "pyproject.toml") -> Path:
     """The nearest folder, from start upwards, that holds the mark."""
     here = Path(start).resolve()
