@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import normalise, prompts
-from millrace.operators import calls, cost, extraction, gate, reports, review, similarity
+from millrace.operators import calls, cost, extraction, gate, live, reports, review, similarity
 from millrace.plans.invoices import COMPARED, SQL, cents, gold, predicted, table
 from millrace.sources import files
 from millrace.sources.scratch import keep, new_path
+from millrace.streaming import incremental
 
 FLAGSHIP = "field_scores"
 QUERIES: dict = {}
@@ -168,6 +169,30 @@ def raw_scores(spark, sf_dir):
     return extraction.field_scores(rows.select("id", (F.col("id") % 17 == 8).alias("pred_null")), fields).select("id", "tp", "fp", "fn")
 
 
+#: Values on both sides that no number can be read from, one that a cast would read, and a list.
+_ODD = ((19, 2, "tax", '"n/a"', '"n/a"'), (23, 3, "grand_total", "[1]", "[1]"), (29, 4, "tax", '"1d"', "1.0"))
+
+
+def _odd(j, k, side):
+    for by, rest, name, *to in _ODD:
+        j = F.when(k % by == rest, F.regexp_replace(j, f'"{name}":("[^"]*"|[^,}}]*)', f'"{name}":{to[side]}')).otherwise(j)
+    return j
+
+
+@query(_RAW + """, p AS (SELECT id, path, leaf, CASE WHEN path = 'tax' AND id % 29 = 4 THEN '1d' WHEN path = 'tax' AND id % 19 = 2 THEN 'n/a' ELSE s END AS s, CASE WHEN path = 'tax' AND (id % 29 = 4 OR id % 19 = 2) OR path = 'grand_total' AND id % 23 = 3 THEN NULL ELSE n END AS n, CASE WHEN path = 'grand_total' AND id % 23 = 3 THEN '[1]' ELSE j END AS j FROM raw_f),
+  g AS (SELECT id, path, leaf, CASE WHEN path = 'tax' AND id % 29 <> 4 AND id % 19 = 2 THEN 'n/a' ELSE s END AS s, CASE WHEN path = 'tax' AND id % 29 = 4 THEN CAST(1 AS DOUBLE) WHEN path = 'tax' AND id % 19 = 2 OR path = 'grand_total' AND id % 23 = 3 THEN NULL ELSE n END AS n, CASE WHEN path = 'grand_total' AND id % 23 = 3 THEN '[1]' END AS j FROM gold_f),
+  c AS (SELECT coalesce(p.id, g.id) AS id, coalesce(p.path, g.path) AS path, coalesce(p.leaf, g.leaf) AS leaf, p.s IS NULL AND p.n IS NULL AND p.j IS NULL AS np, g.s IS NULL AND g.n IS NULL AND g.j IS NULL AS ng, abs(p.n - g.n) AS apart, p.s AS ps, g.s AS gs, p.j = g.j AS nested FROM p FULL OUTER JOIN g ON p.id = g.id AND p.path = g.path),
+  m AS (SELECT *, CASE WHEN np AND ng THEN true WHEN np OR ng THEN false WHEN leaf = 'qty' THEN coalesce(apart <= CAST(0.0001 AS DOUBLE), false) WHEN leaf IN ('unit_price', 'total', 'subtotal', 'tax', 'grand_total') THEN coalesce(apart <= CAST(0.01 AS DOUBLE), false)
+    ELSE coalesce(lower(trim(regexp_replace(ps, '\\s+', ' ', 'g'))) = lower(trim(regexp_replace(gs, '\\s+', ' ', 'g'))), nested, false) END AS same FROM c)
+  SELECT id, path, CASE WHEN np THEN 'missing' WHEN ng THEN 'hallucinated' WHEN leaf IN ('unit_price', 'total', 'subtotal', 'tax', 'grand_total') THEN 'wrong_money' WHEN leaf = 'qty' THEN 'wrong_qty' WHEN leaf = 'date' THEN 'wrong_date' ELSE 'wrong_text' END || CASE WHEN np OR ng THEN CASE WHEN path LIKE 'line_items[%' THEN '_line_item' ELSE '_field' END ELSE '' END AS category FROM m WHERE NOT same""")
+def raw_categories(spark, sf_dir):
+    """The error taxonomy over raw JSON on both sides: nested values, amounts that are no numbers, fields that are missing."""
+    k = F.col("id")
+    rows = keep(_raw(spark, sf_dir).select("id", _odd(F.col("raw"), k, 0).alias("raw"), _odd(F.to_json("gold", {"ignoreNullFields": "false"}), k, 1).alias("whole")), "raw")
+    fields = extraction.compare(extraction.flatten_json(rows, "raw"), extraction.flatten_json(rows, "whole"))
+    return extraction.categorise(fields).where("category is not null").select("id", "path", "category")
+
+
 @query(SQL + " SELECT id - 1 AS at, id % 29 = 0 AS pred_null, vendor FROM h")
 def one_to_one(spark, sf_dir):
     both = _invoices(spark, sf_dir).withColumn("at", F.col("id") - 1)
@@ -406,7 +431,7 @@ def new_seeds(spark, sf_dir):
     return calls.new_seeds(_batches(spark, sf_dir), seen).select("id", "batch")
 
 
-@query(_PADDED + """, i AS (SELECT doc_id, 'seed-' || substr(sha256(t), 1, 16) AS id, length(t) >= 40 AS ok FROM k) SELECT id FROM (SELECT id, min(doc_id) AS at FROM i WHERE ok GROUP BY 1) x ORDER BY at LIMIT 25""")
+@query(_PADDED + """, i AS (SELECT doc_id, 'seed-' || substr(sha256(t), 1, 16) AS id, length(t) >= 40 AS ok FROM k) SELECT id FROM (SELECT id, min(doc_id) AS first_id FROM i WHERE ok GROUP BY 1) x ORDER BY first_id LIMIT 25""")
 def generate_until(spark, sf_dir):
     """A caller that hands out documents in order, some replies without any."""
     texts = iter([r.text for r in _padded(spark, sf_dir).orderBy("doc_id").limit(120).collect()])
@@ -482,8 +507,8 @@ def usage_report(spark, sf_dir):
 
 @query(_CALLS + "SELECT model, round(quantile_cont(latency, 0.5), 9) AS p50, round(quantile_cont(latency, 0.95), 9) AS p95, round(1 / greatest(avg(latency), 1e-9), 6) AS per_second FROM c GROUP BY 1")
 def latency_report(spark, sf_dir):
-    by = _calls(spark, sf_dir).groupBy("model")
-    return by.agg(F.round(F.percentile("latency", F.lit(0.5)), PLACES).alias("p50"), F.round(F.percentile("latency", F.lit(0.95)), PLACES).alias("p95"), F.round(1 / F.greatest(F.avg("latency"), F.lit(1e-9)), 6).alias("per_second"))
+    told = reports.latencies(_calls(spark, sf_dir), by=("model",))
+    return told.select("model", F.round("p50", PLACES).alias("p50"), F.round("p95", PLACES).alias("p95"), F.round("per_second", 6).alias("per_second"))
 
 
 @query("""SELECT volume, round(volume * (900 / 1e6 * 3 + 350 / 1e6 * 15), 9) AS api_usd, round(24 * (1100.0 / (3 * 365 * 24) * 1.0) + volume * (0.36 * 0.15 / (4 * 3600.0)), 9) AS own_usd FROM (SELECT unnest(generate_series(0, 610, 10)) AS volume) WHERE volume < 610""")
@@ -712,6 +737,67 @@ def jsonl_round_trip(spark, sf_dir):
     return files.read_jsonl(spark, path, schema)
 
 
+@query("""WITH l AS (SELECT doc_id % 8 AS bucket, CASE WHEN doc_id % 50 = 3 THEN '{"id": ' WHEN doc_id % 7 <> 1 THEN '{"id":' || doc_id || '}' END AS value, row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) AS line FROM documents)
+  SELECT bucket, line, value FROM l WHERE value NOT LIKE '%}'""")
+def bad_json_lines(spark, sf_dir):
+    """Lines cut short among good and blank ones, in eight files, told by file and line."""
+    k = F.col("doc_id")
+    value = F.when(k % 50 == 3, '{"id": ').when(k % 7 == 1, "").otherwise(F.concat(F.lit('{"id":'), k, F.lit("}")))
+    rows = table(spark, sf_dir, "documents").select((k % 8).alias("bucket"), "doc_id", value.alias("value"))
+    path = new_path(spark, "lines")
+    rows.repartition(8, "bucket").sortWithinPartitions("bucket", "doc_id").select("bucket", "value").write.partitionBy("bucket").text(path)
+    return files.bad_lines(spark, path).select(F.regexp_extract("file", "bucket=([0-9]+)", 1).cast("long").alias("bucket"), "line", "value")
+
+
+@query(SQL + f" SELECT id, {_REASON} AS drop_reason, CASE WHEN id % 3 < 2 THEN 0 ELSE 1 END AS batch FROM h")
+def incremental_gate(spark, sf_dir):
+    """A folder of records that grows between two runs: each run takes the new files through the gate, once."""
+    records = keep(_replies(spark, sf_dir).select("id", gate.first_json(F.col("reply")).alias("output")), "records")
+    folder, out, state = (new_path(spark, x) for x in ("incoming", "gated", "progress"))
+    for part in ("id % 3 < 2", "id % 3 = 2"):
+        records.where(part).write.mode("append").json(folder)
+        told = incremental.gate_new(spark, folder, out, state, "id long, output string", files_a_batch=100_000)
+    return told.select("id", F.col("_drop_reason").alias("drop_reason"), "batch")
+
+
+@query("""WITH k AS (SELECT DISTINCT event_type || '-' || (user_id % 500) AS key, event_id % 3 < 2 AS first FROM events) SELECT key, upper(key) AS reply, bool_or(first) AS cached, false AS failed FROM k GROUP BY 1""")
+def memoised_calls(spark, sf_dir):
+    """Two runs over one folder of replies: the second calls only for keys that the first didn't have."""
+    key = F.concat("event_type", F.lit("-"), (F.col("user_id") % 500).cast("string"))
+    asked = table(spark, sf_dir, "events").select(key.alias("key"), "event_id")
+    folder = new_path(spark, "replies")
+    live.memoised(asked.where("event_id % 3 < 2").select("key"), lambda row: row["key"].upper(), folder, pieces=2)
+    return live.memoised(asked.select("key").distinct(), lambda row: row["key"].upper(), folder, pieces=2).select("key", "reply", "cached", F.col("error").isNotNull().alias("failed"))
+
+
+@query(SQL + " SELECT id, id % 2 = 0 OR id % 3 = 0 AS valid, CAST(CASE WHEN id % 2 = 0 THEN 2 ELSE 3 END AS BIGINT) AS attempts, CASE WHEN id % 2 = 0 OR id % 3 = 0 THEN vendor END AS vendor, CASE WHEN NOT (id % 2 = 0 OR id % 3 = 0) THEN 'no JSON found' END AS error FROM h")
+def live_labels(spark, sf_dir):
+    """A stub that answers some documents at the second attempt and some at the third, asked until it does."""
+    seeds = gold(spark, sf_dir).select("id", F.to_json("gold").alias("text"))
+
+    def call(row: dict) -> str:
+        good = row["id"] % 2 == 0 if row["attempt"] == 2 else row["attempt"] == 3 and row["id"] % 3 == 0
+        return row["messages"][1]["content"].split("\n", 1)[1].rsplit("\n</document>", 1)[0] if good else "none"
+
+    log = live.labelled(seeds, call, new_path(spark, "live"), "S", pieces=2)
+    return calls.resolve(log).select("id", "valid", "attempts", F.col("invoice.vendor").alias("vendor"), "error")
+
+
+@query(SQL + """, n AS (SELECT id, count(*) AS n FROM gold_f GROUP BY 1),
+  f AS (SELECT h.id, CASE WHEN h.id % 4 = 1 THEN CASE h.id % 9 WHEN 2 THEN 'no JSON found' WHEN 3 THEN 'extra:note' WHEN 4 THEN 'missing:date' WHEN 6 THEN 'empty:line_items' WHEN 7 THEN 'not_object' WHEN 8 THEN 'type:tax' END END AS told,
+    CASE WHEN h.id % 9 = 5 AND abs(round(h.grand_total, 2) - 1234.5) > 0.01 THEN (CAST(n AS DOUBLE) - 1) / n ELSE CAST(1 AS DOUBLE) END AS f1 FROM h JOIN n USING (id))
+  SELECT id, id % 4 AS part, CASE WHEN id % 4 = 1 THEN told IS NULL AND f1 >= CAST(0.95 AS DOUBLE) END AS silver_verified, CASE WHEN id % 4 = 1 THEN 'other' END AS silver_model, CASE WHEN id % 4 = 1 THEN CASE WHEN told IS NULL THEN round(f1, 4) ELSE 0 END END AS silver_field_f1, 'verifier-invalid: ' || told AS silver_note FROM f""")
+def silver_merge(spark, sf_dir):
+    """What a second model says of a quarter of the invoices, merged into the table of all, one partition of which is
+    written again."""
+    replies = keep(_replies(spark, sf_dir).where("id % 4 = 1").select("id", "gold", "reply"), "second")
+    path = new_path(spark, "gold")
+    gold(spark, sf_dir).select("id", (F.col("id") % 4).alias("part"), "gold.vendor").write.partitionBy("part").parquet(path)
+    files.upsert(review.silver_fields(replies, "other"), path, "part")
+    out = spark.read.option("mergeSchema", True).parquet(path)
+    return out.select("id", F.col("part").cast("long").alias("part"), "silver_verified", "silver_model", "silver_field_f1", "silver_note")
+
+
 @query("SELECT 'seed-' || substr(sha256(n_name), 1, 16) AS id, n_name AS text FROM nation")
 def text_folder(spark, sf_dir):
     path = new_path(spark, "texts")
