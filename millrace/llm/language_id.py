@@ -1,9 +1,10 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-The counts of every training row make one log-probability matrix (buckets x languages), whose size depends on the
-parameters and the number of languages only; it is broadcast, and whole texts are scored in numpy, batch by batch.
-
-The matrix has at most CELLS cells: where a column of languages has very many values, n-grams go to fewer buckets.
+The counts of every training row by language and bucket make the log-probability matrix (buckets x languages). It is
+broadcast as the counts that aren't zero (six bytes each: at most buckets x languages of them, 98 KB a language, and no
+more than a rare language has n-grams), so a column of very many values, most of them rare, costs little. Whole texts are
+scored in numpy, batch by batch, against TOGETHER languages at a time, whose part of the matrix is laid out then; so
+memory doesn't grow with the number of languages, and neither buckets nor predictions depend on it.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; with no training row every text is `und`;
 equal posteriors go to the language that sorts first; rows with a null or repeated doc_id are scored like any other; an
@@ -14,6 +15,7 @@ the input beyond doc_id, text and lang are left alone, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +23,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import documents, mix, remainder
+from millrace.llm.common import documents, mix, remainder, sliced
 
 LETTER = regex.compile(r"\p{L}")
 #: Characters that the numpy passes take at once.
 CHARS = 1 << 19
-#: Cells of the matrix, at most (four bytes each).
-CELLS = 1 << 24
+#: Languages that a text is scored against at once, n-grams that are looked up at once, and counts that a task holds before
+#: it adds them up.
+TOGETHER, LOOKED_UP, HELD = 64, 1 << 16, 1 << 22
 
 
 def _grams(texts: list[str], orders: tuple[int, ...], buckets: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -68,50 +71,91 @@ def _grams(texts: list[str], orders: tuple[int, ...], buckets: int) -> Iterator[
         i = j
 
 
-def fewer(buckets: int, languages: int, cells: int = CELLS) -> int:
-    """Buckets for so many languages; the halving stops at 64, beyond which there are too many languages to tell apart."""
-    while buckets > 64 and buckets * languages > cells:
-        buckets //= 2
-    if buckets * languages > cells:
-        raise ValueError(f"{languages} languages are more than a matrix of {cells} cells can hold")
-    return buckets
+@dataclass
+class Model:
+    """langs (sorted), their n-grams, and of each language the buckets that it has and how often, from start on."""
+
+    langs: list[str]
+    total: np.ndarray
+    start: np.ndarray
+    bucket: np.ndarray
+    count: np.ndarray
+    buckets: int
+
+    def logs(self, lo: int, hi: int) -> np.ndarray:
+        """The matrix (buckets x languages lo to hi, float32) of log probabilities, add-one smoothed."""
+        dense = np.zeros((self.buckets, hi - lo))
+        at = slice(self.start[lo], self.start[hi])
+        dense[self.bucket[at], np.repeat(np.arange(hi - lo), np.diff(self.start[lo : hi + 1]))] = self.count[at]
+        return np.log((dense + 1) / (self.total[lo:hi] + self.buckets)).astype(np.float32)
 
 
-def train(df: DataFrame, orders: tuple[int, ...] = (1, 2, 3), buckets: int = 1 << 14) -> tuple[list[str], np.ndarray]:
-    """Languages (sorted) and the float32 matrix buckets x languages of log probabilities, add-one smoothed.
+def train(df: DataFrame, orders: tuple[int, ...] = (1, 2, 3), buckets: int = 1 << 14) -> Model:
+    """df: lower-cased text, lang. Every row counts: each task adds up what it has read by language and bucket, and Spark
+    adds up the tasks' sums."""
 
-    df: lower-cased text, lang. Every row counts: each task adds up its own matrix, and the sums by language meet in
-    one row per language and task.
-    """
+    def told(langs: list[str], held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        kinds, back = np.unique(keys, return_inverse=True)
+        return kinds, np.bincount(back, n).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        code: dict[str, int] = {}
+        held, size = [], 0
         for batch in batches:
-            langs, texts = batch.column("lang").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
-            order = sorted(range(len(texts)), key=langs.__getitem__)
-            langs, texts = [langs[i] for i in order], [texts[i] for i in order]
-            kinds, codes = np.unique(np.array(langs, dtype=object).astype(str), return_inverse=True)
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            own_code = np.array([code.setdefault(x, len(code)) for x in batch.column("lang").to_pylist()], np.int64)
             for i, j, keyed, own in _grams(texts, orders, buckets):
-                for k in np.unique(codes[i:j]):
-                    inside = np.flatnonzero(codes[i:j] == k)
-                    got = np.bincount(keyed[own[inside[0]] : own[inside[-1] + 1]], minlength=buckets)
-                    key = str(kinds[k])
-                    sums[key] = sums[key] + got if key in sums else got
-        if sums:
-            yield pa.RecordBatch.from_pydict({"lang": list(sums), "counts": [x.astype("<i8").tobytes() for x in sums.values()]}, schema=pa.schema([("lang", pa.string()), ("counts", pa.binary())]))
-
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(buckets, np.int64)
-        for batch in batches:
-            for x in batch.column("counts"):
-                total += np.frombuffer(x.as_buffer(), "<i8")
-        yield pa.RecordBatch.from_pydict({"lang": [key[0].as_py()], "counts": [total.tobytes()]}, schema=pa.schema([("lang", pa.string()), ("counts", pa.binary())]))
-
-    by_task = df.select("text", "lang").mapInArrow(count, "lang string, counts binary")
-    rows = sorted(by_task.groupBy("lang").applyInArrow(add, "lang string, counts binary").collect())
-    langs = [r.lang for r in rows]
-    counts = np.stack([np.frombuffer(r.counts, "<i8") for r in rows], axis=1) if rows else np.zeros((buckets, 0))
-    return langs, np.log((counts + 1) / (counts.sum(axis=0) + buckets)).astype(np.float32)
+                keys, n = np.unique(np.repeat(own_code[i:j], np.diff(own)) * buckets + keyed[own[0] : own[-1]], return_counts=True)
+                held.append((keys, n))
+                size += len(keys)
+                if size > HELD:
+                    held = [told(list(code), held)]
+                    size = len(held[0][0])
+                    if 2 * size > HELD:  # very many languages: what is there goes on its way
+                        yield from rows(list(code), *held[0])
+                        held, size = [], 0
+        if held:
+            yield from rows(list(code), *told(list(code), held))
+
+    def rows(langs: list[str], keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        names = pa.array(langs, pa.string())
+        for lo in range(0, len(keys), 1 << 16):
+            k = keys[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(k // buckets)), pa.array((k % buckets).astype(np.int32)), pa.array(n[lo : lo + (1 << 16)])], names=["lang", "bucket", "n"])
+
+    by_task = df.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long")
+    found = by_task.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().combine_chunks()
+    names, counts = found.column("lang").to_numpy(zero_copy_only=False), found.column("n").to_numpy()
+    langs, code = np.unique(names.astype(str), return_inverse=True) if len(names) else (np.zeros(0, str), np.zeros(0, np.int64))
+    order = np.argsort(code, kind="stable")
+    total = np.bincount(code, counts, minlength=len(langs)) if len(langs) else np.zeros(0)
+    start = np.searchsorted(code[order], np.arange(len(langs) + 1))
+    return Model([str(x) for x in langs], total, start, found.column("bucket").to_numpy()[order].astype(np.uint16 if buckets <= 1 << 16 else np.int32), counts[order].astype(np.float32 if not len(counts) or counts.max() < 1 << 24 else np.float64), buckets)
+
+
+def scores(model: Model, texts: list[str], orders: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the place of the best language and its share of the posterior, at the tempered scale of one hundred
+    n-grams. Languages come TOGETHER at a time; the best so far and the others' weight against it are carried on."""
+    n = np.zeros(len(texts))
+    best, top, weight = np.zeros(len(texts), np.int64), np.full(len(texts), -np.inf), np.zeros(len(texts))
+    for lo in range(0, len(model.langs), TOGETHER):
+        hi = min(lo + TOGETHER, len(model.langs))
+        logs, sums = model.logs(lo, hi), np.zeros((len(texts), hi - lo))
+        for i, j, keyed, own in _grams(texts, orders, model.buckets):  # made anew for more languages, so that none are held
+            if not lo:
+                n[i:j] += np.diff(own)
+            for c in range(0, len(keyed), LOOKED_UP):
+                d = min(len(keyed), c + LOOKED_UP)
+                full = np.flatnonzero(np.minimum(own[1:], d) > np.maximum(own[:-1], c))
+                sums[i + full] += np.add.reduceat(logs[keyed[c:d]], np.maximum(own[full] - c, 0), axis=0, dtype=np.float64)
+        scale = np.minimum(n, 100) / np.maximum(n, 1)
+        here, high = sums.argmax(axis=1), sums.max(axis=1)
+        new = np.maximum(top, high)
+        with np.errstate(invalid="ignore"):
+            weight = np.where(np.isneginf(top), 0, weight * np.exp((top - new) * scale)) + np.exp((sums - new[:, None]) * scale[:, None]).sum(axis=1)
+        best, top = np.where(high > top, lo + here, best), new
+    return best, np.where(weight > 0, 1 / np.maximum(weight, 1e-300), 0.0)
 
 
 def identify(df: DataFrame, training: DataFrame, orders: tuple[int, ...] = (1, 2, 3), buckets: int = 1 << 14, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -120,29 +164,17 @@ def identify(df: DataFrame, training: DataFrame, orders: tuple[int, ...] = (1, 2
     into: other names for the two."""
     spark = df.sparkSession
     rows = training.where("text is not null and lang is not null").select(F.lower("text").alias("text"), "lang")
-    buckets = fewer(buckets, training.where("lang is not null").select("lang").distinct().count())  # reads no text
-    langs, matrix = train(rows, orders, buckets)
-    held = spark.sparkContext.broadcast(matrix)
+    model = train(rows, orders, buckets)
+    held = spark.sparkContext.broadcast(model)
     names = list(df.columns)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = held.value
-        for batch in batches:
+        own = held.value
+        for batch in sliced(batches, len(names)):
             texts = [t or "" for t in batch.column(len(names)).to_pylist()]
-            sums, n = np.zeros((len(texts), len(langs))), np.zeros(len(texts))
-            for i, j, keyed, own in _grams(texts, orders, buckets):
-                if len(langs) and len(keyed):
-                    full = np.flatnonzero(own[1:] > own[:-1])
-                    sums[i + full] += np.add.reduceat(logs[keyed], own[full], axis=0, dtype=np.float64)
-                n[i:j] += np.diff(own)
-            known = np.array([bool(len(langs)) and LETTER.search(t) is not None for t in texts], bool)
-            if len(langs):
-                z = (sums - sums.max(axis=1, keepdims=True)) * (np.minimum(n, 100) / np.maximum(n, 1))[:, None]
-                p = np.exp(z)
-                best, top = sums.argmax(axis=1), (p / p.sum(axis=1, keepdims=True)).max(axis=1)
-            else:
-                best, top = np.zeros(len(texts), int), np.zeros(len(texts))
-            pred = [langs[b] if k else "und" for b, k in zip(best, known, strict=True)]
+            best, top = scores(own, texts, orders)
+            known = np.array([bool(own.langs) and LETTER.search(t) is not None for t in texts], bool)
+            pred = [own.langs[b] if k else "und" for b, k in zip(best, known, strict=True)]
             out = [*batch.columns[: len(names)], pa.array(pred, pa.string()), pa.array(np.where(known, top, 0.0))]
             yield pa.RecordBatch.from_arrays(out, names=[*map(str, range(len(names))), "lang_pred", "score"])
 

@@ -498,9 +498,31 @@ def test_language_id_against_a_plain_model(spark):
         share = 1 / sum(math.exp((v - z[best]) * scale) for v in z.values())
         assert got[d][0] == best and abs(got[d][1] - share) < 1e-3, d
     assert got[13][0] == "aa" and got[14] == got[15] == ("und", 0.0) and got[17][0] == "en"
-    assert language_id.fewer(1 << 14, 100_000) == 128
-    with pytest.raises(ValueError):
-        language_id.fewer(1 << 14, 1 << 20)
+
+
+def test_many_languages_change_nothing(spark, monkeypatch):
+    """Thousands of rare values of the language column, in blocks: the same as all at once, and memory stays small."""
+    import tracemalloc
+
+    rng = random.Random(4)
+    rows = [(f"x{k:05d}", "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(30))) for k in range(10_000)]
+    rows += [("en", "the dog and the cat " * 20), ("de", "der hund und die katze " * 20)] * 5
+    training = spark.createDataFrame(rows, "lang string, text string")
+    model = language_id.train(training)
+    assert len(model.langs) == 10_002 and model.total.sum() == sum(max(0, len(t) - k) for _, t in rows for k in range(3))
+    texts = ["the cat", "die katze", rows[17][1], "q", "", "zz " * 30_000]
+    tracemalloc.start()
+    best, top = language_id.scores(model, texts, (1, 2, 3))
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert [model.langs[b] for b in best[:3]] == ["en", "de", "x00017"]
+    monkeypatch.setattr(language_id, "TOGETHER", 1 << 14)
+    monkeypatch.setattr(language_id, "LOOKED_UP", 37)
+    again, there = language_id.scores(model, texts[:5], (1, 2, 3))
+    assert again.tolist() == best[:5].tolist() and np.allclose(there, top[:5])
+    monkeypatch.setattr(language_id, "HELD", 100)  # counts are passed on in pieces
+    few = language_id.train(training)
+    assert few.langs == model.langs and few.total.tolist() == model.total.tolist() and np.array_equal(few.logs(5, 9), model.logs(5, 9))
 
 
 def test_long_texts_lose_no_window(monkeypatch):
