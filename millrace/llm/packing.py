@@ -1,11 +1,15 @@
 """Packing along a space-filling curve.
 
 A document's vector of hashed byte 4-grams is projected to a few dimensions, the point's Hilbert key ranks it, and
-documents are dealt to ranges of the curve and sorted by that key (ties by a hash of the text, then doc_id). Ranges are
-even in bytes: the bytes of each of 2^CELL_BITS cells of the curve are summed up first, the driver cuts their sequence
-into ranges, and a cell that is more than a range (a large group of copies, say) is dealt to several by a hash of text
-and id. Each range is packed by itself: its documents' ids follow one another along the curve, sequences of 1024 are cut
-from them, and what is left at the end of a range makes sequences of powers of two, which need no padding.
+documents are dealt to ranges of the curve and sorted by that key (ties by a hash of the text, then doc_id). A point's
+coordinates are ranks among a sample of SAMPLE documents (of least hashes), so that points fill the cube.
+
+Ranges are even in bytes: the bytes of each of 2^CELL_BITS cells of the curve are summed up first, and those of a cell of
+more than a range's share again by STEP_BITS more of the key, until no cell is too large or the key ends. The driver cuts
+the sequence of cells into ranges. So every range is an interval of the curve, however many there are; only documents of
+one key that are more than a range (a large group of copies) are dealt to several by a hash of text and id. Each range is
+packed by itself: its documents' ids follow one another along the curve, sequences of 1024 are cut from them, and what is
+left at the end of a range makes sequences of powers of two, which need no padding.
 
 Defined cases: null or empty text is its end id alone; a very long text spans sequences and is tokenised whole, by one
 task; repeated rows and rows with a null doc_id are packed each; an empty table gives no rows; extra columns are left
@@ -24,13 +28,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import documents, partitions, utf8
+from millrace.llm.common import documents, keep, partitions, utf8
 
 #: Texts whose characters are all below this are tokenised by the faster library, which has the same vocabulary and
 #: gives the same ids there (tests compare the two over every such character); all others by `tokenizers`.
 PLAIN = 0x250
-#: Dimensions and bits of a point, and bits of the cells whose bytes are summed up.
-DIMENSIONS, POINT_BITS, CELL_BITS = 4, 12, 14
+#: Dimensions and bits of a point, bits of the cells whose bytes are summed up first, and by how many a large one is cut.
+DIMENSIONS, POINT_BITS, CELL_BITS, STEP_BITS = 4, 12, 14, 6
+KEY_BITS = DIMENSIONS * POINT_BITS
+#: Documents whose coordinates scale the cube, and steps of that scale.
+SAMPLE, STEPS = 4096, 512
 #: Bytes that a document counts for beside its text.
 ROW = 64
 
@@ -87,12 +94,12 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(column: pa.Array, dims: int = DIMENSIONS, bits: int = POINT_BITS, buckets: int = 256) -> np.ndarray:
-    """The Hilbert key of each text: 4-gram counts in hashed buckets, made unit vectors, projected by a fixed random
-    matrix of signs, and cut into 2 ** bits steps per dimension."""
+def spread(column: pa.Array, dims: int = DIMENSIONS, buckets: int = 256) -> np.ndarray:
+    """The point (float32) of each text: 4-gram counts in hashed buckets, made unit vectors, projected by a fixed random
+    matrix of signs."""
     data, at = utf8(column)
     signs = np.random.default_rng(7).choice([-1.0, 1.0], (buckets, dims))
-    points = np.zeros((len(at) - 1, dims), np.uint64)
+    points = np.zeros((len(at) - 1, dims), np.float32)
     for i in range(len(at) - 1):
         raw = data[at[i] : at[i + 1]]
         counts = np.zeros(buckets)
@@ -102,9 +109,39 @@ def curve_keys(column: pa.Array, dims: int = DIMENSIONS, bits: int = POINT_BITS,
                 h = (x[:-3] | x[1:-2] << 8 | x[2:-1] << 16 | x[3:] << 24) * np.uint32(0x9E3779B1)
                 counts += np.bincount(h >> np.uint32(24), minlength=256)[:buckets]
         norm = np.sqrt(counts @ counts) or 1.0
-        spread = (counts @ signs) / norm
-        points[i] = np.clip((spread / 8 + 0.5) * (1 << bits), 0, (1 << bits) - 1).astype(np.uint64)
-    return hilbert(points, bits)
+        points[i] = (counts @ signs) / norm
+    return points
+
+
+def scale_of(sample: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """Quantiles (steps x dims) of a sample of points."""
+    return np.quantile(sample, np.linspace(0, 1, steps), axis=0) if len(sample) else np.zeros((steps, DIMENSIONS))
+
+
+def curve_keys(points: np.ndarray, scale: np.ndarray, bits: int = POINT_BITS) -> np.ndarray:
+    """The Hilbert key of each point, its coordinates being ranks on the scale in 2 ** bits steps."""
+    rank = np.linspace(0, 1, len(scale))
+    place = np.stack([np.interp(points[:, d], scale[:, d], rank) for d in range(points.shape[1])], axis=1)
+    return hilbert(np.clip(place * (1 << bits), 0, (1 << bits) - 1).astype(np.uint64), bits).astype(np.int64)
+
+
+def cells_of(keys: DataFrame, ranges: int) -> dict[int, int]:
+    """The bytes of each cell of the curve by the cell's first key, of keys (curve_key, size). Cells of more than a
+    range's share are cut again and again: there are at most `ranges` of them at a time, and 2 ** STEP_BITS cells of each."""
+    told = lambda rows, bits: {r["cell"] << (KEY_BITS - bits): r["size"] for r in rows.groupBy(F.shiftright("curve_key", KEY_BITS - bits).alias("cell")).agg(F.sum("size").alias("size")).collect()}
+    bits, cells = CELL_BITS, told(keys, CELL_BITS)
+    share = -(-sum(cells.values()) // max(1, ranges))
+    large = [k for k, size in cells.items() if size > share]
+    while large and bits < KEY_BITS:
+        inside = keys.sparkSession.createDataFrame([(k >> (KEY_BITS - bits),) for k in large], "at_cell long")
+        rows = keys.join(F.broadcast(inside), F.shiftright("curve_key", KEY_BITS - bits) == F.col("at_cell"))  # at most `ranges` rows
+        bits = min(KEY_BITS, bits + STEP_BITS)
+        parts = told(rows, bits)
+        for k in large:
+            del cells[k]
+        cells |= parts
+        large = [k for k, size in parts.items() if size > share]
+    return cells
 
 
 def cut_ranges(sizes: dict[int, int], ranges: int) -> list[tuple[int, int, int]]:
@@ -126,9 +163,23 @@ def pack(docs: DataFrame, length: int = 1024, end: int = 0, ranges: int | None =
     curve_key. length: a power of two."""
     spark = docs.sparkSession
 
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = spread(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("mixed"), batch.column("size"), *(pa.array(points[:, d]) for d in range(DIMENSIONS))], names=["mixed", "size", *axes])
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = np.stack([batch.column(a).to_numpy() for a in axes], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(curve_keys(points, scale)), batch.column("size")], names=["curve_key", "size"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, first, n = places.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(curve_keys(batch.column("text")).astype(np.int64))], names=["doc_id", "text", "curve_key"])
+            keys = curve_keys(spread(batch.column("text")), scale)
+            at = np.maximum(np.searchsorted(starts, keys, "right") - 1, 0)
+            turn = batch.column("mixed").to_numpy().view(np.uint64) % n[at].astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(keys), batch.column("mixed"), pa.array(first[at] + turn.astype(np.int64), pa.int32())], names=["doc_id", "text", "curve_key", "mixed", "range"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = Ids()
@@ -165,15 +216,18 @@ def pack(docs: DataFrame, length: int = 1024, end: int = 0, ranges: int | None =
             tail, used, sequence = rest, used - size, sequence + 1
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * len(names))], schema=schema)
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(key, "doc_id long, text string, curve_key long")
-    cell = F.shiftright("curve_key", DIMENSIONS * POINT_BITS - CELL_BITS).cast("int")
+    axes = [f"p{d}" for d in range(DIMENSIONS)]
     bytes_ = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW
-    sizes = {r["cell"]: r["size"] for r in keyed.groupBy(cell.alias("cell")).agg(F.sum(bytes_).alias("size")).collect()}  # at most 2^CELL_BITS rows
-    table = cut_ranges(sizes, ranges or partitions(spark))
-    places = spark.createDataFrame(table, "at_cell int, first int, n int")
-    met = keyed.withColumn("cell", cell).join(F.broadcast(places), F.col("cell") == F.col("at_cell"))
-    dealt = met.withColumn("range", F.col("first") + F.pmod(F.xxhash64("text", "doc_id"), F.col("n")).cast("int"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text", "doc_id").alias("mixed"), bytes_.alias("size"))
+    points = keep(rows.select("text", "mixed", "size").mapInArrow(measure, "mixed long, size long, " + ", ".join(f"{a} float" for a in axes)), "points")
+    sample = points.orderBy("mixed", *axes).limit(SAMPLE).select(*axes).collect()
+    scale = scale_of(np.array([tuple(r) for r in sample], np.float32).reshape(-1, DIMENSIONS))
+    ranges = ranges or partitions(spark)
+    table = cut_ranges(cells_of(points.mapInArrow(rank, "curve_key long, size long"), ranges), ranges)
     count = max((first + n for _, first, n in table), default=1)
+    runs = [t for i, t in enumerate(table) if not i or t[1:] != table[i - 1][1:]] or [(0, 0, 1)]  # cells of one range are one interval
+    places = spark.sparkContext.broadcast(tuple(np.array(x, np.int64) for x in zip(*runs, strict=True)))
+    dealt = rows.select("doc_id", "text", "mixed").mapInArrow(deal, "doc_id long, text string, curve_key long, mixed long, range int")
     sorted_ = dealt.repartitionById(count, "range").sortWithinPartitions("curve_key", F.xxhash64("text"), "doc_id").select("doc_id", "text", "curve_key")
     return sorted_.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve_key long")
 

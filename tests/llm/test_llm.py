@@ -567,6 +567,41 @@ def test_ranges_are_even_in_bytes():
     assert [c for c, _, _ in table] == sorted(sizes) and packing.cut_ranges({}, 8) == []
 
 
+def test_ranges_are_intervals_of_the_curve(spark, sf_dir):
+    """However many ranges there are, and with a third of the rows copies of one text: no range has keys within another's,
+    but for copies; copies go to several; loads are even; near documents are neighbours."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    copies = spark.range(500).select((F.col("id") + 100_000).alias("doc_id"), F.lit("the same text again and again " * 40).alias("text"))
+    rows = docs.union(copies)
+    size = {r.doc_id: len((r.text or "").encode()) + packing.ROW for r in rows.collect()}
+    for ranges in (7, 300):
+        place = {r.doc_id: (r.sequence_id >> 40, r.curve_key) for r in packing.pack(rows, ranges=ranges).collect()}
+        span, load = {}, Counter()
+        for d, (at, key) in place.items():
+            lo, hi = span.get(at, (key, key))
+            span[at] = min(lo, key), max(hi, key)
+            load[at] += size[d]
+        order = sorted(span.values())
+        assert all(a[1] <= b[0] for a, b in zip(order, order[1:], strict=False))
+        share = -(-sum(size.values()) // ranges)
+        assert max(load.values()) <= 2 * share + max(size.values())
+        assert len({at for d, (at, _) in place.items() if d >= 100_000}) >= 0.2 * ranges
+    keys = {key >> (packing.KEY_BITS - packing.CELL_BITS) for d, (_, key) in place.items() if d < 100_000}
+    assert len(keys) > 300  # of at most 1,000 documents, copies among them
+
+
+def test_large_cells_are_cut_by_the_rest_of_the_key(spark):
+    rng = random.Random(5)
+    keys = [(rng.randrange(1 << packing.KEY_BITS), 10) for _ in range(300)] + [((7 << 40) + rng.randrange(1 << 12), 10) for _ in range(600)] + [(5 << 30, 10)] * 200
+    cells = packing.cells_of(spark.createDataFrame(keys, "curve_key long, size long"), 50)
+    assert sum(cells.values()) == 11_000 and max(v for k, v in cells.items() if k != 5 << 30) <= 220 and cells[5 << 30] == 2000
+    starts = sorted(cells)
+    by = Counter()
+    for k, n in keys:
+        by[max(s for s in starts if s <= k)] += n
+    assert by == cells
+
+
 def test_pipeline_against_plain_stages(spark, tmp_path):
     """Each stage's own input through a plain form of it."""
     import corpus_pipeline
