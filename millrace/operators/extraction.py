@@ -43,11 +43,11 @@ def flatten(docs: DataFrame, column: str) -> DataFrame:
     return docs.where(x.isNotNull()).select("id", F.inline(F.concat(top, lines)))
 
 
-def flatten_json(docs: DataFrame, column: str) -> DataFrame:
-    """docs (id, column: JSON text) to one row per field that is there: id, path, leaf, s (text), n (number; truth values
-    as 0 and 1) or j (JSON of anything else). A key that is missing has no row, one that is null has a row of nulls. Line
-    items that aren't objects are left out and keep their numbers. Amounts and quantities given as text have n where they
-    read as a number as they stand. What isn't an object has no rows."""
+def json_fields(text: Column) -> Column:
+    """The fields of an invoice as JSON text, as an array with an entry for each that is there: path, leaf, s (text), n
+    (number; truth values as 0 and 1) or j (JSON of anything else). A key that is missing has no entry, one that is null has
+    one of nulls. Line items that aren't objects are left out and keep their numbers. Amounts and quantities given as text
+    have n where they read as a number as they stand. What isn't an object is null."""
 
     def field(path: Column, leaf: str, m: Column) -> Column:
         def of_value(v: Column) -> Column:
@@ -69,7 +69,12 @@ def flatten_json(docs: DataFrame, column: str) -> DataFrame:
         lines = F.transform(items, lambda x, i: let(_object(x), lambda own: F.array(*[field(_line_path(i, c), c, own) for c in LINE_FIELDS])))
         return F.array_compact(F.concat(top, F.coalesce(F.flatten(lines), F.slice(top, 1, 0))))
 
-    return docs.select("id", F.inline(let(_object(parsed(F.col(column))), of_object)))
+    return let(_object(parsed(text)), of_object)
+
+
+def flatten_json(docs: DataFrame, column: str) -> DataFrame:
+    """docs (id, column: JSON text) to one row per field that is there: id and what json_fields() tells."""
+    return docs.select("id", F.inline(json_fields(F.col(column))))
 
 
 def compare(pred: DataFrame, gold: DataFrame, tolerance: float = 0.01) -> DataFrame:
@@ -82,6 +87,30 @@ def compare(pred: DataFrame, gold: DataFrame, tolerance: float = 0.01) -> DataFr
     return _matched(met.drop("pleaf", "gleaf"), tolerance, nested)
 
 
+def records(docs: DataFrame, column: str) -> DataFrame:
+    """id, fields: one row a document (JSON text in column) that is an object, with all its fields."""
+    return docs.select("id", json_fields(F.col(column)).alias("fields")).where("fields is not null")
+
+
+def compare_records(pred: DataFrame, gold: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """The rows of compare() for records() of two tables (one row an id each): documents are shuffled and meet, one row a
+    document and side, and their fields meet within the row. Tables bucketed by id on both sides meet without a shuffle."""
+    met = pred.select("id", F.col("fields").alias("p")).join(gold.select("id", F.col("fields").alias("g")), "id", "full_outer")
+    by_path = lambda x: F.map_from_entries(F.transform(F.coalesce(x, F.array()), lambda y: F.struct(y["path"], y)))
+    paths = lambda x: F.coalesce(F.transform(x, lambda y: y["path"]), F.expr("cast(array() as array<string>)"))
+
+    def merged(both: Column) -> Column:
+        def field(path: Column) -> Column:
+            a, b = F.try_element_at(both["p"], path), F.try_element_at(both["g"], path)
+            side = lambda x, c: [x[v].alias(f"{c}{v}") for v in ("s", "n", "j")]
+            return F.struct(path.alias("path"), F.coalesce(a["leaf"], b["leaf"]).alias("leaf"), *side(a, "p"), a.isNotNull().alias("has_pred"), *side(b, "g"), b.isNotNull().alias("has_gold"))
+
+        return F.transform(both["paths"], field)
+
+    both = F.struct(by_path(F.col("p")).alias("p"), by_path(F.col("g")).alias("g"), F.array_union(paths(F.col("p")), paths(F.col("g"))).alias("paths"))
+    return _matched(met.select("id", F.inline(let(both, merged))), tolerance, True)
+
+
 def compare_pairs(docs: DataFrame, pred: str = "pred", gold: str = "gold", keep: tuple[str, ...] = (), tolerance: float = 0.01) -> DataFrame:
     """The rows of compare() for docs (id, pred and gold: invoice structs, and columns to keep). Fields of both sides
     meet within the row, top fields by name and lines by position, so nothing is shuffled or computed twice."""

@@ -165,7 +165,7 @@ def raw_scores(spark, sf_dir):
     """Raw replies against the invoices, as tables apart: what is missing differs from what is null."""
     rows = keep(_raw(spark, sf_dir), "raw")
     told = rows.select("id", F.to_json("gold", {"ignoreNullFields": "false"}).alias("whole"))
-    fields = extraction.compare(extraction.flatten_json(rows, "raw"), extraction.flatten_json(told, "whole"))
+    fields = extraction.compare_records(extraction.records(rows, "raw"), extraction.records(told, "whole"))
     return extraction.field_scores(rows.select("id", (F.col("id") % 17 == 8).alias("pred_null")), fields).select("id", "tp", "fp", "fn")
 
 
@@ -189,7 +189,7 @@ def raw_categories(spark, sf_dir):
     """The error taxonomy over raw JSON on both sides: nested values, amounts that are no numbers, fields that are missing."""
     k = F.col("id")
     rows = keep(_raw(spark, sf_dir).select("id", _odd(F.col("raw"), k, 0).alias("raw"), _odd(F.to_json("gold", {"ignoreNullFields": "false"}), k, 1).alias("whole")), "raw")
-    fields = extraction.compare(extraction.flatten_json(rows, "raw"), extraction.flatten_json(rows, "whole"))
+    fields = extraction.compare_records(extraction.records(rows, "raw"), extraction.records(rows, "whole"))
     return extraction.categorise(fields).where("category is not null").select("id", "path", "category")
 
 

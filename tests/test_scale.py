@@ -299,6 +299,25 @@ def test_raw_values_match_as_numbers_or_not_at_all(spark):
     assert {(r.path, r.category) for r in extraction.categorise(_flat(spark, lines)).collect()} == {("line_items[0].qty", "wrong_qty"), ("line_items[0].total", "wrong_money")}
 
 
+def test_records_meet_like_their_fields(spark):
+    """Fields that meet within a row are those that meet by a join, and one row a document and side is shuffled."""
+    rng = random.Random(7)
+
+    def invoice():
+        some = {"vendor": rng.choice(["V", {"a": 1}, None]), "tax": rng.choice([1, "1.0", "x"]), "total": 1, "line_items": [rng.choice([4, {"qty": rng.choice([1, "two", None])}, {"total": 2.004}]) for _ in range(rng.randrange(4))]}
+        return json.dumps({k: v for k, v in some.items() if rng.random() < 0.8})
+
+    rows = spark.createDataFrame([(i, invoice() if i % 7 else "[1]", invoice() if i % 5 else None) for i in range(120)], "id long, p string, g string")
+    pred, gold = rows.where("id % 11 <> 3"), rows.where("id % 13 <> 4")
+    by_field = extraction.compare(extraction.flatten_json(pred, "p"), extraction.flatten_json(gold, "g"))
+    by_row = extraction.compare_records(extraction.records(pred, "p"), extraction.records(gold, "g"))
+    columns = sorted(by_field.columns)
+    assert sorted(by_row.columns) == columns
+    assert Counter(map(repr, by_row.select(columns).collect())) == Counter(map(repr, by_field.select(columns).collect()))
+    plan = by_row._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")  # fields come apart above the join
+
+
 def test_silver_fields(spark):
     invoice = {"vendor": "V", "date": "2024-01-02", "currency": "USD", "line_items": [{"description": "d", "qty": 1.0, "unit_price": 2.0, "total": 2.0}], "subtotal": 2.0, "tax": 0.0, "grand_total": 2.0, "payment_terms": None}
     kind = gate.validate(F.lit("{}"))["invoice"]
