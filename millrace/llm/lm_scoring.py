@@ -15,7 +15,7 @@ words, whatever the data) are broadcast with their counts; the others' occurrenc
 that no part holds a frequent word's occurrences.
 
 Defined cases: null text is empty: one token, the end; with no training text all counts are 0; equal rows get equal
-scores; a null doc_id is held out by the rule for the empty text; very long texts are hashed in pieces, and each is scored
+scores; a null doc_id is the empty text to the rule, so such rows are trained on; very long texts are hashed in pieces, and each is scored
 in one array of its tokens; an empty table gives no rows; extra columns are left alone, whatever their names.
 """
 
