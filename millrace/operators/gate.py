@@ -27,6 +27,8 @@ OPTIONAL = ("payment_terms",)
 # What a block of a reply stands between, and the name it may have.
 FENCE, NAMED = "```", "json"
 
+#: What follows a text that is read as JSON, to tell where it ends.
+MARK = "end of text \u241f"
 _NUMBERS = ("BIGINT", "DOUBLE", "FLOAT", "DECIMAL", "INT", "SMALLINT", "TINYINT")
 
 
@@ -50,9 +52,13 @@ def _embedded(texts: pd.Series) -> pd.Series:
 
 def parsed(text: Column) -> Column:
     """The text's value as VARIANT, null where it is not JSON as it stands. The built-in parser ignores what comes after
-    a value; only a text of exactly one value can be read both within an array and within an object."""
+    a value, so a text is read once as the first of two array elements: the second has to be the mark that follows it. Only
+    a text that holds the mark itself is read twice, within an array and within an object, which just one value allows."""
+    marked = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{MARK}"]')))
+    once = let(marked, lambda v: F.when(F.try_variant_get(v, "$[1]", "string") == MARK, F.try_variant_get(v, "$[0]", "variant")))
     within = F.struct(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).alias("a"), F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).alias("o"))
-    return let(within, lambda x: F.when(x["o"].isNotNull(), F.try_variant_get(x["a"], "$[0]", "variant")))
+    twice = let(within, lambda x: F.when(x["o"].isNotNull(), F.try_variant_get(x["a"], "$[0]", "variant")))
+    return F.when(F.contains(text, F.lit(MARK)), twice).otherwise(once)
 
 
 def is_json(text: Column) -> Column:

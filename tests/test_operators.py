@@ -228,3 +228,15 @@ def test_repeated_second_passes_do_not_multiply_records(spark):
     assert got == {1: (0.0, False, "consistency: 0.000"), 2: (None, True, None)}
     old = extraction.consistency(spark.createDataFrame([(1, 0.5)], "id long, agreement double"), spark.createDataFrame([(1, False), (1, True)], "id long, null_second boolean"))
     assert [tuple(r) for r in old.collect()] == [(1, 0.5, False, "consistency: 0.500")]
+
+
+def test_cost_parameters_out_of_range(spark):
+    good = {"capex": 1100.0, "years": 3.0, "utilisation": 1.0, "watts": 360.0, "per_kwh": 0.15}
+    assert cost.amortised_hourly(**good) == pytest.approx(1100 / (3 * 365 * 24) + 0.36 * 0.15)
+    for name, value in (("capex", -1.0), ("watts", -1.0), ("per_kwh", -0.1), ("years", 0.0), ("years", -3.0), ("utilisation", 0.0), ("utilisation", 1.1)):
+        with pytest.raises(ValueError, match="out of range"):
+            cost.amortised_hourly(**good | {name: value})
+    assert spark.range(1).select(cost.api_cost(F.lit(900), F.lit(350), F.lit(3.0), F.lit(15.0)).alias("c")).first().c == pytest.approx(0.00795)
+    for args in ((-1, 1, 1.0, 1.0), (1, -1, 1.0, 1.0), (1, 1, -1.0, 1.0), (1, 1, 1.0, -1.0)):
+        with pytest.raises(Exception, match="negative"):
+            spark.range(1).select(cost.api_cost(*map(F.lit, args))).collect()
