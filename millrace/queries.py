@@ -511,11 +511,13 @@ def latency_report(spark, sf_dir):
     return told.select("model", F.round("p50", PLACES).alias("p50"), F.round("p95", PLACES).alias("p95"), F.round("per_second", 6).alias("per_second"))
 
 
-@query("""SELECT volume, round(volume * (900 / 1e6 * 3 + 350 / 1e6 * 15), 9) AS api_usd, round(24 * (1100.0 / (3 * 365 * 24) * 1.0) + volume * (0.36 * 0.15 / (4 * 3600.0)), 9) AS own_usd FROM (SELECT unnest(generate_series(0, 610, 10)) AS volume) WHERE volume < 610""")
+@query("""WITH d AS (SELECT greatest(max(n), 10) AS top FROM (SELECT count(*) AS n FROM events GROUP BY CAST(ts AS DATE))), v AS (SELECT unnest(generate_series(0, top + greatest(top // 60, 1) - 1, greatest(top // 60, 1))) AS volume FROM d)
+  SELECT volume, round(volume * (900 / 1e6 * 3 + 350 / 1e6 * 15), 9) AS api_usd, round(24 * (1100.0 / (3 * 365 * 24) * 1.0) + volume * (0.36 * 0.15 / (4 * 3600.0)), 9) AS own_usd FROM v""")
 def cost_curves(spark, sf_dir):
-    """Daily cost by volume: API against amortised hardware plus energy."""
+    """Daily cost by volume, up to the busiest day's: API against amortised hardware plus energy."""
+    top = table(spark, sf_dir, "events").groupBy(F.to_date("ts")).count().agg(F.max("count")).first()[0]  # one number
     api = cost.api_cost(F.lit(900), F.lit(350), F.lit(3.0), F.lit(15.0))
-    out = cost.daily_curves(spark, cost.volume_axis(600), api, 1100, 3, 1.0, reports.Machine().energy(F.lit(4.0)))
+    out = cost.daily_curves(spark, cost.volume_axis(top or 0), api, 1100, 3, 1.0, reports.Machine().energy(F.lit(4.0)))
     return out.select("volume", *_r("api_usd", "own_usd"))
 
 
@@ -718,11 +720,16 @@ def canonical_form(spark, sf_dir):
     return rows.select("id", F.array_join(F.json_object_keys("j"), ",").alias("keys"), value("$.vendor", "string").alias("vendor"), F.round(value("$.grand_total", "double"), 2).alias("grand_total"), F.json_array_length(F.get_json_object("j", "$.line_items")).cast("long").alias("lines"))
 
 
-@query("""SELECT * FROM (VALUES ('vendor', true, 'string'), ('date', true, 'string'), ('currency', true, 'string'), ('line_items', true, 'array'), ('subtotal', true, 'number'), ('tax', true, 'number'), ('grand_total', true, 'number'), ('payment_terms', false, 'string,null')) t(field, required, kind)""")
+@query(SQL + """, c AS (SELECT path, count(*) FILTER (s IS NOT NULL OR n IS NOT NULL) AS filled FROM gold_f GROUP BY 1 UNION ALL SELECT 'line_items', count(*) FROM h)
+  SELECT t.*, filled FROM (VALUES ('vendor', true, 'string'), ('date', true, 'string'), ('currency', true, 'string'), ('line_items', true, 'array'), ('subtotal', true, 'number'), ('tax', true, 'number'), ('grand_total', true, 'number'), ('payment_terms', false, 'string,null')) t(field, required, kind) JOIN c ON c.path = t.field""")
 def contract_schema(spark, sf_dir):
+    """The contract's fields, and in how many invoices each has a value."""
     schema = gate.json_schema()
     kind = lambda x: x if isinstance(x, str) else ",".join(x)
-    return spark.createDataFrame([(n, n in schema["required"], kind(p["type"])) for n, p in schema["properties"].items()], "field string, required boolean, kind string")
+    fields = spark.createDataFrame([(n, n in schema["required"], kind(p["type"])) for n, p in schema["properties"].items()], "field string, required boolean, kind string")
+    one = gold(spark, sf_dir).agg(*[F.count(F.col("gold")[n]).alias(n) for n in schema["properties"]])
+    filled = one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("filled")) for n in schema["properties"]])))
+    return fields.join(filled, "field")
 
 
 @query("SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END AS balance FROM customer")
@@ -834,17 +841,18 @@ def report_file(spark, sf_dir):
     return spark.read.schema(report.schema).json(path)
 
 
-@query("SELECT 0.9 AS threshold, 'auto' AS method, true AS below")
+@query("SELECT lang, count(*) AS n, 'auto' AS method, true AS below FROM documents WHERE length(text) >= 1500 GROUP BY 1")
 def settings_file(spark, sf_dir):
-    """Settings of a file, changed in depth, and a path that is taken from the project's folder."""
+    """Settings of a file, changed in depth, applied to the documents; and a path taken from the project's folder."""
     with tempfile.TemporaryDirectory() as top:
         at = Path(top).resolve()
         (at / "pyproject.toml").touch()
         (at / "a").mkdir()
-        (at / "a" / "s.json").write_text('{"dedup": {"method": "jaccard", "threshold": 0.9}, "paths": {"out": "b/c"}}')
-        found = files.read_settings(at / "a" / "s.json", {"dedup": {"method": "auto"}})
+        (at / "a" / "s.json").write_text('{"dedup": {"method": "jaccard"}, "filter": {"least": 1500, "most": 9}, "paths": {"out": "b/c"}}')
+        found = files.read_settings(at / "a" / "s.json", {"dedup": {"method": "auto"}, "filter": {"most": 10}})
         below = files.resolve_path(found, "out") == at / "b" / "c"
-    return spark.createDataFrame([(found["dedup"]["threshold"], found["dedup"]["method"], below)], "threshold double, method string, below boolean")
+    long = table(spark, sf_dir, "documents").where(F.length("text") >= found["filter"]["least"])
+    return long.groupBy("lang").agg(F.count("*").alias("n"), F.lit(found["dedup"]["method"]).alias("method"), F.lit(below).alias("below"))
 
 
 @query("""SELECT doc_id AS id, p.pass, p.salt FROM documents, (VALUES (1, ''), (2, 'consistency')) p(pass, salt)""")
