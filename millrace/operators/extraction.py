@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.normalise import comparable, let, strip
-from millrace.operators.gate import LINE_FIELDS, _kind, _object, parsed
+from millrace.operators.gate import _NUMBERS, LINE_FIELDS, _kind, _object, parsed, plain
 
 MONEY = ("unit_price", "total", "subtotal", "tax", "grand_total")
 _TEXT, _NUMBER = ("vendor", "date", "currency", "payment_terms"), ("subtotal", "tax", "grand_total")
@@ -43,38 +43,57 @@ def flatten(docs: DataFrame, column: str) -> DataFrame:
     return docs.where(x.isNotNull()).select("id", F.inline(F.concat(top, lines)))
 
 
-def json_fields(text: Column) -> Column:
-    """The fields of an invoice as JSON text, as an array with an entry for each that is there: path, leaf, s (text), n
-    (number; truth values as 0 and 1) or j (JSON of anything else). A key that is missing has no entry, one that is null has
-    one of nulls. Line items that aren't objects are left out and keep their numbers. Amounts and quantities given as text
-    have n where they read as a number as they stand. What isn't an object is null."""
+def _slots(text: Column) -> Column:
+    """json_fields() in their places: an entry for each top field, and for each field of every line; null where there is
+    none. What isn't an object is null. A plain() text is read by its schema, any other by its values."""
+    entry = lambda path, leaf, text, number, nested: F.struct(path.alias("path"), F.lit(leaf).alias("leaf"), text.alias("s"), number.alias("n"), nested.alias("j"))
+    none = F.lit(None)
+
+    def placed(top: list[Column], lines: Column) -> Column:
+        return let(F.array(*top), lambda first: F.concat(first, F.coalesce(F.flatten(lines), F.slice(first, 1, 0))))
+
+    def typed(x: Column) -> Column:
+        def field(path: Column, leaf: str, v: Column) -> Column:
+            s, n = _cell(v, leaf)
+            there = v.isNotNull() & (v[leaf].isNotNull() | x["whole"])
+            return F.when(there, entry(path, leaf, s, n + F.lit(0.0), none.cast("string")))  # no negative zero
+
+        lines = F.transform(x["v"]["line_items"], lambda y, i: F.array(*[field(_line_path(i, c), c, y) for c in LINE_FIELDS]))
+        return placed([field(F.lit(c), c, x["v"]) for c in _HEADS], lines)
 
     def field(path: Column, leaf: str, m: Column) -> Column:
-        def of_value(v: Column) -> Column:
-            kind = _kind(v)
+        def of_value(x: Column) -> Column:
+            v, kind = x["v"], x["kind"]
             text = F.when(kind == "STRING", F.try_variant_get(v, "$", "string"))
             truth = F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double"))
-            nested = kind.isin("OBJECT", "ARRAY")
-            number = F.when(~nested & (kind != "STRING"), F.coalesce(truth, F.try_variant_get(v, "$", "double")))
+            number = F.when(kind.isin(*_NUMBERS), F.try_variant_get(v, "$", "double")).otherwise(truth)
+            nested = F.when(kind.isin("OBJECT", "ARRAY"), F.to_json(v))
             if leaf in (*MONEY, "qty"):
-                number = F.coalesce(number, float_in(text))
-                text = F.when(number.isNull(), text)
-            return F.struct(path.alias("path"), F.lit(leaf).alias("leaf"), text.alias("s"), number.alias("n"), F.when(nested, F.to_json(v)).alias("j"))
+                return let(F.coalesce(number, float_in(text)), lambda n: entry(path, leaf, F.when(n.isNull(), text), n, nested))
+            return entry(path, leaf, text, number, nested)
 
-        return F.when(F.map_contains_key(m, leaf), let(F.try_element_at(m, F.lit(leaf)), of_value))
+        told = let(F.try_element_at(m, F.lit(leaf)), lambda v: F.struct(v.alias("v"), _kind(v).alias("kind")))
+        return F.when(F.map_contains_key(m, leaf), let(told, of_value))
 
     def of_object(m: Column) -> Column:
-        top = F.array(*[field(F.lit(c), c, m) for c in _HEADS])
         items = F.try_variant_get(F.try_element_at(m, F.lit("line_items")), "$", "array<variant>")
         lines = F.transform(items, lambda x, i: let(_object(x), lambda own: F.array(*[field(_line_path(i, c), c, own) for c in LINE_FIELDS])))
-        return F.array_compact(F.concat(top, F.coalesce(F.flatten(lines), F.slice(top, 1, 0))))
+        return F.when(m.isNotNull(), placed([field(F.lit(c), c, m) for c in _HEADS], lines))
 
-    return let(_object(parsed(text)), of_object)
+    return let(plain(text), lambda x: F.when(x.isNotNull(), typed(x)).otherwise(let(_object(parsed(text)), of_object)))
+
+
+def json_fields(text: Column) -> Column:
+    """The fields of an invoice as JSON text, as an array with an entry for each that is there: path, leaf, s (text), n
+    (number; truth values as 0 and 1) or j (JSON of anything else). A key that is missing has no entry, one that is null has
+    one of nulls. Line items that aren't objects are left out and keep their numbers. Amounts and quantities given as text
+    have n where they read as a number as they stand. What isn't an object is null."""
+    return F.array_compact(_slots(text))
 
 
 def flatten_json(docs: DataFrame, column: str) -> DataFrame:
     """docs (id, column: JSON text) to one row per field that is there: id and what json_fields() tells."""
-    return docs.select("id", F.inline(json_fields(F.col(column))))
+    return docs.select("id", F.inline_outer(_slots(F.col(column)))).where("path is not null")  # outer: the plan adds no filter that computes all of it again
 
 
 def compare(pred: DataFrame, gold: DataFrame, tolerance: float = 0.01) -> DataFrame:
@@ -88,27 +107,24 @@ def compare(pred: DataFrame, gold: DataFrame, tolerance: float = 0.01) -> DataFr
 
 
 def records(docs: DataFrame, column: str) -> DataFrame:
-    """id, fields: one row a document (JSON text in column) that is an object, with all its fields."""
-    return docs.select("id", json_fields(F.col(column)).alias("fields")).where("fields is not null")
+    """id, fields: one row a document (JSON text in column) with all its fields in their places; null where it is no
+    object."""
+    return docs.select("id", _slots(F.col(column)).alias("fields"))
 
 
 def compare_records(pred: DataFrame, gold: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """The rows of compare() for records() of two tables (one row an id each): documents are shuffled and meet, one row a
-    document and side, and their fields meet within the row. Tables bucketed by id on both sides meet without a shuffle."""
+    document and side, and their fields meet within the row, place by place. Tables bucketed by id on both sides meet
+    without a shuffle."""
     met = pred.select("id", F.col("fields").alias("p")).join(gold.select("id", F.col("fields").alias("g")), "id", "full_outer")
-    by_path = lambda x: F.map_from_entries(F.transform(F.coalesce(x, F.array()), lambda y: F.struct(y["path"], y)))
-    paths = lambda x: F.coalesce(F.transform(x, lambda y: y["path"]), F.expr("cast(array() as array<string>)"))
-
-    def merged(both: Column) -> Column:
-        def field(path: Column) -> Column:
-            a, b = F.try_element_at(both["p"], path), F.try_element_at(both["g"], path)
-            side = lambda x, c: [x[v].alias(f"{c}{v}") for v in ("s", "n", "j")]
-            return F.struct(path.alias("path"), F.coalesce(a["leaf"], b["leaf"]).alias("leaf"), *side(a, "p"), a.isNotNull().alias("has_pred"), *side(b, "g"), b.isNotNull().alias("has_gold"))
 
-        return F.transform(both["paths"], field)
+    def field(x: Column) -> Column:
+        side = lambda y, c: [y[v].alias(f"{c}{v}") for v in ("s", "n", "j")]
+        a, b = x["p"], x["g"]
+        return F.struct(F.coalesce(a["path"], b["path"]).alias("path"), F.coalesce(a["leaf"], b["leaf"]).alias("leaf"), *side(a, "p"), a.isNotNull().alias("has_pred"), *side(b, "g"), b.isNotNull().alias("has_gold"))
 
-    both = F.struct(by_path(F.col("p")).alias("p"), by_path(F.col("g")).alias("g"), F.array_union(paths(F.col("p")), paths(F.col("g"))).alias("paths"))
-    return _matched(met.select("id", F.inline(let(both, merged))), tolerance, True)
+    both = F.arrays_zip(F.coalesce(F.col("p"), F.array()).alias("p"), F.coalesce(F.col("g"), F.array()).alias("g"))
+    return _matched(met.select("id", F.inline_outer(F.transform(both, field))).where("has_pred or has_gold"), tolerance, True)
 
 
 def compare_pairs(docs: DataFrame, pred: str = "pred", gold: str = "gold", keep: tuple[str, ...] = (), tolerance: float = 0.01) -> DataFrame:
@@ -124,7 +140,7 @@ def compare_pairs(docs: DataFrame, pred: str = "pred", gold: str = "gold", keep:
     none = F.array()
     both = F.arrays_zip(F.coalesce(p["line_items"], none).alias("p"), F.coalesce(g["line_items"], none).alias("g"))
     lines = F.flatten(F.transform(both, lambda x, i: F.array(*[field(_line_path(i, c), c, x["p"], x["g"]) for c in LINE_FIELDS])))
-    out = docs.select("id", *keep, p.isNull().alias("pred_null"), F.inline(F.concat(top, lines))).where("has_pred or has_gold")
+    out = docs.select("id", *keep, p.isNull().alias("pred_null"), F.inline_outer(F.concat(top, lines))).where("has_pred or has_gold")  # outer: see flatten_json()
     return _matched(out, tolerance)
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import prompts
-from millrace.operators import calls, gate
+from millrace.operators import calls, extraction, gate
 from millrace.sources import files
 
 GOOD = {"vendor": " Acme  Co ", "date": "15 January 2024", "currency": "$", "line_items": [{"description": "a", "qty": "2 pcs", "unit_price": "1,50", "total": 3}], "subtotal": 3, "tax": 0, "grand_total": "3.00", "payment_terms": "N/A"}
@@ -143,3 +143,25 @@ def test_calls_are_made_once_and_waited_for(spark):
     with pytest.raises(ValueError, match="unknown provider"):
         calls.provider("nobody")
     assert len(spark.range(1).select(prompts.call_key(model=F.lit("m")).alias("k")).first().k) == 40
+
+
+def test_plain_texts_are_read_as_others_are(spark):
+    """What is read by its schema against the same value with a space, which is taken apart by its values."""
+    line = '{"description":"a  b","qty":2.0,"unit_price":1.255,"total":2.51}'
+    head = '"vendor":" A","date":"2024-01-05","currency":"eur"'
+    tail = '"subtotal":2.5,"tax":-0.0,"grand_total":1.0E10'
+    texts = [f'{{{head},"line_items":[{lines}],{tail}{end}}}' for lines in (line, f"{line},{line}", "", f"null,{line}", '{"qty":1.0}', line.replace("a  b", " ")) for end in ("", ',"payment_terms":null', ',"payment_terms":"Net 30"', ',"payment_terms":"none"')]
+    texts += [texts[0].replace("2024-01-05", "soon"), texts[0].replace(" A", ""), texts[0].replace("-0.0", '"NaN"'), texts[0].replace("-0.0", "null"), texts[0].replace("eur", "12"), "{}", "[]"]
+    rows = spark.createDataFrame([(i, t, t[0] + " " + t[1:]) for i, t in enumerate(texts)], "id long, text string, spaced string")
+    told = lambda c: [gate.validate(F.col(c)).alias(f"v_{c}"), extraction.json_fields(F.col(c)).alias(f"f_{c}")]
+    got = rows.select("id", *told("text"), *told("spaced"), gate.plain(F.col("text")).isNotNull().alias("plain"), gate.plain(F.col("spaced")).isNull().alias("general")).collect()
+    assert all(repr((r.v_text, r.f_text)) == repr((r.v_spaced, r.f_spaced)) and r.general for r in got)  # repr: one number is NaN
+    assert sum(r.plain for r in got) > len(texts) // 2
+
+
+def test_fields_are_computed_once(spark):
+    """The plan doesn't filter a generator's rows by what the generator itself computes."""
+    rows = spark.createDataFrame([(1, '{"tax":1}')], "id long, raw string").withColumn("pred", F.from_json("raw", gate.TYPED))
+    for df in (extraction.flatten_json(rows, "raw"), extraction.compare_pairs(rows.select("id", "pred", F.col("pred").alias("gold"))), extraction.compare_records(extraction.records(rows, "raw"), extraction.records(rows, "raw"))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not [x for x in plan.split("\n") if "Filter" in x and "size(" in x]
