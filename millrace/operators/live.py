@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.calls import made, next_requests, with_cache
-from millrace.sources.scratch import keep
+from millrace.sources.scratch import keep, kept_for
 
 REPLIES = "key string, reply string"
 LOG = "id {kind}, attempt long, reply string"
@@ -49,20 +49,32 @@ def memoised(requests: DataFrame, call: Callable[[dict], str], folder: str, piec
     that later lookups skip files, and committed piece by piece. Calls that fail are not kept, and are made again by the
     next run. waits: see made()."""
     spark = requests.sparkSession
-    asked = keep(requests, "requests")
     before = read_committed(spark, folder, REPLIES)
-    missing = keep(asked.dropDuplicates(["key"]).join(before.select("key"), "key", "left_anti"), "misses")
-    failed = spark.createDataFrame([], "key string, error string")
-    run = uuid.uuid4().hex
-    if not missing.isEmpty():
-        for i in range(pieces):  # a few jobs, each of many tasks; the number doesn't grow with the requests
-            part = missing.where(F.pmod(F.xxhash64("key"), F.lit(pieces)) == i)
-            got = keep(made(part, call, **waits), "replies")
-            failed = failed.union(got.where("reply is null").select("key", "error"))
-            got.where("reply is not null").select("key", "reply").sort("key").write.parquet(f"{folder}/{run}-{i}")
-            commit(spark, folder, f"{run}-{i}")
+    asked = keep(requests, "requests")
+    failed = _answered(asked, before, call, folder, pieces, **waits)
+    return _told(asked, before, read_committed(spark, folder, REPLIES), failed)
+
+
+def _answered(asked: DataFrame, before: DataFrame, call: Callable[[dict], str], folder: str, pieces: int, **waits) -> DataFrame:
+    """Calls for the keys of asked that before lacks, and commits the replies; returns key, error of calls that failed.
+    Requests are read from where they lie, a piece at a time, and a piece's replies lie twice only until it is committed."""
+    spark, known, run = asked.sparkSession, before.select("key").distinct(), uuid.uuid4().hex
+    failed = spark.createDataFrame([], f"key {asked.schema['key'].dataType.simpleString()}, error string")
+    for i in range(pieces):  # a few jobs, each of many tasks; the number doesn't grow with the requests
+        part = asked.where(F.pmod(F.xxhash64("key"), F.lit(pieces)) == i).join(known, "key", "left_anti")
+        with kept_for(made(part, call, **waits), "replies") as got:
+            good, bad = got.where("reply is not null").select("key", "reply"), got.where("reply is null").select("key", "error")
+            if not bad.isEmpty():
+                failed = failed.union(keep(bad, "failed"))
+            if not good.isEmpty():
+                good.sort("key").write.option("compression", "zstd").parquet(f"{folder}/{run}-{i}")
+                commit(spark, folder, f"{run}-{i}")
+    return failed
+
+
+def _told(asked: DataFrame, before: DataFrame, replies: DataFrame, failed: DataFrame) -> DataFrame:
     old = before.select("key").distinct().withColumn("cached", F.lit(True))
-    now = with_cache(asked, read_committed(spark, folder, REPLIES)).drop("cached")
+    now = with_cache(asked, replies).drop("cached")
     return now.join(old, "key", "left").join(failed, "key", "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
 
 
@@ -92,11 +104,12 @@ def labelled(seeds: DataFrame, call: Callable[[dict], str], folder: str, system:
         log = read_committed(spark, f"{folder}/log", schema)
         asked = next_requests(seeds, log, system, retries)
         told = F.concat_ws("\x1f", F.col("id").cast("string"), F.col("attempt").cast("string"), F.to_json("messages"), F.col("temperature").cast("string"), F.col("constrained").cast("string"))
-        asked = keep(asked.withColumn("key", F.sha2(told, 256)), "asked")
-        first = asked.agg(F.min("attempt")).first()[0]
-        if first is None:
-            return log
-        got = memoised(asked, call, f"{folder}/replies", pieces, **waits)
-        name = f"round-{len(committed(spark, f'{folder}/log')):04d}"
-        got.select("id", "attempt", F.coalesce("reply", F.lit("")).alias("reply")).write.mode("overwrite").parquet(f"{folder}/log/{name}")
-        commit(spark, f"{folder}/log", name)
+        with kept_for(asked.withColumn("key", F.sha2(told, 256)), "asked") as asked:
+            if asked.isEmpty():
+                return log
+            before = read_committed(spark, f"{folder}/replies", REPLIES)
+            _answered(asked, before, call, f"{folder}/replies", pieces, **waits)
+            got = with_cache(asked.select("id", "attempt", "key"), read_committed(spark, f"{folder}/replies", REPLIES))
+            name = f"round-{len(committed(spark, f'{folder}/log')):04d}"
+            got.select("id", "attempt", F.coalesce("reply", F.lit("")).alias("reply")).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/log/{name}")
+            commit(spark, f"{folder}/log", name)

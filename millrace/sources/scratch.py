@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +49,15 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def kept_for(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """keep() for the length of a block: what was written is deleted at its end, so nothing may read it later."""
+    path = new_path(df.sparkSession, name)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import calls, extraction, gate, live, quantiles, reports, review, similarity, vectors
-from millrace.sources import files
+from millrace.sources import files, scratch
 from millrace.streaming import incremental
 
 
@@ -339,3 +339,17 @@ def test_no_task_sorts_a_whole_stratum(spark):
     assert "WindowGroupLimit" in told and "Partial" in told
     got = Counter(r.stratum for r in plan.collect())
     assert got == {"a": 8, "b": 17}
+
+
+def test_labelling_leaves_no_copies_of_requests(spark, tmp_path):
+    """What a round writes for itself is gone when its replies are committed; only failures stay."""
+    seeds = spark.createDataFrame([(i, f"text {i} " + "x" * 200) for i in range(300)], "id long, text string")
+    before = {*_shared(spark)}
+    log = live.labelled(seeds, lambda row: "none", str(tmp_path / "live"), "S", retries=1, pieces=2)
+    assert log.count() == 600 and {r.attempt for r in log.select("attempt").distinct().collect()} == {1, 2}
+    assert {*_shared(spark)} == before
+
+
+def _shared(spark):
+    at = scratch.shared_dir(spark).removeprefix("file:")
+    return os.listdir(at) if os.path.isdir(at) else []
