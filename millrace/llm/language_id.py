@@ -27,10 +27,12 @@ from millrace.llm.common import documents, mix, remainder, sliced
 
 LETTER = regex.compile(r"\p{L}")
 #: Characters that the numpy passes take at once.
-CHARS = 1 << 19
+CHARS = 1 << 17
+#: Bytes of texts that become Python strings at once.
+SLICE = 1 << 20
 #: Languages that a text is scored against at once, n-grams that are looked up at once, and counts that a task holds before
 #: it adds them up.
-TOGETHER, LOOKED_UP, HELD = 64, 1 << 16, 1 << 22
+TOGETHER, LOOKED_UP, HELD = 64, 1 << 16, 1 << 19
 
 
 def _grams(texts: list[str], orders: tuple[int, ...], buckets: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -102,7 +104,7 @@ def train(df: DataFrame, orders: tuple[int, ...] = (1, 2, 3), buckets: int = 1 <
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code: dict[str, int] = {}
         held, size = [], 0
-        for batch in batches:
+        for batch in sliced(batches, 0, SLICE):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             own_code = np.array([code.setdefault(x, len(code)) for x in batch.column("lang").to_pylist()], np.int64)
             for i, j, keyed, own in _grams(texts, orders, buckets):
@@ -166,23 +168,22 @@ def identify(df: DataFrame, training: DataFrame, orders: tuple[int, ...] = (1, 2
     rows = training.where("text is not null and lang is not null").select(F.lower("text").alias("text"), "lang")
     model = train(rows, orders, buckets)
     held = spark.sparkContext.broadcast(model)
-    names = list(df.columns)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("lang_pred string, score double")
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = held.value
-        for batch in sliced(batches, len(names)):
-            texts = [t or "" for t in batch.column(len(names)).to_pylist()]
-            best, top = scores(own, texts, orders)
-            known = np.array([bool(own.langs) and LETTER.search(t) is not None for t in texts], bool)
-            pred = [own.langs[b] if k else "und" for b, k in zip(best, known, strict=True)]
-            out = [*batch.columns[: len(names)], pa.array(pred, pa.string()), pa.array(np.where(known, top, 0.0))]
-            yield pa.RecordBatch.from_arrays(out, names=[*map(str, range(len(names))), "lang_pred", "score"])
-
-    taken = df.select(*[F.col(f"`{c}`").alias(str(i)) for i, c in enumerate(names)], F.lower("text").alias("low"))
-    schema = ", ".join([*(f"`{i}` {df.schema[c].dataType.simpleString()}" for i, c in enumerate(names)), "lang_pred string", "score double"])
-    scored = taken.mapInArrow(score, schema)
-    kept = [F.col(f"`{i}`").alias(c) for i, c in enumerate(names) if c not in into]
-    return scored.select(*kept, F.col("lang_pred").alias(into[0]), F.col("score").alias(into[1]))
+        for column in columns:
+            preds, shares = [], [np.zeros(0)]
+            for batch in sliced(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), 0, SLICE):
+                texts = [t or "" for t in batch.column(0).to_pylist()]
+                best, top = scores(own, texts, orders)
+                known = np.array([bool(own.langs) and LETTER.search(t) is not None for t in texts], bool)
+                preds += [own.langs[b] if k else "und" for b, k in zip(best, known, strict=True)]
+                shares.append(np.where(known, top, 0.0))
+            yield pa.StructArray.from_arrays([pa.array(preds, pa.string()), pa.array(np.concatenate(shares))], names=["lang_pred", "score"])
+
+    told = score(F.lower("text"))  # only this column moves to Python; both mentions are computed at once
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in into], told["lang_pred"].alias(into[0]), told["score"].alias(into[1]))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

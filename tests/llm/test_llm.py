@@ -661,3 +661,40 @@ def test_pipeline_keeps_columns(spark, awkward):
     kept = docs.select("doc_id", "text", "score").collect()
     assert {r.doc_id for r in kept} <= {1, 2, 3, 6, 7, 9, None} and all(r.score == 1 for r in kept)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, path).count() > 0
+
+
+def test_language_training_holds_little(monkeypatch):
+    """A batch of four languages, of which each run of texts has its own n-grams: counts are added up as they come, and the
+    texts aren't all laid out at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    texts = ["".join(chr(rng.randrange(97, 1000)) for _ in range(2000)) for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([f"l{k % 4}" for k in range(2000)])], names=["text", "lang"])
+    held = {}
+
+    class Rows:
+        select = lambda self, *columns: self
+
+        def mapInArrow(self, f, schema):
+            held["f"] = f
+            raise StopIteration
+
+    with pytest.raises(StopIteration):
+        language_id.train(Rows())
+    tracemalloc.start()
+    counted = sum(b.column("n").to_numpy().sum() for b in held["f"](iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counted == sum(len(t) - k for t in texts for k in range(3)) and most < 64 << 20
+
+
+def test_language_stage_sends_one_column_to_python(spark, monkeypatch):
+    """Documents stay in the JVM; only lower-cased texts move, once, and what is told comes back."""
+    docs = spark.createDataFrame([(1, "the dog and the cat", "en", "s", 19), (2, "der hund und die katze", "de", "s", 22), (3, "!", "en", None, 1), (4, None, "de", None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = language_id.keep_identified(spark, docs, "")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1 and "MapInArrow" not in plan
+    assert sorted(r.doc_id for r in out.collect()) == [1, 2] and out.columns == docs.columns
