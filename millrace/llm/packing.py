@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import documents, keep, partitions, utf8
+from millrace.llm.common import documents, keep, partitions, sliced, utf8
 
 #: Texts whose characters are all below this are tokenised by the faster library, which has the same vocabulary and
 #: gives the same ids there (tests compare the two over every such character); all others by `tokenizers`.
@@ -38,6 +39,8 @@ DIMENSIONS, POINT_BITS, CELL_BITS, STEP_BITS = 4, 12, 14, 6
 KEY_BITS = DIMENSIONS * POINT_BITS
 #: Documents whose coordinates scale the cube, and steps of that scale.
 SAMPLE, STEPS = 4096, 512
+#: Bytes of texts that become Python strings at once.
+SLICE = 1 << 20
 #: Bytes that a document counts for beside its text.
 ROW = 64
 
@@ -48,9 +51,8 @@ class Ids:
     def __init__(self, name: str = "byte_bpe_50k"):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+        self.name = name
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -58,12 +60,26 @@ class Ids:
 
         self.other = regex.compile(rf"[^\t\n\r\x20-\x7e\xa1-\xac\xae-\u{PLAIN - 1:04x}]|<\|")
 
+    @cached_property
+    def slow(self):
+        """Loaded with the first text that needs it."""
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(public_tokenizers.path(f"{self.name}.json"))
+
     def __call__(self, text: str) -> np.ndarray:
         if self.other.search(text):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self.fast.encode_ordinary(text), np.uint32)
 
 
+@cache
+def ids_by(name: str = "byte_bpe_50k") -> Ids:
+    """One of a worker's, for all its tasks."""
+    return Ids(name)
+
+
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     """Hilbert keys (uint64) of points (n, dims) of uint64 below 2 ** bits; dims * bits is at most 63.
 
@@ -173,23 +189,23 @@ def pack(docs: DataFrame, length: int = 1024, end: int = 0, ranges: int | None =
             points = np.stack([batch.column(a).to_numpy() for a in axes], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(curve_keys(points, scale)), batch.column("size")], names=["curve_key", "size"])
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("curve_key long, range int")
+    def deal(text: pa.Array, mixed: pa.Array) -> pa.Array:
         starts, first, n = places.value
-        for batch in batches:
-            keys = curve_keys(spread(batch.column("text")), scale)
-            at = np.maximum(np.searchsorted(starts, keys, "right") - 1, 0)
-            turn = batch.column("mixed").to_numpy().view(np.uint64) % n[at].astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(keys), batch.column("mixed"), pa.array(first[at] + turn.astype(np.int64), pa.int32())], names=["doc_id", "text", "curve_key", "mixed", "range"])
+        keys = curve_keys(spread(text), scale)
+        at = np.maximum(np.searchsorted(starts, keys, "right") - 1, 0)
+        turn = mixed.to_numpy().view(np.uint64) % n[at].astype(np.uint64)
+        return pa.StructArray.from_arrays([pa.array(keys), pa.array(first[at] + turn.astype(np.int64), pa.int32())], names=["curve_key", "range"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = Ids()
+        ids_of = ids_by()
         base = TaskContext.get().partitionId() << 40
         sequence, used = 0, 0
         tail: list[tuple] = []  # pieces of the sequence that isn't full yet, with their ids
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "curve_key"]
         schema = pa.schema([(n, pa.int64()) for n in names])
-        for batch in batches:
-            out: list[tuple] = []  # pieces of a batch
+        for batch in sliced(batches, 1, SLICE):
+            out: list[tuple] = []  # pieces of a slice
             for doc_id, text, curve in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "curve_key")), strict=True):
                 ids = np.append(ids_of(text or ""), np.uint32(end)).astype("<u4")
                 start = 0
@@ -227,7 +243,8 @@ def pack(docs: DataFrame, length: int = 1024, end: int = 0, ranges: int | None =
     count = max((first + n for _, first, n in table), default=1)
     runs = [t for i, t in enumerate(table) if not i or t[1:] != table[i - 1][1:]] or [(0, 0, 1)]  # cells of one range are one interval
     places = spark.sparkContext.broadcast(tuple(np.array(x, np.int64) for x in zip(*runs, strict=True)))
-    dealt = rows.select("doc_id", "text", "mixed").mapInArrow(deal, "doc_id long, text string, curve_key long, mixed long, range int")
+    told = deal("text", "mixed")  # texts stay in the JVM; both mentions are computed at once
+    dealt = rows.select("doc_id", "text", told["curve_key"].alias("curve_key"), told["range"].alias("range"))
     sorted_ = dealt.repartitionById(count, "range").sortWithinPartitions("curve_key", F.xxhash64("text"), "doc_id").select("doc_id", "text", "curve_key")
     return sorted_.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve_key long")
 

@@ -698,3 +698,10 @@ def test_language_stage_sends_one_column_to_python(spark, monkeypatch):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython [") == 1 and "MapInArrow" not in plan
     assert sorted(r.doc_id for r in out.collect()) == [1, 2] and out.columns == docs.columns
+
+
+def test_plain_texts_load_one_tokenizer():
+    ids = packing.Ids()
+    assert len(ids("plain text")) and "slow" not in vars(ids)
+    assert ids("一").tolist() == ids.slow.encode("一", add_special_tokens=False).ids
+    assert packing.ids_by() is packing.ids_by()
