@@ -353,3 +353,19 @@ def test_labelling_leaves_no_copies_of_requests(spark, tmp_path):
 def _shared(spark):
     at = scratch.shared_dir(spark).removeprefix("file:")
     return os.listdir(at) if os.path.isdir(at) else []
+
+
+@pytest.mark.parametrize("laid_out", [64 << 20, 0])
+def test_pairs_are_checked_in_their_groups(spark, texts, laid_out, monkeypatch):
+    """A row is dealt to two cells of one block, whatever its grams; and pairs are checked by the sets of their group, over
+    small blocks, with and without bits, of one table and of two that share their ids."""
+    rows = [(i, t) for i, t in texts.items()]
+    bits = similarity.with_bits(spark.createDataFrame(rows, "id long, text string")).cache()
+    assert similarity.index_blocks(bits).count() == 2 * bits.where("n > 0").count()
+    monkeypatch.setattr(similarity, "SETS", laid_out)
+    sets = {i: _gram_set(t or "") for i, t in rows}
+    like = {(a, b): round(_like(sets[a], sets[b]), 9) for a in sets for b in sets if _like(sets[a], sets[b]) >= 0.7}
+    found = {(r.a, r.b): round(r.similarity, 9) for r in similarity.similar_pairs(bits, threshold=0.7, block=5).collect()}
+    assert found == {k: v for k, v in like.items() if k[0] < k[1]}
+    met = similarity.similar_pairs(bits, bits, threshold=0.7, block=40).collect()
+    assert len(met) == len(like) and {(r.a, r.b): round(r.similarity, 9) for r in met} == like
