@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.normalise import comparable, let, strip
-from millrace.operators.gate import _NUMBERS, LINE_FIELDS, _kind, _object, parsed, plain
+from millrace.operators.gate import _NUMBERS, LINE_FIELDS, _kind, _object, _of_line, parsed, plain
 
 MONEY = ("unit_price", "total", "subtotal", "tax", "grand_total")
 _TEXT, _NUMBER = ("vendor", "date", "currency", "payment_terms"), ("subtotal", "tax", "grand_total")
@@ -27,8 +27,8 @@ def float_in(text: Column) -> Column:
     return F.when(bare.rlike(_FLOAT), F.replace(bare, F.lit("_"), F.lit("")).try_cast("double"))
 
 
-def _line_path(i: Column, leaf: str) -> Column:
-    return F.concat(F.lit("line_items["), i.cast("string"), F.lit(f"].{leaf}"))
+def _line_path(i: Column, leaf: str | Column) -> Column:
+    return F.concat(F.lit("line_items["), i.cast("string"), F.lit("]."), F.lit(leaf))
 
 
 def flatten(docs: DataFrame, column: str) -> DataFrame:
@@ -91,9 +91,67 @@ def json_fields(text: Column) -> Column:
     return F.array_compact(_slots(text))
 
 
+#: An object's fields, and those of a line, each as a VARIANT: null where the key is missing, a VOID where its value is null.
+_OBJECT, _LINE = (f"struct<{','.join(f'{n}:variant' for n in names)}>" for names in ((*_HEADS, "line_items"), LINE_FIELDS))
+
+
+def _read(docs: DataFrame, column: str) -> DataFrame:
+    """id, x and v of docs (id, column: JSON text): plain() of a text, else its value."""
+    told = docs.select("id", F.col(column).alias("text"), plain(F.col(column)).alias("x"))
+    return told.select("id", "x", F.when(F.col("x").isNull(), parsed(F.col("text"))).alias("v"))
+
+
+def _lines(x: Column, o: Column) -> Column:
+    """The line items of one side, struct(t, v) each: typed, or a VARIANT a field; empty where there is no list."""
+    typed = F.transform(x["v"]["line_items"], lambda y: F.struct(y.alias("t"), F.lit(None).cast(_LINE).alias("v")))
+    loose = F.transform(F.try_variant_get(o["line_items"], "$", "array<variant>"), lambda y: F.struct(F.lit(None).cast(f"struct<{_of_line}>").alias("t"), F.try_variant_get(y, "$", _LINE).alias("v")))
+    return F.coalesce(typed, loose, F.array())
+
+
+def _cells(docs: DataFrame, sides: tuple[str, ...]) -> DataFrame:
+    """docs (id, and x and v of _read() for each side, named after it) to a row for each field that a side has: path, leaf,
+    and for each side s, n, j and there. Documents become rows of lines, and these rows of fields, before any value is
+    looked at: so values are read by compiled code, while what stands within a lambda would be interpreted. Lists are made
+    a step before they come apart, which keeps the code of each step below the 8,000 bytes that the JVM compiles."""
+    opened = docs.select("id", *[F.col(f"{c}x") for c in sides], *[F.try_variant_get(f"{c}v", "$", _OBJECT).alias(f"{c}o") for c in sides])
+    lines = F.arrays_zip(*[_lines(F.col(f"{c}x"), F.col(f"{c}o")).alias(c or "a") for c in sides])
+    listed = opened.select("*", F.posexplode_outer(F.concat(F.array(F.lit(None)), lines)).alias("at", "line"))  # the first stands for the top fields
+
+    names = (*_TEXT, *_NUMBER), LINE_FIELDS  # texts come first in both
+    pick = lambda of: F.when(F.col("at") == 0, F.array(*of[0])).otherwise(F.array(*of[1]))
+    none = F.lit(None)
+
+    def side(c: str) -> list[Column]:
+        """Lists of the texts, numbers and VARIANTs of a row's fields, and whether all fields are there."""
+        x, line = F.col(f"{c}x"), F.col("line")[c or "a"]
+        typed, loose = (x["v"], line["t"]), (F.col(f"{c}o"), line["v"])
+        texts = [[t[n] for n in own if n in (*_TEXT, "description")] for t, own in zip(typed, names, strict=True)]
+        numbers = [[none.cast("double") if n in (*_TEXT, "description") else t[n] for n in own] for t, own in zip(typed, names, strict=True)]
+        values = [[v[n] for n in own] for v, own in zip(loose, names, strict=True)]
+        every = F.coalesce(F.when(F.col("at") == 0, typed[0].isNotNull()).otherwise(typed[1].isNotNull()) & x["whole"], F.lit(False))
+        return [pick(texts).alias(f"{c}s"), pick(numbers).alias(f"{c}n"), pick(values).alias(f"{c}v"), every.alias(f"{c}all")]
+
+    rows = listed.select("id", "at", pick([list(map(F.lit, own)) for own in names]).alias("leaf"), *[y for c in sides for y in side(c)])
+    parts = [f"{c}{k}" for c in sides for k in "snv"]
+    cells = rows.select("id", "at", *[f"{c}all" for c in sides], F.inline_outer(F.arrays_zip("leaf", *parts)))  # outer: the plan adds no filter that computes all of it again
+    there = lambda c: F.col(f"{c}all") | F.col(f"{c}s").isNotNull() | F.col(f"{c}n").isNotNull() | F.col(f"{c}v").isNotNull()
+    cells = cells.select("id", "at", "leaf", *parts, *[there(c).alias(f"{c}there") for c in sides]).where(" or ".join(f"{c}there" for c in sides))
+    path = F.when(F.col("at") == 0, F.col("leaf")).otherwise(_line_path(F.col("at") - 1, F.col("leaf")))
+    keys = ["id", "path", "leaf"]
+    out = cells.select("id", path.alias("path"), "leaf", *[y for c in sides for y in (f"{c}s", f"{c}n", f"{c}v", f"{c}there", F.when(F.col(f"{c}v").isNotNull(), _kind(F.col(f"{c}v"))).alias(f"{c}kind"))])
+    told = lambda c, v, kind: [f"{c}s", f"{c}n", f"{c}there", F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).alias(f"{c}text"), F.when(kind.isin(*_NUMBERS), F.try_variant_get(v, "$", "double")).when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")).alias(f"{c}number"), F.when(kind.isin("OBJECT", "ARRAY"), F.to_json(v)).alias(f"{c}j")]
+    out = out.select(*keys, *[y for c in sides for y in told(c, F.col(f"{c}v"), F.col(f"{c}kind"))])
+    amount = F.col("leaf").isin(*MONEY, "qty")
+    number = lambda c: F.coalesce(F.col(f"{c}n") + 0.0, f"{c}number", F.when(amount, float_in(F.col(f"{c}text"))))  # no negative zero
+    out = out.select(*keys, *[y for c in sides for y in (f"{c}s", f"{c}text", number(c).alias(f"{c}n"), f"{c}j", f"{c}there")])
+    text = lambda c: F.coalesce(f"{c}s", F.when(~amount | F.col(f"{c}n").isNull(), F.col(f"{c}text")))
+    values = F.struct("path", "leaf", *[y for c in sides for y in (text(c).alias(f"{c}s"), f"{c}n", f"{c}j", f"{c}there")])
+    return out.select("id", F.inline_outer(F.array(values)))  # a filter above would else be pushed down, and compute all values again for itself
+
+
 def flatten_json(docs: DataFrame, column: str) -> DataFrame:
     """docs (id, column: JSON text) to one row per field that is there: id and what json_fields() tells."""
-    return docs.select("id", F.inline_outer(_slots(F.col(column)))).where("path is not null")  # outer: the plan adds no filter that computes all of it again
+    return _cells(_read(docs, column), ("",)).drop("there")
 
 
 def compare(pred: DataFrame, gold: DataFrame, tolerance: float = 0.01) -> DataFrame:
@@ -107,9 +165,8 @@ def compare(pred: DataFrame, gold: DataFrame, tolerance: float = 0.01) -> DataFr
 
 
 def records(docs: DataFrame, column: str) -> DataFrame:
-    """id, fields: one row a document (JSON text in column) with all its fields in their places; null where it is no
-    object."""
-    return docs.select("id", _slots(F.col(column)).alias("fields"))
+    """id, fields: one row a document (JSON text in column), its value read once for compare_records()."""
+    return _read(docs, column).select("id", F.struct("x", "v").alias("fields"))
 
 
 def compare_records(pred: DataFrame, gold: DataFrame, tolerance: float = 0.01) -> DataFrame:
@@ -117,14 +174,8 @@ def compare_records(pred: DataFrame, gold: DataFrame, tolerance: float = 0.01) -
     document and side, and their fields meet within the row, place by place. Tables bucketed by id on both sides meet
     without a shuffle."""
     met = pred.select("id", F.col("fields").alias("p")).join(gold.select("id", F.col("fields").alias("g")), "id", "full_outer")
-
-    def field(x: Column) -> Column:
-        side = lambda y, c: [y[v].alias(f"{c}{v}") for v in ("s", "n", "j")]
-        a, b = x["p"], x["g"]
-        return F.struct(F.coalesce(a["path"], b["path"]).alias("path"), F.coalesce(a["leaf"], b["leaf"]).alias("leaf"), *side(a, "p"), a.isNotNull().alias("has_pred"), *side(b, "g"), b.isNotNull().alias("has_gold"))
-
-    both = F.arrays_zip(F.coalesce(F.col("p"), F.array()).alias("p"), F.coalesce(F.col("g"), F.array()).alias("g"))
-    return _matched(met.select("id", F.inline_outer(F.transform(both, field))).where("has_pred or has_gold"), tolerance, True)
+    both = met.select("id", *[F.col(c)[f].alias(f"{c}{f}") for c in "pg" for f in "xv"])
+    return _matched(_cells(both, ("p", "g")).withColumnsRenamed({"pthere": "has_pred", "gthere": "has_gold"}), tolerance, True)
 
 
 def compare_pairs(docs: DataFrame, pred: str = "pred", gold: str = "gold", keep: tuple[str, ...] = (), tolerance: float = 0.01) -> DataFrame:
