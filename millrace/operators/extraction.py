@@ -195,11 +195,22 @@ def compare_pairs(docs: DataFrame, pred: str = "pred", gold: str = "gold", keep:
     return _matched(out, tolerance)
 
 
+def _alike(a: Column, b: Column) -> Column:
+    """Whether two texts compare as equal; those that are equal as they stand aren't folded."""
+    return F.when(a == b, True).otherwise(comparable(a) == comparable(b))
+
+
+def _same(ps: Column, pn: Column, gs: Column, gn: Column, limit: Column, text: bool) -> Column:
+    """_matched()'s `same` for a typed field whose kind is known."""
+    a, b, alike = (ps, gs, _alike(ps, gs)) if text else (pn, gn, F.abs(pn - gn) <= limit)
+    return F.when(a.isNull() & b.isNull(), True).when(a.isNull() | b.isNull(), False).otherwise(alike)
+
+
 def _matched(met: DataFrame, tolerance: float, nested: bool = False) -> DataFrame:
     none = lambda x: F.col(f"{x}s").isNull() & F.col(f"{x}n").isNull() & (F.col(f"{x}j").isNull() if nested else F.lit(True))
     limit = F.when(F.col("leaf") == "qty", 1e-4).otherwise(tolerance)
     number = F.abs(F.col("pn") - F.col("gn")) <= limit
-    text = comparable(F.col("ps")) == comparable(F.col("gs"))
+    text = _alike(F.col("ps"), F.col("gs"))
     alike = F.coalesce(number, text, *([F.col("pj") == F.col("gj")] if nested else []), F.lit(False))
     amount = F.col("leaf").isin(*MONEY, "qty")  # these agree as numbers or not at all
     same = F.when(none("p") & none("g"), True).when(none("p") | none("g"), False).when(amount, F.coalesce(number, F.lit(False))).otherwise(alike)
@@ -233,11 +244,30 @@ def field_scores(ids: DataFrame, fields: DataFrame) -> DataFrame:
     return _scored(out).select("id", *_SCORES)
 
 
+def _counts(pred: Column, gold: Column, leaves: tuple[str, ...], tolerance: float) -> Column:
+    """struct(tp, p, g, n): of a struct's fields on both sides those that agree, those of either side, and of any."""
+    (has_p, has_g), size = (pred.isNotNull(), gold.isNotNull()), F.lit(len(leaves))
+    same = lambda c: _same(*_cell(pred, c), *_cell(gold, c), F.lit(1e-4 if c == "qty" else tolerance), c in (*_TEXT, "description"))
+    hits = [F.when(has_p & has_g & same(c), 1).otherwise(0) for c in leaves]
+    of = lambda there: F.when(there, size).otherwise(0)
+    return F.struct(sum(hits[1:], hits[0]).alias("tp"), of(has_p).alias("p"), of(has_g).alias("g"), of(has_p | has_g).alias("n"))
+
+
 def pair_scores(docs: DataFrame, pred: str = "pred", gold: str = "gold", keep: tuple[str, ...] = (), tolerance: float = 0.01) -> DataFrame:
-    """field_scores() of docs (id, pred, gold, and columns to keep, one value an id): a row's fields are summed up in the
-    task that made them, so one row an id is shuffled. An id without a struct on either side has no row."""
-    by = compare_pairs(docs, pred, gold, keep, tolerance).groupBy("id", *keep).agg(F.bool_or("pred_null").alias("pred_null"), *_sums())
-    return _scored(by).select("id", *keep, *_SCORES)
+    """field_scores() of docs (id, pred, gold, and columns to keep, one value an id). An id without a struct on either side
+    has no row. Top fields are counted before lines come apart, and each line then counts its own, so a document becomes a
+    row a line, not a row a field; they are summed up in the task that made them, and one row an id is shuffled."""
+    p, g = F.col(pred), F.col(gold)
+    none = F.array()
+    both = F.arrays_zip(F.coalesce(p["line_items"], none).alias("p"), F.coalesce(g["line_items"], none).alias("g"))
+    tops = docs.where(p.isNotNull() | g.isNotNull()).select("id", *keep, p.isNull().alias("pred_null"), _counts(p, g, _HEADS, tolerance).alias("top"), both.alias("both"))
+    rows = tops.select("id", *keep, "pred_null", "top", F.posexplode_outer("both").alias("at", "line"))
+    line = _counts(F.col("line.p"), F.col("line.g"), LINE_FIELDS, tolerance)
+    counted = rows.select("id", *keep, "pred_null", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("top")).alias("top"), line.alias("line"))
+    total = lambda c: F.sum(F.coalesce(f"top.{c}", F.lit(0)) + F.col(f"line.{c}"))
+    by = counted.groupBy("id", *keep).agg(F.bool_or("pred_null").alias("pred_null"), *[total(c).alias(c) for c in ("tp", "p", "g", "n")])
+    told = by.select("id", *keep, "pred_null", "tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("g") - F.col("tp")).alias("fn"), (F.col("tp") == F.col("n")).alias("all"), (F.col("tp") / F.col("n")).alias("agree"))
+    return _scored(told).select("id", *keep, *_SCORES)
 
 
 def one_to_one(preds: DataFrame, golds: DataFrame, order: str = "at") -> DataFrame:

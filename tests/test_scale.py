@@ -369,3 +369,26 @@ def test_pairs_are_checked_in_their_groups(spark, texts, laid_out, monkeypatch):
     assert found == {k: v for k, v in like.items() if k[0] < k[1]}
     met = similarity.similar_pairs(bits, bits, threshold=0.7, block=40).collect()
     assert len(met) == len(like) and {(r.a, r.b): round(r.similarity, 9) for r in met} == like
+
+
+def test_pairs_are_scored_a_row_a_line(spark):
+    """The scores of compared fields, of lines that are null or on one side alone, ids that occur twice, and no struct; and
+    no row a field on the way."""
+    line = lambda **x: {n: x.get(n) for n in gate.LINE_FIELDS}
+    inv = lambda **x: {n: x.get(n) for n in gate.FIELDS}
+    rows = [
+        (1, None, None),
+        (2, inv(vendor="A  b"), None),
+        (3, None, inv(line_items=[line(qty=1.0), None, line(total=2.0)])),
+        (4, inv(vendor="STRASSE x", line_items=[None, line(qty=1.00009, description="a"), line(qty=2.0)]), inv(vendor="straße  x ", line_items=[None, line(qty=1.0, description=" A "), None])),
+        (5, inv(tax=float("nan"), line_items=[]), inv(tax=float("nan"))),
+        (6, inv(tax=1.009), inv(tax=1.0, line_items=[])),
+        (7, inv(vendor=""), inv()),
+        (7, inv(vendor="x"), inv(vendor="x")),
+    ]
+    docs = spark.createDataFrame(rows, f"id long, pred struct<{gate.TYPED}>, gold struct<{gate.TYPED}>")
+    ids = docs.where("pred is not null or gold is not null").groupBy("id").agg(F.bool_or(F.col("pred").isNull()).alias("pred_null"))
+    slow, fast = extraction.field_scores(ids, extraction.compare_pairs(docs)), extraction.pair_scores(docs)
+    assert sorted(fast.collect()) == sorted(slow.collect()) and fast.count() == 6
+    plan = fast._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate posexplode" in plan and "Generate inline" not in plan
