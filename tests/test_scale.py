@@ -392,3 +392,18 @@ def test_pairs_are_scored_a_row_a_line(spark):
     assert sorted(fast.collect()) == sorted(slow.collect()) and fast.count() == 6
     plan = fast._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate posexplode" in plan and "Generate inline" not in plan
+
+
+def test_lines_of_right_kinds_are_read_at_once(spark, monkeypatch):
+    """Only lists whose lines have all fields, of the right kinds, are; and the gate says the same without that."""
+    ok = '{"description":"a  b","qty":1,"unit_price":2.505,"total":1e2}'
+    lists = {f"[{ok}]": True, f'[{ok},{{"description":" ","qty":0.5,"unit_price":-0.0,"total":7}}]': True, "[]": False, "{}": False, "null": False}
+    lists |= {f"[{ok},{x}]": False for x in ("null", "4", "{}", "[]", ok.replace("1,", '"1 pc",'), ok.replace("1,", "true,"), ok.replace("1,", "null,"), ok.replace("1e2", '1,"x":1'), ok.replace('"a  b"', "1"), ok.replace('"qty":1,', ""))}
+    head = '{"vendor":"V","date":"2024-01-02","currency":"USD","subtotal":1,"tax":2,"grand_total":"3","line_items":%s}'
+    docs = spark.createDataFrame([(x, head % x) for x in lists], "list string, text string")
+    told = lambda: {r.list: r.v for r in docs.select("list", gate.validate(F.col("text")).alias("v")).collect()}
+    typed = docs.select("list", gate._typed_lines(F.try_parse_json("list")).isNotNull().alias("at_once"))
+    assert {r.list: r.at_once for r in typed.collect()} == lists
+    at_once = told()
+    monkeypatch.setattr(gate, "_typed_lines", lambda listed: F.lit(None).cast(f"array<struct<{gate._of_line}>>"))
+    assert told() == at_once and at_once[f"[{ok}]"].errors == []
