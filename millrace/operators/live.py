@@ -13,11 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.calls import made, next_requests, with_cache
-from millrace.sources.scratch import keep, kept_for
+from millrace.operators import calls
+from millrace.operators.calls import made, with_cache
+from millrace.sources.scratch import delete, folder_for, keep, kept_for
 
 REPLIES = "key string, reply string"
 LOG = "id {kind}, attempt long, reply string"
+ANSWERS = "id {kind}, text string, attempt long, reply string"
 
 
 def _system(spark: SparkSession, path: str):
@@ -95,21 +97,52 @@ def compacted(spark: SparkSession, folder: str) -> int:
 
 def labelled(seeds: DataFrame, call: Callable[[dict], str], folder: str, system: str, retries: int = 2, pieces: int = 16, **waits) -> DataFrame:
     """The log (id, attempt, reply) of seeds (id, text), asked until a reply passes or retries + 1 attempts are made. Each
-    round asks what the log so far leaves open, all at once, and its replies are committed as one piece of the log; the set
-    shrinks, and there are retries + 1 rounds at most. A round that was stopped finds the replies it had committed in the
-    folder of replies. A call that fails for good counts as an attempt without a reply."""
-    spark, kind = seeds.sparkSession, seeds.schema["id"].dataType.simpleString()
-    schema = LOG.format(kind=kind)
-    while True:
-        log = read_committed(spark, f"{folder}/log", schema)
-        asked = next_requests(seeds, log, system, retries)
-        told = F.concat_ws("\x1f", F.col("id").cast("string"), F.col("attempt").cast("string"), F.to_json("messages"), F.col("temperature").cast("string"), F.col("constrained").cast("string"))
-        with kept_for(asked.withColumn("key", F.sha2(told, 256)), "asked") as asked:
-            if asked.isEmpty():
-                return log
-            before = read_committed(spark, f"{folder}/replies", REPLIES)
-            _answered(asked, before, call, f"{folder}/replies", pieces, **waits)
-            got = with_cache(asked.select("id", "attempt", "key"), read_committed(spark, f"{folder}/replies", REPLIES))
-            name = f"round-{len(committed(spark, f'{folder}/log')):04d}"
-            got.select("id", "attempt", F.coalesce("reply", F.lit("")).alias("reply")).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/log/{name}")
-            commit(spark, f"{folder}/log", name)
+    round asks what is open, in pieces by the ids' hash; a piece's replies are committed to the log as they have come, so
+    that a run that was stopped goes on from the log. Seeds are read once: what a round leaves open moves on to the next one
+    with its text, and each reply is judged once. Nothing of that shuffles. Only where ids occur more than once is each
+    round planned from the log, and equal requests are called once. The set shrinks, and there are retries + 1 rounds at
+    most. A call that fails for good counts as an attempt without a reply."""
+    spark, kind, at = seeds.sparkSession, seeds.schema["id"].dataType.simpleString(), f"{folder}/log"
+    run, turn, repeated = uuid.uuid4().hex, 0, None
+
+    def log() -> DataFrame:
+        return read_committed(spark, at, LOG.format(kind=kind))
+
+    todo = calls.still_open(seeds, log(), retries) if committed(spark, at) else calls.untried(seeds)
+    with folder_for(spark, "rounds") as own:
+        while True:
+            piece = F.pmod(F.xxhash64("id"), F.lit(pieces)).cast("int")
+            path, answers = f"{own}/open-{turn}", f"{own}/answers-{turn}"
+            _packed(todo.withColumn("piece", piece)).partitionBy("piece").parquet(path)
+            delete(spark, f"{own}/answers-{turn - 1}")
+            open_ = spark.read.schema(f"id {kind}, text string, attempts long, reply string, error string, piece int").parquet(path)
+            if open_.isEmpty():
+                return log()
+            if repeated is None:
+                repeated = not open_.groupBy("id").count().where("count > 1").isEmpty()
+            for i in range(pieces):
+                _packed(_asked(open_.where(F.col("piece") == i), call, system, repeated, **waits)).parquet(f"{answers}/{i}")
+                got = spark.read.schema(ANSWERS.format(kind=kind)).parquet(f"{answers}/{i}")
+                if not got.isEmpty():
+                    name = f"{run}-{turn:04d}-{i}"
+                    _packed(got.drop("text")).parquet(f"{at}/{name}")
+                    commit(spark, at, name)
+            delete(spark, path)
+            got = spark.read.schema(ANSWERS.format(kind=kind)).parquet(*(f"{answers}/{i}" for i in range(pieces)))
+            if got.where(F.col("attempt") <= retries).isEmpty():
+                return log()
+            todo = calls.still_open(seeds, log(), retries) if repeated else calls.refused(got, retries)
+            turn += 1
+
+
+def _packed(df: DataFrame):
+    return df.write.option("compression", "zstd")
+
+
+def _asked(open_: DataFrame, call: Callable[[dict], str], system: str, repeated: bool, **waits) -> DataFrame:
+    """id, text, attempt, reply of still_open() rows, called where they lie."""
+    told = F.concat_ws("\x1f", F.col("id").cast("string"), F.col("attempt").cast("string"), F.to_json("messages"), F.col("temperature").cast("string"), F.col("constrained").cast("string"))
+    asked = calls.requests_of(open_, system, "text").withColumn("key", F.sha2(told, 256))
+    asked = asked.dropDuplicates(["key"]) if repeated else asked
+    got = calls.answered(asked, call, ("id", "text", "attempt"), ("text",), **waits)
+    return got.select("id", "text", "attempt", F.coalesce("reply", F.lit("")).alias("reply"))

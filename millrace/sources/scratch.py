@@ -51,13 +51,24 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def folder_for(spark: SparkSession, name: str) -> Iterator[str]:
+    """A path in the shared folder for the length of a block: what lies there is deleted at its end."""
+    path = new_path(spark, name)
+    try:
+        yield path
+    finally:
+        delete(spark, path)
+
+
 @contextmanager
 def kept_for(df: DataFrame, name: str) -> Iterator[DataFrame]:
     """keep() for the length of a block: what was written is deleted at its end, so nothing may read it later."""
-    path = new_path(df.sparkSession, name)
-    try:
+    with folder_for(df.sparkSession, name) as path:
         df.write.option("compression", "zstd").parquet(path)
         yield df.sparkSession.read.schema(df.schema).parquet(path)
-    finally:
-        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)

@@ -407,3 +407,52 @@ def test_lines_of_right_kinds_are_read_at_once(spark, monkeypatch):
     at_once = told()
     monkeypatch.setattr(gate, "_typed_lines", lambda listed: F.lit(None).cast(f"array<struct<{gate._of_line}>>"))
     assert told() == at_once and at_once[f"[{ok}]"].errors == []
+
+
+@pytest.mark.parametrize("copies", [1, 2])
+def test_labelling_reads_seeds_once(spark, tmp_path, copies):
+    """Seeds are read once for all rounds, each request is called once (also where ids occur twice), and a run that was
+    stopped calls for no id again whose piece of the log was committed."""
+    (tmp_path / "read").mkdir()
+    (tmp_path / "calls").mkdir()
+
+    def read(batches):
+        for batch in batches:
+            for i in batch["id"]:
+                with open(f"{tmp_path}/read/{i}", "a") as f:
+                    f.write("x")
+            yield batch.assign(text=[f"text {i}" for i in batch["id"]])
+
+    def call(row):
+        with open(f"{tmp_path}/calls/{row['id']}-{row['attempt']}", "a") as f:
+            f.write("x")
+        return f"no {row['id']}-{row['attempt']}"
+
+    seeds = spark.range(40).select((F.col("id") % (40 // copies)).alias("id")).mapInPandas(read, "id long, text string")
+    real, done = live.commit, []
+
+    def dies(session, at, name):
+        if len(done) == 5:  # in the second round
+            raise RuntimeError("killed")
+        done.append(name)
+        real(session, at, name)
+
+    live.commit = dies
+    try:
+        with pytest.raises(RuntimeError, match="killed"):
+            live.labelled(seeds, call, f"file://{tmp_path}/live", "S", pieces=3)
+    finally:
+        live.commit = real
+    if copies == 1:
+        assert {p.read_text() for p in (tmp_path / "read").iterdir()} == {"x"}
+    kept = {(r.id, r.attempt) for r in live.read_committed(spark, f"file://{tmp_path}/live/log", "id long, attempt long, reply string").collect()}
+    log = live.labelled(seeds, call, f"file://{tmp_path}/live", "S", pieces=3)
+    assert {(r.id, r.attempt, r.reply) for r in log.collect()} == {(i, a, f"no {i}-{a}") for i in range(40 // copies) for a in (1, 2, 3)}
+    assert 40 // copies < len(kept) and all((tmp_path / "calls" / f"{i}-{a}").read_text() == "x" for i, a in kept)
+
+
+def test_prose_is_not_parsed(spark):
+    """What stands as JSON by its start and by the parser is what the parser alone takes for it."""
+    texts = ["none", "null", "nullx", "true", "trueish", "false", "-1", "-x", "12", "1 2", '"a"', '"a', "{}", "{", '{"a":1} b', "[]", "[1,]", "n", "", "\u00e9", "Sure: {}", "+1", ".5", "NaN", "'a'", "null\nx"]
+    row = spark.createDataFrame([(t,) for t in texts], "t string").select("t", gate._stands(F.col("t")).alias("a"), gate.is_json(F.col("t")).alias("b")).collect()
+    assert [r.a for r in row] == [r.b for r in row] and {r.t for r in row if r.a} == {"null", "true", "false", "-1", "12", '"a"', "{}", "[]"}
