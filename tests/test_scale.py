@@ -456,3 +456,21 @@ def test_prose_is_not_parsed(spark):
     texts = ["none", "null", "nullx", "true", "trueish", "false", "-1", "-x", "12", "1 2", '"a"', '"a', "{}", "{", '{"a":1} b', "[]", "[1,]", "n", "", "\u00e9", "Sure: {}", "+1", ".5", "NaN", "'a'", "null\nx"]
     row = spark.createDataFrame([(t,) for t in texts], "t string").select("t", gate._stands(F.col("t")).alias("a"), gate.is_json(F.col("t")).alias("b")).collect()
     assert [r.a for r in row] == [r.b for r in row] and {r.t for r in row if r.a} == {"null", "true", "false", "-1", "12", '"a"', "{}", "[]"}
+
+
+@pytest.mark.parametrize("two", [False, True])
+def test_candidates_travel_as_lists(spark, two):
+    """Rows of a like size with many candidates make a few rows of lists, each id that has a pair is named once a group,
+    and what comes out of them are the pairs that loops find, ids being strings."""
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+    texts = {f"{i:03}": " ".join([*base[: i % 60], "other", *base[i % 60 + 1 :], f"w{i}"]) for i in range(240)}
+    bits = similarity.with_bits(spark.createDataFrame(list(texts.items()), "id string, text string")).cache()
+    right = bits if two else None
+    met = similarity._met(bits, right, 0.9, similarity.BLOCK).collect()
+    named = [(r.key, r.x, r.y, r.kind, r.id) for r in met if r.kind < 2]
+    assert len(named) == len({*named})
+    assert 0 < 5 * sum(r.kind == 2 for r in met) < sum(len(r.others) for r in met if r.kind == 2)
+    sets = {i: _gram_set(t) for i, t in texts.items()}
+    want = {(a, b) for a in sets for b in sets if (two or a < b) and _like(sets[a], sets[b]) >= 0.9}
+    assert {(r.a, r.b) for r in similarity.similar_pairs(bits, right).collect()} == want
